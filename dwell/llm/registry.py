@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dwell.llm.bpe_automaton import op7_bpe_automaton
 from dwell.llm.line_frequency import op4_line_frequency
+from dwell.llm.packing import op3_cost_packing
 from dwell.llm.quality_classifier import op1_quality_nbsvm
 from dwell.llm.token_counts import op2_token_counts
 from dwell.llm.toxicity import op5_toxicity_subword
 
-QUERIES = {f.__name__: f for f in (op1_quality_nbsvm, op2_token_counts, op4_line_frequency, op5_toxicity_subword)}
+QUERIES = {f.__name__: f for f in (op1_quality_nbsvm, op2_token_counts, op3_cost_packing, op4_line_frequency, op5_toxicity_subword, op7_bpe_automaton)}
 SQL: dict[str, str] = {}
