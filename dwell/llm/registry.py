@@ -3,11 +3,29 @@
 from __future__ import annotations
 
 from dwell.llm.bpe_automaton import op7_bpe_automaton
+from dwell.llm.grid_join import op8_grid_join
+from dwell.llm.html_extraction import op9_html_blocks
 from dwell.llm.line_frequency import op4_line_frequency
 from dwell.llm.packing import op3_cost_packing
 from dwell.llm.quality_classifier import op1_quality_nbsvm
+from dwell.llm.simhash import op10_simhash_golay
 from dwell.llm.token_counts import op2_token_counts
 from dwell.llm.toxicity import op5_toxicity_subword
+from dwell.llm.warc import op6_warc_zstd
 
-QUERIES = {f.__name__: f for f in (op1_quality_nbsvm, op2_token_counts, op3_cost_packing, op4_line_frequency, op5_toxicity_subword, op7_bpe_automaton)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_nbsvm,
+        op2_token_counts,
+        op3_cost_packing,
+        op4_line_frequency,
+        op5_toxicity_subword,
+        op6_warc_zstd,
+        op7_bpe_automaton,
+        op8_grid_join,
+        op9_html_blocks,
+        op10_simhash_golay,
+    )
+}
 SQL: dict[str, str] = {}
