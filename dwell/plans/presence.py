@@ -84,11 +84,11 @@ def timeline_long(spark, sf_dir):
     return S.timeline_long(X.segments(spark, sf_dir, X.FAST), _K, 4000)
 
 
-@query(f"""WITH {X.OBS}, {X.segments_sql('1.0::DOUBLE / 60', 5)} SELECT DISTINCT label FROM obs WHERE label IN ('click', 'error', 'view', 'purchase')
+@query(f"""WITH {X.OBS}, {X.segments_sql('1.0::DOUBLE / 60', 600)} SELECT DISTINCT label FROM obs WHERE label IN ('click', 'error', 'view', 'purchase')
 AND label NOT IN (SELECT label FROM seg WHERE track_id = 7)""")
 def coverage_missing(spark, sf_dir):
     known = spark.createDataFrame([(x,) for x in ("click", "error", "view", "purchase")], "label string")
-    return S.missing_labels(X.obs(spark, sf_dir), known, X.segments(spark, sf_dir, X.SLOW, 5).where("track_id = 7"))
+    return S.missing_labels(X.obs(spark, sf_dir), known, X.segments(spark, sf_dir, X.SLOW, 600).where("track_id = 7"))
 
 
 @query(f"""WITH {X.SEG}, {X.segments_sql('1.0::DOUBLE / 60', 1, 'fb')},
