@@ -45,7 +45,7 @@ def segments(text: str, most: int) -> Iterator[str]:
         at = text.find(" ", lo + most)
         while at > 0 and text[at - 1] in " " + MARK:  # within a run of spaces, which may be one token
             at = text.find(" ", at + 1)
-        if at < 0:
+        if at < 0 or at == n - 1:  # an empty last segment would get no mark
             break
         yield text[lo:at]
         lo = at + 1
