@@ -5,13 +5,13 @@ from __future__ import annotations
 from dwell.llm.bpe_automaton import op7_bpe_automaton
 from dwell.llm.grid_join import op8_grid_join
 from dwell.llm.html_extraction import op9_html_blocks
-from dwell.llm.line_frequency import op4_line_frequency
+from dwell.llm.line_frequency import MAX_DOCUMENTS, op4_line_frequency
 from dwell.llm.packing import op3_cost_packing
 from dwell.llm.quality_classifier import op1_quality_nbsvm
 from dwell.llm.simhash import op10_simhash_golay
 from dwell.llm.token_counts import op2_token_counts
 from dwell.llm.toxicity import op5_toxicity_subword
-from dwell.llm.warc import op6_warc_zstd
+from dwell.llm.warc import LEAST_BYTES, op6_warc_zstd
 
 QUERIES = {
     f.__name__: f
@@ -28,4 +28,42 @@ QUERIES = {
         op10_simhash_golay,
     )
 }
-SQL: dict[str, str] = {}
+
+_SPACE = r"[\x20\x09-\x0D]+"
+_WORDS = rf"list_filter(regexp_split_to_array(coalesce({{x}}, ''), '{_SPACE}'), lambda w: w <> '')"
+_EIGHT = " || ' ' || ".join(["word", *(f"lead(word, {k}) OVER o" for k in range(1, 8))])
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000"
+
+#: Trained models, tokenizers, byte-level archives' bytes, XXH64 and page rules are beyond SQL: tests/llm has plain versions.
+SQL: dict[str, str] = {
+    "op4_line_frequency": rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS.format(x="text")} AS w FROM documents),
+l0 AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
+l1 AS (SELECT doc_id, source, line, {_WORDS.format(x="line")} AS w FROM l0),
+l AS (SELECT doc_id, source, line, len(w) AS n, translate(array_to_string(w, ' '), '{_UPPER}', '{_LOWER}') AS norm FROM l1 WHERE len(w) > 0),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id),
+freq AS (SELECT source, norm FROM l GROUP BY source, norm HAVING count(DISTINCT doc_id) > {MAX_DOCUMENTS}),
+rem AS (SELECT l.doc_id, sum(l.n) AS removed_words FROM l JOIN freq f ON l.norm = f.norm AND l.source IS NOT DISTINCT FROM f.source GROUP BY l.doc_id),
+wp AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+win AS (SELECT doc_id, i, {_EIGHT} AS g FROM wp WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+win2 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win WHERE g IS NOT NULL),
+rep AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest(generate_series(i, i + 7)) AS j FROM win2 WHERE c > 1) GROUP BY doc_id),
+s AS (SELECT d.doc_id, len(w) AS n_words, length(text) - length(regexp_replace(text, '[^\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN rem USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND n_words - removed_words >= 20 AND n_words - removed_words >= 0.5 * n_words AS kept, removed_words FROM b""",
+    "op6_warc_zstd": f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS target FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= {LEAST_BYTES} AND page_id <> target THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= {LEAST_BYTES} AND page_id <> target THEN target END AS refers_to FROM t""",
+    "op8_grid_join": """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.u, b.u) >= 0.95),
+r AS (SELECT vec_id, vec_id AS root FROM u UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.vec_id),
+c AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a) USING (vec_id)""",
+}
