@@ -8,10 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from dwell.functions.vectors import doubles, unit
 from dwell.operators.graph import connected
+from dwell.operators.numbering import numbered
 
 
 def near_pairs(samples: DataFrame, sample: str, at_least: float, block: int = 2048) -> DataFrame:
@@ -56,12 +56,12 @@ def dbscan(samples: DataFrame, sample: str, eps: float, min_samples: int) -> Dat
     own = core.join(connected(links), core.id == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
     border = both.join(core.select(F.col("id").alias("a")), "a", "left_anti").join(own.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("root")).withColumnRenamed("a", "id")
     placed = own.unionByName(border)
-    # clusters are numbered by their least core sample: as many rows as clusters
-    numbers = own.select("root").distinct().withColumn("cluster_id", (F.row_number().over(Window.orderBy("root")) - 1).cast("long"))
+    # clusters are numbered by their least core sample
+    numbers = numbered(own.select("root").distinct(), "root", "cluster_id")
     named = placed.join(numbers, "root").select("id", "cluster_id")
     noise = ids.join(named, "id", "left_anti")
     after = numbers.agg(F.coalesce(F.max("cluster_id"), F.lit(-1)).alias("top"))
-    alone = noise.crossJoin(F.broadcast(after)).select("id", (F.row_number().over(Window.orderBy("id")) + F.col("top")).cast("long").alias("cluster_id"))
+    alone = numbered(noise, "id", "nth").join(F.broadcast(after), F.lit(True)).select("id", (F.col("nth") + 1 + F.col("top")).alias("cluster_id"))
     return named.unionByName(alone).withColumnRenamed("id", sample)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Ends the lineage with a checkpoint in the folder the session names; one of our own only where none is named."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -21,14 +21,14 @@ def connected(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, root): root is the least node of the component. Least roots go along edges and roots are jumped, so
     rounds grow with the logarithm of the longest path in most graphs."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = _cut(both)
+    both = cut(both)
     roots = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root"))
-    roots = _cut(roots)
+    roots = cut(roots)
     for _ in range(max_rounds):
         near = both.join(roots.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
         new = roots.join(near, "node").select("node", F.least("root", "r").alias("new"), "root")
         jump = new.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        new = _cut(new.join(jump, "new", "left").select("node", F.least("new", "far").alias("new"), "root"))
+        new = cut(new.join(jump, "new", "left").select("node", F.least("new", "far").alias("new"), "root"))
         moved = new.where("new <> root").limit(1).count()
         roots = new.select("node", F.col("new").alias("root"))
         if not moved:

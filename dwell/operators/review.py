@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dwell.functions.text import assignment_status
+from dwell.operators.numbering import numbered
 
 
 def mode(df: DataFrame, keys: list[str], column: str) -> DataFrame:
@@ -107,7 +108,7 @@ def move_track(clusters: DataFrame, track_id: int, cluster_id: int) -> DataFrame
 def reindex_clusters(members: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame]:
     """Clusters of at least ``min_size`` numbered from 0 in their order, and the members of the others."""
     sizes = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
-    kept = sizes.where(F.col("size") >= min_size).withColumn("new_id", (F.row_number().over(Window.orderBy("cluster_id")) - 1).cast("int"))
+    kept = numbered(sizes.where(F.col("size") >= min_size), "cluster_id", "new_id")
     return members.join(kept, "cluster_id").drop("size"), members.join(kept, "cluster_id", "left_anti")
 
 

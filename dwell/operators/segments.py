@@ -5,7 +5,7 @@ Inputs have one row for each (track, frame); ``keys`` name the columns of a trac
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,20 +39,35 @@ def fragments(obs: DataFrame, keys: list[str], stride: int = 1, frames: DataFram
     return ranked.withColumn("gap", gap).withColumn("fragment_id", F.sum("gap").over(w)).drop("gap", "frame_ord")
 
 
-def islands(labels: DataFrame, keys: list[str], gap_frames: int, by_label: bool = True) -> DataFrame:
+def islands(labels: DataFrame, keys: list[str], gap_frames: int, by_label: bool = True, chunk_frames: int = 100_000) -> DataFrame:
     """Runs of equal labels without a gap of more than ``gap_frames`` (0 or less: any gap goes): first, last, mean
-    score and number of labelled frames."""
-    w = Window.partitionBy(*keys).orderBy("frame_idx")
-    before = F.lag("frame_idx").over(w)
-    new = before.isNull()
-    if by_label:
-        new |= F.lag("label").over(w) != F.col("label")
-    if gap_frames > 0:
-        new |= F.col("frame_idx") - before > gap_frames
-    runs = labels.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*keys, "run").agg(
-        F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"), F.min_by("label", "frame_idx").alias("label"), F.avg("score").alias("avg_similarity"), F.count(F.lit(1)).alias("n")
+    score and number of labelled frames.
+
+    Runs are first made within chunks of a track's frames and then joined where chunks meet, by the same rule: a
+    track that holds much of the input is spread over its chunks, and only its runs come together.
+    """
+
+    def starts(w: Window, last: str, label: str) -> Column:
+        new = F.lag(last).over(w).isNull()
+        if by_label:
+            new |= F.lag(label).over(w) != F.col(label)
+        if gap_frames > 0:
+            new |= F.col("first_frame") - F.lag(last).over(w) > gap_frames
+        return new.cast("int")
+
+    def merged(parts: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy("first_frame")
+        # by gaps alone the labels at a run's ends don't matter; its name is the first frame's
+        runs = parts.withColumn("new", starts(w, "last_frame", "label")).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return runs.groupBy(*by, "run").agg(
+            F.min("first_frame").alias("first_frame"), F.max("last_frame").alias("last_frame"), F.min_by("label", "first_frame").alias("label"), F.sum("total").alias("total"), F.sum("scored").alias("scored"), F.sum("n").alias("n")
+        )
+
+    each = labels.select(
+        *keys, F.floor(F.col("frame_idx") / chunk_frames).alias("chunk"), F.col("frame_idx").alias("first_frame"), F.col("frame_idx").alias("last_frame"), "label", F.col("score").alias("total"), F.when(F.col("score").isNotNull(), 1).otherwise(0).alias("scored"), F.lit(1).cast("long").alias("n")
     )
+    runs = merged(merged(each, [*keys, "chunk"]).drop("run", "chunk"), keys)
+    return runs.withColumn("avg_similarity", F.when(F.col("scored") > 0, F.col("total") / F.col("scored"))).drop("total", "scored")
 
 
 def _timed(runs: DataFrame, fps: float) -> DataFrame:

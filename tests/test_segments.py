@@ -86,3 +86,11 @@ def test_reconcile_and_empty_tables(spark):
     assert [(r.label, r.diff_ms) for r in S.reconcile(seg, claimed).collect()] == [("B", -7.0)]
     none = labels(spark, [])
     assert S.label_runs(none, K, 30.0, 0.0, 0.0).count() == 0 and S.unsegmented(none, seg, K).count() == 0
+
+
+def test_chunks_make_the_same_runs(spark):
+    df = labels(spark, [(0, 29, "A"), (31, 40, "B"), (60, 75, "B"), (76, 90, "A")])
+    whole = sorted(map(tuple, S.islands(df, K, 10).select("first_frame", "last_frame", "label", "n").collect()))
+    for size in (1, 7, 30):
+        assert sorted(map(tuple, S.islands(df, K, 10, chunk_frames=size).select("first_frame", "last_frame", "label", "n").collect())) == whole
+    assert whole == [(0, 29, "A", 30), (31, 40, "B", 10), (60, 75, "B", 16), (76, 90, "A", 15)]
