@@ -17,6 +17,7 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import heapq
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -27,6 +28,8 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -37,39 +40,85 @@ LENGTH = 2048
 END_ID = 1
 GROUP = 1024
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-_WORDS_KEPT = 700_000
+_WORDS_KEPT = 400_000
+
+
+class _Merges:
+    """The merges of a tokenizer file for many plain units at once: a unit is its UTF-8 bytes and a byte 1, which stands
+    for the end of a word, as in the file's tokens; ids are in the order of the merges."""
+
+    END = "\x01"
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}  # bytes that stand for themselves
+        rest = (chr(0x100 + k) for k in range(256))
+        byte_of = {chr(b) if b in plain else next(rest): b for b in range(256)}
+        ranks = {}
+        self._ends = np.zeros(max(vocab.values()) + 1, bool)
+        for token, i in vocab.items():
+            if set(token.removesuffix("</w>")) <= byte_of.keys() and (token == "</w>" or not token.startswith("<|")):
+                own = token.removesuffix("</w>")
+                ranks[bytes(byte_of[c] for c in own) + (b"\x01" if own != token else b"")] = i
+                self._ends[i] = own != token
+        self._encoding = tiktoken.Encoding("units", pat_str="[^\x01]+\x01", mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, units: list[str]) -> Iterator[bytes]:
+        ids = np.array(self._encoding.encode_ordinary(self.END.join(units) + self.END), "<u4")
+        ends = np.flatnonzero(self._ends[ids]) + 1
+        if len(ends) != len(units):
+            raise ValueError("units with an end mark inside")
+        raw = ids.tobytes()
+        lo = 0
+        for hi in ends.tolist():
+            yield raw[4 * lo : 4 * hi]
+            lo = hi
 
 
 class WordEncoder:
     """Ids of texts by a tokenizer that lower-cases and drops white space, so that words cut at spaces and line ends
-    encode alone. Plain ASCII words are cut further, where that tokenizer cuts them: runs of letters, single digits,
-    runs of other characters. What is not known yet is encoded many words at a time, and kept up to a bound.
+    encode alone. Plain words (Latin letters, no apostrophe) are cut further where that tokenizer cuts them: runs of
+    letters, single digits, runs of other characters; their units are merged in bulk, other words go through the
+    tokenizer. What is not known yet is encoded many words at a time, and kept up to a bound.
     """
 
-    _UNITS = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
-    _ODD = re.compile("[^!-~]|'|<\\|")
+    _UNITS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
+    _ODD = re.compile("[^!-~\xa1-\u012f\u0131-\u024f]|'|<\\|")
 
     def __init__(self, path: str) -> None:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._words: dict[str, bytes] = {}
-        self._units: dict[str, bytes] = {}
+        self._merges = _Merges(path)
+        self._words: dict[str, bytes] = {"": b""}
 
     def _learn(self, words: set[str]) -> None:
-        cut = {w: [w] if self._ODD.search(w) else self._UNITS.findall(w.lower()) for w in words}
-        units = self._units
-        if missing := list({u for us in cut.values() for u in us if u not in units}):
-            for u, e in zip(missing, self._tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                units[u] = np.array(e.ids, "<u4").tobytes()
-        self._words |= {w: b"".join(map(units.__getitem__, us)) for w, us in cut.items()}
+        odd, plain, cut = [], [], []
+        for w in words:
+            (odd if self._ODD.search(w) else plain).append(w)
+        if plain:
+            # one pass of the units' pattern over all words at once: a line feed, which no word holds, ends each
+            units = self._UNITS.findall("\n".join(plain).lower() + "\n")
+            merged = self._merges([u for u in units if u != "\n"])
+            own: list[bytes] = []
+            for u in units:
+                if u == "\n":
+                    cut.append(b"".join(own))
+                    own = []
+                else:
+                    own.append(next(merged))
+            self._words.update(zip(plain, cut, strict=True))
+        if odd:
+            encoded = self._tokenizer.encode_batch_fast(odd, add_special_tokens=False)
+            self._words.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(odd, encoded, strict=True))
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without special ones added."""
         for lo in range(0, len(texts), 64):
             split = [t.replace("\n", " ").split(" ") for t in texts[lo : lo + 64]]
-            if len(self._words) > _WORDS_KEPT or len(self._units) > _WORDS_KEPT:
-                self._words, self._units = {}, {}
+            if len(self._words) > _WORDS_KEPT:
+                self._words = {"": b""}
             if missing := set().union(*split).difference(self._words):
                 self._learn(missing)
             for words in split:
