@@ -35,7 +35,7 @@ def presence_coverage(spark, sf_dir):
 @query(f"""WITH {X.OBS}, m AS (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER w <= {X.GAP} THEN 0 ELSE 1 END AS new FROM obs WINDOW w AS (PARTITION BY track_id ORDER BY frame_idx)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY track_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS run FROM m),
 g AS (SELECT track_id, run, arg_min(label, frame_idx) AS label, min(frame_idx) AS f0, max(frame_idx) AS f1, avg(score) AS s FROM r GROUP BY track_id, run)
-SELECT track_id, run - 1 AS subtrack_id, label, round(f0 * 60000.0, 3) AS start_ms, round((f1 + 1) * 60000.0, 3) AS end_ms, round((f1 - f0 + 1) * 60000.0, 3) AS duration_ms, f1 - f0 + 1 AS frames, round(s, 6) AS avg_similarity FROM g""")
+SELECT track_id, run - 1 AS subtrack_id, label, round(f0 * 60000.0::DOUBLE, 3) AS start_ms, round((f1 + 1) * 60000.0::DOUBLE, 3) AS end_ms, round((f1 - f0 + 1) * 60000.0::DOUBLE, 3) AS duration_ms, f1 - f0 + 1 AS frames, round(s, 6) AS avg_similarity FROM g""")
 def legacy_frame_segments(spark, sf_dir):
     return _out(S.frame_runs(X.obs(spark, sf_dir), _K, X.SLOW, X.GAP))
 
@@ -54,7 +54,7 @@ def subtracks_from_runs(spark, sf_dir):
     return rounded(X.runs(spark, sf_dir), 6, "avg_similarity")
 
 
-@query(f"""WITH {X.RUNS} SELECT track_id, subtrack_id, label, round(start_frame * 60000.0, 3) AS start_ms, round((end_frame + 1) * 60000.0, 3) AS end_ms, round((end_frame - start_frame + 1) * 60000.0, 3) AS duration_ms,
+@query(f"""WITH {X.RUNS} SELECT track_id, subtrack_id, label, round(start_frame * 60000.0::DOUBLE, 3) AS start_ms, round((end_frame + 1) * 60000.0::DOUBLE, 3) AS end_ms, round((end_frame - start_frame + 1) * 60000.0::DOUBLE, 3) AS duration_ms,
 end_frame - start_frame + 1 AS frames, round(avg_similarity, 6) AS avg_similarity FROM runs WHERE end_frame - start_frame + 1 >= 2""")
 def subtrack_segments(spark, sf_dir):
     return _out(S.subtrack_segments(X.runs(spark, sf_dir), _K, X.SLOW, 120000.0))
@@ -102,7 +102,7 @@ def coverage_merge(spark, sf_dir):
     return _out(S.merge_with_fallback(X.segments(spark, sf_dir), X.segments(spark, sf_dir, X.SLOW, 1), eligible, _K))
 
 
-@query(f"""WITH {X.SEG}, own AS (SELECT label, sum(duration_ms) AS segments_ms FROM seg GROUP BY label), c AS (SELECT label, count(*) * 120000.0 AS claimed_ms FROM seg GROUP BY label)
+@query(f"""WITH {X.SEG}, own AS (SELECT label, sum(duration_ms) AS segments_ms FROM seg GROUP BY label), c AS (SELECT label, count(*) * 120000.0::DOUBLE AS claimed_ms FROM seg GROUP BY label)
 SELECT label, round(coalesce(segments_ms, 0), 3) AS segments_ms, round(coalesce(claimed_ms, 0), 3) AS claimed_ms, round(coalesce(segments_ms, 0) - coalesce(claimed_ms, 0), 3) AS diff_ms
 FROM own FULL JOIN c USING (label) WHERE abs(coalesce(segments_ms, 0) - coalesce(claimed_ms, 0)) > 1""")
 def totals_reconcile(spark, sf_dir):

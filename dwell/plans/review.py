@@ -48,7 +48,7 @@ def modal_ids(spark, sf_dir):
 
 
 @query(f"""WITH {X.DET} SELECT track_id, min(frame_idx) AS start_frame, max(frame_idx) AS end_frame, max(frame_idx) - min(frame_idx) + 1 AS duration_frames, round(avg(score), 6) AS avg_score, round(avg((x2 - x1) * (y2 - y1)), 4) AS avg_area,
-min(frame_idx) * 40.0 AS first_ts, max(frame_idx) * 40.0 AS last_ts FROM det WHERE kind = 'person' GROUP BY track_id""")
+min(frame_idx) * 40.0::DOUBLE AS first_ts, max(frame_idx) * 40.0::DOUBLE AS last_ts FROM det WHERE kind = 'person' GROUP BY track_id""")
 def track_stats(spark, sf_dir):
     from dwell.functions import geometry as G
 
