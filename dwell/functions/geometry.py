@@ -70,13 +70,13 @@ def orientation(landmarks: Column) -> Column:
     """struct(orientation, frontalness) from five points: eyes, nose, mouth corners; ("unknown", 0.4) without them.
 
     The nose's distances from the eyes are compared: the more alike, the more frontal; a face seen from the side
-    counts half.
+    counts half. The skew is compared rounded to 9 digits, so that a face on the threshold is frontal whatever its last bit.
     """
     left, right, nose = (F.get(landmarks, F.lit(k)) for k in range(3))
     span = F.greatest(F.abs(right.x - left.x), F.lit(1e-6))
     skew = F.abs((nose.x - left.x) - (right.x - nose.x)) / span
     front = clamp(1 - skew)
-    side = skew > 0.5
+    side = F.round(skew, 9) > 0.5
     found = F.struct(F.when(side, "profile").otherwise("frontal").alias("orientation"), F.when(side, front * 0.5).otherwise(front).alias("frontalness"))
     return F.when(F.coalesce(F.size(landmarks) >= 5, F.lit(False)), found).otherwise(F.struct(F.lit("unknown").alias("orientation"), F.lit(0.4).alias("frontalness")))
 

@@ -61,9 +61,7 @@ def orientation(spark, sf_dir):
     w = b.x2 - b.x1
     points = F.array(at(b.x1 + w * 0.3, b.y1), at(b.x1 + w * 0.7, b.y1), at(b.x1 + w * (F.lit(0.3) + F.col("score") / 2), b.y1), at(b.x1, b.y2), at(b.x2, b.y2))
     f = X.detections(spark, sf_dir).where("kind = 'face'").withColumn("points", points)
-    p = lambda k: F.get("points", F.lit(k)).x
-    skew = F.abs((p(2) - p(0)) - (p(1) - p(2))) / (p(1) - p(0))
-    out = f.where(F.abs(skew - 0.5) > 1e-6).select("frame_idx", "det_idx", G.orientation(F.col("points")).alias("o")).select("frame_idx", "det_idx", "o.*")
+    out = f.select("frame_idx", "det_idx", G.orientation(F.col("points")).alias("o")).select("frame_idx", "det_idx", "o.*")
     return rounded(out, 6, "frontalness")
 
 

@@ -49,6 +49,15 @@ def test_orientation(spark):
     assert value(spark, G.frontalness(points(5))) == 1.0 and value(spark, G.frontalness(F.array().cast("array<struct<x:float,y:float>>"))) is None
 
 
+def test_orientation_keeps_faces_on_the_threshold(spark, sf):
+    from dwell.plans import boxes, fixtures
+
+    assert boxes.orientation(spark, sf).count() == fixtures.faces(spark, sf).count()
+    # skew is (2 * nose - 10) / 10
+    near = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(0.0).alias("y")) for x in (0, 10, 7.5 + 1e-12, 2, 8)))
+    assert value(spark, G.orientation(near)).orientation == "frontal"
+
+
 def test_greedy_match_takes_the_best_then_the_first(spark):
     f = faces(spark, [(0, 1, (90.0, 90.0, 120.0, 120.0), 0.9)])
     t = tracks(spark, [(0, 1, 1, (0.0, 0.0, 80.0, 80.0)), (0, 2, 2, (40.0, 40.0, 160.0, 160.0)), (0, 3, 3, (40.0, 40.0, 160.0, 160.0)), (1, 4, 9, (90.0, 90.0, 120.0, 120.0))])
