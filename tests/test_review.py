@@ -57,6 +57,15 @@ def test_clusters(spark):
     assert [(r.track_id, r.kept) for r in R.cluster_inputs(s, 50.0, 0.05, 1).collect()] == [(1, 1)]
 
 
+def test_cluster_queries_see_every_line(spark, sf):
+    from dwell.plans import review
+
+    pairs = {(r.l_suppkey, r.l_orderkey) for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_orderkey").collect()}
+    assert {tuple(r) for r in review.cluster_move(spark, sf).collect()} == {p for p in pairs if p[1] != 42} | {(3, 42)}
+    again = review.cluster_reindex(spark, sf).collect()
+    assert {(r.cluster_id, r.track_id) for r in again} == pairs and len(again) == len(pairs)
+
+
 def test_validation_and_exit_status(spark):
     samples = spark.createDataFrame([(1, "a", True, 0.5), (1, "b", False, 0.6)], "track_id long, path string, picked boolean, quality double")
     images = spark.createDataFrame([(1, "a"), (2, "z")], "track_id long, path string")
