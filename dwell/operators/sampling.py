@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Rows of a label that are made Python values at a time.
+_STEP = 64
 
 
 def _order(ties: list[str]) -> list:
@@ -151,18 +158,54 @@ def select_samples(candidates: DataFrame, keys: list[str], limit: int, ties: lis
     return pool.select(*columns).groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", picked boolean, reason string")
 
 
-def top_distinct(candidates: DataFrame, keys: list[str], feature: str, most: int, apart: float, ties: list[str]) -> DataFrame:
-    """Top ``most`` of each label in order of quality, leaving out what lies nearer than ``apart`` (mean absolute
-    difference of feature vectors) to one taken before."""
-    pool = F.array_sort(F.collect_list(F.struct((-F.col("quality")).alias("neg"), *ties, F.col(feature).alias("v"))))
-    rows = candidates.groupBy(*keys).agg(pool.alias("pool"))
-    kind = rows.schema["pool"].dataType.simpleString()
+def _far(a: list | None, b: list | None, apart: float) -> bool:
+    """Whether two feature vectors lie at least ``apart`` from each other; vectors without a distance don't."""
+    if not a or not b or len(a) != len(b) or None in a or None in b:
+        return False
+    return not sum(abs(x - y) for x, y in zip(a, b, strict=True)) / len(a) < apart
 
-    def far(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, d: s + d) / F.size(a) >= apart
 
-    def take(out, x):
-        return F.when((F.size(out) < most) & F.forall(out, lambda y: far(y.v, x.v)), F.array_append(out, x)).otherwise(out)
+def top_distinct(candidates: DataFrame, keys: list[str], feature: str, most: int, apart: float, ties: list[str]) -> DataFrame:
+    """Top ``most`` of each label in order of quality, leaving out what lies nearer than ``apart`` (mean absolute
+    difference of feature vectors) to one taken before.
 
-    kept = rows.select(*keys, F.posexplode(F.aggregate("pool", F.array().cast(kind), take)).alias("pos", "x"))
-    return kept.select(*keys, (F.col("pos") + 1).alias("rank"), *(F.col(f"x.{t}").alias(t) for t in ties), (-F.col("x.neg")).alias("quality"))
+    A fold over sorted rows: all candidates are walked until the top is full, and only those taken are kept.
+    """
+    rows = candidates.select(*keys, (-F.col("quality")).alias("neg"), *ties, F.col(feature).alias("v"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    columns = [*keys, "rank", *ties, "neg"]
+    kinds["rank"] = "int"
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "neg", *ties, "v")
+    n_keys = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label: tuple | None = None
+        taken: list[list | None] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            new[0] = True
+            for k in range(n_keys):
+                code = pc.dictionary_encode(batch.column(k), null_encoding="encode").indices.to_numpy()
+                new[1:] |= code[1:] != code[:-1]
+            starts = [*np.flatnonzero(new).tolist(), batch.num_rows]
+            picked: list[int] = []
+            ranks: list[int] = []
+            for lo, hi in pairwise(starts):
+                here = tuple(batch.column(k)[lo].as_py() for k in range(n_keys))
+                if here != label:
+                    label, taken = here, []
+                while lo < hi and len(taken) < most:
+                    for i, v in enumerate(batch.column(batch.num_columns - 1).slice(lo, min(_STEP, hi - lo)).to_pylist(), lo):
+                        if len(taken) < most and all(_far(t, v, apart) for t in taken):
+                            taken.append(v)
+                            picked.append(i)
+                            ranks.append(len(taken))
+                    lo += _STEP
+            out = batch.take(pa.array(picked, pa.int64()))
+            own = [out.column(k) for k in range(n_keys)] + [pa.array(ranks, pa.int32())] + [out.column(k) for k in range(n_keys + 1, batch.num_columns - 1)] + [out.column(n_keys)]
+            yield pa.RecordBatch.from_arrays(own, names=columns)
+
+    kept = ordered.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
+    return kept.select(*keys, "rank", *ties, (-F.col("neg")).alias("quality"))

@@ -59,5 +59,4 @@ def full_sample_selection(spark, sf_dir):
 @query()
 def seed_topn_dedup(spark, sf_dir):
     c = X.candidates(spark, sf_dir).withColumn("feature", F.array("sharpness", F.col("frontalness") * 10, F.col("area_frac") * 1000))
-    pool = P.candidate_pool(c, _K, 100, X.TIES).where("reason is null")
-    return rounded(P.top_distinct(pool, _K, "feature", 10, 5.0, ["frame_idx", *X.TIES]).select("track_id", "rank", "frame_idx", "l_linenumber", "l_partkey", "quality"), 6, "quality")
+    return rounded(P.top_distinct(c, _K, "feature", 10, 5.0, ["frame_idx", *X.TIES]).select("track_id", "rank", "frame_idx", "l_linenumber", "l_partkey", "quality"), 6, "quality")

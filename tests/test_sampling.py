@@ -63,3 +63,21 @@ def test_selection_in_groups(spark):
 def test_distinct_top(spark):
     c = spark.createDataFrame([("A", 0.9, [0.0, 0.0], 1), ("A", 0.8, [0.1, 0.1], 2), ("A", 0.7, [9.0, 9.0], 3)], "label string, quality double, v array<double>, tie long")
     assert [r.tie for r in P.top_distinct(c, ["label"], "v", 5, 1.0, ["tie"]).orderBy("rank").collect()] == [1, 3]
+
+
+def test_distinct_top_walks_all_candidates(spark, sf):
+    # copies fill the first places of a hot track; what is distinct comes after them, over several batches
+    rows = [("A", 0.9, [0.0, 0.0], k) for k in range(25_000)] + [("A", 0.5 - k / 100, [10.0 * (k + 1), 0.0], k) for k in range(3)] + [("B", 0.1, [0.0, 0.0], 0), (None, 0.1, None, 0)]
+    c = spark.createDataFrame(rows, "label string, quality double, v array<double>, tie long")
+    got = P.top_distinct(c, ["label"], "v", 3, 1.0, ["tie"]).collect()
+    assert sorted((r.label or "", r.rank, r.tie, r.quality) for r in got) == [("", 1, 0, 0.1), ("A", 1, 0, 0.9), ("A", 2, 0, 0.5), ("A", 3, 1, 0.49), ("B", 1, 0, 0.1)]
+
+    from dwell.plans import fixtures, sampling
+
+    tracks = {}
+    for r in sorted(fixtures.candidates(spark, sf).collect(), key=lambda r: (-r.quality, r.frame_idx, *(r[t] for t in fixtures.TIES))):
+        v, kept = (r.sharpness, r.frontalness * 10, r.area_frac * 1000), tracks.setdefault(r.track_id, [])
+        if len(kept) < 10 and all(sum(abs(x - y) for x, y in zip(v, w, strict=True)) / 3 >= 5.0 for w, _ in kept):
+            kept.append((v, (r.frame_idx, r.l_linenumber, r.l_partkey)))
+    want = {(t, k, *of) for t, kept in tracks.items() for k, (_, of) in enumerate(kept, 1)}
+    assert {(r.track_id, r.rank, r.frame_idx, r.l_linenumber, r.l_partkey) for r in sampling.seed_topn_dedup(spark, sf).collect()} == want
