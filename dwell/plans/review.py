@@ -21,9 +21,10 @@ _STATUS = "track_id, cluster_id, duration_frames, n_samples, picked, rejected, a
 
 
 def _summary(spark, sf_dir):
-    manifest = table(spark, sf_dir, "supplier").where("s_suppkey % 7 <> 0").select(F.col("s_suppkey").alias("track_id"), F.col("s_nationkey").alias("cluster_id"), (F.bround("s_acctbal", 0).cast("long") % 100).alias("duration_frames"))
-    assigned = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").groupBy((F.col("o_custkey") % 100).alias("track_id")).agg(F.count(F.lit(1)).alias("assigned"))
-    return R.track_summary(manifest, R.sample_summary(X.ranked(spark, sf_dir).where("track_id % 5 <> 0"), _K), assigned, _K)
+    """A manifest of customers with the samples of suppliers: most customers have no samples, as their keys go further."""
+    manifest = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("track_id"), F.col("c_nationkey").alias("cluster_id"), (F.bround("c_acctbal", 0).cast("long") % 100).alias("duration_frames"))
+    assigned = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("track_id")).agg(F.count(F.lit(1)).alias("assigned"))
+    return R.track_summary(manifest, R.sample_summary(X.ranked(spark, sf_dir), _K), assigned, _K)
 
 
 @query(f"WITH {_SUM} SELECT {_STATUS} FROM st")
@@ -58,7 +59,7 @@ def track_stats(spark, sf_dir):
 
 def _log(spark, sf_dir):
     """An assignment log: an order is an entry, its lines are files."""
-    src = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", F.concat(F.lit("s"), (F.col("l_partkey") % 40).cast("string")).alias("source"), F.concat(F.lit("d"), F.col("l_suppkey").cast("string")).alias("dest")).alias("f"))
+    src = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", F.concat(F.lit("s"), (F.col("l_partkey") % 40).cast("string")).alias("source"), F.concat(F.lit("d"), F.col("l_suppkey").cast("string")).alias("dest")).alias("f"))
     files = src.groupBy("o_orderkey").agg(F.transform(F.array_sort(F.collect_set("f")), lambda f: F.struct(f.source.alias("source"), f.dest.alias("dest"))).alias("files"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("track_id"), F.col("o_orderpriority").alias("person"))
     return o.join(files, "o_orderkey", "left").select("track_id", "person", F.col("o_orderkey").alias("when"), "files")
@@ -108,10 +109,11 @@ def already_assigned(spark, sf_dir):
 
 
 def _files(spark, sf_dir):
+    """All samples, by supplier, and an image for each order, by customer: few of their paths are the same."""
     p = lambda c: F.concat(F.lit("track_"), F.col("track_id").cast("string"), F.lit("/f"), c.cast("string"))
-    samples = X.ranked(spark, sf_dir).where("rank <= 40").withColumn("path", p(F.col("frame_idx")))
-    images = X.candidates(spark, sf_dir).where("frame_idx % 3 <> 0").select("track_id", p(F.col("frame_idx")).alias("path")).distinct()
-    return samples, images
+    samples = X.ranked(spark, sf_dir).withColumn("path", p(F.col("frame_idx")))
+    images = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("track_id"), F.col("o_orderkey").alias("frame_idx"))
+    return samples, images.select("track_id", p(F.col("frame_idx")).alias("path")).distinct()
 
 
 _FILES = f"""{X.RANKED}, sp AS (SELECT *, 'track_' || track_id || '/f' || frame_idx AS path FROM ranked WHERE rank <= 40),

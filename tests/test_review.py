@@ -66,6 +66,30 @@ def test_cluster_queries_see_every_line(spark, sf):
     assert {(r.cluster_id, r.track_id) for r in again} == pairs and len(again) == len(pairs)
 
 
+def test_review_queries_see_whole_tables(spark, sf):
+    from dwell.plans import review
+
+    read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet").collect()
+    lines, orders, customers = read("lineitem"), read("orders"), read("customer")
+    track = {o.o_orderkey: o.o_custkey % 50 for o in orders}
+    dests = {}
+    for r in lines:
+        dests.setdefault(track[r.l_orderkey], set()).add(r.l_suppkey)
+    assert {r.track_id: r.n_dest for r in review.assignment_index(spark, sf).collect() if r.n_dest > 0} == {t: len(d) for t, d in dests.items()}
+
+    got = review.track_summary(spark, sf).collect()
+    assert sum(r.n_samples for r in got) == len(lines) and {r.track_id for r in got} >= {c.c_custkey for c in customers}
+    assert sum(r.assigned for r in got) == sum(o.o_orderstatus == "P" for o in orders)
+    assert review.review_queue(spark, sf).count() == len(got) and any(r.n_samples == 0 for r in got)
+
+    samples = [f"track_{r.l_suppkey}/f{r.l_orderkey}" for r in lines]
+    images = {f"track_{o.o_custkey}/f{o.o_orderkey}" for o in orders}
+    checked = review.validation_summary(spark, sf).collect()
+    assert sum(r.n_samples for r in checked) == len(lines) and sum(r.extra for r in checked) == len(images - set(samples))
+    assert sum(r.missing for r in checked) == sum(p not in images for p in samples)
+    assert {tuple(r) for r in review.missing_vs_disk(spark, sf).collect()} == {(p, "left") for p in set(samples) - images} | {(p, "right") for p in images - set(samples)}
+
+
 def test_validation_and_exit_status(spark):
     samples = spark.createDataFrame([(1, "a", True, 0.5), (1, "b", False, 0.6)], "track_id long, path string, picked boolean, quality double")
     images = spark.createDataFrame([(1, "a"), (2, "z")], "track_id long, path string")
