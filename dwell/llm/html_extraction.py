@@ -6,6 +6,10 @@ that are no article by their element or class (navigation, footers, adverts, for
 In the second pass undecided blocks take the label of the nearest decided blocks of the same part; when these
 disagree or there are none, the part decides: an ``article`` or ``main`` keeps its blocks, the rest of a page doesn't.
 
+A class or id of surroundings is a weaker sign than an ``article`` or ``main`` that holds most of the text: such a
+one, or several together on a page that has no other, are read although a class around them says no (``_released``).
+Where most long text with few links has no stop words, its language is not known and link density alone decides.
+
 White space within a block, line break elements included, becomes one space; blocks are joined by a line feed in
 page order. Null and empty pages have an empty text; rows with null ids or urls are extracted like others; repeated
 rows get equal results; an empty table gives an empty result; extra columns are ignored, whatever their names.
@@ -25,6 +29,7 @@ from dwell.llm.shared import table
 
 SHORT = 70
 LINKS_BAD = 0.5
+LINKS_LOW = 0.2
 STOPS_GOOD, STOPS_SOME = 0.30, 0.15
 
 #: Frequent function words of the languages read; a word of any of them counts.
@@ -57,6 +62,8 @@ _CLASSES = re.compile(
     r"sign-?up|login|pop-?up|modal|overlay|widget|pagination|pager|copyright|toolbar)(?:$|[\s_-])",
     re.I,
 )
+#: Names that tell of a page's layout, not of the element: has-sidebar, no-footer ...
+_LAYOUT = re.compile(r"(?<!\S)(?:has|no|with|without|layout)[-_]\S*", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -73,27 +80,44 @@ class Block:
     text: list[str] = field(default_factory=list)
     linked: int = 0
     content: bool = False  # within an article or main element
-    out: bool = False  # within a part that is no article
+    out: bool = False  # within a part that is no article by its element, role or style
+    named: int = 0  # the innermost element around it whose class or id is of surroundings
+    held: int = 0  # the outermost article or main within that element
+
+
+@dataclass(frozen=True)
+class _Place:
+    """Where an open element is: the same as in Block."""
 
+    content: bool = False
+    out: bool = False
+    named: int = 0
+    held: int = 0
 
-def _outside(name: str, attrs: str, in_content: bool) -> bool:
+
+def _outside(name: str, attrs: str, in_content: bool) -> str:
+    """"out" by element, role or style, "named" by class or id, else nothing."""
     if name in _OUT or name == "header" and not in_content:
-        return True
+        return "out"
     if not attrs or name in ("html", "body", "main", "article"):
-        return False
+        return ""
+    named = ""
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
-            return True
-        if key == "role" and value.lower() in _ROLES or key in ("class", "id") and _CLASSES.search(value):
-            return True
-    return False
+            return "out"
+        if key == "role" and value.lower() in _ROLES:
+            return "out"
+        if key in ("class", "id") and _CLASSES.search(_LAYOUT.sub(" ", value)):
+            named = "named"
+    return named
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # name, outside, content, part
-    parts = 0
+    stack: list[tuple[str, _Place, int]] = []  # name, place, part
+    top = ("", _Place(), 0)
+    parts = elements = 0
     links = 0
     now: Block | None = None
     at = 0
@@ -111,8 +135,8 @@ def blocks(page: str) -> list[Block]:
         if now is None:
             if text.isspace():
                 return
-            _, outside, content, part = stack[-1] if stack else ("", False, False, 0)
-            now = Block(part, content=content, out=outside)
+            _, place, part = stack[-1] if stack else top
+            now = Block(part, content=place.content, out=place.out, named=place.named, held=place.held)
         now.text.append(text)
         if links:
             now.linked += len(text.strip())
@@ -160,36 +184,86 @@ def blocks(page: str) -> list[Block]:
         ends = _CLOSES.get(name) or ({"p"} if name in _P_ENDS else ())
         while stack and stack[-1][0] in ends:
             stack.pop()
-        _, outside, content, part = stack[-1] if stack else ("", False, False, 0)
-        leaves = outside or _outside(name, m["attrs"], content)
-        enters = (content or name in ("article", "main")) and not leaves
-        if name == "article" and not leaves or enters != content or leaves != outside:
+        _, place, part = stack[-1] if stack else top
+        elements += 1
+        sign = _outside(name, m["attrs"], place.content)
+        main = name in ("article", "main")
+        out_ = place.out or sign == "out"
+        named, held = (elements, 0) if sign == "named" else (place.named, place.held)
+        if main and named and not held:
+            held = elements
+        # what is in an element of surroundings is no content, but for what its articles hold
+        content = not out_ and (held > 0 if named else place.content or main)
+        here = _Place(content, out_, named, held)
+        if name == "article" and not out_ or here != place:
             parts += 1
             part = parts
-        stack.append((name, leaves, enters, part))
+        stack.append((name, here, part))
     cut()
     return out
 
 
-def judge(text: str, block: Block) -> bool | None:
+def _released(found: list[tuple[Block, str]]) -> set[int]:
+    """Elements of surroundings whose articles are read: an article or main holds most of the text of the page that is
+    not in other surroundings, or all of the element's together do and the page has no other."""
+    own: dict[int, list] = {}  # text, and that of each article
+    plain, article = 0, False
+    for b, t in found:
+        if b.out:
+            continue
+        if not b.named:
+            plain += len(t)
+            article = article or b.content
+            continue
+        of = own.setdefault(b.named, [0, {}])
+        of[0] += len(t)
+        if b.held:
+            of[1][b.held] = of[1].get(b.held, 0) + len(t)
+    free = set()
+    for k in sorted(own):  # outer elements first: what they let go is the page's own text for inner ones
+        total, held = own[k]
+        most = max(held.values(), default=0) if article else sum(held.values())
+        if 2 * most > plain + total:
+            free.add(k)
+            plain += sum(held.values())
+            article = True
+    return free
+
+
+def judge(text: str, block: Block, free: set[int] | frozenset[int] = frozenset()) -> bool | None:
     """True: good. False: bad. None: undecided."""
-    if block.out:
+    if block.out or block.named and not (block.held and block.named in free):
         return False
     if block.linked > LINKS_BAD * len(text):
         return False
     if len(text) < SHORT:
         return None
-    words = text.lower().split()
-    stops = sum(w.strip(".,;:!?\"'()[]*#$%&|") in STOP_WORDS for w in words) / len(words)
+    stops = _stops(text)
     if stops >= STOPS_GOOD:
         return True
-    # without stop words it may be a list, or a language whose words aren't known: an article's own rules decide
-    return None if stops >= STOPS_SOME or block.content else False
+    # without stop words it may be a language whose words aren't known; few words over and over are a list
+    return None if stops >= STOPS_SOME or block.content or not _repeats(text) else False
+
+
+def _repeats(text: str) -> bool:
+    words = text.lower().split()
+    return 2 * len(set(words)) < len(words) ** 0.8  # distinct words grow slower than the text
+
+
+def _stops(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()[]*#$%&|") in STOP_WORDS for w in words) / len(words)
 
 
 def extract(page: str | None) -> str:
     found = [(b, t) for b in blocks(page or "") if (t := " ".join("".join(b.text).split()))]
-    first = [judge(t, b) for b, t in found]
+    free = _released(found)
+    first = [judge(t, b, free) for b, t in found]
+    # long text without stop words outside articles: where it is more than the good text, density decides
+    strange = [k for k, (b, t) in enumerate(found) if first[k] is None and not b.content and len(t) >= SHORT and _stops(t) < STOPS_SOME]
+    if sum(len(found[k][1]) for k in strange) > sum(len(t) for (_, t), good in zip(found, first, strict=True) if good):
+        for k in strange:
+            first[k] = found[k][0].linked <= LINKS_LOW * len(found[k][1])
     label = list(first)
     lo = 0
     while lo < len(found):

@@ -74,6 +74,27 @@ def test_pages_without_an_article_go_by_their_blocks():
     assert extract(p) == f"{LONG}\nA short one\n{LONG}\nLast"
 
 
+def test_articles_under_marked_ancestors():
+    text = "This is the text of the article and it is about the way that the people of the town were able to do more with less."
+    assert extract(f'<div class="wrapper has-sidebar"><p>{text}</p></div>') == text
+    for around in ('class="wrapper has-sidebar"', 'id="page-widget"'):
+        assert extract(f"<div {around}><article><p>{text}</p></article><div class='related'>{text}</div></div>") == text
+    assert extract(f'<div id="page-widget"><article>{text}</article><article>{text}</article></div>') == f"{text}\n{text}"
+    # comments stay out, however long; so do parts that are out by their element
+    comments = f'<div class="comments"><article>{text}</article><article>{text}</article></div>'
+    assert extract(f"<article>{text}</article>{comments}") == text
+    assert extract(f'<div id="page-widget"><main>{text}</main>{comments}</div>') == text
+    assert extract(f'<div class="sidebar"><p>{text}</p></div>') == "" and extract(f"<aside><article>{text}</article></aside>") == ""
+
+
+def test_pages_in_other_languages_go_by_density():
+    text = "Tämä on pitkä suomenkielinen kappale, jossa kerrotaan metsien hoidosta, järvien tilasta ja talvisten teiden kunnosta."
+    assert extract(f"<body><p>{text}</p><p>Lyhyt.</p><p>{text}</p></body>") == f"{text}\nLyhyt.\n{text}"
+    assert extract(f"<body><p><a href='/'>{text}</a></p><p>{text}</p></body>") == text
+    known = "This is the text of the article and it is about the way that the people of the town were able to do more with less."
+    assert extract(f"<body><p>{known}</p><p>{text}</p><p>{known}</p></body>") == f"{known}\n{text}\n{known}"
+
+
 def test_pages_as_they_are(spark):
     for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
         art = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
