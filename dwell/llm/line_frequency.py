@@ -6,7 +6,7 @@ bits. For each host (column ``source``) the distinct documents of a line are cou
 ``min_words`` words, or less than ``min_share`` of its words, are left.
 
 A null host is a host of its own; null and empty texts have no lines and are depleted; rows with null ids count for
-their host each as one document, repeated rows of an id as one. Words are runs of bytes other than ASCII white
+their host each as one document, repeated rows of an id as one with the lines of all of them. Words are runs of bytes other than ASCII white
 space. Extra columns are ignored, whatever their names.
 """
 
@@ -105,11 +105,14 @@ def line_rules(
 ) -> DataFrame:
     """Every row with its base counts, the words in removed lines and the verdict ``depleted``."""
     rows = settle(measured(documents).withColumn("row", F.monotonically_increasing_id()), "lines")
-    # repeated rows of an id count once for its host
-    own = rows.groupBy("host", "doc_id").agg(F.min("row").alias("row")).where(F.col("doc_id").isNotNull())
-    several = own.count() != rows.where(F.col("doc_id").isNotNull()).count()
-    counted = rows.where(F.col("doc_id").isNull()).unionByName(rows.join(own.select("row"), "row", "left_semi")) if several else rows
-    lines = counted.select("host", F.explode("codes").alias("code"))
+    # a line of several rows of an id counts once for its host; only such rows are sent to be told apart
+    again = rows.where(F.col("doc_id").isNotNull()).groupBy(F.col("host").alias("at"), F.col("doc_id").alias("id")).count().where("count > 1")
+    again = settle(again.select("at", "id"), "again")
+    lines = rows.select("host", F.explode("codes").alias("code"))
+    if not again.isEmpty():
+        same = F.col("host").eqNullSafe(F.col("at")) & (F.col("doc_id") == F.col("id"))
+        once = rows.join(again, same, "left_semi").select("host", "doc_id", F.explode("codes").alias("code")).distinct()
+        lines = rows.join(again, same, "left_anti").select("host", F.explode("codes").alias("code")).unionByName(once.select("host", "code"))
     frequent = settle(frequent_lines(lines, max_documents), "frequent")
     each = rows.select("row", "host", F.explode(F.arrays_zip(F.col("codes").alias("code"), F.col("words").alias("words"))).alias("line")).select(
         "row", F.col("host").alias("of"), F.col("line.code").alias("is"), F.col("line.words").alias("words")

@@ -164,3 +164,12 @@ def test_hosts_with_a_common_line_count_documents_once(spark):
     got = L.line_rules(d, max_documents=39).collect()
     assert all(r.removed_words == 6 for r in got)
     assert all(r.removed_words == 0 for r in L.line_rules(d, max_documents=40).collect())
+
+
+def test_lines_of_all_rows_of_an_id_count(spark):
+    rows = [(k, "a", "own line") for k in range(3)] + [(k, "a", "the line\nthe line") for k in range(3)] + [(0, "a", "The Line")]
+    got = L.line_rules(spark.createDataFrame(rows, "doc_id long, source string, text string"), max_documents=2, min_words=1).collect()
+    assert sorted(r.removed_words for r in got) == [2, 2, 2, 2, 4, 4, 4]
+    # three rows of two ids are two documents
+    got = L.line_rules(spark.createDataFrame(rows[3:5] + rows[6:], "doc_id long, source string, text string"), max_documents=2, min_words=1).collect()
+    assert [r.removed_words for r in got] == [0, 0, 0]
