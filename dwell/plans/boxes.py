@@ -54,7 +54,7 @@ _POINTS = "l AS (SELECT *, x1 + (x2 - x1) * 0.3 AS lx, x1 + (x2 - x1) * 0.7 AS r
 
 @query(f"""WITH {X.DET}, {_POINTS}, s AS (SELECT *, abs((nx - lx) - (rx - nx)) / greatest(abs(rx - lx), 1e-6) AS skew FROM l)
 SELECT frame_idx, det_idx, CASE WHEN round(skew, 9) > 0.5 THEN 'profile' ELSE 'frontal' END AS orientation,
-round(CASE WHEN round(skew, 9) > 0.5 THEN 0.5 ELSE 1 END * greatest(0.0, least(1.0, 1 - skew)), 6) AS frontalness FROM s WHERE abs(skew - 0.5) > 1e-6""")
+round(CASE WHEN round(skew, 9) > 0.5 THEN 0.5 ELSE 1 END * greatest(0.0, least(1.0, 1 - skew)), 6) AS frontalness FROM s""")
 def orientation(spark, sf_dir):
     b = F.col("bbox")
     at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))

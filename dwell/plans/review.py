@@ -11,8 +11,8 @@ from dwell.plans.base import query, rounded, table
 
 _K = ["track_id"]
 _SUM = f"""{X.RANKED}, sm AS (SELECT track_id, count(*) AS n_samples, count(*) FILTER (WHERE picked) AS picked, count(*) FILTER (WHERE NOT picked) AS rejected, avg(quality) AS avg_quality, median(quality) AS median_quality, max(quality) AS max_quality
-  FROM ranked WHERE track_id % 5 <> 0 GROUP BY track_id),
-mf AS (SELECT s_suppkey AS track_id, s_nationkey AS cluster_id, CAST(s_acctbal AS BIGINT) % 100 AS duration_frames FROM supplier WHERE s_suppkey % 7 <> 0), asg AS (SELECT o_custkey % 100 AS track_id, count(*) AS assigned FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL),
+  FROM ranked GROUP BY track_id),
+mf AS (SELECT c_custkey AS track_id, c_nationkey AS cluster_id, CAST(round_even(c_acctbal, 0) AS BIGINT) % 100 AS duration_frames FROM customer), asg AS (SELECT o_custkey AS track_id, count(*) AS assigned FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL),
 ts AS (SELECT track_id, cluster_id, duration_frames, coalesce(n_samples, 0) AS n_samples, coalesce(picked, 0) AS picked, coalesce(rejected, 0) AS rejected, avg_quality, median_quality, max_quality, coalesce(assigned, 0) AS assigned
   FROM (mf FULL JOIN sm USING (track_id)) LEFT JOIN asg USING (track_id)),
 st AS (SELECT *, CASE WHEN assigned = 0 THEN 'Unassigned' WHEN picked > 0 AND assigned >= picked THEN 'Assigned' ELSE 'Partially' END AS status FROM ts)"""
@@ -65,7 +65,7 @@ def _log(spark, sf_dir):
     return o.join(files, "o_orderkey", "left").select("track_id", "person", F.col("o_orderkey").alias("when"), "files")
 
 
-_LOG = """fl AS (SELECT DISTINCT l_orderkey, l_linenumber, 's' || (l_partkey % 40) AS source, 'd' || l_suppkey AS dest FROM lineitem WHERE l_linenumber <= 3),
+_LOG = """fl AS (SELECT DISTINCT l_orderkey, l_linenumber, 's' || (l_partkey % 40) AS source, 'd' || l_suppkey AS dest FROM lineitem),
 fe AS (SELECT l_orderkey, source, dest, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, source, dest) - 1 AS pos FROM fl),
 lg AS (SELECT o_custkey % 50 AS track_id, o_orderpriority AS person, o_orderkey AS t, pos, source, dest FROM orders LEFT JOIN fe ON l_orderkey = o_orderkey)"""
 
@@ -116,8 +116,8 @@ def _files(spark, sf_dir):
     return samples, images.select("track_id", p(F.col("frame_idx")).alias("path")).distinct()
 
 
-_FILES = f"""{X.RANKED}, sp AS (SELECT *, 'track_' || track_id || '/f' || frame_idx AS path FROM ranked WHERE rank <= 40),
-im AS (SELECT DISTINCT track_id, 'track_' || track_id || '/f' || frame_idx AS path FROM cand WHERE frame_idx % 3 <> 0)"""
+_FILES = f"""{X.RANKED}, sp AS (SELECT *, 'track_' || track_id || '/f' || frame_idx AS path FROM ranked),
+im AS (SELECT DISTINCT o_custkey AS track_id, 'track_' || o_custkey || '/f' || o_orderkey AS path FROM orders)"""
 
 
 @query(f"""WITH {_FILES}, o AS (SELECT track_id, count(*) AS n_samples, count(*) FILTER (WHERE picked) AS picked, avg(quality) AS avg_quality FROM sp GROUP BY track_id),
@@ -135,7 +135,7 @@ def missing_vs_disk(spark, sf_dir):
     return R.symmetric_difference(samples.select("path"), images.select("path"))
 
 
-_CL = "cl AS (SELECT DISTINCT l_suppkey % 30 AS cluster_id, l_orderkey % 500 AS track_id FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 11 = l_suppkey % 11)"
+_CL = "cl AS (SELECT DISTINCT l_suppkey AS cluster_id, l_orderkey AS track_id FROM lineitem)"
 
 
 def _clusters(spark, sf_dir):
