@@ -37,7 +37,8 @@ def features(
     """(y, ids, counts) of each chosen document, extracted from whole texts on the executors.
 
     ``chosen`` is bounded by its caller, so that it is broadcast and the result fits the driver: what a document
-    sends is bounded by the number of buckets, whatever its length.
+    sends is bounded by the number of buckets, whatever its length, and of the rows that repeat an id one is taken,
+    that of the least hash of its features.
     """
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
 
@@ -50,5 +51,8 @@ def features(
                 names=["doc_id", "y", "ids", "counts"],
             )
 
-    got = rows.mapInArrow(run, "doc_id long, y int, ids binary, counts binary").toArrow().sort_by([("doc_id", "ascending"), ("ids", "ascending")])
+    each = rows.mapInArrow(run, "doc_id long, y int, ids binary, counts binary")
+    of = F.struct("y", "ids", "counts")
+    one = each.groupBy("doc_id").agg(F.min_by(of, F.struct(F.xxhash64("ids", "counts"), "ids")).alias("of")).select("doc_id", "of.*")
+    got = one.toArrow().sort_by([("doc_id", "ascending")])
     return list(zip(got["y"].to_pylist(), got["ids"].to_pylist(), got["counts"].to_pylist(), strict=True))

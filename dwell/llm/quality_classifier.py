@@ -8,7 +8,9 @@ the scaled indicators by dual coordinate descent.
 Labels are learned from at most ``per_class`` documents of either label (``labelled.sample``); every whole text is
 then scored in Arrow batches with the weights broadcast. Null and empty texts are one document without n-grams and
 get the score of the two extra indicators and the bias. Rows with a null id are scored like any other and are never
-held out; repeated rows get equal scores; extra columns are ignored, whatever their names.
+held out; repeated rows get equal scores; extra columns are ignored, whatever their names. Texts and words of any
+length are read to their end, in time and memory in proportion to the text; an empty table gives an empty result, and
+without labels every score is 0.5.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ BITS = 18
 BUCKETS = 1 << BITS
 PER_CLASS = 3000
 THRESHOLD = 0.3
-_WORDS_KEPT = 400_000
+_WORDS_KEPT, _CHARS_KEPT = 400_000, 20_000_000
 _RUN = re.compile(r"(.)\1+")
 
 
@@ -51,6 +53,7 @@ class _Words(dict):
     def __init__(self) -> None:
         super().__init__()
         self.word, self.shape = np.empty(_WORDS_KEPT, np.uint64), np.empty(_WORDS_KEPT, np.uint64)
+        self.chars = 0
         self._classes = _Classes()
 
     def __missing__(self, w: str) -> int:
@@ -58,20 +61,21 @@ class _Words(dict):
         if k == len(self.word):  # one document may hold more distinct words than are kept
             self.word, self.shape = np.resize(self.word, 2 * k), np.resize(self.shape, 2 * k)
         self.word[k] = xxhash.xxh64_intdigest(w.lower(), 1)
-        self.shape[k] = xxhash.xxh64_intdigest(_RUN.sub(r"\1", w[:64].translate(self._classes)), 2)
+        self.shape[k] = xxhash.xxh64_intdigest(_RUN.sub(r"\1", w.translate(self._classes)), 2)
+        self.chars += len(w)
         self[w] = k
         return k
 
 
 class Grams:
-    """Text to its distinct n-gram buckets; keeps the codes of words seen, up to a bound."""
+    """Text to its distinct n-gram buckets; keeps the codes of words seen, up to a bound of words and of their characters."""
 
     def __init__(self) -> None:
         self._seen = _Words()
         self._last = np.zeros(BUCKETS, np.int64)
 
     def __call__(self, text: str) -> np.ndarray:
-        if len(self._seen) > _WORDS_KEPT // 2:
+        if len(self._seen) > _WORDS_KEPT // 2 or self._seen.chars > _CHARS_KEPT:
             self._seen = _Words()
         words = text.split()
         n = len(words)

@@ -95,3 +95,84 @@ def test_held_out_ids_and_odd_labels_are_no_training_rows(spark):
     assert set(got) == {i for i in range(40) if zlib.crc32(str(i).encode()) % 5} and (1 not in got or got[1] == 0)
     assert sample(y, "quality", Q.held_out, 3).count() == 6
     assert spark.range(1).select(remainder(F.lit(None).cast("long"), 5).alias("v")).first().v is None
+
+
+def plain_grams(text):
+    """Buckets of a text's n-grams, one window at a time."""
+    import xxhash
+
+    odd, full = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93), 1 << 64
+
+    def shape(w):
+        kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in w]
+        return "".join(c for k, c in enumerate(kinds) if not k or c != kinds[k - 1])
+
+    def code(window, salt):
+        x = (salt + len(window)) * odd[3] + sum(c * o for c, o in zip(window, odd, strict=False))
+        x %= full
+        return (x ^ x >> 29) * odd[1] % full
+
+    words = text.split()
+    own = [xxhash.xxh64_intdigest(w.lower(), 1) for w in words]
+    shapes = [xxhash.xxh64_intdigest(shape(w), 2) for w in words]
+    n = len(words)
+    same = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    extra = [1000 + int(10 * same / max(n - 1, 1)), 2000 + min(int(8 * len(set(words)) / max(n, 1) ** 0.8), 16)]
+    codes = [*own, *(code(own[i : i + 2], 10) for i in range(n - 1)), *(code(shapes[i : i + k], 20) for k in (1, 2, 3) for i in range(n - k + 1)), *(code([x], 30) for x in extra)]
+    return {c >> (64 - Q.BITS) for c in codes}
+
+
+def test_whole_words_count():
+    grams = Q.Grams()
+    for a, b in (("x" * 64 + "Q", "x" * 64 + "7"), ("xY" * 100 + "!", "xY" * 100 + "?")):
+        assert set(grams(a).tolist()) == plain_grams(a) and set(grams(b).tolist()) == plain_grams(b)
+        assert set(plain_grams(a)) != set(plain_grams(b))
+        # the shape alone differs too, beyond the word's own bucket
+        assert len(plain_grams(a) ^ plain_grams(b)) >= 4
+
+
+def test_quality_query_agrees_with_a_plain_model(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    known = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    rows = sorted((d, y) for d, y in known.items() if d in texts)
+    sets, y = [plain_grams(texts[d]) for d, _ in rows], [v for _, v in rows]
+    count = [{}, {}]
+    for s, v in zip(sets, y, strict=True):
+        for g in s:
+            count[v][g] = count[v].get(g, 0) + 1
+    total = [Q.BUCKETS + sum(c.values()) for c in count]
+    ratio = lambda g: np.log((count[1].get(g, 0) + 1) / total[1]) - np.log((count[0].get(g, 0) + 1) / total[0])
+    # the same dual problem, its weights in a dictionary
+    x = [{**{g: ratio(g) for g in s}, "bias": 1.0} for s in sets]
+    w, a, order = {}, [0.0] * len(x), np.random.default_rng(7)
+    for _ in range(30):
+        worst = 0.0
+        for i in order.permutation(len(x)):
+            t = 2 * y[i] - 1
+            g = t * sum(w.get(k, 0.0) * v for k, v in x[i].items()) - 1
+            pg = min(g, 0.0) if a[i] == 0 else max(g, 0.0) if a[i] == 1 else g
+            worst = max(worst, abs(pg))
+            if pg:
+                new = min(max(a[i] - g / sum(v * v for v in x[i].values()), 0.0), 1.0)
+                for k, v in x[i].items():
+                    w[k] = w.get(k, 0.0) + (new - a[i]) * t * v
+                a[i] = new
+        if worst < 1e-3:
+            break
+    got = {r.doc_id: r.score for r in Q.op1_quality_nbsvm(spark, sf).collect()}
+    assert set(got) == set(texts)
+    for d, text in texts.items():
+        margin = w.get("bias", 0.0) + sum(w.get(g, 0.0) * ratio(g) for g in plain_grams(text))
+        assert abs(got[d] - 1 / (1 + np.exp(-6 * margin))) < 1e-3
+
+
+@pytest.mark.parametrize(("m", "name"), [(Q, "quality"), (T, "toxic")])
+def test_rows_that_repeat_an_id_are_one_training_row(spark, m, name):
+    d, y = labelled(spark, name)
+    many = d.unionByName(d.where("doc_id < 20").crossJoin(spark.range(50)).drop("id"))
+    extract = (lambda: lambda t: (Q.Grams()(t).tobytes(), b"")) if m is Q else lambda: T.bag
+    from dwell.llm.labelled import features
+
+    chosen = sample(y, name, m.held_out, 1000)
+    assert features(many, chosen, extract) == features(d, chosen, extract)
