@@ -176,3 +176,51 @@ def test_rows_that_repeat_an_id_are_one_training_row(spark, m, name):
 
     chosen = sample(y, name, m.held_out, 1000)
     assert features(many, chosen, extract) == features(d, chosen, extract)
+
+
+def test_gradients_follow_the_loss():
+    rng = np.random.default_rng(5)
+    e, w, b = rng.normal(size=(T.BUCKETS, 3)), rng.normal(size=(3, 2)), rng.normal(size=2)
+    bags = [T.bag(t) for t in ("one two three", "two two four", "five")]
+    bags = [(np.frombuffer(i, np.uint32), np.frombuffer(n, np.float32).astype(float)) for i, n in bags]
+    y, weight = np.array([1, 0, 1]), np.array([0.7, 1.9])
+
+    def loss():
+        total = 0.0
+        for (ids, n), k in zip(bags, y, strict=True):
+            z = (e[ids] * n[:, None]).sum(0) / (n.sum() + T.PADDING) @ w + b
+            total += weight[k] * (np.log(np.exp(z).sum()) - z[k]) / len(y)
+        return total
+
+    def slope(of, at, step=1e-5):
+        keep = of[at]
+        of[at] = keep + step
+        up = loss()
+        of[at] = keep - step
+        down = loss()
+        of[at] = keep
+        return (up - down) / (2 * step)
+
+    touched, ge, gw, gb = T.gradients(e, w, b, bags, y, weight)
+    assert len(touched) == len(set(touched.tolist())) == len(ge)
+    for k in range(0, len(touched), 5):
+        assert ge[k] == pytest.approx([slope(e, (touched[k], d)) for d in range(3)], abs=1e-8)
+    assert gw.ravel() == pytest.approx([slope(w, (i, j)) for i in range(3) for j in range(2)], abs=1e-8)
+    assert gb == pytest.approx([slope(b, j) for j in range(2)], abs=1e-8)
+
+
+def test_long_words_keep_their_own_vector():
+    a, b = "x" * 200 + "yz" + "x" * 200, "x" * 201 + "yz" + "x" * 199
+    assert set(T.subwords(a)) != set(T.subwords(b))  # the same n-grams in the same numbers
+    assert len(T.subwords("w" * 100_000)) == 2 * 100_002 - 5 + 1
+
+
+def test_toxicity_query_agrees_with_a_plain_scorer(spark):
+    sf = "/root/testdata/sf0.001"
+    documents, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    model = T.train(documents, labels)
+    got = {r.doc_id: r.score for r in T.op5_toxicity_subword(spark, sf).collect()}
+    for r in documents.collect():
+        ids = [x for w in set((r.text or "").lower().split()) for x in T.subwords(w)]
+        z = model.bias + sum(float(model.values[i]) for i in ids) / (len(ids) + T.PADDING)
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-z))) < 1e-6
