@@ -12,6 +12,7 @@ fingerprints are cut into blocks and each pair of blocks is a group of its own,
 Null and empty texts have no words and fingerprint zero, and are linked like any other. component_id is the smallest
 non-null doc_id of the component (null if none); rows of a repeated id are one document each, with the id's
 component by its own text; an empty table gives an empty result; extra columns are ignored, whatever their names.
+Texts of any length are read to their end; their shingles are hashed by the thousand, so memory grows with the text.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dwell.llm import golay
 from dwell.llm.components import components, forest
@@ -139,26 +141,46 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE, block: int
     return parts.mapInArrow(linked, "a long, b long")
 
 
+def roots_of(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, root) of the distinct fingerprints of ``rows``; near ones share a root, which is one of them."""
+    distinct = settle(rows.select("fp").distinct(), "classes")
+    roots = components(fingerprint_links(distinct, distance)).select(F.col("node").alias("fp"), "root")
+    return settle(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def near_duplicates(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp and component_id of every row."""
     rows = settle(fingerprints(documents), "fingerprints")
-    classes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    links = fingerprint_links(classes, distance)
-    roots = components(links).select(F.col("node").alias("fp"), "root")
-    named = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = settle(named.join(ids, "root").select("fp", "component_id"), "components")
+    roots = roots_of(rows, distance)
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp")
+    ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = settle(roots.join(ids, "root").select("fp", "component_id"), "components")
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
-    """The rows of one document of each component, that with the smallest id, with all their columns.
+def keep_one(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest id, rows with an id before those
+    without; of rows equal in id, that of the smallest fingerprint, and then any one of them.
 
-    Rows without an id stay where no row with an id is in their component.
+    It is rows that go, not ids: another text of an id that goes stays, where nothing is near to it.
     """
-    found = near_duplicates(documents)
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return documents.join(dropped, "doc_id", "left_anti")
+    at, taken = documents.columns.index("text"), set(documents.columns)
+    fp_name, row_name = (next(x for k in range(len(taken) + 1) if (x := f"__{name}_{k}") not in taken) for name in ("fp", "row"))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.array([fingerprint(t.as_py()) for t in batch.column(at)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], names=[*batch.schema.names, fp_name])
+
+    schema = T.StructType([*documents.schema.fields, T.StructField(fp_name, T.LongType())])
+    # a row's number is written with it, so that it stays the same whatever is run again
+    whole = settle(documents.mapInArrow(marked, schema).withColumn(row_name, F.monotonically_increasing_id()), "marked")
+    rows = whole.select("doc_id", F.col(fp_name).alias("fp"), F.col(row_name).alias("row"))
+    # one row for each fingerprint and task goes before the exchange, then one for each component
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "fp", "row")
+    first = rows.groupBy("fp").agg(F.min(order).alias("first")).join(roots_of(rows, distance), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = first.select(F.col("first.row").alias(row_name))
+    return whole.join(kept, row_name, "left_semi").select(*documents.columns)
 
 
 def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:

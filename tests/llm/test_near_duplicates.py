@@ -105,13 +105,26 @@ def test_near_duplicate_edge_cases(spark):
     assert sorted(got, key=str) == sorted([(5, 2), (2, 2), (None, 2), (7, 7), (7, 7), (8, 7), (None, None), (9, 9)], key=str)
     assert simhash.near_duplicates(d.limit(0)).count() == 0
     kept = simhash.keep_one(d)
-    assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "7", "7", "9", "None", "None"]
+    assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "7", "9", "None"]
+    assert simhash.keep_one(d.limit(0)).count() == 0
+
+
+def test_rows_go_not_ids(spark):
+    a, b = "the river ran slowly past the old mill by the town", "she read a long letter at the window in the evening"
+    rows = [(3, a, 1), (7, a, 2), (7, b, 3), (8, b, 4), (None, a, 5), (None, "quite another text of its own", 6), (None, "quite another text of its own", 7)]
+    for parts in (1, 4):
+        d = spark.createDataFrame(rows, "doc_id long, text string, __fp_0 int").repartition(parts)
+        assert sorted((str(r.doc_id), r.text) for r in simhash.keep_one(d).collect()) == [("3", a), ("7", b), ("None", "quite another text of its own")]
 
 
 def test_components_of_chains_and_hubs(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, 1001 + k) for k in range(50)] + [(5, 5), (3, 4)]
     roots = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len({roots[k] for k in range(201)}) == 1 and len({roots[k] for k in range(1000, 1051)}) == 1 and len(set(roots.values())) == 2
+    in_rounds = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), few=20).collect()}
+    assert set(in_rounds) == set(roots) and len(set(in_rounds.values())) == 2 and len({in_rounds[k] for k in range(201)}) == 1
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame(edges, "a long, b long"), few=0, rounds=1)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     a, b = forest(np.array([4, 2, 9]), np.array([2, 1, 8]))
     assert dict(zip(a.tolist(), b.tolist(), strict=True)) == {2: 1, 4: 1, 9: 8}
