@@ -1,8 +1,9 @@
 """A training corpus from documents: toxic and poor documents go, one of each near-duplicate group stays, the rest is
 packed into sequences. Each stage works on all its predecessor kept; what it returns is written and read again.
 
-Null texts are empty documents in every stage. Rows with a null id are scored like others and never dropped as
-duplicates of others; an empty table passes all stages.
+Null texts are empty documents in every stage. Rows are dropped, not ids: another text of an id that goes stays where
+nothing is near to it, and of equal rows one stays. Rows with a null id are scored like others, and give way to rows
+with an id that they are near to; an empty table passes all stages.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each component of near fingerprints."""
+    """One row, that with the smallest id, of each component of near fingerprints."""
     return simhash.keep_one(docs)
 
 
