@@ -11,7 +11,8 @@ one, or several together on a page that has no other, are read although a class
 Where most long text with few links has no stop words, its language is not known and link density alone decides.
 
 White space within a block, line break elements included, becomes one space; blocks are joined by a line feed in
-page order. Null and empty pages have an empty text; rows with null ids or urls are extracted like others; repeated
+page order. A page is read in one pass, in time in proportion to its length however broken its tags are; a tag that
+the page ends in is dropped. Null and empty pages have an empty text; rows with null ids or urls are extracted like others; repeated
 rows get equal results; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -56,21 +58,37 @@ _BLOCKS = frozenset(
 _RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes object select button audio video canvas".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OUT = frozenset("nav footer aside form head menu dialog search".split())
+#: Words of a class or id that name surroundings wherever they stand between hyphens.
 _CLASSES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?\w*|consent|notice|alert|gdpr|nav\w*|menu\w*|breadcrumbs?|side-?bar|"
-    r"footer|header|masthead|comments?|comment-?list|disqus|respond|repl(?:y|ies)|share|sharing|social|related|recommend\w*|newsletter|subscribe|"
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|cookies?\w*|consent|gdpr|nav\w*|menu\w*|breadcrumbs?|side-?bar|"
+    r"footer|comments?|comment-?list|disqus|respond|repl(?:y|ies)|newsletter|subscribe|"
     r"sign-?up|login|pop-?up|modal|overlay|widget|pagination|pager|copyright|toolbar)(?:$|[\s_-])",
     re.I,
 )
+#: Words that do so alone or beside words of place and of lists only: a site-header is none of the text, and a
+#: post-header or related-work may be, so density decides there.
+_FAINT = re.compile(r"(?:header|masthead|notice|alert|promo\w*|share|sharing|social|related|recommend\w*)", re.I)
+_BESIDE = frozenset(
+    """site page top main global bottom left right box bar block list lists link links posts articles stories items item topics news reading content
+    buttons button icons icon media section container wrapper wrap inner outer area row col panel""".split()
+)
+#: A class or id of the text itself.
+_TEXT_OF = re.compile(r"(?<!\S)(?:article|main|(?:main|article|post|entry|story|page)[-_]?(?:content|body|text))(?!\S)", re.I)
 #: Names that tell of a page's layout, not of the element: has-sidebar, no-footer ...
 _LAYOUT = re.compile(r"(?<!\S)(?:has|no|with|without|layout)[-_]\S*", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
+#: How a tag, a comment or a declaration begins; the rest of a tag, its quoted values skipped, without stepping back.
+_HEAD = re.compile(r"<(?:(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)|[!?/](?=[^a-zA-Z]|(?<=[!?])))")
+_REST = re.compile(r"""[^"'>]*+(?:(?:"[^"]*"|'[^']*')[^"'>]*+)*+>""")
+#: Tags of a page whose quotes may run to its end before quotes no longer count: this bounds what is read twice.
+_MISSES = 16
+_LONG_REFERENCE = re.compile(r"&#\d{8,};?")
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CLOSES = {  # an opening tag that ends an open element of the same list
     "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"},
 }
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 _P_ENDS = _BLOCKS - {"li", "dt", "dd", "tr", "td", "th", "option", "body", "html", "head", "p", "button", "select"}
 
 
@@ -95,22 +113,75 @@ class _Place:
     held: int = 0
 
 
+def _sign(value: str) -> str:
+    """"named" for a class or id of surroundings, "faint" for one that may be, "text" for one of the text."""
+    value = _LAYOUT.sub(" ", value)
+    if _CLASSES.search(value):
+        return "named"
+    faint = ""
+    for token in value.split():
+        words = re.split(r"[-_]+", token)
+        if any(map(_FAINT.fullmatch, words)):
+            if all(_FAINT.fullmatch(w) or w.lower() in _BESIDE or w.isdigit() or not w for w in words):
+                return "named"
+            faint = "faint"
+    return faint or ("text" if _TEXT_OF.search(value) else "")
+
+
 def _outside(name: str, attrs: str, in_content: bool) -> str:
-    """"out" by element, role or style, "named" by class or id, else nothing."""
+    """"out" by element, role or style; or the sign of its class and id; else nothing."""
     if name in _OUT or name == "header" and not in_content:
         return "out"
     if not attrs or name in ("html", "body", "main", "article"):
         return ""
-    named = ""
+    signs = set()
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
             return "out"
         if key == "role" and value.lower() in _ROLES:
             return "out"
-        if key in ("class", "id") and _CLASSES.search(_LAYOUT.sub(" ", value)):
-            named = "named"
-    return named
+        if key in ("class", "id"):
+            signs.add(_sign(value))
+    return next((s for s in ("named", "faint", "text") if s in signs), "")
+
+
+def _unescape(text: str) -> str:
+    return html.unescape(_LONG_REFERENCE.sub("\ufffd", text)) if "&" in text else text
+
+
+class _Tags:
+    """The tags of a page from left to right: (start, end, whether it closes, lower-case name, attributes, text of its
+    own), or None after the last.
+
+    A tag that the page breaks off in ends it. A tag with a quote that never ends goes to its first ``>``.
+    """
+
+    def __init__(self, page: str) -> None:
+        self._page, self._misses, self._last = page, 0, page.rfind(">")
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str, str] | None:
+        page = self._page
+        m = _HEAD.search(page, at)
+        if m is None:
+            return None
+        lo, n = m.start(), len(page)
+        if m["name"] is None:
+            if page.startswith("<![CDATA[", lo):
+                end = page.find("]]>", lo + 9)
+                return (lo, n, False, "", "", page[lo + 9 :]) if end < 0 else (lo, end + 3, False, "", "", page[lo + 9 : end])
+            mark = "-->" if page.startswith("<!--", lo) else ">"
+            end = page.find(mark, lo + 2 + 2 * (mark != ">"))
+            return lo, n if end < 0 else end + len(mark), False, "", "", ""
+        if lo > self._last:
+            return lo, n, False, "", "", ""
+        rest = _REST.match(page, m.end()) if self._misses < _MISSES else None
+        if rest is None:
+            self._misses += 1
+            end = page.index(">", m.end()) + 1
+        else:
+            end = rest.end()
+        return lo, end, m["close"] == "/", m["name"].lower(), page[m.end() : end - 1], ""
 
 
 def blocks(page: str) -> list[Block]:
@@ -120,7 +191,7 @@ def blocks(page: str) -> list[Block]:
     parts = elements = 0
     links = 0
     now: Block | None = None
-    at = 0
+    opened: Counter[str] = Counter()  # open elements by name
 
     def cut() -> None:
         nonlocal now
@@ -141,64 +212,72 @@ def blocks(page: str) -> list[Block]:
         if links:
             now.linked += len(text.strip())
 
-    while at < len(page):
-        m = _TAG.search(page, at)
-        if m is None:
-            add(html.unescape(page[at:]))
-            break
-        add(html.unescape(page[at : m.start()]))
-        at = m.end()
-        name = (m["name"] or "").lower()
-        if m["cdata"]:
-            add(m["cdata"])
-        if not name:
-            continue
-        if name == "br":
-            add(" ")
-            continue
+    def element(name: str, close: bool, attrs: str) -> None:
+        nonlocal links, parts, elements
         if name in _BLOCKS:
             cut()
-        if m["close"]:
+        if close:
             if name == "a":
                 links = max(0, links - 1)
             elif name in _BLOCKS:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                if opened[name]:
+                    while True:
+                        last = stack.pop()[0]
+                        opened[last] -= 1
+                        if last == name:
+                            break
                 links = 0
-            continue
+            return
         if name == "a":
             links += 1
-            continue
-        if name in _RAW:
-            if not m["attrs"].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                if name not in ("script", "style") and end is None:
-                    continue
-                at = end.end() if end else len(page)
-            continue
-        if name in _VOID or name not in _BLOCKS or m["attrs"].endswith("/") and name not in _BLOCKS:
-            continue
+            return
+        if name in _VOID or name not in _BLOCKS or attrs.endswith("/") and name not in _BLOCKS:
+            return
         links = 0
         ends = _CLOSES.get(name) or ({"p"} if name in _P_ENDS else ())
         while stack and stack[-1][0] in ends:
-            stack.pop()
+            opened[stack.pop()[0]] -= 1
         _, place, part = stack[-1] if stack else top
         elements += 1
-        sign = _outside(name, m["attrs"], place.content)
-        main = name in ("article", "main")
+        sign = _outside(name, attrs, place.content)
+        main = name in ("article", "main") or sign == "text"
         out_ = place.out or sign == "out"
         named, held = (elements, 0) if sign == "named" else (place.named, place.held)
-        if main and named and not held:
+        if main and named and not held and sign != "text":
             held = elements
         # what is in an element of surroundings is no content, but for what its articles hold
         content = not out_ and (held > 0 if named else place.content or main)
         here = _Place(content, out_, named, held)
-        if name == "article" and not out_ or here != place:
+        if name == "article" and not out_ or here != place or sign == "faint":
             parts += 1
             part = parts
         stack.append((name, here, part))
+        opened[name] += 1
+
+    endless: set[str] = set()  # raw elements that are not closed any more
+    at, tags = 0, _Tags(page)
+    while (tag := tags.after(at)) is not None:
+        start, end, close, name, attrs, own = tag
+        add(_unescape(page[at:start]))
+        at = end
+        if own:
+            add(own)
+        if name == "br":
+            add(" ")
+        elif name in _RAW and not close:
+            if name in _BLOCKS:
+                cut()
+            if not attrs.endswith("/") and name not in endless:
+                found = _RAW_END[name].search(page, at)
+                if found:
+                    at = found.end()
+                elif name in ("script", "style"):
+                    at = len(page)
+                else:
+                    endless.add(name)
+        elif name:
+            element(name, close, attrs)
+    add(_unescape(page[at:]))
     cut()
     return out
 

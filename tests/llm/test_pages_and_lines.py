@@ -1,5 +1,6 @@
 import html
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -95,6 +96,43 @@ def test_pages_in_other_languages_go_by_density():
     assert extract(f"<body><p>{known}</p><p>{text}</p><p>{known}</p></body>") == f"{known}\n{text}\n{known}"
 
 
+def test_names_that_may_be_surroundings():
+    chinese = "".join(f"这是第{k}个句子，讲的是河边的老磨坊和住在那里的人们。" for k in range(20))
+    assert extract(f"<body><div>{chinese}</div></body>") == chinese
+    for around in ("related-work", "post-header", "share-price", "social-history"):
+        assert extract(f'<body><div class="{around}"><p>{LONG}</p></div><p>{LONG}</p></body>') == f"{LONG}\n{LONG}"
+    for around in ("related", "site-header", "related-posts", "share-buttons", "cookie-notice", "notice", "alert-box", "social-media"):
+        assert extract(f'<body><div class="{around}"><p>{LONG}</p></div><p>{LONG}</p></body>') == LONG
+    assert extract('<div id="main-content"><h2>Short</h2><p>Ok.</p></div>') == "Short\nOk."
+    assert extract(f'<div class="sidebar"><div class="post-body">{LONG}</div></div><p>{LONG}</p>') == LONG
+
+
+def test_broken_tags():
+    assert extract(f"<article><p>{LONG} a < b, 3<4 & 5>4</p><a href='x") == f"{LONG} a < b, 3<4 & 5>4"
+    assert extract(f'<article><p title="open>{LONG}</p><p>More &#x41;&#{"9" * 5000}; text</p></article>') == f"{LONG}\nMore A\ufffd text"
+    assert extract(f"<article><![CDATA[{LONG}]]></3><?x y?><!doctype q> end</article>") == f"{LONG} end"
+    assert extract(f"<article><div><ul><li>{LONG}</div></ul></section> tail</article>") == f"{LONG}\ntail"
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ["<p ", '<a "', "<a ' >", "<p x='\">", "<title>", "<svg><b>", "<button>x", "<!--", "<![CDATA[", "</", "&#9", "<div class='", "<p class=\"advert_", "<div><p>x<a>y", "<", "<a href=\"x>", "</ul", "<li>x</div>", "<script>", "</title ", "id=' ", "<p id='"],
+)
+def test_time_grows_with_the_page(piece):
+    n = 1_000_000 // len(piece)
+    for p in (piece * n, f"<article>{piece * n}", "<div>" * 1000 + piece * n + ">'\""):
+        began = time.perf_counter()
+        extract(p)
+        assert time.perf_counter() - began < 4
+
+
+def test_deep_and_unmatched_elements():
+    for p in ("<div>" * 80_000 + "</ul>" * 80_000, "<div>" * 80_000 + "</div>" * 80_000, "<ul><li>" * 100_000 + "x" + "</ul>" * 100_000, "<div>x</p>" * 100_000):
+        began = time.perf_counter()
+        extract(p)
+        assert time.perf_counter() - began < 4
+
+
 def test_pages_as_they_are(spark):
     for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
         art = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
