@@ -1,7 +1,7 @@
 """Token counts: a tokenizer's numbers of tokens, from Arrow functions that return lengths only.
 
-Texts are cut into segments at safe boundaries, the segments of many texts gathered into batches of nearly equal
-bytes, and each batch encoded by the library at once; only lengths leave the function.
+Texts are cut into segments at safe boundaries, the segments of the texts of an Arrow batch dealt in order to calls of
+nearly equal UTF-8 bytes, and each call encoded by the library at once; only lengths leave the function.
 
 A boundary is safe at a space that follows another character: in a vocabulary with no piece that holds a space
 mark after another character, no merge crosses it, and the segment after it, its space taken off, gets that space
@@ -9,11 +9,13 @@ back as the mark the library puts before every text. ``boundaries_are_safe`` tes
 hold, texts are encoded whole.
 
 Null texts count as empty; rows with null ids are counted like others; repeated rows get equal counts; an empty
-table gives an empty result; extra columns are ignored, whatever their names.
+table gives an empty result; extra columns are ignored, whatever their names. A very long text is many segments and so
+many calls; only one without a safe boundary is encoded whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -58,28 +60,30 @@ class Counter:
         self._most = segment_chars if boundaries_are_safe(self._model) else 1 << 62
         self._batch = batch_bytes
 
-    def lengths(self, texts: list[str]) -> list[int]:
-        out = [0] * len(texts)
+    def calls(self, texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+        """Segments, with the texts they are of, in as few lists as hold ``batch_bytes`` each and in equal shares."""
+        parts = [(i, part, len(part) if part.isascii() else len(part.encode("utf-8", "surrogatepass"))) for i, text in enumerate(texts) for part in segments(text, self._most)]
+        total = sum(size for _, _, size in parts)
+        share = total / max(1, math.ceil(total / self._batch))
         owner: list[int] = []
         batch: list[str] = []
-        size = 0
+        done, made = 0, 1
+        for i, part, size in parts:
+            if batch and done + size / 2 > share * made:  # a segment goes where most of it lies
+                yield owner, batch
+                owner, batch = [], []
+                made += 1
+            owner.append(i)
+            batch.append(part)
+            done += size
+        if batch:
+            yield owner, batch
 
-        def flush() -> None:
-            nonlocal size
+    def lengths(self, texts: list[str]) -> list[int]:
+        out = [0] * len(texts)
+        for owner, batch in self.calls(texts):
             for i, ids in zip(owner, self._model.encode(batch, num_threads=1), strict=True):
                 out[i] += len(ids)
-            owner.clear()
-            batch.clear()
-            size = 0
-
-        for i, text in enumerate(texts):
-            for part in segments(text, self._most):
-                owner.append(i)
-                batch.append(part)
-                size += len(part)
-                if size >= self._batch:
-                    flush()
-        flush()
         return out
 
 
