@@ -6,8 +6,11 @@ The rest of each document is packed within its group: the cost of a piece of n t
 cost that still has room. When none has room for a whole piece, it is cut to fill the roomiest sequence. So a group
 of T tokens fills T/length sequences, rounded up, and pads less than one sequence.
 
-Documents are dealt to groups of about ``group`` documents by a hash of their id and text length; every group is
-packed by one task and holds at most a sequence length of ids a document, whatever the documents' lengths.
+Chunks are dealt to groups of about ``group`` documents' by a hash of the document's id, its number of ids, the chunk's
+checksum, the task that cut it, and how many equal ones that task has cut before: a row that is repeated, be it a
+third of all, is spread like others. Every group is packed by one task and holds at most a sequence length of ids a
+document, whatever the documents' lengths. Of pieces of equal length that with the lesser id, start and checksum goes
+first, and of sequences of equal cost the first made is taken.
 
 Null texts count as empty: such a document is its end id alone. Rows with null ids are packed like others; each
 row of a repeated id is packed as a document of its own; an empty table gives an empty result; extra columns are
@@ -20,6 +23,7 @@ import heapq
 import json
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -30,6 +34,7 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -207,8 +212,12 @@ def pack_documents(documents: DataFrame, path: str, length: int = LENGTH, end_id
         """Full chunks carry their checksum; the rest of a document carries its ids."""
         encode = encoder(path)
         end = np.array([end_id], "<u4").tobytes()
+        # equal rows are told apart by their number within the task: it is the same in any order of the rows
+        cut_before: Counter[int] = Counter()
+        part_id = TaskContext.get().partitionId()
         for batch in batches:
-            at, start, size, total, crc, rest = [], [], [], [], [], []
+            at, start, size, total, crc, rest, nth = [], [], [], [], [], [], []
+            names = batch["doc_id"].to_pylist()
             for k, ids in enumerate(encode([t or "" for t in batch["text"].to_pylist()])):
                 ids += end
                 n = len(ids) // 4
@@ -220,12 +229,15 @@ def pack_documents(documents: DataFrame, path: str, length: int = LENGTH, end_id
                     size.append(len(part) // 4)
                     total.append(n)
                     crc.append(crc32(part))
+                    key = hash((names[k], n, lo, crc[-1]))
+                    nth.append(cut_before[key] << 24 | part_id)
+                    cut_before[key] += 1
                     rest.append(None if full else np.frombuffer(part, "<u4").astype("<u2" if np.frombuffer(part, "<u4").max() < 65536 else "<u4").tobytes())
-            own = [pa.array(x, pa.int64()) for x in (start, size, total, crc)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(at, pa.int64())), *own, pa.array(rest, pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "crc", "ids"])
+            own = [pa.array(x, pa.int64()) for x in (start, size, total, crc, nth)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(at, pa.int64())), *own, pa.array(rest, pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "crc", "nth", "ids"])
 
-    cut = rows.mapInArrow(chunks, f"doc_id {kind}, start long, length long, doc_tokens long, crc long, ids binary")
-    dealt = cut.withColumn("bin", F.pmod(F.xxhash64("doc_id", "doc_tokens", "crc"), F.lit(groups)))
+    cut = rows.mapInArrow(chunks, f"doc_id {kind}, start long, length long, doc_tokens long, crc long, nth long, ids binary")
+    dealt = cut.withColumn("bin", F.pmod(F.xxhash64("doc_id", "doc_tokens", "crc", "nth"), F.lit(groups))).drop("nth")
 
     def packed(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
         pieces = pieces.sort_values(["doc_id", "start", "crc"], kind="stable", ignore_index=True)

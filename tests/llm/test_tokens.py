@@ -47,6 +47,16 @@ def test_segments_add_up():
             assert " ".join(C.segments(t, most)) == t
 
 
+def test_calls_have_equal_bytes():
+    counter = C.Counter(P.path("piece_bpe_32k.model"), batch_bytes=4000, segment_chars=100)
+    many = ["é" * 40 + " " + "a" * 50 + " b" * 20] * 300 + ["plain words " * 4000, "", "日本 語テ " * 900]
+    sizes = [sum(len(p.encode()) for p in batch) for _, batch in counter.calls(many)]
+    assert max(sizes) <= 4000 + 600 and min(sizes) >= max(sizes) - 800 and len(sizes) > 10
+    owners = [i for owner, _ in counter.calls(many) for i in owner]
+    assert owners == sorted(owners) and set(owners) == set(range(len(many)))
+    assert counter.lengths(many) == [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model")).encode(many)]
+
+
 def test_automaton_ids_and_round_trip(spark, documents):
     from hashlib import sha256
 
@@ -153,3 +163,33 @@ def test_pack_fills_sequences_and_balances_costs(lengths):
         assert offset == used[s]
         used[s] += n
     assert len(used) == -(-sum(lengths) // 64) and all(x <= 64 for x in used.values())
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 32), max_size=40))
+def test_each_piece_goes_to_the_cheapest_sequence_with_room(lengths):
+    """Against a plain search of all sequences; ties, of costs and of lengths, go to the first."""
+    length = 32
+    rooms, costs = [length] * -(-sum(lengths) // length), [0.0] * -(-sum(lengths) // length)
+    queue = sorted((-n, i, 0) for i, n in enumerate(lengths))
+    want = []
+    while queue:
+        n, i, start = queue.pop(0)
+        n = -n
+        fits = [s for s in range(len(rooms)) if rooms[s] >= n]
+        if not fits:
+            part = max(rooms)
+            queue = sorted([*queue, (part - n, i, start + part)])
+            n, fits = part, [s for s in range(len(rooms)) if rooms[s] >= part]
+        s = min(fits, key=lambda s: (costs[s], s))
+        want.append((i, start, n, s, length - rooms[s]))
+        rooms[s] -= n
+        costs[s] += K.LINEAR * n + K.QUADRATIC * n * n
+    assert K.pack(lengths, length) == want
+
+
+def test_repeated_rows_are_spread(spark):
+    rows = spark.range(4000).selectExpr("cast(null as long) AS doc_id", "cast(null as string) AS text").unionByName(spark.range(2000).selectExpr("7L AS doc_id", "'the same words' AS text"))
+    got = K.pack_documents(rows.repartition(4), P.path("word_bpe_49k.json"), group=100)
+    by_group = got.selectExpr("shiftright(sequence_id, 32) AS g").groupBy("g").count().toPandas()["count"]
+    assert got.count() == 6000 and len(by_group) > 50 and by_group.max() < 250
