@@ -8,17 +8,21 @@ digest; an archive that breaks a rule raises ``BrokenArchive`` with its place.
 Pages with equal payloads of at least ``least_bytes`` bytes share one response record, that of the largest page_id;
 the others are revisit records that refer to it. Rows that repeat that page_id are responses too. Null html is an
 empty payload; a null page_id never is the largest, and its record has no page id; a null url gives a record without
-target. Extra columns are ignored, whatever their names; an empty table gives an empty result.
+target. Extra columns are ignored, whatever their names; an empty table gives an empty result. An archive is read as
+a stream, a record at a time, so time grows with its length and memory with its longest record.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import struct
 import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from itertools import islice
+from typing import BinaryIO
 
 import pandas as pd
 import pyarrow as pa
@@ -27,12 +31,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwell.llm.shared import fresh_path, table
+from dwell.llm.shared import fresh_path, settle, table
 
 SKIPPABLE = 0x184D2A5D
+_MAGIC = (0xFD2FB528).to_bytes(4, "little")
 LEAST_BYTES = 1000
 ARCHIVE_BYTES = 32 << 20
 DICTIONARY_BYTES = 64 << 10
+#: At most so many payloads hold over one in so many of the pages that share theirs.
+HOT = 10_000
 _DATE = datetime(2024, 1, 1, tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
@@ -114,35 +121,80 @@ def parse(raw: bytes, place: str = "record") -> tuple[dict[str, str], bytes]:
     return found, block
 
 
-def read_records(archive: bytes, name: str = "archive") -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of an archive, one frame each."""
-    view, at, dictionary = memoryview(archive), 0, None
-    if len(view) >= 8 and struct.unpack_from("<I", view)[0] == SKIPPABLE:
-        size = struct.unpack_from("<I", view, 4)[0]
-        if 8 + size > len(view):
-            raise BrokenArchive(f"{name}: its dictionary is cut off")
-        held = bytes(view[8 : 8 + size])
-        if held[:4] == b"\x28\xb5\x2f\xfd":
-            held = zstandard.ZstdDecompressor().decompress(held)
-        kind = zstandard.DICT_TYPE_FULLDICT if held[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
-        dictionary = zstandard.ZstdCompressionDict(held, dict_type=kind) if held else None
-        at = 8 + size
-    decompressor = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
-    while at < len(view):
-        magic = struct.unpack_from("<I", view, at)[0] if len(view) - at >= 8 else 0
-        if magic & 0xFFFFFFF0 == 0x184D2A50:  # other skippable frames
-            at += 8 + struct.unpack_from("<I", view, at + 4)[0]
-            continue
-        one = decompressor.decompressobj()
-        place = f"{name}, byte {at}"
-        try:
-            raw = one.decompress(view[at:])
-        except zstandard.ZstdError as e:
-            raise BrokenArchive(f"{place}: {e}") from None
-        if not one.eof:
-            raise BrokenArchive(f"{place}: a frame is cut off")
-        yield parse(raw, place)
-        at = len(view) - len(one.unused_data)
+class _Frames:
+    """The frames of an archive one after the other, each found by its headers and those of its blocks: a stream is
+    read once from front to back, and no more than a frame of it is held."""
+
+    def __init__(self, stream: BinaryIO, name: str) -> None:
+        self._stream, self.name, self.at = stream, name, 0
+
+    def take(self, n: int) -> bytes:
+        """The next ``n`` bytes."""
+        got = self._stream.read(n)
+        if len(got) != n:
+            raise BrokenArchive(f"{self.name}, byte {self.at}: a frame is cut off")
+        self.at += n
+        return got
+
+    def magic(self) -> int | None:
+        """The number a frame begins with, or None at the end."""
+        got = self._stream.read(4)
+        if not got:
+            return None
+        if len(got) < 4:
+            raise BrokenArchive(f"{self.name}, byte {self.at}: a frame is cut off")
+        self.at += 4
+        return int.from_bytes(got, "little")
+
+    def skippable(self) -> bytes:
+        return self.take(int.from_bytes(self.take(4), "little"))
+
+    def data(self) -> bytes:
+        """A data frame, its magic put before it again."""
+        flags = self.take(1)
+        single = flags[0] >> 5 & 1
+        size = (single, 2, 4, 8)[flags[0] >> 6] + (0, 1, 2, 4)[flags[0] & 3] + (1 - single)
+        parts = [_MAGIC, flags, self.take(size)]
+        last = 0
+        while not last:
+            head = self.take(3)
+            field = int.from_bytes(head, "little")
+            last, kind, size = field & 1, field >> 1 & 3, field >> 3
+            parts += [head, self.take(1 if kind == 1 else size)]
+        if flags[0] >> 2 & 1:
+            parts.append(self.take(4))
+        return b"".join(parts)
+
+
+def read_records(archive: bytes | BinaryIO, name: str = "archive") -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of an archive, given as bytes or as a stream, one frame each."""
+    frames = _Frames(io.BytesIO(archive) if isinstance(archive, bytes) else archive, name)
+    decompressor, first = zstandard.ZstdDecompressor(), True
+    while True:
+        place = f"{name}, byte {frames.at}"
+        magic = frames.magic()
+        if magic is None:
+            return
+        if magic & 0xFFFFFFF0 == 0x184D2A50:  # a dictionary where it comes first, else of no concern
+            held = frames.skippable()
+            if first and magic == SKIPPABLE and held:
+                if held[:4] == _MAGIC:
+                    held = zstandard.ZstdDecompressor().decompress(held)
+                kind = zstandard.DICT_TYPE_FULLDICT if held[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
+                if held:
+                    decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(held, dict_type=kind))
+        elif magic == int.from_bytes(_MAGIC, "little"):
+            one = decompressor.decompressobj()
+            try:
+                raw = one.decompress(frames.data())
+            except zstandard.ZstdError as e:
+                raise BrokenArchive(f"{place}: {e}") from None
+            if not one.eof:
+                raise BrokenArchive(f"{place}: a frame is cut off")
+            yield parse(raw, place)
+        else:
+            raise BrokenArchive(f"{place}: no frame begins here")
+        first = False
 
 
 def _page_id(urn: str | None) -> int | None:
@@ -165,13 +217,19 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
     those whose tasks were committed: (path, records). A task that is run again writes under new names."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("long", F.octet_length("html") >= least_bytes)
-    # equal payloads, counted before the exchange: one row for each digest and task; only shared ones are joined
-    shared = (
-        rows.where("long").groupBy("digest").agg(F.max("page_id").alias("target"), F.count(F.lit(1)).alias("n")).where("n > 1 and target is not null").select(F.col("digest").alias("of"), "target")
-    )
-    dealt = rows.join(shared, F.col("long") & (F.col("digest") == F.col("of")), "left").select(
-        "page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("target")), F.col("target")).alias("refers_to")
-    )
+    # equal payloads, counted before the exchange: one row for each digest and task
+    counted = rows.where("long").groupBy("digest").agg(F.max("page_id").alias("target"), F.count(F.lit(1)).alias("n")).where("n > 1 and target is not null")
+    shared = settle(counted, "shared")
+    # a payload of more than a ten thousandth of the pages is one of under ten thousand, which are broadcast; the
+    # others are joined, and rows that take no part in that are dealt out by a hash of their own
+    hot = max(1, shared.agg(F.sum("n")).first()[0] or 0) // HOT
+    often = shared.where(F.col("n") > hot).select(F.col("digest").alias("of"), F.col("target").alias("often"))
+    others = shared.where(F.col("n") <= hot).select(F.col("digest").alias("key"), F.col("target").alias("other"))
+    met = rows.join(F.broadcast(often), F.col("long") & (F.col("digest") == F.col("of")), "left")
+    alone = F.concat(F.lit("-"), F.xxhash64("page_id", "url", F.monotonically_increasing_id()).cast("string"))
+    met = met.withColumn("key", F.when(F.col("long") & F.col("of").isNull(), F.col("digest")).otherwise(alone))
+    target = F.coalesce("often", "other")
+    dealt = met.join(others, "key", "left").select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(target), target).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -207,14 +265,15 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
         fs, _ = pafs.FileSystem.from_uri(folder)
         for listed in frames:
             for path, n in zip(listed["path"], listed["records"], strict=True):
-                with fs.open_input_file(path) as f:
-                    archive = f.read()
-                got = [described(*x, path) for x in read_records(archive, path)]
-                if len(got) != n:
-                    raise BrokenArchive(f"{path}: {len(got)} records of {n}")
-                for lo in range(0, len(got), 5000):
-                    out = pd.DataFrame(got[lo : lo + 5000], columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                    yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                read = 0
+                with fs.open_input_stream(path, compression=None) as f, io.BufferedReader(f, 1 << 20) as stream:
+                    records = (described(*x, path) for x in read_records(stream, path))
+                    while got := list(islice(records, 5000)):
+                        read += len(got)
+                        out = pd.DataFrame(got, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                        yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                if read != n:
+                    raise BrokenArchive(f"{path}: {read} records of {n}")
 
     return archives.mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 

@@ -197,6 +197,53 @@ def test_broken_archives_are_refused():
         W.described(*W.parse(W.record(1, "u", b"payload", hashlib.sha1(b"other").digest(), None)))
 
 
+def test_frames_of_any_form_are_read():
+    import hashlib
+    import io
+    import struct
+
+    for size, level in ((0, 1), (100, 3), (400_000, 3), (3_000_000, 19)):
+        raw = W.record(7, "u", payload := (bytes(range(256)) * (size // 256 + 1))[:size] + b"z" * size, hashlib.sha1(payload).digest(), None)
+        for checksum in (True, False):
+            for known in (True, False):
+                frame = zstandard.ZstdCompressor(level=level, write_checksum=checksum, write_content_size=known).compress(raw)
+                other = struct.pack("<II", 0x184D2A51, 3) + b"abc"
+                for whole in (frame * 2, other + frame + other + frame):
+                    assert [W.described(*x)[:2] for x in W.read_records(io.BytesIO(whole))] == [(7, 2 * size)] * 2
+                for bad in (frame[:-1], frame[:3], frame + frame[:9], frame + b"\x00" * 5):
+                    with pytest.raises(W.BrokenArchive):
+                        list(W.read_records(bad))
+
+
+def test_time_grows_with_the_archive():
+    import hashlib
+    import random
+
+    rng, took = random.Random(1), {}
+    payloads = [rng.randbytes(2200) for _ in range(500)]
+    for n in (1000, 8000):
+        w = W.Writer(b"words " * 100)
+        for k in range(n):
+            w.add(W.record(k, "u", payloads[k % 500], hashlib.sha1(payloads[k % 500]).digest(), None))
+        whole, began = w.bytes(), time.perf_counter()
+        assert sum(1 for _ in W.read_records(whole)) == n
+        took[n] = time.perf_counter() - began
+    assert took[8000] < 20 * took[1000]
+
+
+def test_a_payload_of_most_pages_is_met_without_an_exchange(spark, monkeypatch):
+    monkeypatch.setattr(W, "HOT", 3)
+    rows = [(k, "u", "x" * 1000 if k % 2 else ("y" if k % 3 else "z") * 1200 + str(k // 8)) for k in range(80)] + [(200, "u", "é" * 2_000_000)]
+    got, _ = read_back(spark, spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4))
+    last = {}
+    for k, _, h in rows:
+        last[h] = max(last.get(h, 0), k)
+    found = {r.page_id: r for r in got.collect()}
+    assert len(found) == len(rows)
+    for k, _, h in rows:
+        assert found[k].refers_to == (None if last[h] == k else last[h]) and found[k].payload_bytes == len(h.encode())
+
+
 def test_hosts_with_a_common_line_count_documents_once(spark):
     d = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("h").alias("source"), F.concat(F.lit("all share this\nall share this\nmine "), F.col("id").cast("string"), F.lit(" " + "and more words here " * 8)).alias("text"))
     got = L.line_rules(d, max_documents=39).collect()
