@@ -3,21 +3,28 @@
 The automaton starts with one state and an arc for every byte. Each merge (u, v) in turn is a gadget: the state that
 u-arcs lead to is replaced by a copy without its v-arc, and every state with a u-arc gets an arc labelled uv to where
 the v-arc led. What it accepts in the end is exactly the merged forms of texts, one for each text. As all arcs of a
-token lead to one state, states are named by tokens, and a state is held as the chain of its copies: the state of v
-when uv was born, less the arcs that later gadgets took from uv. ``step`` reads that chain and fills the transition
-table as arcs are asked for; ``Explicit`` builds the same automaton arc by arc and is compared with it in the tests.
+token lead to one state, states are named by tokens.
 
-A pre-split word is encoded by walking the transitions over its bytes: from each state the longest arc label that
-fits comes first, shorter ones after it, and dead ends are left by stepping back; the accepted walk is the only one.
+Once all merges are in, ``compile`` lays the transitions out as arrays, once for each worker. An arc is there by
+default; a state's row lists the tokens whose arcs gadgets took from it or from what it is a copy of, with the gadget's
+number (under a million entries for 50,000 merges). The arc of a token uv came with its own gadget to the states that
+had a u-arc then, so a transition asks the row for the token and for the tokens it begins with. ``Explicit`` builds the
+same automaton arc by arc and is compared with it in the tests.
+
+A pre-split word is encoded in one pass from left to right, without stepping back: labels are followed from each
+place through a table of their bytes, and the transitions tell the one token that may end each prefix of the word.
 Decoding joins the arcs' labels.
 
 Null texts count as empty; rows with null ids are encoded like others; repeated rows get equal results; an empty
-table gives an empty result; extra columns are ignored, whatever their names.
+table gives an empty result; extra columns are ignored, whatever their names. Texts and words of any length are
+encoded whole, in time in proportion to them.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -50,10 +57,7 @@ class Automaton:
         self._born: dict[int, int] = dict.fromkeys(bytes_of.values(), -1)
         self._parts: dict[int, tuple[int, int]] = {}
         self._taken: dict[tuple[int, int], int] = {}
-        self._table: dict[tuple[int, int], bool] = {}
         self._merges = 0
-        #: The longest label that begins with these (up to three) bytes.
-        self._reach: dict[bytes, int] = {}
 
     def merge(self, u: int, v: int, token: int) -> None:
         """The gadget of the next merge. A merge that no text can reach any more, or that is there, changes nothing."""
@@ -67,8 +71,6 @@ class Automaton:
         self._born[token] = now
         self.labels[token] = label
         self.tokens[label] = token
-        head = label[:3]
-        self._reach[head] = max(self._reach.get(head, 0), len(label))
 
     def _arc(self, state: int, token: int, time: int) -> bool:
         """Whether the state after ``state`` has an arc ``token`` before the gadget at ``time``."""
@@ -90,41 +92,85 @@ class Automaton:
             time = self._born[token] + 1
             token = self._parts[token][0]
 
-    def step(self, state: int | None, token: int) -> bool:
-        """Whether ``token`` may follow ``state``, None being the start."""
-        if state is None:
-            return True
-        key = (state, token)
-        found = self._table.get(key)
+    def compile(self) -> Automaton:
+        """Lays out the transitions; no merge may follow."""
+        own: dict[int, list[tuple[int, int]]] = {}
+        for (state, token), time in self._taken.items():
+            own.setdefault(state, []).append((token, time))
+        size = max(self.labels) + 1
+        rows: dict[int, np.ndarray] = {}
+        for state in self._born:  # a copy comes after what it is a copy of
+            row = np.array(own.get(state, []), np.int64).reshape(-1, 2)
+            if state in self._parts:
+                origin = rows[self._parts[state][1]]
+                row = np.concatenate([row, origin[origin[:, 1] < self._born[state]]])
+            rows[state] = row
+        starts = np.zeros(size + 1, np.int64)
+        for state, row in rows.items():
+            starts[state + 1] = len(row)
+        every = np.concatenate([rows[s][np.argsort(rows[s][:, 0])] for s in sorted(rows)])
+        #: A state's exceptions are those from its start on, in order of token; and the gadgets that made them.
+        self._start = array("q", np.cumsum(starts).tolist())
+        self._token, self._time = array("i", every[:, 0].tolist()), array("i", every[:, 1].tolist())
+        #: What a token begins with before its own gadget, and that gadget's number.
+        self._stem, self._birth = array("i", [-1]) * size, array("i", [-1]) * size
+        for token, (u, _) in self._parts.items():
+            self._stem[token], self._birth[token] = u, self._born[token]
+        #: The labels as a table: at each place, by a byte, the next place and the token that ends there, or -1.
+        self._root: dict[int, tuple[dict, int]] = {}
+        for label, token in sorted(self.tokens.items(), key=lambda x: len(x[0])):
+            at = self._root
+            for byte in label[:-1]:
+                at = at.setdefault(byte, ({}, -1))[0]
+            at[label[-1]] = (at[label[-1]][0] if label[-1] in at else {}, token)
+        self._longest = max(map(len, self.tokens))
+        self._asked: dict[int, bool] = {}
+        return self
+
+    def step(self, state: int, token: int) -> bool:
+        """Whether ``token`` may follow ``state``."""
+        key = state << 32 | token
+        found = self._asked.get(key)
         if found is None:
-            if len(self._table) > 800_000:
-                self._table.clear()
-            found = self._table[key] = self._arc(state, token, self._merges)
+            if len(self._asked) >= _KEPT:
+                self._asked.clear()
+            found = self._asked[key] = self._transition(state, token)
         return found
 
+    def _transition(self, state: int, token: int) -> bool:
+        lo, hi, before = self._start[state], self._start[state + 1], self._merges
+        while lo < hi and token >= 0:
+            k = bisect_left(self._token, token, lo, hi)
+            if k < hi and self._token[k] == token and self._time[k] < before:
+                return False
+            before = self._birth[token] + 1  # a gadget takes its arc before it lays its own
+            token = self._stem[token]
+        return True
+
     def encode(self, word: bytes) -> list[int]:
-        tokens, step, reach = self.tokens, self.step, self._reach
-        n, out, ends = len(word), [], [0]
-        lo, size = 0, min(n, reach.get(word[:3], 2))
-        dead: set[int] = set()
-        while lo < n:
-            while size:
-                token = tokens.get(word[lo : lo + size])
-                if token is not None and lo + size not in dead and step(out[-1] if out else None, token):
+        if (whole := self.tokens.get(word)) is not None:  # one arc from the start
+            return [whole]
+        root, asked, step = self._root, self._asked, self.step
+        n = len(word)
+        last = [-1] * (n + 1)  # the token that ends the word's first so many bytes
+        for lo in range(n):
+            state, at, hi = last[lo], root, lo
+            key = state << 32
+            for byte in word[lo : lo + self._longest]:
+                found = at.get(byte)
+                if found is None:
                     break
-                size -= 1
-            if size:
-                out.append(token)
-                lo += size
-                ends.append(lo)
-                size = min(n - lo, reach.get(word[lo : lo + 3], 2))
-            else:  # no arc leads on: the last token is shortened
-                dead.add(lo)
-                out.pop()
-                end = ends.pop()
-                lo = ends[-1]
-                size = end - lo - 1
-        return out
+                at, token = found
+                hi += 1
+                if token >= 0 and last[hi] < 0:
+                    may = asked.get(key | token) if lo else True
+                    if may or may is None and step(state, token):
+                        last[hi] = token
+        out, labels = [], self.labels
+        while n:
+            out.append(last[n])
+            n -= len(labels[last[n]])
+        return out[::-1]
 
 
 class Explicit:
@@ -180,6 +226,7 @@ class Encoder:
         for pair in spec["model"]["merges"]:
             u, v = pair.split(" ") if isinstance(pair, str) else pair
             self.automaton.merge(vocab[u], vocab[v], vocab[u + v])
+        self.automaton.compile()
         self._special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for text, token in self._special.items():
             self.automaton.labels[token] = text.encode()

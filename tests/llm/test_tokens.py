@@ -104,17 +104,18 @@ def test_automata_accept_exactly_the_merged_forms(seed):
             merges[u, v] = len(merges)
             vocab.append(u + v)
     number = {t: i for i, t in enumerate(vocab)}
-    lazy, full = B.Automaton({t: number[t] for t in vocab[:3]}), B.Explicit([0, 1, 2])
+    compiled, full = B.Automaton({t: number[t] for t in vocab[:3]}), B.Explicit([0, 1, 2])
     for u, v in merges:
-        lazy.merge(number[u], number[v], number[u + v])
+        compiled.merge(number[u], number[v], number[u + v])
         full.merge(number[u], number[v], number[u + v])
+    compiled.compile()
     for word in ("".join(w).encode() for n in range(1, 7) for w in product("abc", repeat=n)):
         want = [number[t] for t in merged([bytes([c]) for c in word], merges)]
-        assert lazy.encode(word) == want and full.accepts(want)
+        assert compiled.encode(word) == want and full.accepts(want)
     for tokens in (list(t) for n in (2, 3) for t in product(range(len(vocab)), repeat=n)):
         word = b"".join(vocab[t] for t in tokens)
         right = merged([bytes([c]) for c in word], merges) == [vocab[t] for t in tokens]
-        assert full.accepts(tokens) == right == all(lazy.step(a, b) for a, b in zip(tokens, tokens[1:], strict=False))
+        assert full.accepts(tokens) == right == all(compiled.step(a, b) for a, b in zip(tokens, tokens[1:], strict=False))
 
 
 def check_packing(rows, ids_of, length):
