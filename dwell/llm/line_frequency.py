@@ -30,6 +30,7 @@ MIN_WORDS = 20
 MIN_SHARE = 0.5
 #: Frequent lines that may be broadcast: 24 bytes each.
 BROADCAST_LINES = 200_000
+HOT = 10_000
 _NORMAL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
 
 
@@ -94,10 +95,22 @@ def measured(documents: DataFrame) -> DataFrame:
 
 
 def frequent_lines(lines: DataFrame, max_documents: int) -> DataFrame:
-    """(host, code) of lines in more than ``max_documents`` documents of the host; ``lines`` has one row for each
+    """(host, code, n) of lines in more than ``max_documents`` documents of the host; ``lines`` has one row for each
     document and distinct line. Partial counts go before the exchange, so a line of every document is one row a task.
     """
-    return lines.groupBy("host", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_documents).select("host", "code")
+    return lines.groupBy("host", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_documents)
+
+
+def _met(each: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Rows of ``each`` (of, is) that are frequent lines. Of all rows of frequent lines a line holds more than one in
+    HOT only if it is one of under HOT lines; those are broadcast, so no group that is exchanged is larger."""
+    rows, lines = frequent.agg(F.sum("n"), F.count(F.lit(1))).first()
+    same = F.col("of").eqNullSafe(F.col("host")) & (F.col("is") == F.col("code"))
+    if lines <= BROADCAST_LINES:
+        return each.join(F.broadcast(frequent), same, "left_semi")
+    hot = frequent.where(F.col("n") > rows // HOT)
+    common = each.join(F.broadcast(hot), same, "left_semi")
+    return common.unionByName(each.join(F.broadcast(hot), same, "left_anti").join(frequent.where(F.col("n") <= rows // HOT), same, "left_semi"))
 
 
 def line_rules(
@@ -117,12 +130,7 @@ def line_rules(
     each = rows.select("row", "host", F.explode(F.arrays_zip(F.col("codes").alias("code"), F.col("words").alias("words"))).alias("line")).select(
         "row", F.col("host").alias("of"), F.col("line.code").alias("is"), F.col("line.words").alias("words")
     )
-    hint = F.broadcast if frequent.count() <= BROADCAST_LINES else lambda df: df
-    removed = (
-        each.join(hint(frequent), F.col("of").eqNullSafe(F.col("host")) & (F.col("is") == F.col("code")), "left_semi")
-        .groupBy("row")
-        .agg(F.sum("words").alias("removed"))
-    )
+    removed = _met(each, frequent).groupBy("row").agg(F.sum("words").alias("removed"))
     left = F.col("n_words") - F.col("removed_words")
     return (
         rows.drop("codes", "words")

@@ -258,3 +258,21 @@ def test_lines_of_all_rows_of_an_id_count(spark):
     # three rows of two ids are two documents
     got = L.line_rules(spark.createDataFrame(rows[3:5] + rows[6:], "doc_id long, source string, text string"), max_documents=2, min_words=1).collect()
     assert [r.removed_words for r in got] == [0, 0, 0]
+
+
+def test_line_rules_agree_with_plain_counts(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    common = [f"line {'abcdefgh'[k]} which many share" for k in range(8)]
+    rows = [(rng.choice([None, *range(40)]), rng.choice([None, "a", "b"]), "\n".join([*rng.choices(common, k=rng.randint(0, 4)), f"own {'x' * k}"])) for k in range(300)]
+    documents = defaultdict(set)
+    for k, (d, h, t) in enumerate(rows):
+        for line in set(t.split("\n")):
+            documents[h, line].add(d if d is not None else -1 - k)
+    want = sorted((str(d), str(h), sum(len(x.split()) for x in t.split("\n") if len(documents[h, x]) > 30), len(t.split())) for d, h, t in rows)
+    for parts, few, hot in ((1, 200_000, 10_000), (5, 0, 10_000), (7, 0, 6)):
+        monkeypatch.setattr(L, "BROADCAST_LINES", few)
+        monkeypatch.setattr(L, "HOT", hot)
+        d = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(parts)
+        assert sorted((str(r.doc_id), str(r.host), r.removed_words, r.n_words) for r in L.line_rules(d, max_documents=30).collect()) == want
