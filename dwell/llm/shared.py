@@ -13,11 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of our own only where none is set."""
+    """The folder named in ``spark.checkpoint.dir``, or else the context's; one of our own only where driver and
+    executors are one process, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         sc = spark.sparkContext
         if sc.getCheckpointDir() is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="dwell-"))
         root = sc.getCheckpointDir()
     return root.rstrip("/")

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from dwell.llm import golay, simhash
 from dwell.llm.components import components, forest
-from dwell.llm.grid_join import near_vectors
+from dwell.llm.grid_join import _partners, _Side, _units, join_sides, near_vectors, plan_grid
 
 
 class Sets(dict):
@@ -163,6 +163,31 @@ def test_grid_join_agrees_with_all_pairs(spark, kind):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_units_meet_each_other_once():
+    for n in range(1, 12):
+        met = sorted(tuple(sorted((i, j))) for i in range(n) for j in _partners(i, n))
+        assert met == [(i, j) for i in range(n) for j in range(i, n)]
+    assert _units([(0, 3), (2, 4), (3, 9), (7, 1), (9, 1)], 8) == [[0, 2], [3], [7, 9]]
+
+
+@pytest.mark.parametrize(("spread", "clusters"), [(0.02, 3), (1.0, 1500), (0.2, 40)])
+def test_leading_coordinates_lose_no_link(spread, clusters):
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=(clusters, 40))[rng.integers(0, clusters, 1500)] + spread * rng.normal(size=(1500, 40)) * rng.random((1500, 1))
+    m = np.concatenate([m, m[:200] + 0.3 * spread * rng.normal(size=(200, 40))])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    grid = plan_grid([r.tobytes() for r in m[:900]], "<f8", np.sqrt(0.1))
+    m = m[sorted(range(len(m)), key=lambda k: grid.keys(m[k : k + 1])[0])]
+    linked = (m @ m.T >= 0.95) & ~np.eye(len(m), dtype=bool)
+    side = _Side(np.arange(len(m)), np.ones(len(m), np.int64), m, grid.leading(m))
+    join_sides(side, side, 0.95)
+    assert side.links.tolist() == linked.sum(1).tolist()
+    half = len(m) // 2
+    a, b = (_Side(np.arange(len(x)), np.ones(len(x), np.int64), x, grid.leading(x)) for x in (m[:half], m[half:]))
+    join_sides(a, b, 0.95)
+    assert a.links.tolist() == linked[:half, half:].sum(1).tolist() and b.links.tolist() == linked[:half, half:].sum(0).tolist()
+
+
 def test_grid_join_edge_cases(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert near_vectors(spark.createDataFrame([], schema)).count() == 0
