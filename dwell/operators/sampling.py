@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dwell.operators.folds import in_order, kinds, runs
+
 #: Rows of a label that are made Python values at a time.
 _STEP = 64
 
@@ -54,14 +54,21 @@ def percentile_gate(candidates: DataFrame, keys: list[str], column: str, percent
 
 def spaced(candidates: DataFrame, keys: list[str], most: int, min_gap: int, ties: list[str]) -> DataFrame:
     """In order of quality, frames at least ``min_gap`` from all taken before, up to ``most``."""
-    pool = F.array_sort(F.collect_list(F.struct((-F.col("quality")).alias("neg"), F.col("frame_idx").cast("bigint").alias("frame_idx"), *ties)))
-    rows = candidates.groupBy(*keys).agg(pool.alias("pool"))
+    rows = candidates.select(*keys, F.col("frame_idx").cast("bigint").alias("frame_idx"), (-F.col("quality")).alias("neg"), *ties)
 
-    def take(out, x):
-        fits = F.forall(out, lambda f: F.abs(f - x.frame_idx) >= min_gap)
-        return F.when((F.size(out) < most) & fits, F.array_append(out, x.frame_idx)).otherwise(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken: list[int] = []
+        for new, part in runs(batches, len(keys)):
+            taken = [] if new else taken
+            picked: list[int] = []
+            if len(taken) < most:
+                for i, f in enumerate(part["frame_idx"].to_pylist()):
+                    if len(taken) < most and all(abs(f - t) >= min_gap for t in taken):
+                        taken.append(f)
+                        picked.append(i)
+            yield part.select([*keys, "frame_idx"]).take(pa.array(picked, pa.int64()))
 
-    return rows.select(*keys, F.explode(F.aggregate("pool", F.array().cast("array<bigint>"), take)).alias("frame_idx"))
+    return in_order(rows, keys, "neg", "frame_idx", *ties).mapInArrow(run, kinds(rows, *keys, "frame_idx"))
 
 
 def choose(
@@ -172,40 +179,23 @@ def top_distinct(candidates: DataFrame, keys: list[str], feature: str, most: int
     A fold over sorted rows: all candidates are walked until the top is full, and only those taken are kept.
     """
     rows = candidates.select(*keys, (-F.col("quality")).alias("neg"), *ties, F.col(feature).alias("v"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    columns = [*keys, "rank", *ties, "neg"]
-    kinds["rank"] = "int"
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "neg", *ties, "v")
-    n_keys = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label: tuple | None = None
         taken: list[list | None] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = np.zeros(batch.num_rows, bool)
-            new[0] = True
-            for k in range(n_keys):
-                code = pc.dictionary_encode(batch.column(k), null_encoding="encode").indices.to_numpy()
-                new[1:] |= code[1:] != code[:-1]
-            starts = [*np.flatnonzero(new).tolist(), batch.num_rows]
+        for new, part in runs(batches, len(keys)):
+            taken = [] if new else taken
             picked: list[int] = []
-            ranks: list[int] = []
-            for lo, hi in pairwise(starts):
-                here = tuple(batch.column(k)[lo].as_py() for k in range(n_keys))
-                if here != label:
-                    label, taken = here, []
-                while lo < hi and len(taken) < most:
-                    for i, v in enumerate(batch.column(batch.num_columns - 1).slice(lo, min(_STEP, hi - lo)).to_pylist(), lo):
-                        if len(taken) < most and all(_far(t, v, apart) for t in taken):
-                            taken.append(v)
-                            picked.append(i)
-                            ranks.append(len(taken))
-                    lo += _STEP
-            out = batch.take(pa.array(picked, pa.int64()))
-            own = [out.column(k) for k in range(n_keys)] + [pa.array(ranks, pa.int32())] + [out.column(k) for k in range(n_keys + 1, batch.num_columns - 1)] + [out.column(n_keys)]
-            yield pa.RecordBatch.from_arrays(own, names=columns)
-
-    kept = ordered.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
+            before = len(taken)
+            for lo in range(0, part.num_rows, _STEP):
+                if len(taken) >= most:
+                    break
+                for i, v in enumerate(part["v"].slice(lo, _STEP).to_pylist(), lo):
+                    if len(taken) < most and all(_far(t, v, apart) for t in taken):
+                        taken.append(v)
+                        picked.append(i)
+            out = part.take(pa.array(picked, pa.int64()))
+            ranks = pa.array(range(before + 1, before + 1 + len(picked)), pa.int32())
+            yield pa.RecordBatch.from_arrays([ranks, *out.columns[:-1]], names=["rank", *out.schema.names[:-1]])
+
+    kept = in_order(rows, keys, "neg", *ties, "v").mapInArrow(run, "rank int, " + kinds(rows, *keys, "neg", *ties))
     return kept.select(*keys, "rank", *ties, (-F.col("neg")).alias("quality"))

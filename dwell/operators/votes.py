@@ -1,103 +1,121 @@
-"""A track's identity over time: votes that decay, labels that flip, subtracks that split. Ordered folds within the
-track, JVM-side; one sort and one fold give every step."""
+"""A track's identity over time: votes that decay, labels that flip, subtracks that split: a fold over the track's
+frames in order, whose state is the votes of its labels."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from dwell.operators.folds import in_order, kinds, runs
+
+
+@dataclass
+class _Votes:
+    decay: float
+    dominance: float
+    flip: float
+    split_frames: int
+    margin: float
+    votes: dict[str, float] = field(default_factory=dict)
+    label: str | None = None
+    last: float | None = None
+    current: str | None = None  # the open subtrack's label
+    number: int = -1  # and its number
+    rival: str | None = None
+    streak: int = 0
+
+    def step(self, match: str | None, score: float) -> tuple[str | None, float, int, str | None]:
+        """Label, score last matched, number and label of the subtrack after a frame."""
+        for k in self.votes:
+            self.votes[k] *= self.decay
+        if match is None:
+            self.rival, self.streak = None, 0
+        else:
+            self.votes[match] = self.votes.get(match, 0.0) + score
+            self.last = score
+            self._elect()
+            self._split(match)
+        return self.label, self.last or 0.0, self.number, self.current
+
+    def _elect(self) -> None:
+        """The strongest label, where it dominates the second; equal votes go to the smaller one."""
+        top = min(self.votes, key=lambda k: (-self.votes[k], k))
+        second = max((v for k, v in self.votes.items() if k != top), default=0.0)
+        v = self.votes[top]
+        if v >= self.dominance * second and (self.label is None or v >= self.votes.get(self.label, 0.0) * (1 + self.flip)):
+            self.label = top
+
+    def _split(self, match: str) -> None:
+        """A rival that is matched often enough in a row, and has the votes, opens a subtrack."""
+        if self.current is not None and match != self.current:
+            self.streak = self.streak + 1 if self.rival == match else 1
+            self.rival = match
+            if self.streak < self.split_frames or self.votes[match] < self.votes.get(self.current, 0.0) + self.margin:
+                return
+        if match != self.current:
+            self.current, self.number = match, self.number + 1
+        self.rival, self.streak = None, 0
+
+
+def vote_steps(matches: DataFrame, keys: list[str], decay: float = 0.99, dominance: float = 2.0, flip: float = 0.3, split_frames: int = 5, margin: float = 0.05) -> DataFrame:
+    """Per embedded frame: the label after its votes, the score last matched, and number and label of the open subtrack
+    (-1 and null before the first match).
 
-_SUB = "struct<label:string,start_frame:bigint,end_frame:bigint>"
-_STEP = "struct<frame_idx:bigint,label:string,score:double>"
-
-
-def _let(value: Column, body) -> Column:
-    """Binds a value once for a lambda's body."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
+    ``matches`` has a row for each embedded frame, match null where nothing was recognised.
+    """
+    rows = matches.select(*keys, F.col("frame_idx").cast("long").alias("frame_idx"), F.col("match").cast("string").alias("match"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    names = [*keys, "frame_idx", "label", "score", "subtrack_id", "subtrack_label"]
 
-def _folded(matches: DataFrame, keys: list[str], decay: float, dominance: float, flip: float, split_frames: int, margin: float, splitting: bool) -> DataFrame:
-    """One row a track with the step log and the closed and open subtracks."""
-    none = F.lit(None).cast("string")
-    start = F.struct(
-        F.create_map().cast("map<string,double>").alias("votes"), none.alias("label"), F.lit(None).cast("double").alias("last"), none.alias("cur"), F.lit(None).cast("bigint").alias("since"),
-        none.alias("cand"), F.lit(0).alias("streak"), F.array().cast(f"array<{_STEP}>").alias("steps"), F.array().cast(f"array<{_SUB}>").alias("subs"),
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        votes = None
+        for new, part in runs(batches, len(keys)):
+            if new:
+                votes = _Votes(decay, dominance, flip, split_frames, margin)
+            out = list(zip(*map(votes.step, part["match"].to_pylist(), part["score"].to_pylist()), strict=True))
+            own = [pa.array(x, t) for x, t in zip(out, (pa.string(), pa.float64(), pa.int32(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part[c] for c in [*keys, "frame_idx"]), *own], names=names)
 
-    def vote(s: Column, x: Column) -> Column:
-        faded = F.transform_values(s.votes, lambda _, v: v * decay)
-        return F.when(x.match.isNull(), faded).otherwise(
-            F.map_concat(F.map_filter(faded, lambda k, _: k != x.match), F.map_from_arrays(F.array(x.match), F.array(F.coalesce(F.get(F.map_values(F.map_filter(faded, lambda k, _: k == x.match)), F.lit(0)), F.lit(0.0)) + x.score)))
-        )
-
-    def get(votes: Column, label: Column) -> Column:
-        return F.coalesce(F.try_element_at(votes, label), F.lit(0.0))
-
-    def label_of(s: Column, x: Column, votes: Column) -> Column:
-        # the strongest two; equal votes go to the smaller label
-        order = F.array_sort(F.transform(F.map_entries(votes), lambda e: F.struct((-e.value).alias("neg"), e.key.alias("key"))))
-
-        def choose(o: Column) -> Column:
-            top, v = F.get(o, F.lit(0)).key, -F.get(o, F.lit(0)).neg
-            second = F.coalesce(-F.get(o, F.lit(1)).neg, F.lit(0.0))
-            flips = v >= get(votes, s.label) * (1 + flip)
-            return F.when(v >= dominance * second, F.when(s.label.isNull() | (s.label == top) | flips, top).otherwise(s.label)).otherwise(s.label)
-
-        return F.when(x.match.isNull(), s.label).otherwise(_let(order, choose))
-
-    def step(s: Column, x: Column) -> Column:
-        def with_votes(votes: Column) -> Column:
-            hit = x.match.isNotNull()
-            fresh = hit & s.cur.isNull()
-            same = hit & (s.cur == x.match)
-            streak = F.when(s.cand == x.match, s.streak + 1).otherwise(1)
-            closes = F.coalesce(hit & ~fresh & ~same & (streak >= split_frames) & (get(votes, x.match) >= get(votes, s.cur) + margin), F.lit(False))
-            moves = fresh | closes
-            if not splitting:
-                closes, moves = F.lit(False), F.lit(False)
-            calm = ~hit | moves | same
-            closed = F.struct(s.cur.alias("label"), s.since.alias("start_frame"), F.greatest(x.frame_idx - 1, s.since).alias("end_frame"))
-
-            def with_label(label: Column) -> Column:
-                last = F.when(hit, x.score).otherwise(s["last"])
-                logged = F.struct(x.frame_idx.alias("frame_idx"), label.alias("label"), F.coalesce(last, F.lit(0.0)).alias("score"))
-                return F.struct(
-                    votes.alias("votes"), label.alias("label"), last.alias("last"), F.when(moves, x.match).otherwise(s.cur).alias("cur"), F.when(moves, x.frame_idx).otherwise(s.since).alias("since"),
-                    F.when(F.coalesce(calm, F.lit(True)), none).otherwise(x.match).alias("cand"), F.when(F.coalesce(calm, F.lit(True)), 0).otherwise(streak).alias("streak"),
-                    F.array_append(s.steps, logged).alias("steps"), F.when(closes, F.array_append(s.subs, closed)).otherwise(s.subs).alias("subs"),
-                )
-
-            return _let(label_of(s, x, votes), with_label)
-
-        return _let(vote(s, x), with_votes)
-
-    rows = matches.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("frame_idx").cast("bigint").alias("frame_idx"), F.col("match").cast("string").alias("match"), F.col("score").cast("double").alias("score")))).alias("xs"))
-    return rows.select(*keys, F.aggregate("xs", start, step).alias("s"), F.element_at("xs", -1).frame_idx.alias("end"))
+    return in_order(rows, keys, "frame_idx", "match", "score").mapInArrow(run, kinds(rows, *keys, "frame_idx") + ", label string, score double, subtrack_id int, subtrack_label string")
 
 
 def vote_labels(matches: DataFrame, keys: list[str], decay: float = 0.99, dominance: float = 2.0, flip: float = 0.3, split_frames: int = 5, margin: float = 0.05) -> DataFrame:
-    """Per embedded frame the label after its votes, and the score last matched; frames before any label are left out.
-
-    ``matches`` has a row for each embedded frame, match null where nothing was recognised.
-    """
-    folded = _folded(matches, keys, decay, dominance, flip, split_frames, margin, True)
-    return folded.select(*keys, F.explode("s.steps").alias("x")).select(*keys, "x.frame_idx", "x.label", "x.score").where(F.col("label").isNotNull())
+    """Per embedded frame its label and the score last matched; frames before any label are left out."""
+    return vote_steps(matches, keys, decay, dominance, flip, split_frames, margin).where(F.col("label").isNotNull()).select(*keys, "frame_idx", "label", "score")
 
 
-def identity_splits(matches: DataFrame, keys: list[str], last_frames: DataFrame | None = None, decay: float = 0.99, dominance: float = 2.0, flip: float = 0.3, split_frames: int = 5, margin: float = 0.05) -> DataFrame:
-    """Subtracks in order with their scores: frames of the window whose recorded label is the subtrack's.
+def subtracks_of(steps: DataFrame, keys: list[str], last_frames: DataFrame | None = None, with_scores: bool = False) -> DataFrame:
+    """Subtracks of ``vote_steps`` in order, with number and mean of their scores: those of its frames whose label is
+    the subtrack's. ``with_scores`` adds them as a map by frame.
 
     The open subtrack closes at the track's last observed frame (``last_frames``: keys and last_frame), or else at
     its last embedded one.
     """
-    folded = _folded(matches, keys, decay, dominance, flip, split_frames, margin, True)
+    own = F.col("label") == F.col("subtrack_label")
+    scores = F.map_from_entries(F.array_sort(F.collect_list(F.when(own, F.struct("frame_idx", "score")))))
+    subs = steps.where("subtrack_id >= 0").groupBy(*keys, "subtrack_id").agg(
+        F.first("subtrack_label").alias("label"), F.min("frame_idx").alias("start_frame"), F.max("frame_idx").alias("last"), F.count(F.when(own, 1)).alias("n_scores"), F.avg(F.when(own, F.col("score"))).alias("avg_similarity"),
+        *([scores.alias("frame_scores")] if with_scores else []),
+    )
+    end = F.col("last")
     if last_frames is not None:
-        folded = folded.join(last_frames, keys, "left").withColumn("end", F.greatest("end", F.col("last_frame")))
-    final = F.struct(F.col("s.cur").alias("label"), F.col("s.since").alias("start_frame"), F.greatest("end", "s.since").alias("end_frame"))
-    subs = F.when(F.col("s.cur").isNull(), F.col("s.subs")).otherwise(F.array_append("s.subs", final))
-    each = folded.select(*keys, F.col("s.steps").alias("steps"), F.posexplode(subs).alias("subtrack_id", "sub"))
-    inside = F.filter("steps", lambda x: (x.label == F.col("sub.label")) & x.frame_idx.between(F.col("sub.start_frame"), F.col("sub.end_frame")))
-    scores = F.map_from_entries(F.transform(inside, lambda x: F.struct(x.frame_idx, x.score)))
-    return each.select(*keys, "subtrack_id", "sub.label", "sub.start_frame", "sub.end_frame", scores.alias("frame_scores")).withColumn("avg_similarity", average_score(F.col("frame_scores")))
+        subs = subs.join(last_frames, keys, "left")
+        end = F.greatest(end, F.col("last_frame"))
+    following = F.lead("start_frame").over(Window.partitionBy(*keys).orderBy("subtrack_id"))
+    subs = subs.withColumn("end_frame", F.greatest(F.coalesce(following - 1, end), F.col("start_frame")))
+    return subs.select(*keys, "subtrack_id", "label", "start_frame", "end_frame", "n_scores", "avg_similarity", *(["frame_scores"] if with_scores else []))
+
+
+def identity_splits(
+    matches: DataFrame, keys: list[str], last_frames: DataFrame | None = None, decay: float = 0.99, dominance: float = 2.0, flip: float = 0.3, split_frames: int = 5, margin: float = 0.05, with_scores: bool = False
+) -> DataFrame:
+    """``subtracks_of`` the votes of ``matches``."""
+    return subtracks_of(vote_steps(matches, keys, decay, dominance, flip, split_frames, margin), keys, last_frames, with_scores)
 
 
 def average_score(frame_scores: Column) -> Column:
@@ -114,10 +132,22 @@ def strongest_label(votes: DataFrame, keys: list[str]) -> DataFrame:
 
 def every_n_frames(observations: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Greedy in time: a frame is kept when it is at least ``n`` after the last kept one."""
-    frames = observations.groupBy(*keys).agg(F.array_sort(F.collect_set(F.col("frame_idx").cast("bigint"))).alias("frames"))
-    start = F.array().cast("array<bigint>")
-    kept = F.aggregate("frames", start, lambda out, f: F.when(F.coalesce(f - F.element_at(F.when(F.size(out) > 0, out), -1) >= n, F.lit(True)), F.array_append(out, f)).otherwise(out))
-    return frames.select(*keys, F.explode(kept).alias("frame_idx"))
+    rows = observations.select(*keys, F.col("frame_idx").cast("long").alias("frame_idx"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for new, part in runs(batches, len(keys)):
+            last = None if new else last
+            frames, at, kept = part["frame_idx"].to_numpy(), 0, []
+            while True:
+                at = at if last is None else max(at, int(np.searchsorted(frames, last + max(n, 1))))
+                if at >= len(frames):
+                    break
+                kept.append(at)
+                last = int(frames[at])
+            yield part.take(pa.array(kept, pa.int64()))
+
+    return in_order(rows.where(F.col("frame_idx").isNotNull()), keys, "frame_idx").mapInArrow(run, kinds(rows, *keys, "frame_idx"))
 
 
 def backfill(annotations: DataFrame, labels: DataFrame, keys: list[str], legacy: bool = False) -> DataFrame:

@@ -161,7 +161,7 @@ def vote_fold_labels(spark, sf_dir):
 @query()
 def identity_splits(spark, sf_dir):
     subs = V.identity_splits(_matches(spark, sf_dir), _K, None, 0.9, 1.2, 0.1, 2, 0.05)
-    return rounded(subs.withColumn("n_scores", F.size("frame_scores")).drop("frame_scores"), 6, "avg_similarity")
+    return rounded(subs, 6, "avg_similarity")
 
 
 @query("""SELECT user_id AS track_id, label, round(weight, 6) AS weight FROM (SELECT user_id, event_type AS label, sum(value) AS weight, row_number() OVER (PARTITION BY user_id ORDER BY sum(value) DESC, event_type) AS rn

@@ -36,12 +36,11 @@ def percentile_filter(spark, sf_dir):
     return rounded(kept.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), F.min("gate").alias("gate")), 6, "gate")
 
 
-@query(f"""WITH {X.RANKED}, a AS (SELECT track_id, list(frame_idx ORDER BY rank) AS fs FROM ranked WHERE rank <= 60 GROUP BY track_id),
+@query(f"""WITH {X.RANKED}, a AS (SELECT track_id, list(frame_idx ORDER BY rank) AS fs FROM ranked GROUP BY track_id),
 k AS (SELECT track_id, list_reduce(list_transform(fs, lambda x: [x]), lambda acc, x: CASE WHEN len(acc) < 8 AND len(list_filter(acc, lambda f: abs(f - x[1]) < 400)) = 0 THEN list_append(acc, x[1]) ELSE acc END) AS kept FROM a)
 SELECT track_id, unnest(kept) AS frame_idx FROM k""")
 def spaced_samples(spark, sf_dir):
-    pool = X.ranked(spark, sf_dir).where("rank <= 60")
-    return P.spaced(pool, _K, 8, 400, X.TIES)
+    return P.spaced(X.candidates(spark, sf_dir), _K, 8, 400, X.TIES)
 
 
 @query(f"""WITH {X.CAND}, r AS (SELECT CASE WHEN round(area_frac, 9) < 0.003 THEN 'rejected_area' WHEN sharpness < 20 THEN 'rejected_sharpness' WHEN round(frontalness, 9) < 0.15 THEN 'rejected_frontalness' END AS reason FROM cand)
