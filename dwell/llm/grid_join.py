@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dwell.llm.components import components, forest
-from dwell.llm.shared import fresh_path, settle, table
+from dwell.llm.shared import fresh_path, join_counted, settle, table
 
 COSINE = 0.95
 AXES = 16
@@ -316,9 +316,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, interval: int = INT
     roots = components(found.where("links = 0").select("a", "b"))
     named = nodes.select("node", F.sha2("vec", 256).alias("digest"), "least", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(links, "node", "left")
     named = settle(named, "named")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    same = named.join(least, "root").select("digest", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    linked = rows.where("vec is not null").select("vec_id", "digest").join(same, "digest").select("vec_id", "n_links", "component_id")
+    least = settle(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
+    of = named.select("root", "digest", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("n").alias("copies"))
+    same = settle(join_counted(of, least, "root").select("digest", "n_links", "component_id", F.col("copies").alias("n")), "same")
+    linked = join_counted(rows.where("vec is not null").select("vec_id", "digest"), same, "digest").select("vec_id", "n_links", "component_id")
     apart = rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(apart).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys that hold over one in so many rows each are fewer than so many.
+HOT = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,3 +40,14 @@ def settle(df: DataFrame, kind: str = "table") -> DataFrame:
     path = fresh_path(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, hot: int = HOT) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row a key and in ``n`` the number of rows that have it.
+
+    A key of more than one in ``hot`` rows would fill a task of its own: such keys are fewer than ``hot`` and are
+    broadcast, the others are exchanged. Both are settled tables or cheap to read twice.
+    """
+    most = max(1, (keyed.agg(F.sum("n")).first()[0] or 0) // hot)
+    large, small = F.broadcast(keyed.where(F.col("n") > most).drop("n")), keyed.where(F.col("n") <= most).drop("n")
+    return rows.join(large, key).unionByName(rows.join(large.select(key), key, "left_anti").join(small, key))

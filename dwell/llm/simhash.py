@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from dwell.llm import golay
 from dwell.llm.components import components, forest
-from dwell.llm.shared import settle, table
+from dwell.llm.shared import join_counted, settle, table
 
 WORDS = 3
 DISTANCE = 2
@@ -152,10 +152,10 @@ def near_duplicates(documents: DataFrame, distance: int = DISTANCE) -> DataFrame
     """doc_id, fp and component_id of every row."""
     rows = settle(fingerprints(documents), "fingerprints")
     roots = roots_of(rows, distance)
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp")
-    ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = settle(roots.join(ids, "root").select("fp", "component_id"), "components")
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    classes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).join(roots, "fp"), "counted")
+    ids = settle(classes.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "ids")
+    of = settle(join_counted(classes.select("root", "fp", "rows"), ids, "root").select("fp", "component_id", F.col("rows").alias("n")), "components")
+    return join_counted(rows, of, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from dwell.llm import golay, simhash
 from dwell.llm.components import components, forest
+from dwell.llm.shared import join_counted
 from dwell.llm.grid_join import _partners, _Side, _units, join_sides, near_vectors, plan_grid
 
 
@@ -193,3 +194,11 @@ def test_grid_join_edge_cases(spark):
     assert near_vectors(spark.createDataFrame([], schema)).count() == 0
     got = near_vectors(spark.createDataFrame([(None, [1.0, 0.0], 1), (4, [2.0, 0.0], 1), (4, [1.0, 0.0], 2), (None, [0.0, 1.0], None), (6, None, 1)], schema)).collect()
     assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == [("4", 2, "4", True), ("4", 2, "4", True), ("6", 0, "6", True), ("None", 0, "None", True), ("None", 2, "4", False)]
+
+
+def test_keys_of_many_rows_are_joined_like_others(spark):
+    rows = spark.range(1000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS k", "id AS x")
+    keyed = rows.groupBy("k").count().selectExpr("k", "k * 2 AS y", "count AS n")
+    for hot in (1, 10, 10**6):
+        assert sorted(map(tuple, join_counted(rows, keyed, "k", hot).select("x", "k", "y").collect())) == [(i, 0 if i % 3 == 0 else i, 0 if i % 3 == 0 else 2 * i) for i in range(1000)]
+    assert join_counted(rows.limit(0), keyed.limit(0), "k").count() == 0
