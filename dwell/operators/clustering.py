@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dwell.config import DEFAULT as C
 from dwell.functions.vectors import doubles, unit
 from dwell.operators.graph import connected
 from dwell.operators.numbering import numbered
@@ -173,7 +174,7 @@ def stitch_chains(tracks: DataFrame, edges: DataFrame, keys: list[str]) -> DataF
     return rows.groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*keys, "track_id"]) + ", chain_id int, position int")
 
 
-def guard(frames: np.ndarray, vectors: np.ndarray, min_picks: int = 3, stride: int = 6, consecutive: int = 3, reject: float = 0.35, margin: float = 0.05, recover: int = 2, split_below: float | None = 0.62) -> np.ndarray:
+def guard(frames: np.ndarray, vectors: np.ndarray, min_picks: int = C.guard_min_picks, stride: int = C.guard_stride, consecutive: int = C.guard_consecutive, reject: float = C.guard_reject, margin: float = C.guard_margin, recover: int = C.guard_recover, split_below: float | None = C.split_below) -> np.ndarray:
     """The identity number of each sample of one tracker id, in order: samples far from the running mean wait in
     quarantine; enough of them in a row make a new identity, a recovery gives them back."""
     out = np.full(len(frames), -1)

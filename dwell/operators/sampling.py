@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dwell.config import DEFAULT
 from dwell.operators.folds import in_order, kinds, runs
 
 #: Rows of a label that are made Python values at a time.
@@ -71,98 +72,137 @@ def spaced(candidates: DataFrame, keys: list[str], most: int, min_gap: int, ties
     return in_order(rows, keys, "neg", "frame_idx", *ties).mapInArrow(run, kinds(rows, *keys, "frame_idx"))
 
 
-def choose(
-    pool: pd.DataFrame,
-    samples_per_track: int = 8,
-    samples_min: int = 4,
-    min_gap: int = 8,
-    min_frontalness: float = 0.1,
-    sharpness_pct: float | None = None,
-    min_sharpness: float | None = None,
-    profile_quota: int = 0,
-    profile_floor: float = 0.0,
-    frontal_pct: float = 60.0,
-    min_frontal: int = 0,
-) -> pd.DataFrame:
-    """Picks from one track's pool, which is in order of quality: adds ``picked`` and ``reason``.
-
-    The sharpness gate lets candidates through until one passes both gates, and the frontal quota makes room by giving
-    up the best non-frontal pick: both as documented for the engine this one agrees with.
-    """
-    n = len(pool)
-    frame, quality = pool["frame_idx"].to_numpy(), pool["quality"].to_numpy()
-    sharp, front = pool["sharpness"].to_numpy(), pool["frontalness"].to_numpy()
-    reason: list[str | None] = [None] * n
-    parts = [np.percentile(sharp, sharpness_pct)] if n and sharpness_pct is not None else []
-    gate = max([*parts, *([min_sharpness] if min_sharpness is not None else [])], default=None)
-    eligible: list[int] = []
-    profile: list[int] = []
-    for i in range(n):
-        floor = False
-        if gate is not None and sharp[i] < gate:
-            if eligible:
-                reason[i] = "rejected_sharpness"
-                continue
-            floor = True
-        if front[i] < min_frontalness:
-            if profile_quota > 0 and front[i] >= profile_floor:
-                profile.append(i)
+@dataclass(frozen=True)
+class Rules:
+    """What a track's samples are chosen by; ``frontal_pct`` tells what counts as frontal in the track."""
+
+    samples_per_track: int = DEFAULT.samples_per_track
+    samples_min: int = DEFAULT.samples_min
+    min_gap: int = DEFAULT.min_gap_frames
+    min_frontalness: float = DEFAULT.min_frontalness
+    sharpness_pct: float | None = None
+    min_sharpness: float | None = None
+    profile_quota: int = 0
+    profile_floor: float = 0.0
+    frontal_pct: float = 60.0
+    min_frontal: int = 0
+
+
+@dataclass
+class _Pool:
+    """A track's candidates in order of quality, by their places in it."""
+
+    frames: list[int]
+    quality: list[float]
+    sharpness: list[float]
+    frontalness: list[float]
+    rules: Rules
+
+    def gate(self) -> None:
+        """Reasons of the gates, and who may be picked: frontal ones, and profiles as far as there is a quota for them.
+
+        Sharpness counts from the first frontal candidate on: until then a blurred one may pass.
+        """
+        r = self.rules
+        floors = [np.percentile(self.sharpness, r.sharpness_pct)] if r.sharpness_pct is not None and self.sharpness else []
+        floor = max([*floors, *([r.min_sharpness] if r.min_sharpness is not None else [])], default=-np.inf)
+        self.reason: list[str | None] = []
+        self.frontal: list[int] = []
+        self.profile: list[int] = []
+        for i, (sharp, front) in enumerate(zip(self.sharpness, self.frontalness, strict=True)):
+            blurred = sharp < floor
+            if blurred and self.frontal:
+                self.reason.append("rejected_sharpness")
+            elif front >= r.min_frontalness:
+                self.reason.append("picked_sharpness_floor" if blurred else None)
+                self.frontal.append(i)
+            elif r.profile_quota > 0 and front >= r.profile_floor:
+                self.reason.append("profile_pool")
+                self.profile.append(i)
             else:
-                reason[i] = "rejected_frontalness"
-            continue
-        eligible.append(i)
-        if floor:
-            reason[i] = "picked_sharpness_floor"
-    chosen: list[int] = []
-    if eligible or profile:
-        required = min(samples_per_track, len(eligible) + min(profile_quota, len(profile)))
-        least = min(samples_min, required)
-
-        def fill(source: list[int], until: int, gap: int, most: int, as_: str) -> None:
-            taken = 0
-            for i in source:
-                if len(chosen) >= until or taken >= most:
-                    return
-                if i not in chosen and all(abs(frame[i] - frame[j]) >= gap for j in chosen):
-                    chosen.append(i)
-                    taken += 1
-                    if as_ == "picked_profile" or reason[i] is None:
-                        reason[i] = as_
-
-        fill(eligible, required, min_gap, n, "picked")
-        fill(eligible, least, 0, n, "picked")
-        by_sharpness = sorted(profile, key=lambda i: (-quality[i], -sharp[i]))
-        fill(by_sharpness, required, min_gap, profile_quota, "picked_profile")
-        fill(by_sharpness, least, 0, n, "picked_profile")
-        if eligible and min_frontal > 0:
-            level = np.percentile(front[eligible], frontal_pct)
-            for i in (i for i in eligible if front[i] >= level):
-                if sum(front[j] >= level for j in chosen) >= min_frontal:
-                    break
-                if i in chosen:
+                self.reason.append("rejected_frontalness")
+
+    def take(self, places: list[int], until: int, gap: int, most: int, reason: str) -> None:
+        """The next of ``places`` that keep the gap from all picks, up to ``most`` of them and ``until`` picks."""
+        for i in places:
+            if len(self.picks) >= until or most <= 0:
+                return
+            if i not in self.picks and all(abs(self.frames[i] - self.frames[j]) >= gap for j in self.picks):
+                self.picks.append(i)
+                self.reason[i] = reason
+                most -= 1
+
+    def fill(self) -> None:
+        """Spaced frontal picks, then as many of any spacing as must be; then profiles likewise, within their quota."""
+        r = self.rules
+        quota, gap, n = min(r.profile_quota, len(self.profile)), max(r.min_gap, 0), len(self.frames)
+        wanted = min(r.samples_per_track, len(self.frontal) + quota)
+        least = min(r.samples_min, wanted)
+        self.take(self.frontal, wanted, gap, n, "picked")
+        self.take(self.frontal, least, 0, n, "picked")
+        profiles = sorted(self.profile, key=lambda i: (-self.quality[i], -self.sharpness[i]))
+        self.take(profiles, wanted, gap, quota, "picked_profile")
+        self.take(profiles, least, 0, n, "picked_profile")
+
+    def turn_frontal(self) -> None:
+        """Until enough picks are frontal for this track, further frontal ones come in. In a full selection the best of
+        the other picks makes room (of equal ones the later); it keeps its reason."""
+        r = self.rules
+        if r.min_frontal <= 0 or not self.frontal:
+            return
+        level = np.percentile([self.frontalness[i] for i in self.frontal], r.frontal_pct)
+        facing = [f >= level for f in self.frontalness]
+        self.picks.sort(key=lambda i: -self.quality[i])
+        for i in self.frontal:
+            if sum(facing[j] for j in self.picks) >= r.min_frontal:
+                return
+            if not facing[i] or i in self.picks:
+                continue
+            if len(self.picks) >= r.samples_per_track:
+                others = [j for j in self.picks if not facing[j]]
+                if not others:
                     continue
-                if len(chosen) >= samples_per_track:
-                    other = [j for j in chosen if front[j] < level]
-                    if not other:
-                        continue
-                    chosen.remove(max(other, key=lambda j: quality[j]))
-                chosen.append(i)
-                reason[i] = reason[i] or "picked"
-    picked = np.zeros(n, bool)
-    picked[chosen] = True
-    return pool.assign(picked=picked, reason=[r or "not_selected" for r in reason])
+                self.picks.remove(max(reversed(others), key=lambda j: self.quality[j]))
+            self.picks.append(i)
+            self.reason[i] = "picked"
+
+    def choose(self) -> tuple[list[bool], list[str]]:
+        self.picks: list[int] = []
+        self.gate()
+        if self.frontal or self.profile:
+            self.fill()
+            self.turn_frontal()
+        return [i in self.picks for i in range(len(self.frames))], [r or "not_selected" for r in self.reason]
+
+
+def choose(frames: list[int], quality: list[float], sharpness: list[float], frontalness: list[float], rules: Rules) -> tuple[list[bool], list[str]]:
+    """Picked and reason of each candidate of one track, given in order of quality."""
+    return _Pool(frames, quality, sharpness, frontalness, rules).choose()
 
 
 def select_samples(candidates: DataFrame, keys: list[str], limit: int, ties: list[str], **rules) -> DataFrame:
-    """The full selection: the pool is cut first, so each group holds at most ``limit`` rows, then picked."""
-    pool = candidate_pool(candidates, keys, limit, ties).where("reason is null").drop("reason")
-    kinds = {f.name: f.dataType.simpleString() for f in pool.schema}
-    columns = [*keys, "frame_idx", "quality", "sharpness", "frontalness", "rank"]
+    """The full selection: the pool is cut first, so a track holds at most ``limit`` rows, then picked."""
+    columns = [*keys, "rank", "frame_idx", "quality", "sharpness", "frontalness"]
+    pool = candidate_pool(candidates, keys, limit, ties).where("reason is null").select(*columns)
+    names = ["frame_idx", "quality", "sharpness", "frontalness"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return choose(pdf.sort_values("rank"), **rules)[[*columns, "picked", "reason"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
-    return pool.select(*columns).groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", picked boolean, reason string")
+        def chosen() -> pa.RecordBatch:
+            track = pa.concat_batches(held)
+            picked, reason = choose(*(track[c].to_pylist() for c in names), Rules(**rules))
+            return pa.RecordBatch.from_arrays([*track.columns, pa.array(picked, pa.bool_()), pa.array(reason, pa.string())], names=[*columns, "picked", "reason"])
+
+        for new, part in runs(batches, len(keys)):
+            if new and held:
+                yield chosen()
+                held.clear()
+            held.append(part)
+        if held:
+            yield chosen()
+
+    return in_order(pool, keys, "rank").mapInArrow(run, kinds(pool, *columns) + ", picked boolean, reason string")
 
 
 def _far(a: list | None, b: list | None, apart: float) -> bool:

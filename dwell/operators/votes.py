@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dwell.config import DEFAULT as C
 from dwell.operators.folds import in_order, kinds, runs
 
 
@@ -63,7 +64,7 @@ class _Votes:
         self.rival, self.streak = None, 0
 
 
-def vote_steps(matches: DataFrame, keys: list[str], decay: float = 0.99, dominance: float = 2.0, flip: float = 0.3, split_frames: int = 5, margin: float = 0.05) -> DataFrame:
+def vote_steps(matches: DataFrame, keys: list[str], decay: float = C.vote_decay, dominance: float = C.dominance, flip: float = C.flip, split_frames: int = C.split_frames, margin: float = C.split_margin) -> DataFrame:
     """Per embedded frame: the label after its votes, the score last matched, and number and label of the open subtrack
     (-1 and null before the first match).
 
@@ -84,7 +85,7 @@ def vote_steps(matches: DataFrame, keys: list[str], decay: float = 0.99, dominan
     return in_order(rows, keys, "frame_idx", "match", "score").mapInArrow(run, kinds(rows, *keys, "frame_idx") + ", label string, score double, subtrack_id int, subtrack_label string")
 
 
-def vote_labels(matches: DataFrame, keys: list[str], decay: float = 0.99, dominance: float = 2.0, flip: float = 0.3, split_frames: int = 5, margin: float = 0.05) -> DataFrame:
+def vote_labels(matches: DataFrame, keys: list[str], decay: float = C.vote_decay, dominance: float = C.dominance, flip: float = C.flip, split_frames: int = C.split_frames, margin: float = C.split_margin) -> DataFrame:
     """Per embedded frame its label and the score last matched; frames before any label are left out."""
     return vote_steps(matches, keys, decay, dominance, flip, split_frames, margin).where(F.col("label").isNotNull()).select(*keys, "frame_idx", "label", "score")
 
@@ -112,7 +113,7 @@ def subtracks_of(steps: DataFrame, keys: list[str], last_frames: DataFrame | Non
 
 
 def identity_splits(
-    matches: DataFrame, keys: list[str], last_frames: DataFrame | None = None, decay: float = 0.99, dominance: float = 2.0, flip: float = 0.3, split_frames: int = 5, margin: float = 0.05, with_scores: bool = False
+    matches: DataFrame, keys: list[str], last_frames: DataFrame | None = None, decay: float = C.vote_decay, dominance: float = C.dominance, flip: float = C.flip, split_frames: int = C.split_frames, margin: float = C.split_margin, with_scores: bool = False
 ) -> DataFrame:
     """``subtracks_of`` the votes of ``matches``."""
     return subtracks_of(vote_steps(matches, keys, decay, dominance, flip, split_frames, margin), keys, last_frames, with_scores)

@@ -93,12 +93,24 @@ def temporal_face_match(spark, sf_dir):
     return near.groupBy("frame_idx", "face_idx").agg(best.alias("m")).select("frame_idx", "face_idx", "m.*")
 
 
-@query()
+@query(f"""{_M.replace('WITH', 'WITH RECURSIVE', 1)}, fc AS (SELECT frame_idx, face_idx, row_number() OVER (PARTITION BY frame_idx ORDER BY face_idx) AS k FROM (SELECT DISTINCT frame_idx, face_idx FROM m)),
+tk AS (SELECT frame_idx, track_idx, row_number() OVER (PARTITION BY frame_idx ORDER BY track_idx) AS j FROM (SELECT DISTINCT frame_idx, track_idx FROM m)),
+ch AS (SELECT frame_idx, face_idx, track_idx, track_id, iou, j FROM m JOIN tk USING (frame_idx, track_idx) UNION ALL SELECT frame_idx, face_idx, NULL, NULL, NULL, NULL FROM fc),
+st AS (SELECT DISTINCT frame_idx, 0::BIGINT AS k, []::BIGINT[] AS used, []::STRUCT(face_idx BIGINT, track_id BIGINT, iou DOUBLE)[] AS picked, 0.0::DOUBLE AS total, 0::BIGINT AS w FROM m
+UNION ALL SELECT st.frame_idx, fc.k, CASE WHEN track_idx IS NULL THEN used ELSE list_append(used, track_idx) END, CASE WHEN track_idx IS NULL THEN picked ELSE list_append(picked, {{'face_idx': ch.face_idx, 'track_id': track_id, 'iou': iou}}) END, total + coalesce(iou, 0), w + coalesce(fc.k * j * j, 0)
+  FROM st JOIN fc ON fc.frame_idx = st.frame_idx AND fc.k = st.k + 1 JOIN ch ON ch.frame_idx = fc.frame_idx AND ch.face_idx = fc.face_idx WHERE track_idx IS NULL OR NOT list_contains(used, track_idx)),
+best AS (SELECT frame_idx, unnest(arg_max(picked, {{'n': len(picked), 't': round(total, 8), 'w': -w}})) AS p FROM st GROUP BY frame_idx)
+SELECT frame_idx, p.face_idx AS face_idx, p.track_id AS track_id, p.iou AS iou FROM best""")
 def optimal_assignment(spark, sf_dir):
     return M.optimal_faces(_matches(spark, sf_dir), _FRAME)
 
 
-@query()
+@query(f"""WITH RECURSIVE {X.DET}, ins AS (SELECT frame_idx, track_idx, track_id, list(face_idx) AS fs FROM face f JOIN person p USING (frame_idx)
+  WHERE (f.x1 + f.x2) / 2 BETWEEN p.x1 AND p.x2 AND (f.y1 + f.y2) / 2 BETWEEN p.y1 AND p.y2 GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY frame_idx ORDER BY track_idx) AS k FROM ins),
+st AS (SELECT DISTINCT frame_idx, 0::BIGINT AS k, []::BIGINT[] AS used, 0::BIGINT AS track_id, NULL::BIGINT AS face_idx FROM o
+UNION ALL SELECT frame_idx, k, CASE WHEN len(free) = 1 THEN list_append(used, free[1]) ELSE used END, track_id, CASE WHEN len(free) = 1 THEN free[1] END
+  FROM (SELECT st.frame_idx, o.k, used, o.track_id, list_filter(fs, lambda f: NOT list_contains(used, f)) AS free FROM st JOIN o ON o.frame_idx = st.frame_idx AND o.k = st.k + 1))
+SELECT frame_idx, track_id, face_idx FROM st WHERE face_idx IS NOT NULL""")
 def center_fallback_unique(spark, sf_dir):
     return M.center_fallback(X.faces(spark, sf_dir), X.persons(spark, sf_dir), _FRAME)
 
@@ -118,7 +130,18 @@ def recall_pass(spark, sf_dir):
     return rounded(M.recall_pass(faces, persons, _FRAME, taken, _GROW, _W, _H, 0.25, 0.1, 0.05), 9, "iou")
 
 
-@query()
+_LIVE = "STRUCT(id BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, last BIGINT)"
+_OVER = X.iou_sql("t", "d")
+
+
+@query(f"""WITH RECURSIVE {X.DET}, d AS (SELECT frame_idx // 1000 AS video_id, frame_idx, det_idx, x1, y1, x2, y2, row_number() OVER (PARTITION BY frame_idx // 1000 ORDER BY frame_idx, det_idx) AS k FROM det WHERE kind = 'person'),
+st AS (SELECT DISTINCT video_id, 0::BIGINT AS k, 0::BIGINT AS frame_idx, 0::BIGINT AS det_idx, 0::BIGINT AS track_id, 0::BIGINT AS top, []::{_LIVE}[] AS live FROM d
+UNION ALL SELECT video_id, k, frame_idx, det_idx, CASE WHEN pos IS NULL THEN top + 1 ELSE live[pos].id END, CASE WHEN pos IS NULL THEN top + 1 ELSE top END,
+    CASE WHEN pos IS NULL THEN list_append(live, struct_pack(id := top + 1, x1 := x1, y1 := y1, x2 := x2, y2 := y2, last := frame_idx)::{_LIVE})
+      ELSE list_transform(live, lambda t, i: CASE WHEN i = pos THEN struct_pack(id := t.id, x1 := x1, y1 := y1, x2 := x2, y2 := y2, last := frame_idx)::{_LIVE} ELSE t END) END
+  FROM (SELECT *, list_position(list_transform(live, lambda t: t.last <> frame_idx AND {_OVER.replace('d.', '')} > 0.3), true) AS pos
+    FROM (SELECT d.video_id, d.k, d.frame_idx, d.det_idx, d.x1, d.y1, d.x2, d.y2, top, list_filter(live, lambda t: d.frame_idx - t.last <= 500) AS live FROM st JOIN d ON d.video_id = st.video_id AND d.k = st.k + 1)))
+SELECT video_id, frame_idx, det_idx, track_id FROM st WHERE k > 0""")
 def iou_tracker(spark, sf_dir):
-    d = X.detections(spark, sf_dir).where("kind = 'person'").select((F.col("frame_idx") % 50).alias("video_id"), "frame_idx", F.col("det_idx").cast("int").alias("det_idx"), "bbox.*")
+    d = X.detections(spark, sf_dir).where("kind = 'person'").select(F.floor(F.col("frame_idx") / 1000).alias("video_id"), "frame_idx", F.col("det_idx").cast("int").alias("det_idx"), "bbox.*")
     return M.iou_tracks(d, ["video_id"], 0.3, 500)

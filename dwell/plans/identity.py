@@ -104,20 +104,67 @@ def dbscan_clusters(spark, sf_dir):
     return C.dbscan(X.vectors(spark, sf_dir), "sample_id", 0.7, 4)
 
 
-@query()
+@query(f"""WITH RECURSIVE {X.VEC}, o AS (SELECT track_id // 10 AS video_id, track_id, sample_id, u, row_number() OVER (PARTITION BY track_id // 10 ORDER BY sample_id) AS i FROM uv),
+pr AS (SELECT a.video_id, a.i, b.i AS j, 1 - list_dot_product(a.u, b.u) AS d FROM o a JOIN o b ON a.video_id = b.video_id AND a.i < b.i),
+st AS (SELECT video_id, list(i ORDER BY i) AS own, 0 AS step FROM o GROUP BY video_id
+UNION ALL SELECT video_id, list_transform(own, lambda x: CASE WHEN x = near.hi THEN near.lo ELSE x END), step + 1
+  FROM (SELECT video_id, any_value(own) AS own, any_value(step) AS step, arg_min({{'lo': lo, 'hi': hi}}, d) AS near, min(d) AS d
+    FROM (SELECT st.video_id, own, step, least(own[i], own[j]) AS lo, greatest(own[i], own[j]) AS hi, avg(d) AS d FROM st JOIN pr ON pr.video_id = st.video_id WHERE own[i] <> own[j] GROUP BY ALL) GROUP BY video_id) WHERE d <= 0.8),
+fin AS (SELECT video_id, arg_max(own, step) AS own FROM st GROUP BY video_id)
+SELECT o.video_id, sample_id, dense_rank() OVER (PARTITION BY o.video_id ORDER BY own[i]) - 1 AS cluster_id FROM o JOIN fin ON fin.video_id = o.video_id""")
 def agglomerative_clusters(spark, sf_dir):
     v = X.vectors(spark, sf_dir).withColumn("video_id", F.floor(F.col("track_id") / 10))
     return C.agglomerative(v, ["video_id"], "sample_id", 0.8)
 
 
-@query()
+_ADD = "list_transform(list_zip({a}, {b}), lambda z: z[1] + z[2])"
+_NORM = "greatest(sqrt(list_dot_product({x}, {x})), 1e-12::DOUBLE)"
+
+
+@query(f"""WITH RECURSIVE {X.VEC}, o AS (SELECT track_id, list_transform(v, lambda e: e / {_NORM.format(x='v')}) AS u, row_number() OVER (PARTITION BY track_id ORDER BY sample_id) AS k FROM vec),
+st AS (SELECT DISTINCT track_id, 0::BIGINT AS k, []::DOUBLE[][] AS sums, []::INT[] AS sizes FROM o
+UNION ALL SELECT track_id, k, CASE WHEN fits THEN list_transform(sums, lambda s, i: CASE WHEN i = pos THEN {_ADD.format(a='s', b='u')} ELSE s END) ELSE list_append(sums, u) END,
+    CASE WHEN fits THEN list_transform(sizes, lambda n, i: CASE WHEN i = pos THEN n + 1 ELSE n END) ELSE list_append(sizes, 1) END
+  FROM (SELECT *, list_position(sims, list_max(sims)) AS pos, coalesce(list_max(sims) >= 0.2, false) AS fits
+    FROM (SELECT st.track_id, o.k, sums, sizes, o.u, list_transform(sums, lambda s: list_dot_product(s, o.u) / {_NORM.format(x='s')}) AS sims FROM st JOIN o ON o.track_id = st.track_id AND o.k = st.k + 1)))
+SELECT track_id, len(sizes) AS leaders, CASE WHEN len(list_filter(sizes, lambda n: n >= 2)) > 0 THEN len(list_filter(sizes, lambda n: n >= 2)) ELSE len(sizes) END AS identities
+FROM (SELECT track_id, arg_max(sizes, k) AS sizes FROM st GROUP BY track_id)""")
 def leader_clusters(spark, sf_dir):
     return C.leader_clusters(X.vectors(spark, sf_dir), ["track_id"], "sample_id", 0.2, 2)
 
 
-@query()
+_NEAR_NOW = "CASE WHEN sizes[{n}] >= 3 THEN list_dot_product({c}, v) / (sqrt(list_dot_product({c}, {c})) * sqrt(list_dot_product(v, v)) + 1e-9) END"
+_MEAN = "list_transform(sums[now], lambda e: e / sizes[now])"
+_TOTAL = "list_reduce(list_transform({x}, lambda p: p.v), lambda a, b: " + _ADD.format(a="a", b="b") + ")"
+_SET = "list_transform({l}, lambda e, i: CASE WHEN i = {at} THEN {x} ELSE e END)"
+_HELD = "STRUCT(f BIGINT, v DOUBLE[])"
+_OUT = "STRUCT(f BIGINT, n BIGINT)"
+
+
+# the steps of a frame, one below the other: whether its similarity is taken; what it does to the quarantine; what is
+# let out of that, to whom; and last the frame itself, unless it waits
+@query(f"""WITH RECURSIVE {X.VEC}, o AS (SELECT sample_id // 200 AS byte_id, sample_id AS f, v, row_number() OVER (PARTITION BY sample_id // 200 ORDER BY sample_id) AS k FROM vec),
+st AS (SELECT byte_id, 0::BIGINT AS k, 1 AS now, [list_transform(any_value(v), lambda e: 0.0::DOUBLE)] AS sums, [0] AS sizes, [-16]::BIGINT[] AS last, []::{_HELD}[] AS held, 0 AS streak, 0 AS back, []::{_OUT}[] AS done FROM o GROUP BY byte_id
+UNION ALL SELECT byte_id, k, now, sums, sizes, last, held, streak, back, done FROM (
+  SELECT *EXCLUDE (now, sums, sizes, last, done), CASE WHEN splits THEN len(sums) + 1 ELSE now END AS now,
+    CASE WHEN waits THEN sums WHEN splits THEN list_append(sums, list_transform(v, lambda e: e * 2)) ELSE {_SET.format(l='sums', at='now', x=_ADD.format(a='e', b='v'))} END AS sums,
+    CASE WHEN waits THEN sizes WHEN splits THEN list_append(sizes, 2) ELSE {_SET.format(l='sizes', at='now', x='e + 1')} END AS sizes,
+    CASE WHEN splits THEN list_append(last, -16) ELSE last END AS last, CASE WHEN waits THEN done ELSE list_append(done, struct_pack(f := f, n := CASE WHEN splits THEN len(sums) ELSE now - 1 END)) END AS done
+  FROM (SELECT *, NOT waits AND coalesce(coalesce(sim, {_NEAR_NOW.format(n='now', c=_MEAN)}) < 0.0, false) AS splits FROM (
+    SELECT *EXCLUDE (sums, sizes, done, held, freed), CASE WHEN len(freed) = 0 THEN sums ELSE {_SET.format(l='sums', at='now', x=_ADD.format(a='e', b=_TOTAL.format(x='freed')))} END AS sums,
+      {_SET.format(l='sizes', at='now', x='e + len(freed)')} AS sizes, list_concat(done, list_transform(freed, lambda p: struct_pack(f := p.f, n := now - 1)::{_OUT})) AS done, CASE WHEN len(freed) > 0 THEN []::{_HELD}[] ELSE held END AS held
+    FROM (SELECT *EXCLUDE (now, sums, sizes, last, back), CASE WHEN opens THEN len(sums) + 1 ELSE now END AS now, CASE WHEN opens THEN list_append(sums, list_transform(v, lambda e: 0.0::DOUBLE)) ELSE sums END AS sums,
+        CASE WHEN opens THEN list_append(sizes, 0) ELSE sizes END AS sizes, CASE WHEN opens THEN list_append(last, f) ELSE last END AS last, CASE WHEN opens OR NOT asked OR (waits AND NOT far AND back >= 2) THEN 0 ELSE back END AS back,
+        CASE WHEN opens OR NOT asked OR (waits AND NOT far AND back >= 2) THEN held ELSE []::{_HELD}[] END AS freed
+      FROM (SELECT *EXCLUDE (streak), far AND streak >= 3 AS opens, CASE WHEN far AND streak >= 3 THEN 0 ELSE streak END AS streak FROM (
+        SELECT *EXCLUDE (held, streak, back, last), far OR (asked AND len(held) > 0) AS waits, CASE WHEN far OR (asked AND len(held) > 0) THEN list_append(held, struct_pack(f := f, v := v)::{_HELD}) ELSE held END AS held, CASE WHEN far THEN streak + 1 ELSE 0 END AS streak,
+          CASE WHEN far THEN 0 WHEN asked AND len(held) > 0 THEN CASE WHEN sim IS NULL THEN 2 WHEN sim >= 0.1 THEN back + 1 ELSE 0 END ELSE back END AS back, CASE WHEN asked THEN {_SET.format(l='last', at='now', x='f')} ELSE last END AS last
+        FROM (SELECT *, coalesce(sim < 0.05, false) AS far FROM (SELECT *, CASE WHEN asked THEN {_NEAR_NOW.format(n='now', c=_MEAN)} END AS sim FROM (
+          SELECT st.*EXCLUDE (k), o.k, o.f, o.v, sizes[now] < 3 OR o.f - last[now] >= 16 AS asked FROM st JOIN o ON o.byte_id = st.byte_id AND o.k = st.k + 1)))))))))),
+fin AS (SELECT byte_id, arg_max(list_concat(done, list_transform(held, lambda p: struct_pack(f := p.f, n := now - 1)::{_OUT})), k) AS done FROM st GROUP BY byte_id)
+SELECT byte_id, d.f AS frame_idx, d.n AS identity FROM (SELECT byte_id, unnest(done) AS d FROM fin)""")
 def identity_guard(spark, sf_dir):
-    v = X.vectors(spark, sf_dir).select((F.col("sample_id") % 8).alias("byte_id"), F.col("sample_id").alias("frame_idx"), "embedding")
+    v = X.vectors(spark, sf_dir).select(F.floor(F.col("sample_id") / 200).alias("byte_id"), F.col("sample_id").alias("frame_idx"), "embedding")
     return C.identity_guard(v, ["byte_id"], min_picks=3, stride=16, consecutive=3, reject=0.05, margin=0.05, recover=2, split_below=0.0)
 
 
@@ -133,7 +180,13 @@ def stitch_edges(spark, sf_dir):
     return rounded(rounded(e, 6, "iou", "sim"), 3, "gap_ms")
 
 
-@query()
+@query(f"""{'WITH RECURSIVE ' + _EDGE}, e2 AS (SELECT video_id, a, b, sim FROM ed WHERE iou >= 0.1 AND 1 - sim <= 0.98), od AS (SELECT video_id, list(piece ORDER BY start_ms, piece) AS ps FROM pieces GROUP BY video_id),
+nx AS (SELECT e2.video_id, a, list(b ORDER BY sim DESC, start_ms, b) AS bs FROM e2 JOIN pieces p ON p.video_id = e2.video_id AND p.piece = e2.b GROUP BY e2.video_id, a),
+st AS (SELECT video_id, 1 AS k, ps[1] AS now, 1 AS chain_id, 0 AS position, [ps[1]] AS used FROM od
+UNION ALL SELECT video_id, k + 1, coalesce(follows, fresh), CASE WHEN follows IS NULL THEN chain_id + 1 ELSE chain_id END, CASE WHEN follows IS NULL THEN 0 ELSE position + 1 END, list_append(used, coalesce(follows, fresh))
+  FROM (SELECT st.*, list_filter(coalesce(bs, []), lambda x: NOT list_contains(used, x))[1] AS follows, list_filter(ps, lambda x: NOT list_contains(used, x))[1] AS fresh
+    FROM st JOIN od ON od.video_id = st.video_id LEFT JOIN nx ON nx.video_id = st.video_id AND nx.a = st.now WHERE k < len(ps)))
+SELECT video_id, now AS track_id, chain_id, position FROM st""")
 def stitch_chains(spark, sf_dir):
     p = X.pieces(spark, sf_dir)
     return C.stitch_chains(p, C.stitch_edges(p, ["video_id"], _STITCH, 0.1, 0.98), ["video_id"])

@@ -153,12 +153,22 @@ def _matches(spark, sf_dir):
     return X.events(spark, sf_dir).select("track_id", F.col("event_id").alias("frame_idx"), F.col("label").alias("match"), "score")
 
 
-@query()
+_VOTES = f"""RECURSIVE {X.EVENTS}, x AS (SELECT track_id, event_id AS frame_idx, list_position({X.LABELS}, label) AS m, score, row_number() OVER (PARTITION BY track_id ORDER BY event_id) AS k FROM ev),
+st AS (SELECT DISTINCT track_id, 0::BIGINT AS k, 0::BIGINT AS frame_idx, [0, 0, 0, 0, 0]::DOUBLE[] AS v, NULL::INT AS lab, 0.0::DOUBLE AS score, NULL::INT AS cur, -1 AS num, NULL::INT AS rival, 0 AS streak FROM x
+UNION ALL SELECT track_id, k, frame_idx, v, CASE WHEN v[top] >= 1.2::DOUBLE * second AND (lab IS NULL OR v[top] >= v[lab] * (1 + 0.1::DOUBLE)) THEN top ELSE lab END, score,
+    CASE WHEN moves THEN m ELSE cur END, num + moves::INT, CASE WHEN moves OR m = cur THEN NULL ELSE m END, CASE WHEN moves OR m = cur THEN 0 ELSE again END
+  FROM (SELECT *, list_position(v, list_max(v)) AS top, list_reverse_sort(v)[2] AS second, cur IS NULL OR (m <> cur AND again >= 2 AND v[m] >= v[cur] + 0.05::DOUBLE) AS moves
+    FROM (SELECT st.track_id, x.k, x.frame_idx, list_transform(st.v, lambda a, i: a * 0.9::DOUBLE + CASE WHEN i = x.m THEN x.score ELSE 0.0::DOUBLE END) AS v, lab, x.score, cur, num, x.m, CASE WHEN rival = x.m THEN streak + 1 ELSE 1 END AS again
+      FROM st JOIN x ON x.track_id = st.track_id AND x.k = st.k + 1)))"""
+
+
+@query(f"WITH {_VOTES} SELECT track_id, frame_idx, {X.LABELS}[lab] AS label, round(score, 9) AS score FROM st WHERE lab IS NOT NULL")
 def vote_fold_labels(spark, sf_dir):
     return rounded(V.vote_labels(_matches(spark, sf_dir), _K, 0.9, 1.2, 0.1, 2, 0.05), 9, "score")
 
 
-@query()
+@query(f"""WITH {_VOTES}, g AS (SELECT track_id, num, any_value(cur) AS cur, min(frame_idx) AS start_frame, max(frame_idx) AS last, count(*) FILTER (WHERE lab = cur) AS n_scores, avg(score) FILTER (WHERE lab = cur) AS s FROM st WHERE num >= 0 GROUP BY track_id, num)
+SELECT track_id, num AS subtrack_id, {X.LABELS}[cur] AS label, start_frame, greatest(coalesce(lead(start_frame) OVER (PARTITION BY track_id ORDER BY num) - 1, last), start_frame) AS end_frame, n_scores, round(s, 6) AS avg_similarity FROM g""")
 def identity_splits(spark, sf_dir):
     subs = V.identity_splits(_matches(spark, sf_dir), _K, None, 0.9, 1.2, 0.1, 2, 0.05)
     return rounded(subs, 6, "avg_similarity")

@@ -49,13 +49,45 @@ def reject_counts(spark, sf_dir):
     return P.reject_counts(P.gate_reasons(rounded(X.candidates(spark, sf_dir), 9, "area_frac", "frontalness"), 0.003, 20.0, 0.15))
 
 
-@query()
+def _spaced(start: str, items: str, room: str) -> str:
+    """Items (structs with f, a frame) taken in order while there is room, 200 frames from all before."""
+    return f"list_reduce(list_transform({items}, lambda x: [x]), lambda acc, x: CASE WHEN {room} AND len(list_filter(acc, lambda y: abs(y.f - x[1].f) < 200)) = 0 THEN list_append(acc, x[1]) ELSE acc END, {start})"
+
+
+def _topped(start: str, items: str) -> str:
+    return f"list_concat({start}, list_filter({items}, lambda x: NOT list_contains({start}, x))[1:greatest(least_ - len({start}), 0)])"
+
+
+_NONE = "[]::STRUCT(i BIGINT, f BIGINT, q DOUBLE, s DOUBLE, p DOUBLE)[]"
+
+
+@query(f"""WITH {X.RANKED}, c AS (SELECT track_id, rank, frame_idx, quality, sharpness, frontalness, struct_pack(i := rank, f := frame_idx, q := quality, s := sharpness, p := frontalness) AS x FROM ranked WHERE rank <= 24),
+g AS (SELECT track_id, greatest(quantile_cont(sharpness, 0.3), 20.0) AS gate, min(rank) FILTER (WHERE frontalness >= 0.2) AS first FROM c GROUP BY track_id),
+d AS (SELECT c.*, gate, first, CASE WHEN sharpness < gate AND rank > first THEN 'rejected_sharpness' WHEN frontalness >= 0.2 THEN 'frontal' WHEN frontalness >= 0.1 THEN 'profile' ELSE 'rejected_frontalness' END AS kind FROM c JOIN g USING (track_id)),
+t0 AS (SELECT track_id, coalesce(list(x ORDER BY rank) FILTER (WHERE kind = 'frontal'), {_NONE}) AS el, coalesce(list(x ORDER BY quality DESC, sharpness DESC, rank) FILTER (WHERE kind = 'profile'), {_NONE}) AS pr, quantile_cont(frontalness, 0.6) FILTER (WHERE kind = 'frontal') AS level FROM d GROUP BY track_id),
+t1 AS (SELECT *, least(8, len(el) + least(2, len(pr))) AS wanted, least(4, 8, len(el) + least(2, len(pr))) AS least_ FROM t0),
+t2 AS (SELECT *, {_spaced(_NONE, 'el', 'len(acc) < wanted')} AS s1 FROM t1), t3 AS (SELECT *, {_topped('s1', 'el')} AS s2 FROM t2),
+t4 AS (SELECT *, {_spaced('s2', 'pr', 'len(acc) < wanted AND len(acc) - len(s2) < least(2, len(pr))')} AS s3 FROM t3), t5 AS (SELECT *, {_topped('s3', 'pr')} AS s4 FROM t4),
+t6 AS (SELECT *, list_reduce(list_transform(list_filter(el, lambda e: e.p >= level), lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.p >= level)) >= 3 OR list_contains(acc, x[1]) THEN acc
+  WHEN len(acc) < 8 THEN list_append(acc, x[1]) WHEN len(list_filter(acc, lambda y: y.p < level)) = 0 THEN acc
+  ELSE list_append(list_filter(acc, lambda z: z.i <> list_sort(list_transform(list_filter(acc, lambda y: y.p < level), lambda y: {{'q': -y.q, 'i': -y.i, 'n': y.i}}))[1].n), x[1]) END, s4) AS s5 FROM t5)
+SELECT track_id, frame_idx, quality, round(sharpness, 9) AS sharpness, round(frontalness, 9) AS frontalness, rank, list_contains(s5, x) AS picked,
+  CASE WHEN kind LIKE 'rejected%' THEN kind WHEN list_contains(s2, x) THEN 'picked' WHEN list_contains(s4, x) THEN 'picked_profile' WHEN list_contains(s5, x) THEN 'picked' WHEN kind = 'profile' THEN 'profile_pool'
+    WHEN sharpness < gate THEN 'picked_sharpness_floor' ELSE 'not_selected' END AS reason FROM d JOIN t6 USING (track_id)""")
 def full_sample_selection(spark, sf_dir):
     got = P.select_samples(X.candidates(spark, sf_dir), _K, 24, X.TIES, sharpness_pct=30.0, min_sharpness=20.0, min_frontalness=0.2, profile_quota=2, profile_floor=0.1, min_frontal=3, min_gap=200)
     return rounded(got, 9, "sharpness", "frontalness")
 
 
-@query()
+_TIES = ", ".join(X.TIES)
+
+
+@query(f"""WITH RECURSIVE {X.CAND}, o AS (SELECT track_id, frame_idx, l_linenumber, l_partkey, quality, [sharpness, frontalness * 10, area_frac * 1000] AS v,
+  row_number() OVER (PARTITION BY track_id ORDER BY quality DESC, frame_idx, {_TIES}, [sharpness, frontalness * 10, area_frac * 1000]) AS k FROM cand),
+st AS (SELECT DISTINCT track_id, 0::BIGINT AS k, []::DOUBLE[][] AS taken, false AS hit FROM o
+UNION ALL SELECT track_id, k, CASE WHEN hit THEN list_append(taken, v) ELSE taken END, hit
+  FROM (SELECT st.track_id, o.k, o.v, taken, len(list_filter(taken, lambda t: (abs(t[1] - o.v[1]) + abs(t[2] - o.v[2]) + abs(t[3] - o.v[3])) / 3 < 5)) = 0 AS hit FROM st JOIN o ON o.track_id = st.track_id AND o.k = st.k + 1 WHERE len(taken) < 10))
+SELECT track_id, len(taken) AS rank, frame_idx, l_linenumber, l_partkey, round(quality, 6) AS quality FROM st JOIN o USING (track_id, k) WHERE hit""")
 def seed_topn_dedup(spark, sf_dir):
     c = X.candidates(spark, sf_dir).withColumn("feature", F.array("sharpness", F.col("frontalness") * 10, F.col("area_frac") * 1000))
     return rounded(P.top_distinct(c, _K, "feature", 10, 5.0, ["frame_idx", *X.TIES]).select("track_id", "rank", "frame_idx", "l_linenumber", "l_partkey", "quality"), 6, "quality")

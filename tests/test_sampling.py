@@ -1,5 +1,3 @@
-import pandas as pd
-
 from dwell.operators import sampling as P
 
 SCHEMA = "track_id long, frame_idx long, quality double, sharpness double, frontalness double, area_frac double, tie long"
@@ -9,38 +7,36 @@ def cand(spark, rows):
     return spark.createDataFrame([(1, f, q, s, fr, 0.1, i) for i, (f, q, s, fr) in enumerate(rows)], SCHEMA)
 
 
-def pool(rows):
-    return pd.DataFrame(rows, columns=["frame_idx", "quality", "sharpness", "frontalness"])
+def choose(rows, **rules):
+    return P.choose(*(list(c) for c in zip(*rows, strict=True)), P.Rules(**rules)) if rows else P.choose([], [], [], [], P.Rules(**rules))
 
 
 def test_spacing(spark):
     rows = [(0, 0.95, 100.0, 0.9), (2, 0.94, 100.0, 0.9), (10, 0.92, 100.0, 0.9), (20, 0.80, 100.0, 0.9), (30, 0.60, 100.0, 0.9)]
     assert sorted(r.frame_idx for r in P.spaced(cand(spark, rows), ["track_id"], 3, 5, ["tie"]).collect()) == [0, 10, 20]
-    got = P.choose(pool(rows), samples_per_track=3, samples_min=3, min_gap=5)
-    assert got[got.picked].frame_idx.tolist() == [0, 10, 20]
+    picked, _ = choose(rows, samples_per_track=3, samples_min=3, min_gap=5)
+    assert [r[0] for r, p in zip(rows, picked, strict=True) if p] == [0, 10, 20]
 
 
 def test_reasons():
-    low = P.choose(pool([(0, 0.5, 100.0, 0.2)]), min_frontalness=0.6)
-    assert low.reason.tolist() == ["rejected_frontalness"] and not low.picked.any()
-    sharp = P.choose(pool([(0, 0.9, 200.0, 0.9), (50, 0.8, 50.0, 0.9)]), min_sharpness=100.0)
-    assert sharp.reason.tolist() == ["picked", "rejected_sharpness"]
-    first = P.choose(pool([(0, 0.9, 50.0, 0.9), (50, 0.8, 200.0, 0.9)]), min_sharpness=100.0)
-    assert first.reason.tolist() == ["picked_sharpness_floor", "picked"]
-    assert P.choose(pool([])).empty
+    assert choose([(0, 0.5, 100.0, 0.2)], min_frontalness=0.6) == ([False], ["rejected_frontalness"])
+    assert choose([(0, 0.9, 200.0, 0.9), (50, 0.8, 50.0, 0.9)], min_sharpness=100.0)[1] == ["picked", "rejected_sharpness"]
+    # blurred ones pass until one may be picked; who is picked is called so, who isn't keeps the reason of the floor
+    assert choose([(0, 0.9, 50.0, 0.9), (50, 0.8, 200.0, 0.9)], min_sharpness=100.0) == ([True, True], ["picked", "picked"])
+    assert choose([(0, 0.9, 50.0, 0.1), (9, 0.8, 50.0, 0.9), (10, 0.7, 200.0, 0.9)], min_sharpness=100.0, min_frontalness=0.5, profile_quota=1, samples_min=1, samples_per_track=0)[1] == ["profile_pool", "picked_sharpness_floor", "not_selected"]
+    assert choose([]) == ([], [])
 
 
 def test_profile_quota_lets_a_profile_in():
-    got = P.choose(pool([(0, 0.9, 100.0, 0.8), (50, 0.8, 100.0, 0.2)]), min_frontalness=0.5, profile_quota=1, profile_floor=0.1)
-    assert got.picked.tolist() == [True, True] and got.reason.tolist() == ["picked", "picked_profile"]
+    rows = [(0, 0.9, 100.0, 0.8), (50, 0.8, 100.0, 0.2), (90, 0.7, 100.0, 0.2)]
+    assert choose(rows, min_frontalness=0.5, profile_quota=1, profile_floor=0.1, samples_min=1) == ([True, True, False], ["picked", "picked_profile", "profile_pool"])
 
 
 def test_frontal_quota():
     rows = [(0, 0.95, 100.0, 0.3), (20, 0.94, 100.0, 0.2), (40, 0.93, 100.0, 0.15), (60, 0.5, 100.0, 0.9), (80, 0.4, 100.0, 0.8)]
-    got = P.choose(pool(rows), samples_per_track=4, samples_min=4, min_gap=5, min_frontal=2, frontal_pct=60.0)
-    assert got.picked.sum() == 4 and (got[got.picked].frontalness >= 0.8).sum() == 2
-    # the best of the others made room
-    assert not got.picked.tolist()[0]
+    picked, reason = choose(rows, samples_per_track=4, samples_min=4, min_gap=5, min_frontal=2, frontal_pct=60.0)
+    assert picked == [False, True, True, True, True]  # the best of the others made room
+    assert reason == ["picked"] * 5
 
 
 def test_pool_and_gates(spark):
