@@ -38,6 +38,11 @@ def iou(a: Column, b: Column) -> Column:
     return F.when((inter > 0) & (union > 0), inter / union).otherwise(0.0)
 
 
+def meet(a: Column, b: Column) -> Column:
+    """Whether boxes share more than an edge; cheap to ask before ``iou``."""
+    return (F.least(a.x2, b.x2) > F.greatest(a.x1, b.x1)) & (F.least(a.y2, b.y2) > F.greatest(a.y1, b.y1))
+
+
 def dilate(b: Column, fraction: float, width: Number, height: Number) -> Column:
     """Grown by a fraction of its sides on each side and clipped to the frame; as it is for a fraction of 0 or less."""
     if fraction <= 0:

@@ -11,51 +11,82 @@ from pyspark.sql import functions as F
 
 from dwell.config import DEFAULT as C
 from dwell.functions.vectors import doubles, unit
-from dwell.operators.graph import connected
+from dwell.operators.graph import connected, cut, forest
 from dwell.operators.numbering import numbered
 
 
-def near_pairs(samples: DataFrame, sample: str, at_least: float, block: int = 2048) -> DataFrame:
-    """Pairs a < b with cosine at or above ``at_least``, compared in blocks of vectors multiplied as matrices.
+def _in_blocks(rows: DataFrame, block: int, compare, schema: str) -> DataFrame:
+    """``compare(first, second, own)`` of the vectors (id, u, core) of each pair of blocks; ``own`` where they are one.
 
-    Each vector goes to the tasks of all pairs of its block: the volume is that of n²/2 comparisons in blocks, and
-    only near pairs come out.
+    A vector goes to the tasks of all pairs of its block: the volume is that of n²/2 comparisons in blocks of
+    ``block`` vectors.
     """
-    n = samples.count()
-    blocks = max(1, -(-n // block))
-    rows = samples.select(F.col(sample).cast("long").alias("id"), unit(doubles(F.col("embedding"))).alias("u"), F.pmod(F.xxhash64(sample), F.lit(blocks)).cast("int").alias("b"))
-    dealt = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("lo", F.least("b", "o")).withColumn("hi", F.greatest("b", "o")).drop("o")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        first, second = pdf[pdf["b"] == pdf["lo"]], pdf[pdf["b"] == pdf["hi"]]
-        out = []
-        x, y = np.stack(first["u"].to_numpy()) if len(first) else None, np.stack(second["u"].to_numpy()) if len(second) else None
-        if x is None or y is None:
-            return pd.DataFrame({"a": [], "b": [], "sim": []})
-        own = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
-        for k in range(0, len(x), 512):
-            s = x[k : k + 512] @ y.T
-            i, j = np.nonzero(s >= at_least)
-            a, b = first["id"].to_numpy()[k + i], second["id"].to_numpy()[j]
-            keep = a < b if own else np.ones(len(a), bool)
-            out.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "sim": s[i, j][keep]}))
-        return pd.concat(out, ignore_index=True)
-
-    return dealt.groupBy("lo", "hi").applyInPandas(compare, "a long, b long, sim double")
-
-
-def dbscan(samples: DataFrame, sample: str, eps: float, min_samples: int) -> DataFrame:
+    blocks = max(1, -(-rows.count() // block))
+    dealt = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.withColumn("lo", F.least("b", "o")).withColumn("hi", F.greatest("b", "o")).drop("o")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, second = (pdf[pdf["b"] == pdf[side].iloc[0]] for side in ("lo", "hi"))
+        return compare(first, second, pdf["lo"].iloc[0] == pdf["hi"].iloc[0])
+
+    return dealt.groupBy("lo", "hi").applyInPandas(run, schema)
+
+
+def _near(first: pd.DataFrame, second: pd.DataFrame, own: bool, at_least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of near pairs in both, each pair once, some rows at a time."""
+    if not len(first) or not len(second):
+        return
+    x, y = np.stack(first["u"].to_numpy()), np.stack(second["u"].to_numpy())
+    for k in range(0, len(x), 512):
+        i, j = np.nonzero(x[k : k + 512] @ y.T >= at_least)
+        i = i + k
+        yield (i[i < j], j[i < j]) if own else (i, j)
+
+
+def neighbours(rows: DataFrame, at_least: float, block: int = 2048) -> DataFrame:
+    """(id, n): how many others have a cosine of ``at_least`` with each vector that has any. Sums leave a task, no pairs."""
+
+    def compare(first: pd.DataFrame, second: pd.DataFrame, own: bool) -> pd.DataFrame:
+        a, b = np.zeros(len(first), np.int64), np.zeros(len(second), np.int64)
+        for i, j in _near(first, second, own, at_least):
+            a += np.bincount(i, minlength=len(a))
+            b += np.bincount(j, minlength=len(b))
+        return pd.DataFrame({"id": np.concatenate([first["id"], second["id"]]), "n": np.concatenate([a, b])}).query("n > 0")
+
+    return _in_blocks(rows, block, compare, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def density_links(rows: DataFrame, at_least: float, block: int = 2048) -> DataFrame:
+    """(a, b, border) of vectors with a flag ``core``: links that connect the same core vectors as all near pairs do, as
+    a forest for each task; and each near pair (a, b) of one that is not core with one that is. Of the latter a vector
+    has few, or it would be core itself."""
+
+    def compare(first: pd.DataFrame, second: pd.DataFrame, own: bool) -> pd.DataFrame:
+        links, border = [np.zeros((2, 0), np.int64)], [np.zeros((2, 0), np.int64)]
+        ids, core = [x["id"].to_numpy() for x in (first, second)], [x["core"].to_numpy() for x in (first, second)]
+        for i, j in _near(first, second, own, at_least):
+            a, b, ca, cb = ids[0][i], ids[1][j], core[0][i], core[1][j]
+            links.append(np.stack(forest(a[ca & cb], b[ca & cb])))
+            border += [np.stack([a[~ca & cb], b[~ca & cb]]), np.stack([b[ca & ~cb], a[ca & ~cb]])]
+        found = [np.concatenate(links, axis=1), np.concatenate(border, axis=1)]
+        found[0] = np.stack(forest(*found[0]))
+        return pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found]), "border": np.repeat([False, True], [f.shape[1] for f in found])})
+
+    return _in_blocks(rows, block, compare, "a long, b long, border boolean")
+
+
+def dbscan(samples: DataFrame, sample: str, eps: float, min_samples: int, block: int = 2048) -> DataFrame:
     """(sample, cluster_id): core samples have ``min_samples`` neighbours within cosine distance eps, themselves
     included; border samples join their least core cluster; each noise sample gets an id of its own after the others.
     """
     ids = samples.select(F.col(sample).cast("long").alias("id"))
-    pairs = near_pairs(samples, sample, 1 - eps).select("a", "b").persist()
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    core = both.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") + 1 >= min_samples).select(F.col("a").alias("id")) if min_samples > 1 else ids
-    links = pairs.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
-    own = core.join(connected(links), core.id == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
-    border = both.join(core.select(F.col("id").alias("a")), "a", "left_anti").join(own.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("root")).withColumnRenamed("a", "id")
+    rows = cut(samples.select(F.col(sample).cast("long").alias("id"), unit(doubles(F.col("embedding"))).alias("u")))
+    counts = neighbours(rows, 1 - eps, block)
+    flagged = cut(rows.join(counts, "id", "left").withColumn("core", F.coalesce("n", F.lit(0)) + 1 >= min_samples).drop("n"))
+    links = cut(density_links(flagged, 1 - eps, block))
+    own = flagged.where("core").select("id").join(connected(links.where("NOT border").select("a", "b")).withColumnRenamed("node", "id"), "id", "left")
+    own = cut(own.select("id", F.coalesce("root", "id").alias("root")))
+    border = links.where("border").join(own.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("root")).withColumnRenamed("a", "id")
     placed = own.unionByName(border)
     # clusters are numbered by their least core sample
     numbers = numbered(own.select("root").distinct(), "root", "cluster_id")
@@ -250,15 +281,3 @@ def identity_guard(samples: DataFrame, keys: list[str], **rules) -> DataFrame:
         return pdf[[*keys, "frame_idx"]].assign(identity=guard(pdf["frame_idx"].to_numpy(), np.stack(pdf["embedding"].to_numpy()).astype(float), **rules))
 
     return samples.select(*keys, "frame_idx", "embedding").groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*keys, "frame_idx"]) + ", identity int")
-
-
-def batches(rows: Iterator, size: int) -> Iterator[list]:
-    """Lists of up to ``size`` items."""
-    out = []
-    for r in rows:
-        out.append(r)
-        if len(out) == size:
-            yield out
-            out = []
-    if out:
-        yield out

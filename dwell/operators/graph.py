@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +23,48 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def connected(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(node, root): root is the least node of the component. Least roots go along edges and roots are jumped, so
-    rounds grow with the logarithm of the longest path in most graphs."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = cut(both)
+#: Edges that one task may hold: 16 bytes each.
+FEW_EDGES = 1_000_000
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning star of each component of the edges (a[i], b[i]): (node, least node), the least itself left out."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[u], root[v])
+        new = root.copy()
+        np.minimum.at(new, root[u], low)
+        np.minimum.at(new, root[v], low)
+        while True:
+            jumped = new[new]
+            if np.array_equal(jumped, new):
+                break
+            new = jumped
+        if np.array_equal(new, root):
+            break
+        root = new
+    more = root != np.arange(len(nodes))
+    return nodes[more], nodes[root[more]]
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(b["a"].to_numpy(), b["b"].to_numpy()) for b in batches]
+    if parts:
+        node, root = forest(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        own = np.unique(root)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node, own])), pa.array(np.concatenate([root, own]))], names=["node", "root"])
+
+
+def connected(edges: DataFrame, max_rounds: int = 200, few: int = FEW_EDGES) -> DataFrame:
+    """(node, root): root is the least node of the component. Few edges, as counted, are settled in one task. Otherwise
+    least roots go along edges and roots are jumped, so rounds grow with the logarithm of the longest path in most
+    graphs."""
+    once = cut(edges.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).where("a <> b").distinct())
+    if once.count() <= few:
+        return once.repartition(1).mapInArrow(_settled, "node long, root long")
+    both = once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b")))
     roots = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root"))
     roots = cut(roots)
     for _ in range(max_rounds):

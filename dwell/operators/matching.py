@@ -9,19 +9,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from dwell.functions import geometry as G
-from dwell.functions.vectors import doubles, dot, unit
+from dwell.functions.vectors import doubles
+from dwell.operators.folds import in_order, kinds, runs
 
 
 def pairs(faces: DataFrame, tracks: DataFrame, frame: list[str], dilate: float, width: float, height: float, least: float) -> DataFrame:
     """Faces (face_idx, face_box) with tracks (track_idx, track_id, track_box) of their frame, at ``least`` IoU with
-    the dilated box or more."""
-    overlap = G.iou(F.col("face_box"), G.dilate(F.col("track_box"), dilate, width, height))
-    return faces.join(tracks, frame).withColumn("iou", overlap).where((F.col("iou") >= least) & (F.col("iou") > 0))
+    the dilated box or more. Boxes are dilated once a track, and only boxes that meet are divided."""
+    grown = tracks.withColumn("grown", G.dilate(F.col("track_box"), dilate, width, height))
+    near = faces.join(grown, frame).where(G.meet(F.col("face_box"), F.col("grown")))
+    return near.withColumn("iou", G.iou(F.col("face_box"), F.col("grown"))).drop("grown").where((F.col("iou") >= least) & (F.col("iou") > 0))
 
 
 def greedy_faces(matches: DataFrame, frame: list[str]) -> DataFrame:
@@ -30,17 +34,27 @@ def greedy_faces(matches: DataFrame, frame: list[str]) -> DataFrame:
     return matches.groupBy(*frame, "face_idx").agg(best.alias("m")).select(*frame, "face_idx", "m.track_id", "m.iou")
 
 
-def recent_boxes(observations: DataFrame, frame: str, tolerance: int) -> DataFrame:
-    """Each observation at its own and the ``tolerance`` next frames, so that a range join becomes an equi-join."""
-    return observations.withColumn("seen_frame", F.col(frame)).withColumn(frame, F.explode(F.sequence(F.col(frame), F.col(frame) + tolerance)))
+def temporal_faces(
+    faces: DataFrame, observations: DataFrame, frame: str, track: list[str], tolerance: int, dilate: float, width: float, height: float, least: float, digits: int | None = None, video: list[str] | None = None
+) -> DataFrame:
+    """Each face's best track among those observed in its frame, over the boxes that the track's live fragment had in
+    the last ``tolerance`` frames: the larger overlap first (compared at ``digits`` digits), then the earlier track of
+    the frame, then the later box.
 
-
-def temporal_faces(faces: DataFrame, observations: DataFrame, frame: str, tolerance: int, dilate: float, width: float, height: float, least: float) -> DataFrame:
-    """Each face's best track over the track's last frames, the larger overlap first, then the later frame."""
-    near = pairs(faces, recent_boxes(observations, frame, tolerance), [frame], dilate, width, height, least)
-    key = F.struct(-F.col("iou"), -F.col("seen_frame"), F.col("track_idx"))
-    best = F.min_by(F.struct("track_id", "iou", "seen_frame"), key)
-    return near.groupBy(frame, "face_idx").agg(best.alias("m")).select(frame, "face_idx", "m.track_id", "m.iou", "m.seen_frame")
+    ``track`` names the columns of a fragment (``segments.fragments``), so that a track that was away brings no old
+    boxes along. A window gives each observation the few boxes it has, and faces meet observations by frame.
+    """
+    w = Window.partitionBy(*track).orderBy(frame).rangeBetween(-tolerance, 0)
+    seen = F.struct(F.col(frame).alias("seen_frame"), G.dilate(F.col("track_box"), dilate, width, height).alias("box"))
+    recent = observations.withColumn("boxes", F.collect_list(seen).over(w)).drop("track_box")
+    each = faces.join(recent, [*(video or []), frame]).withColumn("seen", F.explode("boxes")).drop("boxes")
+    near = each.where(G.meet(F.col("face_box"), F.col("seen.box"))).withColumn("iou", G.iou(F.col("face_box"), F.col("seen.box")))
+    if digits is not None:
+        near = near.withColumn("iou", F.round("iou", digits))
+    key = F.struct(-F.col("iou"), F.col("track_idx"), -F.col("seen.seen_frame"))
+    best = F.min_by(F.struct("track_id", "iou", F.col("seen.seen_frame").alias("seen_frame")), key)
+    found = near.where((F.col("iou") >= least) & (F.col("iou") > 0)).groupBy(*(video or []), frame, "face_idx").agg(best.alias("m"))
+    return found.select(*(video or []), frame, "face_idx", "m.track_id", "m.iou", "m.seen_frame")
 
 
 def best_face_per_track(matches: DataFrame, frame: list[str]) -> DataFrame:
@@ -87,21 +101,36 @@ def assignment(cost: np.ndarray) -> np.ndarray:
 def optimal_faces(matches: DataFrame, frame: list[str]) -> DataFrame:
     """The one-to-one matching of each frame with the most pairs, and of those the largest total overlap, over the given
     pairs; of equal ones that of the least sum of a face's place by its track's place squared. A frame's
-    pairs are few: each frame is one small group of an Arrow function."""
-    kinds = {f.name: f.dataType.simpleString() for f in matches.schema}
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        faces, i = np.unique(pdf["face_idx"], return_inverse=True)
-        tracks, j = np.unique(pdf["track_idx"], return_inverse=True)
-        n = max(len(tracks), len(faces))
-        cost = np.full((len(faces), n), n + 1.0)
-        np.minimum.at(cost, (i, j), 1e-10 / n**4 * (i + 1) * (j + 1) ** 2 - pdf["iou"].to_numpy())
-        col = assignment(cost)
-        out = pdf[col[i] == j].sort_values("iou", ascending=False, kind="stable")
-        return out.drop_duplicates([*frame, "face_idx"])[[*frame, "face_idx", "track_id", "iou"]]
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*frame, "face_idx", "track_id", "iou"])
-    return matches.select(*frame, "face_idx", "track_idx", "track_id", "iou").groupBy(*frame).applyInPandas(solve, schema)
+    pairs are few: each frame is solved when its rows have passed."""
+    rows = matches.select(*frame, "face_idx", "track_idx", "track_id", "iou")
+
+    def solve(faces: np.ndarray, tracks: np.ndarray, iou: np.ndarray) -> np.ndarray:
+        """Places of the matched pairs."""
+        places, i = np.unique(faces, return_inverse=True)
+        columns, j = np.unique(tracks, return_inverse=True)
+        n = max(len(columns), len(places))
+        cost = np.full((len(places), n), n + 1.0)
+        best = np.lexsort((-iou, j, i))  # of several overlaps of a pair the largest
+        first = best[np.flatnonzero(np.diff(i[best] * n + j[best], prepend=-1))]
+        cost[i[first], j[first]] = 1e-10 / n**4 * (i[first] + 1) * (j[first] + 1) ** 2 - iou[first]
+        return first[assignment(cost)[i[first]] == j[first]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def matched() -> pa.RecordBatch:
+            one = pa.concat_batches(held)
+            return one.take(pa.array(solve(*(one[c].to_numpy() for c in ("face_idx", "track_idx", "iou"))))).drop_columns(["track_idx"])
+
+        for new, part in runs(batches, len(frame)):
+            if new and held:
+                yield matched()
+                held.clear()
+            held.append(part)
+        if held:
+            yield matched()
+
+    return in_order(rows, frame, "face_idx", "track_idx").mapInArrow(run, kinds(rows, *frame, "face_idx", "track_id", "iou"))
 
 
 def center_fallback(faces: DataFrame, tracks: DataFrame, frame: list[str], unique_only: bool = True) -> DataFrame:
@@ -138,15 +167,49 @@ def recall_pass(faces: DataFrame, tracks: DataFrame, frame: list[str], taken: Da
     return left.select(*frame, "face_idx").join(first, [*frame, "face_idx"], "left").withColumn("reason", F.when(F.col("track_id").isNull(), "rejected_low_iou").otherwise("recall"))
 
 
+#: Numbers that a bank may hold to be sent to every task: 8 bytes each.
+BANK_NUMBERS = 8_000_000
+
+
 def knn(samples: DataFrame, bank: DataFrame, k: int) -> DataFrame:
-    """The ``k`` bank labels of highest cosine for each sample (column embedding). The bank has one row a label and
-    is broadcast by its caller's leave; ties go to the smaller label."""
-    scored = samples.withColumn("u", unit(doubles(F.col("embedding")))).join(F.broadcast(bank.select("label", F.col("embedding").alias("centre")).withColumnRenamed("label", "match")), F.lit(True))
-    scored = scored.withColumn("score", dot(F.col("u"), F.col("centre"))).drop("u", "centre", "embedding")
-    top = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), F.col("match")))), 1, k)
-    keys = [c for c in scored.columns if c not in ("match", "score")]
-    ranked = scored.groupBy(*keys).agg(top.alias("top")).select(*keys, F.posexplode("top").alias("pos", "t"))
-    return ranked.select(*keys, (F.col("pos") + 1).alias("rank"), F.col("t.match").alias("match"), (-F.col("t.neg")).alias("score"))
+    """The ``k`` bank labels of highest cosine for each sample (column embedding); ties, at 12 digits, go to the smaller
+    label.
+
+    The bank has one row a label. Its size is counted, and it goes to every task in parts of a bounded number of
+    vectors; a part keeps its best ``k`` for a sample, and only those are compared between parts.
+    """
+    columns = [c for c in samples.columns if c != "embedding"]
+    rows = samples.withColumn("__v", doubles(F.col("embedding"))).drop("embedding").withColumn("__id", F.monotonically_increasing_id())
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name != "__v"), T.StructField("rank", T.IntegerType()), T.StructField("match", bank.schema["label"].dataType), T.StructField("score", T.DoubleType())])
+    labels, width = bank.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    parts = max(1, -(-labels * max(width or 0, 1) // BANK_NUMBERS))
+    found = []
+    for part in range(parts):
+        own = bank.where(F.pmod(F.xxhash64("label"), F.lit(parts)) == part).orderBy("label").toPandas()
+        centres = np.stack(own["embedding"].to_numpy()).astype(float) if len(own) else np.zeros((0, 1))
+        shared = samples.sparkSession.sparkContext.broadcast((own["label"].tolist(), centres))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, c = shared.value
+            top = min(k, len(names))
+            for batch in batches:
+                v = np.array([x if x is not None else [np.nan] * c.shape[1] for x in batch["__v"].to_pylist()], float).reshape(batch.num_rows, -1)
+                length = np.linalg.norm(v, axis=1, keepdims=True)
+                score = np.round(np.where(length < 1e-6, v, v / np.maximum(length, 1e-300)) @ c.T, 12) if top else np.zeros((len(v), 0))
+                best = np.argsort(-score, axis=1, kind="stable")[:, :top]
+                again = batch.drop_columns(["__v"]).take(pa.array(np.repeat(np.arange(len(v)), top)))
+                label = pa.array([names[j] for j in best.ravel().tolist()], again.schema.field(0).type if not len(names) else None)
+                rank = pa.array(np.tile(np.arange(1, top + 1, dtype=np.int32), len(v)))
+                yield pa.RecordBatch.from_arrays([*again.columns, rank, label, pa.array(np.take_along_axis(score, best, 1).ravel())], names=schema.names)
+
+        found.append(rows.mapInArrow(run, schema))
+    scored = found[0]
+    for more in found[1:]:
+        scored = scored.unionByName(more)
+    if parts > 1:
+        w = Window.partitionBy("__id").orderBy(F.desc("score"), "match")
+        scored = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.select(*columns, "rank", "match", "score")
 
 
 def best_match(ranked: DataFrame, keys: list[str], threshold: float, min_margin: float, overrides: dict[str, float] | None = None) -> DataFrame:

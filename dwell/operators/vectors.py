@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,13 +31,6 @@ def centroid_similarity(samples: DataFrame, keys: list[str]) -> DataFrame:
     return plain.join(mean_by(plain, keys, "v", "mean").drop("n"), keys).withColumn("similarity", safe_cosine(F.col("v"), F.col("mean"))).drop("v", "mean", "embedding")
 
 
-def pairwise(samples: DataFrame, keys: list[str], sample: str) -> DataFrame:
-    """Cosines of all ordered pairs within a group of bounded size, such as the selected samples of a track; the
-    vectors are scaled once, before the join."""
-    scaled = samples.select(*keys, F.col(sample).alias("a"), unit(doubles(F.col("embedding"))).alias("va"))
-    return scaled.join(scaled.withColumnsRenamed({"a": "b", "va": "vb"}), keys).select(*keys, "a", "b", dot(F.col("va"), F.col("vb")).alias("sim"))
-
-
 def medoids(samples: DataFrame, keys: list[str], sample: str) -> DataFrame:
     """The sample of the least summed cosine distance, the first on a tie. As the distances to a group sum to
     n minus the dot product with the sum of its unit vectors, no pairs are made."""
@@ -62,10 +57,35 @@ def purity(similarities: DataFrame, track: str, byte_id: str) -> DataFrame:
     return per.join(splits, F.col(byte_id).eqNullSafe(F.col("b"))).drop("b")
 
 
-def cluster_quality(samples: DataFrame, cluster: str, sample: str) -> DataFrame:
+def cluster_quality(samples: DataFrame, cluster: str, sample: str, block: int = 2048) -> DataFrame:
     """Pairwise similarity within clusters: number, mean, least, most, population variance; 1, 1, 1 and 0 for a
-    single sample."""
-    pairs = pairwise(samples, [cluster], sample).where("a < b")
-    stats = pairs.groupBy(cluster).agg(F.count(F.lit(1)).alias("pairs"), F.avg("sim").alias("mean_sim"), F.min("sim").alias("min_sim"), F.max("sim").alias("max_sim"), F.var_pop("sim").alias("var_sim"))
+    single sample.
+
+    A cluster is cut into blocks, and each pair of blocks is a group of its own: it multiplies its vectors and sends
+    five numbers, so no pair is sent and no group grows with its cluster.
+    """
     sizes = samples.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))
-    return sizes.join(stats, cluster, "left").fillna({"pairs": 0, "mean_sim": 1.0, "min_sim": 1.0, "max_sim": 1.0, "var_sim": 0.0})
+    counted = sizes.select(F.col(cluster).alias("__of"), F.ceil(F.col("size") / block).cast("long").alias("__blocks"))
+    rows = samples.select(F.col(cluster).alias("__cluster"), unit(doubles(F.col("embedding"))).alias("u"), F.xxhash64(sample).alias("h"))
+    rows = rows.join(counted, F.col("__cluster").eqNullSafe(F.col("__of"))).withColumn("b", F.pmod("h", F.col("__blocks"))).drop("__of", "h")
+    dealt = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1))).withColumn("lo", F.least("b", "o")).withColumn("hi", F.greatest("b", "o"))
+    kind = samples.schema[cluster].dataType.simpleString()
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+        x, y = (np.stack(side.to_numpy()) if len(side) else np.zeros((0, 1)) for side in (pdf["u"][pdf["b"] == lo], pdf["u"][pdf["b"] == hi]))
+        out = []
+        for k in range(0, len(x) if len(y) else 0, 512):
+            s = x[k : k + 512] @ y.T
+            s = s[np.triu_indices(len(s), k + 1, len(y))] if lo == hi else s.ravel()
+            if len(s):
+                out.append((pdf["__cluster"].iloc[0], len(s), s.sum(), (s**2).sum(), s.min(), s.max()))
+        return pd.DataFrame(out, columns=["c", "n", "total", "squares", "least", "most"])
+
+    parts = dealt.select("__cluster", "lo", "hi", "b", "u").groupBy("__cluster", "lo", "hi").applyInPandas(compare, f"c {kind}, n long, total double, squares double, least double, most double")
+    mean = F.sum("total") / F.sum("n")
+    stats = parts.groupBy(F.col("c").alias("__c")).agg(
+        F.sum("n").alias("pairs"), mean.alias("mean_sim"), F.min("least").alias("min_sim"), F.max("most").alias("max_sim"), F.greatest(F.sum("squares") / F.sum("n") - mean * mean, F.lit(0.0)).alias("var_sim")
+    )
+    both = sizes.join(stats, F.col(cluster).eqNullSafe(F.col("__c")), "left").drop("__c")
+    return both.fillna({"pairs": 0, "mean_sim": 1.0, "min_sim": 1.0, "max_sim": 1.0, "var_sim": 0.0})

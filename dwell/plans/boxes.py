@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dwell.functions import geometry as G
 from dwell.operators import matching as M
+from dwell.operators import segments as S
 from dwell.plans import fixtures as X
 from dwell.plans.base import query, rounded
 
@@ -84,13 +85,14 @@ def face_tiebreak(spark, sf_dir):
     return M.best_face_per_track(_matches(spark, sf_dir), _FRAME)
 
 
-@query(f"""WITH {X.DET}, near AS (SELECT f.frame_idx, f.face_idx, p.track_idx, p.track_id, p.frame_idx AS seen_frame, round({X.iou_sql('f', 'p', _GROW)}, 9) AS iou FROM face f JOIN person p ON p.frame_idx BETWEEN f.frame_idx - 3 AND f.frame_idx)
-SELECT frame_idx, face_idx, track_id, iou, seen_frame FROM (SELECT *, row_number() OVER (PARTITION BY frame_idx, face_idx ORDER BY iou DESC, seen_frame DESC, track_idx) AS rn FROM near WHERE iou >= 0.05) WHERE rn = 1""")
+@query(f"""WITH {X.DET}, gp AS (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY track_id ORDER BY frame_idx) > 1 THEN 1 ELSE 0 END AS gap FROM person),
+live AS (SELECT *, sum(gap) OVER (PARTITION BY track_id ORDER BY frame_idx) AS fragment FROM gp),
+near AS (SELECT f.frame_idx, f.face_idx, p.track_idx, p.track_id, h.frame_idx AS seen_frame, round({X.iou_sql('f', 'h', _GROW)}, 9) AS iou FROM face f JOIN live p ON p.frame_idx = f.frame_idx
+  JOIN live h ON h.track_id = p.track_id AND h.fragment = p.fragment AND h.frame_idx BETWEEN f.frame_idx - 3 AND f.frame_idx)
+SELECT frame_idx, face_idx, track_id, iou, seen_frame FROM (SELECT *, row_number() OVER (PARTITION BY frame_idx, face_idx ORDER BY iou DESC, track_idx, seen_frame DESC) AS rn FROM near WHERE iou >= 0.05) WHERE rn = 1""")
 def temporal_face_match(spark, sf_dir):
-    near = M.pairs(X.faces(spark, sf_dir), M.recent_boxes(X.persons(spark, sf_dir), "frame_idx", 3), _FRAME, _GROW, _W, _H, 0.0)
-    near = rounded(near, 9, "iou").where("iou >= 0.05")
-    best = F.min_by(F.struct("track_id", "iou", "seen_frame"), F.struct(-F.col("iou"), -F.col("seen_frame"), F.col("track_idx")))
-    return near.groupBy("frame_idx", "face_idx").agg(best.alias("m")).select("frame_idx", "face_idx", "m.*")
+    live = S.fragments(X.persons(spark, sf_dir), ["track_id"])
+    return M.temporal_faces(X.faces(spark, sf_dir), live, "frame_idx", ["track_id", "fragment_id"], 3, _GROW, _W, _H, 0.05, digits=9)
 
 
 @query(f"""{_M.replace('WITH', 'WITH RECURSIVE', 1)}, fc AS (SELECT frame_idx, face_idx, row_number() OVER (PARTITION BY frame_idx ORDER BY face_idx) AS k FROM (SELECT DISTINCT frame_idx, face_idx FROM m)),

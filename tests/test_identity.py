@@ -33,11 +33,48 @@ def test_centroids_and_knn(spark, samples):
     assert all(r.match == r.label and r["rank"] == 1 for r in top) and len(top) == 24
 
 
+def test_banks_in_parts_and_clusters_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(f"L{k % 5}" if k % 7 else None, k // 5, k, [float(x) for x in rng.normal(size=6)]) for k in range(90)]
+    s = spark.createDataFrame(rows, SCHEMA)
+    bank = V.facebank(s.where("label is not null"))
+    whole = sorted(map(tuple, M.knn(s, bank, 3).select("sample_id", "rank", "match", "score").collect()))
+    monkeypatch.setattr(M, "BANK_NUMBERS", 12)
+    assert sorted(map(tuple, M.knn(s, bank, 3).select("sample_id", "rank", "match", "score").collect())) == whole and len(whole) == 270
+    assert M.knn(s, bank.limit(0), 3).count() == 0 and M.knn(s.limit(0), bank, 3).count() == 0
+    u = np.array([r[3] for r in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for r in V.cluster_quality(s, "label", "sample_id", block=4).collect():
+        own = u[[k for k, x in enumerate(rows) if x[0] == r.label]]
+        sims = (own @ own.T)[np.triu_indices(len(own), 1)]
+        assert (r.size, r.pairs) == (len(own), len(sims))
+        assert [r.mean_sim, r.min_sim, r.max_sim, r.var_sim] == pytest.approx([sims.mean(), sims.min(), sims.max(), sims.var()])
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_density_clusters_in_blocks(spark, block):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(4, 6))
+    v = np.concatenate([centres[k % 4] + 0.25 * rng.normal(size=6) for k in range(60)] + [rng.normal(size=6) for _ in range(20)]).reshape(-1, 6)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u @ u.T >= 1 - 0.08
+    core = near.sum(1) >= 4
+    root = np.arange(80)
+    for _ in range(80):
+        root = np.array([min([root[i], *(root[j] for j in range(80) if near[i, j] and core[j])]) if core[i] else i for i in range(80)])
+    for i in np.flatnonzero(~core):
+        root[i] = min((root[j] for j in range(80) if near[i, j] and core[j]), default=1000 + i)
+    got = {r.sample_id: r.cluster_id for r in C.dbscan(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "sample_id long, embedding array<double>"), "sample_id", 0.08, 4, block).collect()}
+    order = {r: n for n, r in enumerate(sorted(set(root.tolist())))}
+    assert got == {k: order[r] for k, r in enumerate(root.tolist())}
+
+
 def test_medoid_agrees_with_pairs(samples):
-    pairs = V.pairwise(samples, ["track_id"], "sample_id")
-    best = {}
-    for r in pairs.groupBy("track_id", "a").agg(F.sum(1 - F.col("sim")).alias("c")).collect():
-        best[r.track_id] = min(best.get(r.track_id, (math.inf, 0)), (round(r.c, 9), r.a))
+    rows, best = samples.collect(), {}
+    u = {r.sample_id: np.array(r.embedding) / np.linalg.norm(r.embedding) for r in rows}
+    for r in rows:
+        c = sum(1 - u[r.sample_id] @ u[o.sample_id] for o in rows if o.track_id == r.track_id)
+        best[r.track_id] = min(best.get(r.track_id, (math.inf, 0)), (round(c, 9), r.sample_id))
     got = {r.track_id: r.sample_id for r in V.medoids(samples, ["track_id"], "sample_id").collect()}
     assert got == {k: v[1] for k, v in best.items()}
     assert {r.track_id for r in V.representatives(samples, ["track_id"], "sample_id").collect()} == {0, 1, 2}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dwell.functions import geometry as G
 from dwell.operators import matching as M
+from dwell.operators.segments import fragments
 
 BOX = "struct<x1:double,y1:double,x2:double,y2:double>"
 FR = ["frame_idx"]
@@ -67,9 +68,15 @@ def test_greedy_match_takes_the_best_then_the_first(spark):
 
 def test_temporal_match_reaches_back(spark):
     f = faces(spark, [(5, 1, (0.0, 0.0, 10.0, 10.0), 0.9), (9, 1, (0.0, 0.0, 10.0, 10.0), 0.9)])
-    t = tracks(spark, [(3, 1, 7, (0.0, 0.0, 10.0, 10.0))])
-    got = M.temporal_faces(f, t, "frame_idx", 3, 0.0, 100.0, 100.0, 0.1).collect()
+    b, away = (0.0, 0.0, 10.0, 10.0), (50.0, 50.0, 60.0, 60.0)
+    t = tracks(spark, [(3, 1, 7, b), (4, 1, 7, away), (5, 1, 7, away), (7, 1, 7, b), (9, 1, 7, away), (5, 2, 8, away)])
+    live = fragments(t, ["track_id"])
+    got = M.temporal_faces(f, live, "frame_idx", ["track_id", "fragment_id"], 3, 0.0, 100.0, 100.0, 0.1).collect()
+    # at 9 the track is back after a frame without it: its box of frame 7 is of another fragment
     assert [(r.frame_idx, r.track_id, r.seen_frame) for r in got] == [(5, 7, 3)]
+    # a track that isn't in the frame takes no face there
+    gone = fragments(t.where("frame_idx < 5"), ["track_id"])
+    assert M.temporal_faces(f, gone, "frame_idx", ["track_id", "fragment_id"], 3, 0.0, 100.0, 100.0, 0.1).count() == 0
 
 
 def test_assignment_is_optimal():
