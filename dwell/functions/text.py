@@ -42,6 +42,34 @@ def label_colour(label: Column) -> Column:
     return F.struct(part(1).alias("b"), part(3).alias("g"), part(5).alias("r"))
 
 
+#: Fixed: the colours (blue, green, red) that reasons are drawn in; others are white.
+REASON_COLOURS = {
+    "picked": (0, 200, 0),
+    "candidate": (0, 255, 255),
+    "not_selected": (180, 180, 180),
+    "rejected_low_iou": (0, 0, 255),
+    "rejected_sharpness": (0, 140, 255),
+    "rejected_frontalness": (211, 0, 148),
+    "rejected_area": (255, 0, 0),
+    "track": (255, 140, 0),
+}
+
+
+def reason_colour(reason: Column) -> Column:
+    """struct(b, g, r)."""
+    colour = lambda bgr: F.struct(*(F.lit(x).alias(n) for x, n in zip(bgr, "bgr", strict=True)))
+    out = colour((255, 255, 255))
+    for name, bgr in REASON_COLOURS.items():
+        out = F.when(reason == name, colour(bgr)).otherwise(out)
+    return out
+
+
+def canonical_path(path: Column) -> Column:
+    """Without a scheme, doubled slashes and steps that stay or go back."""
+    plain = F.regexp_replace(F.regexp_replace(path, r"^file:/*(?=/)", ""), r"/(\./)*/*", "/")
+    return F.regexp_replace(plain, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+
+
 def relative_to_track(path: Column) -> Column:
     """From the directory ``track_...`` on; the path itself without one."""
     found = F.regexp_extract(path, r"(track_.*)$", 1)

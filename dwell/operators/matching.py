@@ -20,6 +20,12 @@ from dwell.functions.vectors import doubles
 from dwell.operators.folds import in_order, kinds, runs
 
 
+def detected(detections: DataFrame, min_score: float, class_id: int | None = None) -> DataFrame:
+    """Detections of at least a score, of one class where it is given."""
+    sure = detections.where(F.col("score") >= min_score)
+    return sure if class_id is None else sure.where(F.col("class_id") == class_id)
+
+
 def pairs(faces: DataFrame, tracks: DataFrame, frame: list[str], dilate: float, width: float, height: float, least: float) -> DataFrame:
     """Faces (face_idx, face_box) with tracks (track_idx, track_id, track_box) of their frame, at ``least`` IoU with
     the dilated box or more. Boxes are dilated once a track, and only boxes that meet are divided."""

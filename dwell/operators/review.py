@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dwell.functions.text import assignment_status
+from dwell.functions.text import assignment_status, canonical_path
 from dwell.operators.numbering import numbered
 
 
@@ -94,9 +94,34 @@ def new_assignments(requests: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def edit_samples(samples: DataFrame, edits: DataFrame) -> DataFrame:
-    """Samples after edits (track_id, frame_idx, action delete | unassign | path_update, new_path): one edit a sample."""
-    both = samples.join(edits.withColumn("edited", F.lit(True)), ["track_id", "frame_idx"], "left").where(~F.coalesce(F.col("action") == "delete", F.lit(False)))
-    return both.withColumn("path", F.when(F.col("action") == "path_update", F.col("new_path")).otherwise(F.col("path"))).withColumn("picked", F.when(F.col("action") == "unassign", False).otherwise(F.col("picked"))).drop("action", "new_path", "edited")
+    """Samples after edits (edit_id, track_id, frame_idx or null, original_path, action delete | unassign | path_update,
+    new_path).
+
+    An edit is of the samples of its track and frame (of its track where it has no frame); where there are none, of
+    those of its path, written in one way; where there are none either, of those of its file name. Of several edits
+    of a sample the first counts.
+    """
+    own = {"track_id": F.col("track_id").cast("long"), "frame": F.col("frame_idx").cast("long"), "canon": canonical_path(F.col("path")), "name": F.substring_index("path", "/", -1)}
+    keyed = samples.withColumns({f"__{k}": c for k, c in own.items()})
+    asked = edits.select(
+        F.col("track_id").cast("long").alias("__track_id"), F.col("frame_idx").cast("long").alias("__frame"), canonical_path(F.col("original_path")).alias("__canon"), F.substring_index("original_path", "/", -1).alias("__name"),
+        F.struct("edit_id", "action", "new_path").alias("__edit"),
+    )
+    found = []
+    for on, use in ((["__track_id", "__frame"], F.col("__frame").isNotNull()), (["__track_id"], F.col("__frame").isNull()), (["__canon"], None), (["__name"], None)):
+        ours = asked if use is None else asked.where(use)
+        here = ours.join(keyed.select(*on).distinct(), on, "left_semi")
+        asked = asked.join(here.select("__edit"), "__edit", "left_anti")
+        found.append((on, here.groupBy(*on).agg(F.min("__edit").alias(f"__e{len(found)}"))))
+    for on, first in found:
+        keyed = keyed.join(first, on, "left")
+    edit = F.array_min(F.array_compact(F.array(*(f"__e{k}" for k in range(len(found))))))
+    done = keyed.withColumn("__edit", edit).where(~F.coalesce(F.col("__edit.action") == "delete", F.lit(False)))
+    off = F.coalesce(F.col("__edit.action") == "unassign", F.lit(False))
+    changed = {"path": F.coalesce("__edit.new_path", "path"), "picked": F.when(off, False).otherwise(F.col("picked"))}
+    if "reason" in samples.columns:
+        changed["reason"] = F.when(off, "manual_unassigned").otherwise(F.col("reason"))
+    return done.withColumns(changed).select(*samples.columns)
 
 
 def move_track(clusters: DataFrame, track_id: int, cluster_id: int) -> DataFrame:
@@ -127,6 +152,65 @@ def validation(samples: DataFrame, images: DataFrame, keys: list[str]) -> DataFr
     return own.join(missing, keys, "left").join(extra, keys, "full_outer").fillna(0, ["n_samples", "picked", "rejected", "missing", "extra"])
 
 
+def validation_report(manifest: DataFrame, images: DataFrame) -> DataFrame:
+    """Per track of a manifest (samples nested): samples, those without an image or a path, images of its directory,
+    duration, and means of the samples that have a path."""
+    images = images.select("track_id", "path").distinct()
+    each = _checked(manifest, images)
+    mean = lambda c: F.avg(F.when(F.col("path").isNotNull(), F.col(c)))
+    per = each.groupBy("track_id").agg(
+        F.count(F.lit(1)).alias("sample_count"), F.count_if(~F.col("there")).alias("missing_samples"), mean("quality").alias("avg_quality"), F.median(F.when(F.col("path").isNotNull(), F.col("quality"))).alias("median_quality"),
+        *(mean(c).alias(f"avg_{c}") for c in ("sharpness", "frontalness", "score")),
+    )
+    listed = images.groupBy("track_id").agg(F.count(F.lit(1)).alias("directory_images"))
+    seconds = ((F.col("last_ts_ms") - F.col("first_ts_ms")) / 1000).alias("duration_seconds")
+    label = F.col("label") if "label" in manifest.columns else F.lit(None).cast("string")
+    own = manifest.select("track_id", "byte_track_id", label.alias("label"), seconds, "total_frames")
+    return own.join(per, "track_id", "left").join(listed, "track_id", "left").fillna(0, ["sample_count", "missing_samples", "directory_images"])
+
+
+def _checked(manifest: DataFrame, images: DataFrame) -> DataFrame:
+    """A manifest's samples, each with whether its image is there."""
+    each = manifest.select("track_id", F.explode("samples").alias("s")).select("track_id", "s.path", "s.quality", "s.sharpness", "s.frontalness", "s.score")
+    return each.join(images.select("path").distinct().withColumn("there", F.lit(True)), "path", "left").fillna(False, ["there"])
+
+
+def validation_totals(manifest: DataFrame, images: DataFrame) -> DataFrame:
+    """(metric, value) of a whole manifest: counts, means and medians over all samples, files, and directories that
+    only one side has."""
+    images = images.select("track_id", "path").distinct()
+    each = _checked(manifest, images).where(F.col("path").isNotNull())
+
+    def metrics(df: DataFrame, **aggregates) -> DataFrame:
+        one = df.agg(*(c.cast("double").alias(n) for n, c in aggregates.items()))
+        return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in aggregates))).alias("m")).select("m.*")
+
+    sizes = manifest.select("track_id", F.coalesce(F.size("samples"), F.lit(0)).alias("n")).withColumn("n", F.greatest("n", F.lit(0)))
+    dirs, tracks = images.select("track_id").distinct(), manifest.select("track_id").distinct()
+    count = F.count(F.lit(1))
+    parts = [
+        metrics(sizes, total_tracks=count, total_samples=F.coalesce(F.sum("n"), F.lit(0)), samples_per_track_mean=F.avg("n"), samples_per_track_median=F.median("n")),
+        metrics(
+            each, quality_mean=F.avg("quality"), quality_median=F.median("quality"), sharpness_mean=F.avg("sharpness"), frontalness_mean=F.avg("frontalness"), score_mean=F.avg("score"), referenced_files=count,
+            existing_files=F.count_if("there"),
+        ),
+        metrics(images.join(each.select("path"), "path", "left_anti"), extra_images=count),
+        metrics(dirs.join(tracks, "track_id", "left_anti"), extra_track_dirs=count),
+        metrics(tracks.join(dirs, "track_id", "left_anti"), missing_track_dirs=count),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def track_clusters(tracks: DataFrame, members: DataFrame, cluster_id: int | None = None) -> DataFrame:
+    """Tracks with the cluster they are in, the least of several, null for none; or those of one cluster."""
+    of = members.groupBy("track_id").agg(F.min("cluster_id").alias("cluster_id"))
+    both = tracks.drop("cluster_id").join(of, "track_id", "left")
+    return both if cluster_id is None else both.where(F.col("cluster_id") == cluster_id)
+
+
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.subtract(b).withColumn("side", F.lit("left")).unionByName(b.subtract(a).withColumn("side", F.lit("right")))
 

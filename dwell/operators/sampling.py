@@ -46,6 +46,17 @@ def debug_rows(candidates: DataFrame, keys: list[str], limit: int, ties: list[st
     return candidates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
+def montage_rows(samples: DataFrame, keys: list[str], tiles: int, ties: list[str]) -> DataFrame:
+    """The best ``tiles`` picked samples of each track, and as many of those rejected; where a track has none with a
+    reason of rejection, of all that aren't picked. Adds ``row`` and ``tile``, from 1."""
+    picked = F.coalesce(F.col("picked"), F.lit(False))
+    rejected = ~picked & F.coalesce(F.col("reason").startswith("rejected"), F.lit(False))
+    any_ = F.max(rejected).over(Window.partitionBy(*keys))
+    marked = samples.withColumn("row", F.when(picked, "picked").when(rejected | ~any_, "rejected")).where(F.col("row").isNotNull())
+    place = F.row_number().over(Window.partitionBy(*keys, "row").orderBy(F.desc(F.coalesce("quality", F.lit(0.0))), *ties))
+    return marked.withColumn("tile", place).where(F.col("tile") <= tiles)
+
+
 def percentile_gate(candidates: DataFrame, keys: list[str], column: str, percent: float, floor: float | None = None) -> DataFrame:
     """Rows at or above the linearly interpolated percentile of their track, and the floor."""
     gates = candidates.groupBy(*keys).agg(F.percentile(column, F.lit(percent / 100)).alias("gate"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dwell.functions.text import known_label
+from dwell.operators.graph import cut
 
 
 def half_even(x: float) -> int:
@@ -158,16 +159,41 @@ def missing_labels(observed: DataFrame, known: DataFrame, segments: DataFrame) -
 
 
 def merge_with_fallback(base: DataFrame, fallback: DataFrame, eligible: DataFrame, keys: list[str]) -> DataFrame:
-    """Base segments, and fallback segments of eligible labels that aren't there yet, numbered on in their track."""
-    same = [*keys, "label", "s3", "e3"]
-    rounded = lambda df: df.withColumn("s3", F.bround("start_ms", 3)).withColumn("e3", F.bround("end_ms", 3))
-    order = Window.partitionBy(*same).orderBy("subtrack_id", "start_ms")
-    new = rounded(fallback.where(known_label(F.col("label"))).join(eligible.select("label").distinct(), "label", "left_semi"))
-    new = new.withColumn("nth", F.row_number().over(order)).where("nth = 1").join(rounded(base).select(*same), same, "left_anti")
-    top = base.groupBy(*keys).agg(F.max("subtrack_id").alias("top"))
-    w = Window.partitionBy(*keys).orderBy("start_ms", "end_ms", "label")
-    new = new.join(top, keys, "left").withColumn("subtrack_id", (F.coalesce("top", F.lit(-1)) + F.row_number().over(w)).cast("int"))
-    return base.select(*keys, *_SEGMENT).unionByName(new.select(*keys, *_SEGMENT))
+    """Base segments, and fallback segments of eligible labels that aren't there yet, numbered on in their track.
+
+    Both are read once and dealt by track once; all that is asked of a track are windows over its segments.
+    """
+    more = fallback.where(known_label(F.col("label"))).join(F.broadcast(eligible.select("label").distinct()), "label", "left_semi")
+    both = base.select(*keys, *_SEGMENT, F.lit(True).alias("old")).unionByName(more.select(*keys, *_SEGMENT, F.lit(False).alias("old"))).repartition(*keys)
+    same = [*keys, "label", F.bround("start_ms", 3), F.bround("end_ms", 3)]
+    there = F.max("old").over(Window.partitionBy(*same))
+    nth = F.row_number().over(Window.partitionBy(*same, "old").orderBy("subtrack_id", "start_ms"))
+    kept = both.withColumn("there", there).withColumn("nth", nth).where(F.col("old") | (~F.col("there") & (F.col("nth") == 1)))
+    top = F.max(F.when(F.col("old"), F.col("subtrack_id"))).over(Window.partitionBy(*keys))
+    place = F.row_number().over(Window.partitionBy(*keys, "old").orderBy("start_ms", "end_ms", "label"))
+    numbered = kept.withColumn("top", top).withColumn("place", place)
+    return numbered.withColumn("subtrack_id", F.when(F.col("old"), F.col("subtrack_id")).otherwise(F.coalesce("top", F.lit(-1)) + F.col("place")).cast("int")).select(*keys, *_SEGMENT)
+
+
+def covered_segments(
+    subtracks: DataFrame | None, labels: DataFrame, known: DataFrame, keys: list[str], fps: float, max_gap_ms: float, min_run_ms: float, fallback_run_ms: float = 0.0
+) -> DataFrame:
+    """Segments, and for known labels that were seen but have none those of shorter runs, without subtracks: runs of
+    ``fallback_run_ms``, held between 0 and ``min_run_ms``."""
+    if subtracks is None:
+        base = dedup_segments(label_runs(labels, keys, fps, max_gap_ms, min_run_ms), keys)
+    else:
+        base = track_segments(subtracks, labels, keys, fps, max_gap_ms, min_run_ms)
+    base = cut(base)
+    relaxed = min(max(fallback_run_ms, 0.0), min_run_ms)
+    shorter = track_segments(labels.limit(0), labels, keys, fps, max_gap_ms, relaxed, use_subtracks=False)
+    return merge_with_fallback(base, shorter, missing_labels(labels, known, base), keys)
+
+
+def track_lengths(tracks: DataFrame, by: list[str], frames: str = "duration_frames") -> DataFrame:
+    """Mean and median length in frames of tracks that have any, and their number."""
+    own = tracks.where(F.col(frames) > 0)
+    return own.groupBy(*by).agg(F.count(F.lit(1)).alias("tracks"), F.avg(frames).alias("mean_frames"), F.median(frames).alias("median_frames"))
 
 
 def reconcile(segments: DataFrame, claimed: DataFrame, tolerance_ms: float = 1.0) -> DataFrame:

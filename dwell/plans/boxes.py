@@ -147,3 +147,33 @@ SELECT video_id, frame_idx, det_idx, track_id FROM st WHERE k > 0""")
 def iou_tracker(spark, sf_dir):
     d = X.detections(spark, sf_dir).where("kind = 'person'").select(F.floor(F.col("frame_idx") / 1000).alias("video_id"), "frame_idx", F.col("det_idx").cast("int").alias("det_idx"), "bbox.*")
     return M.iou_tracks(d, ["video_id"], 0.3, 500)
+
+
+@query(f"WITH {X.DET} SELECT f.frame_idx, f.face_idx, p.track_idx FROM face f JOIN person p USING (frame_idx) WHERE (f.x1 + f.x2) / 2 BETWEEN p.x1 AND p.x2 AND (f.y1 + f.y2) / 2 BETWEEN p.y1 AND p.y2")
+def center_in_box(spark, sf_dir):
+    both = X.faces(spark, sf_dir).join(X.persons(spark, sf_dir), _FRAME)
+    return both.where(G.center_in(F.col("face_box"), F.col("track_box"))).select("frame_idx", "face_idx", "track_idx")
+
+
+@query(f"WITH {X.DET} SELECT frame_idx, det_idx, score FROM det WHERE round(score, 9) >= 0.3 AND kind = 'person'")
+def detector_filters(spark, sf_dir):
+    """Persons are class 0."""
+    d = rounded(X.detections(spark, sf_dir), 9, "score").withColumn("class_id", F.when(F.col("kind") == "person", 0).otherwise(1))
+    return M.detected(d, 0.3, 0).select("frame_idx", "det_idx", "score")
+
+
+@query(f"""WITH {X.DET}, e AS (SELECT *, sqrt(((x2 - x1) * 0.4) ** 2 + ((y2 - y1) * 0.1) ** 2) AS eye FROM det WHERE kind = 'face')
+SELECT frame_idx, det_idx, round(greatest(0.0, least(1.0, 1 - (0.5 * abs(abs((x2 - x1) * score / 2) - abs((x2 - x1) * (0.4 - score / 2))) / eye + 0.3 * abs((y2 - y1) * 0.1) / eye + 0.2 * abs((y2 - y1) * 0.05) / eye))), 6) AS frontalness FROM e""")
+def frontalness(spark, sf_dir):
+    b = F.col("bbox")
+    at = lambda x, y: F.struct((b.x1 + (b.x2 - b.x1) * x).alias("x"), (b.y1 + (b.y2 - b.y1) * y).alias("y"))
+    points = F.array(at(F.lit(0.3), F.lit(0.3)), at(F.lit(0.7), F.lit(0.4)), at(F.lit(0.3) + F.col("score") / 2, F.lit(0.6)), at(F.lit(0.3), F.lit(0.8)), at(F.lit(0.7), F.lit(0.85)))
+    f = X.detections(spark, sf_dir).where("kind = 'face'")
+    return rounded(f.select("frame_idx", "det_idx", G.frontalness(points).alias("frontalness")), 6, "frontalness")
+
+
+@query(f"""WITH {X.DET} SELECT frame_idx, det_idx, round(0.55 * least((x2 - x1) / 200, 1.0) + 0.2 * least((x2 - x1) * (y2 - y1) / {_W * _H} / 0.25, 1.0) + 0.15 * least(greatest(score, 0.35), 1.0) + 0.1 * CASE WHEN det_idx < 3 THEN 0.5 ELSE score END, 9) AS quality FROM det WHERE kind = 'face'""")
+def seed_quality(spark, sf_dir):
+    f, b = X.detections(spark, sf_dir).where("kind = 'face'"), F.col("bbox")
+    q = G.seed_quality(b.x2 - b.x1, G.area(b) / (_W * _H), F.col("score"), F.lit(0.35), F.when(F.col("det_idx") >= 3, F.col("score")))
+    return rounded(f.select("frame_idx", "det_idx", q.alias("quality")), 9, "quality")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dwell.operators import segments as S
 from dwell.operators import votes as V
@@ -102,6 +103,16 @@ def coverage_merge(spark, sf_dir):
     return _out(S.merge_with_fallback(X.segments(spark, sf_dir), X.segments(spark, sf_dir, X.SLOW, 1), eligible, _K))
 
 
+@query(f"""WITH {X.OBS}, {X.segments_sql('1.0::DOUBLE / 60', 900)}, {X.segments_sql('1.0::DOUBLE / 60', 300, 'fb')}, miss AS (SELECT DISTINCT label FROM obs WHERE label NOT IN (SELECT label FROM seg)),
+new AS (SELECT * FROM fb WHERE label IN (SELECT label FROM miss)),
+numbered AS (SELECT n.track_id, coalesce(t.top, -1) + row_number() OVER (PARTITION BY n.track_id ORDER BY start_ms, end_ms, label) AS subtrack_id, label, start_ms, end_ms, duration_ms, frames, avg_similarity
+  FROM new n LEFT JOIN (SELECT track_id, max(subtrack_id) AS top FROM seg GROUP BY track_id) t USING (track_id))
+SELECT {_SEG} FROM (SELECT track_id, subtrack_id, label, start_ms, end_ms, duration_ms, frames, avg_similarity FROM seg UNION ALL SELECT * FROM numbered)""")
+def coverage_fallback(spark, sf_dir):
+    o = X.obs(spark, sf_dir)
+    return _out(S.covered_segments(None, o, o.select("label").distinct(), _K, X.SLOW, X.GAP / X.SLOW * 1000, 900 / X.SLOW * 1000, 300 / X.SLOW * 1000))
+
+
 @query(f"""WITH {X.SEG}, own AS (SELECT label, sum(duration_ms) AS segments_ms FROM seg GROUP BY label), c AS (SELECT label, count(*) * 120000.0::DOUBLE AS claimed_ms FROM seg GROUP BY label)
 SELECT label, round(coalesce(segments_ms, 0), 3) AS segments_ms, round(coalesce(claimed_ms, 0), 3) AS claimed_ms, round(coalesce(segments_ms, 0) - coalesce(claimed_ms, 0), 3) AS diff_ms
 FROM own FULL JOIN c USING (label) WHERE abs(coalesce(segments_ms, 0) - coalesce(claimed_ms, 0)) > 1""")
@@ -124,6 +135,21 @@ def backfill_labels(spark, sf_dir):
     return V.backfill(o.select("track_id", "frame_idx", "label"), best, _K)
 
 
+@query(f"""WITH {X.OBS}, f AS (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY track_id ORDER BY frame_idx) > 1440 THEN 1 ELSE 0 END AS gap FROM obs),
+n AS (SELECT track_id, frame_idx, label, score, sum(gap) OVER (PARTITION BY track_id ORDER BY frame_idx) AS fragment_id FROM f),
+w AS (SELECT track_id, fragment_id, arg_min(label, {{'n': -n, 'l': label}}) AS track_label FROM (SELECT track_id, fragment_id, label, sum(score) AS n FROM n GROUP BY ALL) GROUP BY ALL)
+SELECT track_id, fragment_id, frame_idx, label, track_label FROM n JOIN w USING (track_id, fragment_id)""")
+def backfill_fragments(spark, sf_dir):
+    """Fragments of frames a day apart: their labels go to their own frames."""
+    o = X.obs(spark, sf_dir)
+    w = Window.partitionBy("track_id").orderBy("frame_idx")
+    gap = F.coalesce(F.col("frame_idx") - F.lag("frame_idx").over(w) > 1440, F.lit(False)).cast("int")
+    o = o.withColumn("gap", gap).withColumn("fragment_id", F.sum("gap").over(w)).drop("gap")
+    keys = ["track_id", "fragment_id"]
+    best = V.strongest_label(o.select(*keys, "label", F.col("score").alias("weight")), keys)
+    return V.backfill(o.select(*keys, "frame_idx", "label"), best, keys)
+
+
 @query(f"""WITH {X.OBS}, a AS (SELECT track_id, list_sort(list(DISTINCT frame_idx)) AS fs FROM obs GROUP BY track_id),
 k AS (SELECT track_id, list_reduce(list_transform(fs, lambda x: [x]), lambda acc, x: CASE WHEN x[1] - acc[len(acc)] >= 2880 THEN list_append(acc, x[1]) ELSE acc END) AS kept FROM a)
 SELECT track_id, unnest(kept) AS frame_idx FROM k""")

@@ -189,3 +189,71 @@ def seed_candidates(spark, sf_dir):
     lc = li.select(F.col("l_orderkey").alias("frame_idx"), F.col("l_suppkey").alias("track_id"), F.col("l_returnflag").alias("label"), F.col("l_tax").alias("score"))
     an = li.where("l_discount > 0.02").select(F.col("l_orderkey").alias("frame_idx"), F.col("l_suppkey").alias("track_id")).distinct().withColumn("bbox", box(0, 0, 10, 10))
     return R.seed_candidates(lc, an, ["A", "R"], 0.04).drop("bbox")
+
+
+_REPORT = f"""{X.RANKED}, im AS (SELECT DISTINCT o_custkey AS track_id, 'track_' || o_custkey || '/f' || o_orderkey AS path FROM orders),
+mf AS (SELECT s_suppkey AS track_id, s_nationkey AS byte_track_id, CAST(s_nationkey AS VARCHAR) AS label, s_suppkey * 10 AS total_frames, s_suppkey * 40.0::DOUBLE AS first_ts_ms, s_suppkey * 40.0::DOUBLE + s_nationkey * 500 AS last_ts_ms FROM supplier),
+sp AS (SELECT track_id, CASE WHEN l_linenumber < 7 THEN 'track_' || track_id || '/f' || frame_idx END AS path, quality, sharpness, frontalness, l_quantity AS score FROM ranked),
+ok AS (SELECT sp.*, coalesce(path IN (SELECT path FROM im), false) AS there FROM sp), wp AS (SELECT * FROM ok WHERE path IS NOT NULL)"""
+
+
+def _manifest(spark, sf_dir):
+    """A manifest of suppliers with all samples nested, those of a last line without a path, and the images on disk."""
+    path = F.when(F.col("l_linenumber") < 7, F.concat(F.lit("track_"), F.col("track_id").cast("string"), F.lit("/f"), F.col("frame_idx").cast("string")))
+    s = X.candidates(spark, sf_dir).select("track_id", F.struct(path.alias("path"), "quality", "sharpness", "frontalness", F.col("l_quantity").alias("score")).alias("s"))
+    nested = s.groupBy("track_id").agg(F.collect_list("s").alias("samples"))
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    tracks = table(spark, sf_dir, "supplier").select(
+        k.alias("track_id"), n.alias("byte_track_id"), n.cast("string").alias("label"), (k * 10).alias("total_frames"), (k * 40.0).alias("first_ts_ms"), (k * 40.0 + n * 500).alias("last_ts_ms")
+    )
+    return tracks.join(nested, "track_id", "left"), _files(spark, sf_dir)[1]
+
+
+@query(f"""WITH {_REPORT}, per AS (SELECT track_id, count(*) AS sample_count, count(*) FILTER (WHERE NOT there) AS missing_samples FROM ok GROUP BY track_id),
+q AS (SELECT track_id, avg(quality) AS q, median(quality) AS m, avg(sharpness) AS s, avg(frontalness) AS f, avg(score) AS c FROM wp GROUP BY track_id), d AS (SELECT track_id, count(*) AS directory_images FROM im GROUP BY track_id)
+SELECT track_id, byte_track_id, label, coalesce(sample_count, 0) AS sample_count, coalesce(missing_samples, 0) AS missing_samples, coalesce(directory_images, 0) AS directory_images, (last_ts_ms - first_ts_ms) / 1000 AS duration_seconds, total_frames,
+round(q, 6) AS avg_quality, round(m, 6) AS median_quality, round(s, 6) AS avg_sharpness, round(f, 6) AS avg_frontalness, round(c, 6) AS avg_score FROM mf LEFT JOIN per USING (track_id) LEFT JOIN q USING (track_id) LEFT JOIN d USING (track_id)""")
+def validation_report(spark, sf_dir):
+    return rounded(R.validation_report(*_manifest(spark, sf_dir)), 6, "avg_quality", "median_quality", "avg_sharpness", "avg_frontalness", "avg_score")
+
+
+@query(f"""WITH {_REPORT}, z AS (SELECT mf.track_id, count(sp.track_id) AS n FROM mf LEFT JOIN sp USING (track_id) GROUP BY mf.track_id)
+SELECT metric, round(value, 6) AS value FROM (
+SELECT unnest([{{'metric': 'total_tracks', 'value': count(*)::DOUBLE}}, {{'metric': 'total_samples', 'value': sum(n)::DOUBLE}}, {{'metric': 'samples_per_track_mean', 'value': avg(n)}}, {{'metric': 'samples_per_track_median', 'value': median(n)}}], recursive := true) FROM z
+UNION ALL SELECT unnest([{{'metric': 'quality_mean', 'value': avg(quality)}}, {{'metric': 'quality_median', 'value': median(quality)}}, {{'metric': 'sharpness_mean', 'value': avg(sharpness)}}, {{'metric': 'frontalness_mean', 'value': avg(frontalness)}},
+  {{'metric': 'score_mean', 'value': avg(score)}}, {{'metric': 'referenced_files', 'value': count(*)::DOUBLE}}, {{'metric': 'existing_files', 'value': (count(*) FILTER (WHERE there))::DOUBLE}}], recursive := true) FROM wp
+UNION ALL SELECT 'extra_images', count(*) FROM im WHERE path NOT IN (SELECT path FROM wp)
+UNION ALL SELECT 'extra_track_dirs', count(DISTINCT track_id) FROM im WHERE track_id NOT IN (SELECT track_id FROM mf) UNION ALL SELECT 'missing_track_dirs', count(*) FROM mf WHERE track_id NOT IN (SELECT track_id FROM im))""")
+def validation_totals(spark, sf_dir):
+    return rounded(R.validation_totals(*_manifest(spark, sf_dir)), 6, "value")
+
+
+@query(f"""WITH {X.DET}, t AS (SELECT track_id, frame_idx // 1000 AS video, max(frame_idx) - min(frame_idx) + 1 AS n FROM det GROUP BY ALL) SELECT video, count(*) AS tracks, round(avg(n), 6) AS mean_frames, median(n)::DOUBLE AS median_frames FROM t GROUP BY video""")
+def track_lengths(spark, sf_dir):
+    from dwell.operators import segments as S
+
+    d = X.detections(spark, sf_dir).withColumn("video", F.floor(F.col("frame_idx") / 1000)).groupBy("video", "track_id").agg((F.max("frame_idx") - F.min("frame_idx") + 1).alias("duration_frames"))
+    return rounded(S.track_lengths(d, ["video"]), 6, "mean_frames")
+
+
+@query("""WITH c AS (SELECT l_orderkey AS track_id, min(l_suppkey) AS cluster_id FROM lineitem GROUP BY ALL) SELECT o_orderkey AS track_id, cluster_id FROM orders LEFT JOIN c ON c.track_id = o_orderkey""")
+def track_cluster_map(spark, sf_dir):
+    return R.track_clusters(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("track_id")), _clusters(spark, sf_dir))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS frame_idx, o_custkey AS track_id, '/old/track_' || o_custkey || '/f' || o_orderkey || '.jpg' AS path FROM orders),
+e AS (SELECT *, CASE WHEN frame_idx % 7 = 0 THEN 'delete' WHEN frame_idx % 7 = 1 THEN 'unassign' WHEN frame_idx % 7 = 2 THEN 'path_update' END AS a FROM s)
+SELECT track_id, frame_idx, CASE WHEN a = 'path_update' THEN 'new/' || frame_idx ELSE path END AS path, coalesce(a, '') <> 'unassign' AS picked, CASE WHEN a = 'unassign' THEN 'manual_unassigned' ELSE 'picked' END AS reason FROM e WHERE coalesce(a, '') <> 'delete'""")
+def sample_edits(spark, sf_dir):
+    """Edits by track and frame, by a path written in another way, and by file name."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frame_idx"), F.col("o_custkey").alias("track_id"))
+    name = F.concat(F.lit("f"), F.col("frame_idx").cast("string"), F.lit(".jpg"))
+    folder = F.concat(F.lit("/old/track_"), F.col("track_id").cast("string"), F.lit("/"))
+    samples = o.select("track_id", "frame_idx", F.concat(folder, name).alias("path"), F.lit(True).alias("picked"), F.lit("picked").alias("reason"))
+    kind = F.col("frame_idx") % 7
+    edits = o.where(kind <= 2).select(
+        F.col("frame_idx").alias("edit_id"), F.when(kind == 0, F.col("track_id")).otherwise(-1).alias("track_id"), "frame_idx",
+        F.when(kind == 1, F.concat(F.lit("file://"), folder, F.lit("./x/..//"), name)).otherwise(F.concat(F.lit("elsewhere/"), name)).alias("original_path"),
+        F.element_at(F.array(F.lit("delete"), F.lit("unassign"), F.lit("path_update")), (kind + 1).cast("int")).alias("action"), F.when(kind == 2, F.concat(F.lit("new/"), F.col("frame_idx").cast("string"))).alias("new_path"),
+    )
+    return R.edit_samples(samples, edits)

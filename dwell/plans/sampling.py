@@ -91,3 +91,13 @@ SELECT track_id, len(taken) AS rank, frame_idx, l_linenumber, l_partkey, round(q
 def seed_topn_dedup(spark, sf_dir):
     c = X.candidates(spark, sf_dir).withColumn("feature", F.array("sharpness", F.col("frontalness") * 10, F.col("area_frac") * 1000))
     return rounded(P.top_distinct(c, _K, "feature", 10, 5.0, ["frame_idx", *X.TIES]).select("track_id", "rank", "frame_idx", "l_linenumber", "l_partkey", "quality"), 6, "quality")
+
+
+@query(f"""WITH {X.RANKED}, r AS (SELECT *, rank <= 3 AS p, CASE WHEN rank > 3 AND track_id % 2 = 0 AND sharpness < 100 THEN 'rejected_sharpness' ELSE 'not_selected' END AS reason FROM ranked),
+m AS (SELECT *, max(NOT p AND reason LIKE 'rejected%') OVER (PARTITION BY track_id) AS any_ FROM r), w AS (SELECT *, CASE WHEN p THEN 'picked' WHEN reason LIKE 'rejected%' OR NOT any_ THEN 'rejected' END AS row FROM m)
+SELECT track_id, row, tile, frame_idx, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY track_id, row ORDER BY {X.ORDER}) AS tile FROM w WHERE row IS NOT NULL) WHERE tile <= 5""")
+def montage_rows(spark, sf_dir):
+    """Tracks of odd numbers have no reason of rejection, so that their other samples stand in."""
+    blurred = (F.col("rank") > 3) & (F.col("track_id") % 2 == 0) & (F.col("sharpness") < 100)
+    s = X.ranked(spark, sf_dir).withColumn("picked", F.col("rank") <= 3).withColumn("reason", F.when(blurred, "rejected_sharpness").otherwise("not_selected"))
+    return P.montage_rows(s, _K, 5, ["frame_idx", *X.TIES]).select("track_id", "row", "tile", "frame_idx", "l_linenumber", "l_partkey")

@@ -22,6 +22,14 @@ CLUSTERS = "clusters array<struct<id:int,tracks:array<int>>>"
 PROGRESS = "frame int, total_frames int, percent double, tracks int, samples int, message string"
 LOWCONF = "frame_idx int, track_id long, label string, score double"
 ANNOTATIONS = "frame_annotations map<string,array<struct<track_id:bigint,bbox:array<double>,label:string,score:double>>>"
-EVENTS = "events map<string,array<struct<track_id:bigint,bbox:array<double>,reason:string,score:double>>>"
+EVENT = "struct<track_id:bigint,bbox:array<double>,label:string,reason:string,score:double>"
+#: Either one document with a map by frame, or a row a frame.
+EVENTS = f"frame_events map<string,array<{EVENT}>>, frame_idx int, events array<{EVENT}>"
+#: The annotations of a tracker run: a row a frame, or one document with a list of frames.
+FRAMES = "frame_idx int, tracks array<struct<track_id:bigint,bbox:array<double>,label:string,score:double>>"
+RUN = f"frame_annotations array<struct<{', '.join(x.replace(' ', ':', 1) for x in FRAMES.split(', '))}>>, {FRAMES}"
+SELECTED_COLUMNS = (
+    "track_id byte_track_id frame quality sharpness frontalness area_frac picked reason path association_iou match_mode frame_offset identity_cosine similarity_to_centroid provider recall_only"
+).split()
 TOTALS = "label string, duration_ms double"
 SCENES = "scene_idx int, start_frame int, end_frame int"

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dwell import schemas
 from dwell.functions.text import frame_of, track_of, truthy
-from dwell.functions.vectors import doubles
 
 
 def box_of(xyxy: Column) -> Column:
@@ -16,8 +16,15 @@ def box_of(xyxy: Column) -> Column:
     return F.when(F.size(xyxy) == 4, F.struct(part(0, "x1"), part(1, "y1"), part(2, "x2"), part(3, "y2")))
 
 
+def _json(spark: SparkSession, schema: T.StructType | str, path: str) -> DataFrame:
+    """A file is one document; a folder, as Spark writes it, has a JSON row a line."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    return spark.read.schema(schema).option("multiLine", not folder).json(path)
+
+
 def detections(spark: SparkSession, path: str, stride: int = 1) -> DataFrame:
-    """Parquet detections; the stride is a filter the scan can take."""
+    """Parquet detections of every ``stride``-th frame, a filter on the rows that the scan gives."""
     rows = spark.read.schema(schemas.DETECTIONS).parquet(path)
     return rows.where(F.col("frame_idx") % stride == 0) if stride > 1 else rows
 
@@ -40,8 +47,16 @@ def normalize_embeddings(df: DataFrame, column: str = "embedding") -> DataFrame:
     return df.withColumn(column, F.transform(flat, lambda x: x.cast("float")))
 
 
+#: Numbers of a manifest that may be given as text.
+_LENIENT = ("track_id", "byte_track_id", "total_frames", "avg_conf", "avg_area", "first_ts_ms", "last_ts_ms")
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.MANIFEST).option("multiLine", True).json(path)
+    """Numbers given as text are numbers, and null where they are none."""
+    schema = T.StructType.fromDDL(schemas.MANIFEST)
+    lenient = T.StructType([T.StructField(f.name, T.StringType() if f.name in _LENIENT else f.dataType) for f in schema])
+    rows = _json(spark, lenient, path)
+    return rows.select(*(F.col(f.name).try_cast("double").cast(f.dataType).alias(f.name) if f.name in _LENIENT else f.name for f in schema))
 
 
 def manifest_or_fallback(spark: SparkSession, path: str, fallback: bool) -> DataFrame:
@@ -100,14 +115,21 @@ def assignments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.ASSIGNMENTS).option("mode", "DROPMALFORMED").json(path).withColumn("when", F.try_to_timestamp("when"))
 
 
+def cluster_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(cluster_id, tracks in order): ids below 0 and empty clusters are left out, bucket 0 is always there."""
+    rows = _json(spark, schemas.CLUSTERS, path)
+    each = rows.select(F.explode("clusters").alias("c")).where("c.id >= 0 AND size(c.tracks) > 0").select(F.col("c.id").alias("cluster_id"), F.explode("c.tracks").alias("track_id"))
+    empty = spark.range(1).select(F.lit(0).alias("cluster_id"), F.lit(None).cast("int").alias("track_id"))
+    return each.unionByName(empty).groupBy("cluster_id").agg(F.array_sort(F.collect_set("track_id")).alias("tracks"))
+
+
 def clusters(spark: SparkSession, path: str) -> DataFrame:
-    """(cluster_id, track_id), ids below 0 left out."""
-    rows = spark.read.schema(schemas.CLUSTERS).option("multiLine", True).json(path)
-    return rows.select(F.explode("clusters").alias("c")).where("c.id >= 0").select(F.col("c.id").alias("cluster_id"), F.explode("c.tracks").alias("track_id")).distinct()
+    """(cluster_id, track_id) of the tracks that are in a cluster."""
+    return cluster_lists(spark, path).select("cluster_id", F.explode("tracks").alias("track_id"))
 
 
 def progress(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema(schemas.PROGRESS).option("multiLine", True).json(path)
+    rows = _json(spark, schemas.PROGRESS, path)
     return rows.fillna({"frame": 0, "total_frames": 0, "percent": 0.0, "tracks": 0, "samples": 0, "message": ""})
 
 
@@ -118,21 +140,35 @@ def low_confidence(spark: SparkSession, path: str, wanted: list[str], min_score:
 
 def annotation_index(spark: SparkSession, path: str) -> DataFrame:
     """(frame_idx, track_id, bbox, label, score) of an annotation file, the last entry of a key."""
-    rows = spark.read.schema(schemas.ANNOTATIONS).option("multiLine", True).json(path)
+    rows = _json(spark, schemas.ANNOTATIONS, path)
     each = rows.select(F.explode("frame_annotations").alias("frame", "list")).select(F.col("frame").try_cast("int").alias("frame_idx"), F.posexplode("list").alias("pos", "a"))
     last = each.groupBy("frame_idx", F.col("a.track_id").alias("track_id")).agg(F.max_by("a", "pos").alias("a"))
     return last.select("frame_idx", "track_id", box_of(F.col("a.bbox")).alias("bbox"), F.col("a.label").alias("label"), F.col("a.score").alias("score"))
 
 
 def frame_events(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema(schemas.EVENTS).option("multiLine", True).json(path)
-    each = rows.select(F.explode("events").alias("frame", "list")).select(F.col("frame").try_cast("int").alias("frame_idx"), F.explode("list").alias("e"))
-    return each.select("frame_idx", F.col("e.track_id").alias("track_id"), box_of(F.col("e.bbox")).alias("bbox"), F.col("e.reason").alias("reason"), F.col("e.score").alias("score"))
+    """(frame_idx, track_id, bbox, label, reason, score) of a debug log: one document by frame, or a row a frame."""
+    rows = _json(spark, schemas.EVENTS, path)
+    of_map = rows.select(F.explode("frame_events").alias("frame", "list")).select(F.col("frame").try_cast("int").alias("frame_idx"), F.explode("list").alias("e"))
+    own = rows.where(F.col("events").isNotNull()).select("frame_idx", F.explode("events").alias("e"))
+    return of_map.unionByName(own).select("frame_idx", "e.track_id", box_of(F.col("e.bbox")).alias("bbox"), "e.label", "e.reason", "e.score")
 
 
-def totals(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.TOTALS).option("multiLine", True).json(path)
+def annotated_events(spark: SparkSession, path: str) -> DataFrame:
+    """The same of a tracker run's annotations: boxes as events whose reason is ``track``."""
+    rows = _json(spark, schemas.RUN, path)
+    frames = rows.select(F.explode("frame_annotations").alias("f")).select("f.frame_idx", "f.tracks").unionByName(rows.where(F.col("tracks").isNotNull()).select("frame_idx", "tracks"))
+    each = frames.where("frame_idx >= 0").select("frame_idx", F.explode("tracks").alias("e")).where(F.size("e.bbox") > 0)
+    return each.select("frame_idx", "e.track_id", box_of(F.col("e.bbox")).alias("bbox"), "e.label", F.lit("track").alias("reason"), "e.score")
+
 
+def events_or_annotations(spark: SparkSession, path: str, annotations: str, use_annotations: bool = False) -> DataFrame:
+    """The debug log's events, or those of the annotations where it is missing or they are asked for."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not use_annotations and at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return frame_events(spark, path)
+    return annotated_events(spark, annotations)
 
-def double_embeddings(df: DataFrame, column: str = "embedding") -> DataFrame:
-    return df.withColumn(column, doubles(F.col(column)))
+
+def totals(spark: SparkSession, path: str) -> DataFrame:
+    return _json(spark, schemas.TOTALS, path)

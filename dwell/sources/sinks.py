@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dwell import schemas
 from dwell.operators import segments as S
+from dwell.operators.sampling import debug_rows
 
 
 def facebank(bank: DataFrame, samples: DataFrame, path: str) -> None:
@@ -54,9 +56,30 @@ def tracker_outputs(segments: DataFrame, keys: list[str], total_seconds: int, la
         own.unpersist()
 
 
-def annotations(frames: DataFrame, path: str) -> None:
-    """One JSON row a frame with its boxes: (frame_idx, track_id, bbox, label, score)."""
-    frames.groupBy("frame_idx").agg(F.array_sort(F.collect_list(F.struct("track_id", "bbox", "label", "score"))).alias("tracks")).write.mode("overwrite").json(path)
+def annotations(frames: DataFrame, path: str, segments: DataFrame | None = None, fps: float = 0.0) -> None:
+    """One JSON row a frame with its boxes, (frame_idx, track_id, bbox as four numbers, label, score); and beside them
+    one a segment, with its frames, where segments are given."""
+    frames.groupBy("frame_idx").agg(F.array_sort(F.collect_list(F.struct("track_id", "bbox", "label", "score"))).alias("tracks")).write.mode("overwrite").json(f"{path}/frames")
+    if segments is not None:
+        S.frame_window(segments, fps).write.mode("overwrite").json(f"{path}/segments")
+
+
+def frame_events(events: DataFrame, path: str) -> None:
+    """One JSON row a frame with its events: (frame_idx, track_id, bbox as four numbers, label, reason, score)."""
+    of = F.struct("track_id", "bbox", "label", "reason", "score")
+    events.groupBy("frame_idx").agg(F.array_sort(F.collect_list(of)).alias("events")).write.mode("overwrite").json(path)
+
+
+def selected_samples(samples: DataFrame, keys: list[str], path: str, most: int = 20) -> None:
+    """CSV of the best ``most`` samples of each track by quality, in the fixed columns; a missing one stays empty."""
+    best = debug_rows(samples, keys, most, []).withColumn("frame", F.col("frame_idx"))
+    csv(best.select(*(F.col(c) if c in best.columns else F.lit(None).cast("string").alias(c) for c in schemas.SELECTED_COLUMNS)), path)
+
+
+def reports(per_track: DataFrame, totals: DataFrame, path: str) -> None:
+    """A validation's table as CSV, and its (metric, value) rows as one JSON object."""
+    csv(per_track.orderBy("track_id"), f"{path}/tracks.csv")
+    totals.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics")).select("metrics").write.mode("overwrite").json(f"{path}/metrics.json")
 
 
 def totals_json_to_csv(totals: DataFrame, path: str) -> None:

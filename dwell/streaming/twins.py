@@ -50,6 +50,42 @@ def live_tracks(observations: DataFrame, buffer_ms: int, lateness: str) -> DataF
     )
 
 
+def quarantine(samples: DataFrame, hold_ms: int, consecutive: int, lateness: str) -> DataFrame:
+    """(track_id, ts_ms, identity, flushed) of samples whose flag ``doubtful`` tells that they are far from their track.
+
+    Doubtful samples wait: the next sure one takes them along, ``consecutive`` of them in a row are a new identity, and
+    those that nothing decides are given back to the identity they came to after ``hold_ms`` of event time, as at the
+    end of the input.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        identity, waiting = state.get if state.exists else (0, [])
+        out: list[tuple[int, int, bool]] = []
+        if state.hasTimedOut:
+            out = [(t, identity, True) for t in waiting]
+            waiting = []
+        else:
+            rows = pd.concat(list(frames)).sort_values("ts")
+            for ms, doubtful in zip(rows["ts"].astype("datetime64[ms]").astype("int64"), rows["doubtful"], strict=True):
+                waiting = [*waiting, int(ms)]
+                if doubtful and len(waiting) < consecutive:
+                    continue
+                identity += int(doubtful)
+                out += [(t, identity, False) for t in waiting]
+                waiting = []
+        state.update((identity, waiting))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[-1] + hold_ms, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame([(key[0], *x) for x in out], columns=["track_id", "ts_ms", "identity", "flushed"])
+
+    return (
+        samples.withWatermark("ts", lateness)
+        .groupBy("track_id")
+        .applyInPandasWithState(run, "track_id long, ts_ms long, identity int, flushed boolean", "identity int, waiting array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    )
+
+
 class Heartbeat(StreamingQueryListener):
     """Calls ``tell`` with the rows and the rate of each trigger."""
 

@@ -43,9 +43,12 @@ def test_assignments_and_edits(spark):
     ask = spark.createDataFrame([("s1", "x"), ("s3", "y"), ("s4", "y")], "source string, dest string")
     done = spark.createDataFrame([("s1",)], "source string")
     assert {x.source: x.skipped for x in R.new_assignments(ask, done).collect()} == {"s1": "already_assigned", "s3": None, "s4": "duplicate_destination"}
-    samples = spark.createDataFrame([(1, k, f"p{k}", True) for k in range(4)], "track_id long, frame_idx long, path string, picked boolean")
-    edits = spark.createDataFrame([(1, 0, "delete", None), (1, 1, "unassign", None), (1, 2, "path_update", "q")], "track_id long, frame_idx long, action string, new_path string")
-    assert {(x.frame_idx, x.path, x.picked) for x in R.edit_samples(samples, edits).collect()} == {(1, "p1", False), (2, "q", True), (3, "p3", True)}
+    samples = spark.createDataFrame([(1, k, f"/a/p{k}.jpg", True, "picked") for k in range(6)] + [(2, 0, "/a/p0.jpg", True, None)], "track_id long, frame_idx long, path string, picked boolean, reason string")
+    edits = [(1, 1, 0, "x", "delete", None), (2, 1, 1, "x", "unassign", None), (3, 1, 2, "x", "path_update", "q"), (4, 9, 9, "file:///a/./b/../p3.jpg", "unassign", "r"), (5, 9, None, "elsewhere/p4.jpg", "delete", None), (6, 1, 2, "x", "delete", None), (7, 9, 9, "none", "delete", None)]
+    edits = spark.createDataFrame(edits, "edit_id long, track_id long, frame_idx long, original_path string, action string, new_path string")
+    got = {(x.track_id, x.frame_idx, x.path, x.picked, x.reason) for x in R.edit_samples(samples, edits).collect()}
+    assert got == {(1, 1, "/a/p1.jpg", False, "manual_unassigned"), (1, 2, "q", True, "picked"), (1, 3, "r", False, "manual_unassigned"), (1, 5, "/a/p5.jpg", True, "picked"), (2, 0, "/a/p0.jpg", True, None)}
+    assert R.edit_samples(samples, edits.limit(0)).count() == 7 and R.edit_samples(samples.limit(0), edits).count() == 0
 
 
 def test_clusters(spark):
@@ -107,6 +110,8 @@ def test_files_round_trip(spark, tmp_path):
     sinks.manifest(tracks, samples, K, at("manifest.json"))
     back = readers.samples_of_manifest(readers.manifest_or_fallback(spark, at("manifest.json"), False)).collect()
     assert [(r.track_id, r.frame_idx, r.path) for r in back] == [(1, 3, "p3"), (1, 9, "p9")]
+    (tmp_path / "lenient.json").write_text('[{"track_id": "12", "avg_conf": "0.5", "total_frames": "many", "samples": []}, {"track_id": 3, "byte_track_id": 4.0}]')
+    assert [(r.track_id, r.byte_track_id, r.avg_conf, r.total_frames) for r in readers.manifest(spark, at("lenient.json")).collect()] == [(12, None, 0.5, None), (3, 4, None, None)]
     assert readers.manifest_or_fallback(spark, at("none.json"), True).first().track_id == 1
     assert readers.manifest_or_fallback(spark, at("none.json"), False).count() == 0
 
@@ -126,6 +131,12 @@ def test_files_round_trip(spark, tmp_path):
     assert readers.assignments(spark, at("log2")).count() == 2
 
     (tmp_path / "a.json").write_text(json.dumps({"frame_annotations": {"7": [{"track_id": 1, "bbox": [0, 0, 1, 1], "label": "A", "score": 0.5}, {"track_id": 1, "bbox": [0, 0, 2, 2], "label": "B", "score": 0.6}]}}))
+    (tmp_path / "debug.json").write_text(json.dumps({"reject_counts": {"x": 1}, "frame_events": {"3": [{"track_id": 1, "bbox": [0, 0, 1, 1], "reason": "picked"}]}}))
+    (tmp_path / "run.json").write_text(json.dumps({"video": "v", "frame_annotations": [{"frame_idx": 5, "tracks": [{"track_id": 2, "bbox": [0, 0, 1, 1], "label": "A", "score": 0.5}, {"track_id": 3, "bbox": None}]}, {"tracks": [{"track_id": 9, "bbox": [0, 0, 1, 1]}]}]}))
+    events = lambda log, **how: [(r.frame_idx, r.track_id, r.reason) for r in readers.events_or_annotations(spark, at(log), at("run.json"), **how).collect()]
+    assert events("debug.json") == [(3, 1, "picked")] and events("none.json") == [(5, 2, "track")] == events("debug.json", use_annotations=True)
+    (tmp_path / "progress.json").write_text('{"frame": 5}')
+    assert readers.progress(spark, at("progress.json")).first().percent == 0.0
     r = readers.annotation_index(spark, at("a.json")).first()
     assert (r.frame_idx, r.label, r.bbox.x2) == (7, "B", 2.0)
 
