@@ -98,31 +98,48 @@ def dbscan(samples: DataFrame, sample: str, eps: float, min_samples: int, block:
 
 
 def average_linkage(vectors: np.ndarray, distance: float) -> np.ndarray:
-    """Labels 0..k-1 in order of first member: merges the nearest clusters by mean cosine distance up to a limit."""
+    """Labels 0..k-1 in order of first member: clusters nearest by mean cosine distance are merged up to a limit.
+
+    Merges are found along chains of nearest neighbours, in n² steps on n² numbers. Their distances never fall, so those
+    up to the limit are the ones that merging in order of distance makes.
+    """
     n = len(vectors)
     if n == 0:
         return np.zeros(0, int)
     u = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     d = 1 - u @ u.T
     np.fill_diagonal(d, np.inf)
-    size, alive, owner = np.ones(n), np.ones(n, bool), np.arange(n)
-    while alive.sum() > 1:
-        i, j = divmod(int(np.argmin(d)), n)
-        if d[i, j] > distance:
-            break
+    size, owner = np.ones(n), np.arange(n)
+    alive = np.ones(n, bool)
+    chain: list[int] = []
+    for _ in range(n - 1):
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        while True:
+            i = chain[-1]
+            j = int(np.argmin(d[i]))
+            if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
+                j = chain[-2]
+                break
+            chain.append(j)
+        del chain[-2:]
         i, j = min(i, j), max(i, j)
+        if d[i, j] <= distance:
+            owner[owner == owner[j]] = owner[i]
         merged = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
         d[i], d[:, i] = merged, merged
         d[j], d[:, j] = np.inf, np.inf
         d[i, i] = np.inf
         size[i] += size[j]
         alive[j] = False
-        owner[owner == j] = i
-    return np.unique(owner, return_inverse=True)[1]
+    first = np.full(n, n)
+    np.minimum.at(first, owner, np.arange(n))
+    return np.unique(first[owner], return_inverse=True)[1]
 
 
 def agglomerative(tracks: DataFrame, keys: list[str], track: str, distance: float) -> DataFrame:
-    """Average linkage of the track vectors of each group, such as an episode: a group's tracks are few."""
+    """Average linkage of the track vectors of each group, such as an episode. A group is one task and its distances a
+    matrix there, so groups should be of some thousand tracks at most."""
     kinds = {f.name: f.dataType.simpleString() for f in tracks.schema}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

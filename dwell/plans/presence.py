@@ -71,25 +71,26 @@ def segment_dedup(spark, sf_dir):
     return _out(S.track_segments(subs, X.obs(spark, sf_dir), _K, X.SLOW, X.GAP / X.SLOW * 1000, 120000.0))
 
 
+_SECONDS = 8784  # a leap year of minutes, 60 a second
 _WIDE = ", ".join(f"max(CASE WHEN label = '{x}' THEN 1 ELSE 0 END) AS {x}" for x in X.LABELS)
-_TICKS = "t AS (SELECT *, unnest(generate_series(greatest(CAST(floor(start_ms / 1000) AS BIGINT), 0), least(CAST(ceil(end_ms / 1000) AS BIGINT), 4000) - 1)) AS second FROM seg)"
+_TICKS = "t AS (SELECT *, unnest(generate_series(greatest(CAST(floor(start_ms / 1000) AS BIGINT), 0), least(CAST(ceil(end_ms / 1000) AS BIGINT), 8784) - 1)) AS second FROM seg)"
 
 
-@query(f"WITH {X.SEG_FAST}, {_TICKS}, p AS (SELECT second, {_WIDE} FROM t GROUP BY second) SELECT s.range AS second, {', '.join(f'coalesce({x}, 0) AS {x}' for x in X.LABELS)} FROM range(4000) s LEFT JOIN p ON p.second = s.range")
+@query(f"WITH {X.SEG_FAST}, {_TICKS}, p AS (SELECT second, {_WIDE} FROM t GROUP BY second) SELECT s.range AS second, {', '.join(f'coalesce({x}, 0) AS {x}' for x in X.LABELS)} FROM range(8784) s LEFT JOIN p ON p.second = s.range")
 def timeline_wide(spark, sf_dir):
-    return S.timeline_wide(X.segments(spark, sf_dir, X.FAST), 4000, X.LABELS)
+    return S.timeline_wide(X.segments(spark, sf_dir, X.FAST), _SECONDS, X.LABELS)
 
 
 @query(f"WITH {X.SEG_FAST}, {_TICKS} SELECT second, track_id, subtrack_id, label FROM t")
 def timeline_long(spark, sf_dir):
-    return S.timeline_long(X.segments(spark, sf_dir, X.FAST), _K, 4000)
+    return S.timeline_long(X.segments(spark, sf_dir, X.FAST), _K, _SECONDS)
 
 
-@query(f"""WITH {X.OBS}, {X.segments_sql('1.0::DOUBLE / 60', 600)} SELECT DISTINCT label FROM obs WHERE label IN ('click', 'error', 'view', 'purchase')
-AND label NOT IN (SELECT label FROM seg WHERE track_id = 7)""")
+@query(f"""WITH {X.OBS}, {X.segments_sql('1.0::DOUBLE / 60', 1100)} SELECT DISTINCT label FROM obs WHERE label IN ('click', 'error', 'view', 'purchase')
+AND label NOT IN (SELECT label FROM seg)""")
 def coverage_missing(spark, sf_dir):
     known = spark.createDataFrame([(x,) for x in ("click", "error", "view", "purchase")], "label string")
-    return S.missing_labels(X.obs(spark, sf_dir), known, X.segments(spark, sf_dir, X.SLOW, 600).where("track_id = 7"))
+    return S.missing_labels(X.obs(spark, sf_dir), known, X.segments(spark, sf_dir, X.SLOW, 1100))
 
 
 @query(f"""WITH {X.SEG}, {X.segments_sql('1.0::DOUBLE / 60', 1, 'fb')},
@@ -103,14 +104,14 @@ def coverage_merge(spark, sf_dir):
     return _out(S.merge_with_fallback(X.segments(spark, sf_dir), X.segments(spark, sf_dir, X.SLOW, 1), eligible, _K))
 
 
-@query(f"""WITH {X.OBS}, {X.segments_sql('1.0::DOUBLE / 60', 900)}, {X.segments_sql('1.0::DOUBLE / 60', 300, 'fb')}, miss AS (SELECT DISTINCT label FROM obs WHERE label NOT IN (SELECT label FROM seg)),
+@query(f"""WITH {X.OBS}, {X.segments_sql('1.0::DOUBLE / 60', 1100)}, {X.segments_sql('1.0::DOUBLE / 60', 300, 'fb')}, miss AS (SELECT DISTINCT label FROM obs WHERE label NOT IN (SELECT label FROM seg)),
 new AS (SELECT * FROM fb WHERE label IN (SELECT label FROM miss)),
 numbered AS (SELECT n.track_id, coalesce(t.top, -1) + row_number() OVER (PARTITION BY n.track_id ORDER BY start_ms, end_ms, label) AS subtrack_id, label, start_ms, end_ms, duration_ms, frames, avg_similarity
   FROM new n LEFT JOIN (SELECT track_id, max(subtrack_id) AS top FROM seg GROUP BY track_id) t USING (track_id))
 SELECT {_SEG} FROM (SELECT track_id, subtrack_id, label, start_ms, end_ms, duration_ms, frames, avg_similarity FROM seg UNION ALL SELECT * FROM numbered)""")
 def coverage_fallback(spark, sf_dir):
     o = X.obs(spark, sf_dir)
-    return _out(S.covered_segments(None, o, o.select("label").distinct(), _K, X.SLOW, X.GAP / X.SLOW * 1000, 900 / X.SLOW * 1000, 300 / X.SLOW * 1000))
+    return _out(S.covered_segments(None, o, o.select("label").distinct(), _K, X.SLOW, X.GAP / X.SLOW * 1000, 1100 / X.SLOW * 1000, 300 / X.SLOW * 1000))
 
 
 @query(f"""WITH {X.SEG}, own AS (SELECT label, sum(duration_ms) AS segments_ms FROM seg GROUP BY label), c AS (SELECT label, count(*) * 120000.0::DOUBLE AS claimed_ms FROM seg GROUP BY label)

@@ -69,6 +69,26 @@ def test_density_clusters_in_blocks(spark, block):
     assert got == {k: order[r] for k, r in enumerate(root.tolist())}
 
 
+def test_average_linkage_merges_in_order_of_distance():
+    def plain(v, limit):
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+        d, groups = 1 - u @ u.T, [[k] for k in range(len(v))]
+        while len(groups) > 1:
+            best = min((d[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+            if best[0] > limit:
+                break
+            groups[best[1]] += groups.pop(best[2])
+        groups.sort(key=min)
+        return [next(g for g, m in enumerate(groups) if k in m) for k in range(len(v))]
+
+    rng = np.random.default_rng(6)
+    for n, spread in ((1, 1.0), (2, 1.0), (12, 0.2), (30, 0.5), (40, 1.0)):
+        v = rng.normal(size=(4, 5))[rng.integers(0, 4, n)] + spread * rng.normal(size=(n, 5))
+        for limit in (0.05, 0.3, 0.8, 2.5):
+            assert C.average_linkage(v, limit).tolist() == plain(v, limit)
+    assert C.average_linkage(np.zeros((0, 3)), 0.5).tolist() == []
+
+
 def test_medoid_agrees_with_pairs(samples):
     rows, best = samples.collect(), {}
     u = {r.sample_id: np.array(r.embedding) / np.linalg.norm(r.embedding) for r in rows}
@@ -111,7 +131,7 @@ def test_linkage_leaders_and_components(spark, samples):
     assert C.agglomerative(both, ["video"], "sample_id", 0.3).select("cluster_id").distinct().count() == 3
     assert C.leader_clusters(both, ["video"], "sample_id", 0.8, 2).first().identities == 3
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
-    assert {r.root for r in connected(edges).collect()} == {0, 100}
+    assert {r.root for r in connected(edges).collect()} == {0, 100} == {r.root for r in connected(edges, few=0).collect()}
 
 
 def test_guard_moves_a_run_of_strangers_to_a_new_identity():
