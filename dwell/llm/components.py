@@ -17,34 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwell.llm.shared import settle
+from dwell.operators.graph import forest
 
 
 #: Links that one task may hold: 16 bytes each.
 FEW_LINKS = 1_000_000
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning star of each component of the links (a[i], b[i]): (node, least node), the least itself left out."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = at[: len(a)], at[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[u], root[v])
-        new = root.copy()
-        np.minimum.at(new, root[u], low)
-        np.minimum.at(new, root[v], low)
-        while True:
-            jumped = new[new]
-            if np.array_equal(jumped, new):
-                break
-            new = jumped
-        if np.array_equal(new, root):
-            break
-        root = new
-    more = root != np.arange(len(nodes))
-    return nodes[more], nodes[root[more]]
-
-
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, root) of all links of one task."""
     parts = [(b["a"].to_numpy(), b["b"].to_numpy()) for b in batches]

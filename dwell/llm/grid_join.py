@@ -38,8 +38,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dwell.llm.components import components, forest
+from dwell.llm.components import components
 from dwell.llm.shared import fresh_path, join_counted, settle, table
+from dwell.operators.graph import forest
 
 COSINE = 0.95
 AXES = 16

@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dwell.llm import golay
-from dwell.llm.components import components, forest
+from dwell.llm.components import components
 from dwell.llm.shared import join_counted, settle, table
+from dwell.operators.graph import forest
 
 WORDS = 3
 DISTANCE = 2

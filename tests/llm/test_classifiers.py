@@ -175,7 +175,11 @@ def test_rows_that_repeat_an_id_are_one_training_row(spark, m, name):
     from dwell.llm.labelled import features
 
     chosen = sample(y, name, m.held_out, 1000)
-    assert features(many, chosen, extract) == features(d, chosen, extract)
+    whole = features(d, chosen, extract)
+    assert features(many, chosen, extract) == whole
+    few = features(d, chosen, extract, most_bytes=1500)
+    assert 2 <= len(few) < len(whole) and {r[0] for r in few} == {0, 1} and all(r in whole for r in few)
+    assert sum(len(r[1]) + len(r[2]) for r in few) <= 1500 or len(few) == 2
 
 
 def test_gradients_follow_the_loss():

@@ -7,9 +7,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from dwell.llm import golay, simhash
-from dwell.llm.components import components, forest
-from dwell.llm.shared import join_counted
+from dwell.llm.components import components
 from dwell.llm.grid_join import _partners, _Side, _units, join_sides, near_vectors, plan_grid
+from dwell.llm.shared import join_counted
+from dwell.operators.graph import forest
 
 
 class Sets(dict):
