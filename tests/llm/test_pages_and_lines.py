@@ -140,9 +140,52 @@ def test_pages_as_they_are(spark):
         assert extract(r.html) == "\n".join(x for x in parts if x)
 
 
+KINDS = {
+    "good": lambda k: f"The story of the mill number {k} and of the people who lived by it is told in this book for all to read.",
+    "half": lambda k: f"Report {k} number seven concerning river mills along northern valleys: the committee found nothing wrong with them at all.",
+    "strange": lambda k: f"Kappale {k} kertoo metsien hoidosta, järvien tilasta sekä talvisten teiden kunnosta pohjoisessa maassamme aina vaan.",
+    "list": lambda k: "alpha beta gamma delta " * 9 + str(k),
+    "short": lambda k: f"Short one {k}",
+    "links": lambda k: f"<a href='/{k}'>the link to a page that is about all of the news of the day and more than that number {k}</a> x",
+}
+
+
+def plain_passes(blocks):
+    """The two passes over (kind, text) of one part that is no article, with what each kind is by the rules."""
+    first = [{"good": True, "half": None, "strange": None, "list": False, "short": None, "links": False}[k] for k, _ in blocks]
+    size = lambda kind: sum(len(t) for k, t in blocks if k == kind)
+    if size("strange") > size("good"):
+        first = [True if k == "strange" else f for (k, _), f in zip(blocks, first, strict=True)]
+    out = []
+    for i in range(len(blocks)):
+        left = next(((i - j, first[j]) for j in range(i - 1, -1, -1) if first[j] is not None), None)
+        right = next(((j - i, first[j]) for j in range(i + 1, len(blocks)) if first[j] is not None), None)
+        near = sorted(x for x in (left, right) if x)
+        if first[i] is not None:
+            out.append(first[i])
+        elif len(near) == 2 and near[0][0] == near[1][0] and near[0][1] != near[1][1]:
+            out.append(False)  # they disagree, and the part is no article
+        else:
+            out.append(bool(near) and near[0][1])
+    return [t for (_, t), keep in zip(blocks, out, strict=True) if keep]
+
+
+def test_two_passes_agree_with_plain_rules():
+    import random
+
+    rng = random.Random(9)
+    for _ in range(400):
+        kinds = rng.choices(list(KINDS), k=rng.randint(1, 9), weights=[rng.random() for _ in KINDS])
+        blocks = [(k, KINDS[k](n)) for n, k in enumerate(kinds)]
+        page_ = "<body>" + "".join(rng.choice((f"<p>{t}</p>", f"<div>{t}</div>", f"<section>{t}</section>")) for _, t in blocks) + "</body>"
+        assert extract(page_) == "\n".join(plain_passes(blocks)), kinds
+
+
 def test_page_rows(spark):
-    d = spark.createDataFrame([(1, None, None, 1), (None, "u", page(f"<article><p>{LONG}</article>"), 2), (2, "u", "<p>" * 50_000, 3)], "page_id long, url string, html string, n_chars int")
-    got = {r.page_id: r for r in extract_pages(d).collect()}
+    d = spark.createDataFrame([(1, None, None, 1), (None, "u", page(f"<article><p>{LONG}</article>"), 2), (2, "u", "<p>" * 50_000, 3), (4, "u", f"<p>{LONG}", 4), (4, "u", f"<p>{LONG}", 4)], "page_id long, url string, html string, n_chars int")
+    rows = extract_pages(d).collect()
+    assert len(rows) == 5 and [r.text for r in rows if r.page_id == 4] == [LONG, LONG]
+    got = {r.page_id: r for r in rows}
     assert got[1].text == "" and got[None].text == LONG and got[None].n_chars == len(LONG) and got[2].n_chars == 0
     assert extract_pages(d.limit(0)).count() == 0
 
