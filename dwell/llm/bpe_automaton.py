@@ -22,7 +22,9 @@ encoded whole, in time in proportion to them.
 
 from __future__ import annotations
 
+import gc
 import json
+import struct
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -148,11 +150,13 @@ class Automaton:
         return True
 
     def encode(self, word: bytes) -> list[int]:
+        """The accepted walk over the word's bytes: of each prefix there is one token that may end it, and the pass from
+        left to right finds it by the transitions from the tokens that end shorter ones."""
         if (whole := self.tokens.get(word)) is not None:  # one arc from the start
             return [whole]
         root, asked, step = self._root, self._asked, self.step
         n = len(word)
-        last = [-1] * (n + 1)  # the token that ends the word's first so many bytes
+        last = [-1] * (n + 1)  # of the word's first so many bytes
         for lo in range(n):
             state, at, hi = last[lo], root, lo
             key = state << 32
@@ -232,14 +236,20 @@ class Encoder:
             self.automaton.labels[token] = text.encode()
         self._split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self._special, key=len, reverse=True))) + ")") if self._special else None
         self._words = regex.compile(WORDS)
-        self._word = Recent(lambda w: np.array(self.automaton.encode(w.encode()), "<u4").tobytes(), _KEPT)
+        self._word = Recent(self._encoded, _KEPT)
         self._piece = Recent(self._after_space, _KEPT)
 
+    def _encoded(self, word: str) -> bytes:
+        ids = self.automaton.encode(word.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _ids(self, part: str) -> bytes:
         """Of a stretch that begins and ends where words do."""
         return b"".join(map(self._word.__getitem__, self._words.findall(part)))
 
     def _after_space(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isalpha():  # letters alone are one word
+            return self._encoded(" " + piece)
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Adjoins
         return self._ids(" " + piece)
@@ -270,8 +280,10 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One for each Python worker, which runs many tasks."""
-    return Encoder(path)
+    """One for each Python worker, which runs many tasks; its tables are left out of garbage collections."""
+    made = Encoder(path)
+    gc.freeze()
+    return made
 
 
 def encode_documents(documents: DataFrame, path: str) -> DataFrame:
