@@ -155,7 +155,7 @@ def center_in_box(spark, sf_dir):
     return both.where(G.center_in(F.col("face_box"), F.col("track_box"))).select("frame_idx", "face_idx", "track_idx")
 
 
-@query(f"WITH {X.DET} SELECT frame_idx, det_idx, score FROM det WHERE round(score, 9) >= 0.3 AND kind = 'person'")
+@query(f"WITH {X.DET} SELECT frame_idx, det_idx, round(score, 9) AS score FROM det WHERE round(score, 9) >= 0.3 AND kind = 'person'")
 def detector_filters(spark, sf_dir):
     """Persons are class 0."""
     d = rounded(X.detections(spark, sf_dir), 9, "score").withColumn("class_id", F.when(F.col("kind") == "person", 0).otherwise(1))

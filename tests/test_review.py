@@ -103,6 +103,30 @@ def test_validation_and_exit_status(spark):
     assert R.exit_status(v, True, True, True) == 1 and R.exit_status(v, allow_extra=True, allow_empty=True, max_tracks=1) == 1
 
 
+def test_validation_of_a_manifest(spark, tmp_path):
+    sample = "struct<path:string,quality:double,sharpness:double,frontalness:double,score:double>"
+    m = [(1, 5, 10, 0.0, 1500.0, [("a", 0.5, 1.0, None, 0.9), ("b", 0.7, 3.0, 0.5, None), (None, 9.0, 9.0, 9.0, 9.0)]), (2, None, None, None, None, None), (3, 6, 1, 2.0, None, [])]
+    manifest = spark.createDataFrame(m, f"track_id long, byte_track_id long, total_frames int, first_ts_ms double, last_ts_ms double, samples array<{sample}>")
+    images = spark.createDataFrame([(1, "a"), (1, "z"), (9, "y"), (1, "a")], "track_id long, path string")
+    per = {r.track_id: r for r in R.validation_report(manifest, images).collect()}
+    assert (per[1].sample_count, per[1].missing_samples, per[1].directory_images, per[1].duration_seconds) == (3, 2, 2, 1.5)
+    assert (per[1].avg_quality, per[1].median_quality, per[1].avg_sharpness, per[1].avg_frontalness, per[1].avg_score) == pytest.approx((0.6, 0.6, 2.0, 0.5, 0.9))
+    assert per[2].sample_count == 0 == per[3].missing_samples and per[3].avg_quality is None and len(per[1]) == 13
+    totals = {r.metric: r.value for r in R.validation_totals(manifest, images).collect()}
+    want = dict(total_tracks=3, total_samples=3, samples_per_track_mean=1.0, samples_per_track_median=0.0, quality_mean=0.6, referenced_files=2, existing_files=1, extra_images=2, extra_track_dirs=1, missing_track_dirs=2, score_mean=0.9)
+    assert {k: totals[k] for k in want} == pytest.approx(want)
+    sinks.reports(R.validation_report(manifest, images), R.validation_totals(manifest, images), str(tmp_path))
+    assert spark.read.option("header", True).csv(str(tmp_path / "tracks.csv")).count() == 3
+    assert spark.read.json(str(tmp_path / "metrics.json")).select("metrics.extra_images").first()[0] == 2.0
+    assert R.validation_report(manifest.limit(0), images).count() == 0
+
+
+def test_tracks_find_their_clusters(spark):
+    t, c = spark.createDataFrame([(1,), (2,), (3,)], "track_id long"), spark.createDataFrame([(4, 1), (2, 1), (0, 3)], "cluster_id int, track_id long")
+    assert sorted((r.track_id, r.cluster_id) for r in R.track_clusters(t, c).where("cluster_id is not null").collect()) == [(1, 2), (3, 0)]
+    assert [r.track_id for r in R.track_clusters(t, c, 0).collect()] == [3] and R.track_clusters(t, c).count() == 3
+
+
 def test_files_round_trip(spark, tmp_path):
     at = lambda n: str(tmp_path / n)
     tracks = spark.createDataFrame([(1, 7)], "track_id long, byte_track_id long")

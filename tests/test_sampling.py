@@ -77,3 +77,10 @@ def test_distinct_top_walks_all_candidates(spark, sf):
             kept.append((v, (r.frame_idx, r.l_linenumber, r.l_partkey)))
     want = {(t, k, *of) for t, kept in tracks.items() for k, (_, of) in enumerate(kept, 1)}
     assert {(r.track_id, r.rank, r.frame_idx, r.l_linenumber, r.l_partkey) for r in sampling.seed_topn_dedup(spark, sf).collect()} == want
+
+
+def test_montage_takes_rejected_or_all_others(spark):
+    rows = [(1, True, "picked", 0.5, 1), (1, False, "rejected_area", 0.4, 2), (1, False, "not_selected", 0.9, 3), (2, False, "not_selected", 0.1, 4), (2, None, None, 0.2, 5), (2, False, "profile_pool", None, 6)]
+    s = spark.createDataFrame(rows, "track_id long, picked boolean, reason string, quality double, tie int")
+    got = sorted((r.track_id, r.row, r.tile, r.tie) for r in P.montage_rows(s, ["track_id"], 2, ["tie"]).collect())
+    assert got == [(1, "picked", 1, 1), (1, "rejected", 1, 2), (2, "rejected", 1, 5), (2, "rejected", 2, 4)]

@@ -94,3 +94,20 @@ def test_chunks_make_the_same_runs(spark):
     for size in (1, 7, 30):
         assert sorted(map(tuple, S.islands(df, K, 10, chunk_frames=size).select("first_frame", "last_frame", "label", "n").collect())) == whole
     assert whole == [(0, 29, "A", 30), (31, 40, "B", 10), (60, 75, "B", 16), (76, 90, "A", 15)]
+
+
+def test_fallback_covers_labels_without_segments(spark):
+    rows = [(1, f, "A", 0.5) for f in range(10)] + [(2, f, "B", 0.5) for f in (0, 1)] + [(3, 0, "C", 0.5)]
+    labels = spark.createDataFrame(rows, "track_id long, frame_idx long, label string, score double")
+    known = spark.createDataFrame([("A",), ("B",), ("Z",)], "label string")
+    got = lambda least: sorted((r.track_id, r.subtrack_id, r.label, r.frames) for r in S.covered_segments(None, labels, known, ["track_id"], 1.0, 1000.0, 5000.0, least).collect())
+    assert got(0.0) == got(-5.0) == [(1, 0, "A", 10), (2, 0, "B", 2)]  # C isn't known, Z wasn't seen
+    assert got(3000.0) == [(1, 0, "A", 10)] == got(9000.0)  # capped at the run's own length
+    subs = spark.createDataFrame([(2, 0, 0, 1, "B", None)], "track_id long, subtrack_id int, start_frame long, end_frame long, label string, avg_similarity double")
+    found = S.covered_segments(subs, labels, known, ["track_id"], 1.0, 1000.0, 5000.0).collect()
+    assert sorted((r.track_id, r.label, r.frames) for r in found) == [(1, "A", 10), (2, "B", 2)]
+
+
+def test_track_lengths(spark):
+    t = spark.createDataFrame([("v", 2), ("v", 4), ("v", 9), ("v", 0), ("w", None)], "video string, duration_frames long")
+    assert [tuple(r) for r in S.track_lengths(t, ["video"]).collect()] == [("v", 3, 5.0, 4.0)]
