@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dwell.llm.bpe_automaton import op7_bpe_automaton
 from dwell.llm.grid_join import op8_grid_join
+from dwell.llm.hard_negatives import op11_dual_tree_negatives
 from dwell.llm.html_extraction import op9_html_blocks
+from dwell.llm.lexical_search import op13_sorted_impacts
 from dwell.llm.line_frequency import MAX_DOCUMENTS, op4_line_frequency
 from dwell.llm.packing import op3_cost_packing
 from dwell.llm.quality_classifier import op1_quality_nbsvm
+from dwell.llm.sharding import op12_lpt_shards
 from dwell.llm.simhash import op10_simhash_golay
 from dwell.llm.token_counts import op2_token_counts
 from dwell.llm.toxicity import op5_toxicity_subword
@@ -26,6 +29,9 @@ QUERIES = {
         op8_grid_join,
         op9_html_blocks,
         op10_simhash_golay,
+        op11_dual_tree_negatives,
+        op12_lpt_shards,
+        op13_sorted_impacts,
     )
 }
 
@@ -66,4 +72,21 @@ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec
 r AS (SELECT vec_id, vec_id AS root FROM u UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.vec_id),
 c AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a) USING (vec_id)""",
+    "op11_dual_tree_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INT) AS rank, id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
+    "op13_sorted_impacts": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+c AS (SELECT count(*) AS nd, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+e AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM e WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * (SELECT nd FROM c) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf GROUP BY term),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nd) // l)))) AS BIGINT) AS score FROM i JOIN tf USING (term) JOIN w USING (term), c GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
 }
