@@ -10,6 +10,25 @@ def doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
 
+def finite(v: Column) -> Column:
+    """Whether a vector is there, not empty, and of finite numbers alone; never null."""
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.coalesce((F.size(v) > 0) & ~F.exists(v, odd), F.lit(False))
+
+
+def common_width(df: DataFrame, column: str = "embedding") -> int:
+    """The width that most of the finite vectors have, the lesser of equally many; 0 for none. One row a width is
+    compared."""
+    widths = df.where(finite(F.col(column))).groupBy(F.size(column).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    found = widths.agg(F.min_by("w", F.struct(-F.col("n"), F.col("w")))).first()[0]
+    return found or 0
+
+
+def usable(df: DataFrame, column: str = "embedding", width: int | None = None) -> Column:
+    """Whether a row's vector takes part: it is finite, and as wide as most are (or as ``width`` says)."""
+    return finite(F.col(column)) & (F.size(column) == (common_width(df, column) if width is None else width))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

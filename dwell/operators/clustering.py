@@ -1,59 +1,132 @@
-"""Clusters of vectors by cosine: density-based over an epsilon graph, average linkage and moving leaders."""
+"""Clusters of vectors by cosine: density-based over an epsilon graph, average linkage and moving leaders.
+
+Vectors that are null, empty, not finite or not as wide as most take no part (``functions.vectors.usable``): such a sample
+keeps its row and is in no cluster, with a null for its number.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwell.config import DEFAULT as C
-from dwell.functions.vectors import doubles, unit
+from dwell.functions.vectors import doubles, unit, usable
+from dwell.operators.folds import in_order, kinds, runs
 from dwell.operators.graph import connected, cut, forest
-from dwell.operators.numbering import numbered
+from dwell.operators.numbering import numbered, numbered_within
 
+#: Vectors that distances are indexed by, of a bounded sample.
+PIVOTS, PIVOT_SAMPLE = 8, 1024
 
-def _in_blocks(rows: DataFrame, block: int, compare, schema: str) -> DataFrame:
-    """``compare(first, second, own)`` of the vectors (id, u, core) of each pair of blocks; ``own`` where they are one.
 
-    A vector goes to the tasks of all pairs of its block: the volume is that of n²/2 comparisons in blocks of
-    ``block`` vectors.
-    """
-    blocks = max(1, -(-rows.count() // block))
-    dealt = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.withColumn("lo", F.least("b", "o")).withColumn("hi", F.greatest("b", "o")).drop("o")
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of equal width, without nulls."""
+    one = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return one.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(one), -1) if len(one) else np.zeros((0, 0))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first, second = (pdf[pdf["b"] == pdf[side].iloc[0]] for side in ("lo", "hi"))
-        return compare(first, second, pdf["lo"].iloc[0] == pdf["hi"].iloc[0])
 
-    return dealt.groupBy("lo", "hi").applyInPandas(run, schema)
+def pivots_of(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
+    """Vectors far from one another: each next one is that farthest from those before."""
+    if not len(sample):
+        return sample
+    chosen = [0]
+    near = ((sample - sample[0]) ** 2).sum(axis=1)
+    while len(chosen) < min(n, len(sample)) and near.max() > 0:
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, ((sample - sample[chosen[-1]]) ** 2).sum(axis=1))
+    return sample[chosen]
 
 
-def _near(first: pd.DataFrame, second: pd.DataFrame, own: bool, at_least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def in_blocks(rows: DataFrame, by: list[str], block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, u and others) with the number ``b`` of a block of about ``block`` neighbours within each group, and the
+    blocks (``by``, b, n, least and most distance to each pivot).
+
+    Rows are in order of the nearest pivot and the distance to it, so blocks are shells around pivots. Pivots, found
+    from a bounded sample, decide what blocks are made of, not what is compared.
+    """
+    sample = rows.select("u").orderBy(F.xxhash64("u"), "u").limit(PIVOT_SAMPLE).toArrow()["u"]
+    shared = rows.sparkSession.sparkContext.broadcast(pivots_of(matrix(sample)))
+    k = len(shared.value)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u = matrix(batch["u"])
+            d = np.sqrt(np.maximum(0, ((u[:, None, :] - shared.value[None]) ** 2).sum(axis=2))) if len(u) else np.zeros((0, k))
+            near = d.argmin(axis=1) if k else np.zeros(len(u), int)
+            far = d[np.arange(len(u)), near] if k else np.zeros(len(u))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d.tolist(), pa.list_(pa.float64())), pa.array(near, pa.int64()), pa.array(far)], names=[*batch.schema.names, "d", "__near", "__far"])
+
+    measured_rows = rows.mapInArrow(measured, kinds(rows, *rows.columns) + ", d array<double>, __near long, __far double")
+    order = numbered_within(measured_rows, by, ["__near", "__far", "id"], "__nth").drop("__near", "__far")
+    placed = cut(order.withColumn("b", F.floor(F.col("__nth") / block)).drop("__nth"))
+    side = lambda f, n: F.array(*(f(F.col("d")[i]) for i in range(k))).alias(n)
+    return placed.drop("d"), placed.groupBy(*by, "b").agg(F.count(F.lit(1)).alias("n"), side(F.min, "least"), side(F.max, "most"))
+
+
+def block_pairs(blocks: DataFrame, by: list[str], eps: float) -> DataFrame:
+    """(by, lo, hi) of the pairs of blocks of a group that may hold vectors within ``eps`` of each other: by the triangle
+    inequality they differ by no less than their distances to any pivot do."""
+    a = blocks.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("b").alias("lo"), F.col("least").alias("a0"), F.col("most").alias("a1"))
+    b = blocks.select(*by, F.col("b").alias("hi"), F.col("least").alias("b0"), F.col("most").alias("b1"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    apart = F.exists(F.arrays_zip("a0", "a1", "b0", "b1"), lambda x: (x.a0 - x.b1 > eps + 1e-9) | (x.b0 - x.a1 > eps + 1e-9))
+    return b.join(a, same & (F.col("lo") <= F.col("hi")) & ~apart).select(*by, "lo", "hi")
+
+
+def _compared(rows: DataFrame, by: list[str], block: int, eps: float, compare, schema: str) -> DataFrame:
+    """``compare(first, second, own)`` of the vectors (id, u, core) of each pair of blocks that may be near; ``own`` where
+    they are one. A vector goes to the tasks of its block's pairs that the pivots leave."""
+    placed, blocks = in_blocks(rows, by, block)
+    # blocks are a small part of the rows; their pairs are joined with rows by the block's number
+    pairs = cut(block_pairs(blocks, by, eps))
+    sides = pairs.select(*by, "lo", "hi", F.col("lo").alias("b")).unionByName(pairs.where("lo < hi").select(*by, "lo", "hi", F.col("hi").alias("b")))
+    key = lambda df: df.withColumn("__of", F.struct(*by, "b"))
+    dealt = key(placed).drop(*by, "b").join(key(sides), "__of").drop("__of")
+
+    def run(t: pa.Table) -> pa.Table:
+        lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
+        at = t["b"].to_numpy()
+        first = t.filter(pa.array(at == lo))
+        return compare(first, first if lo == hi else t.filter(pa.array(at == hi)), lo == hi)
+
+    return dealt.select(*by, "lo", "hi", "b", *(c for c in rows.columns if c not in by)).groupBy(*by, "lo", "hi").applyInArrow(run, schema)
+
+
+def _near(first: pa.Table, second: pa.Table, own: bool, at_least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of near pairs in both, each pair once, some rows at a time."""
     if not len(first) or not len(second):
         return
-    x, y = np.stack(first["u"].to_numpy()), np.stack(second["u"].to_numpy())
+    x, y = matrix(first["u"]), matrix(second["u"])
     for k in range(0, len(x), 512):
         i, j = np.nonzero(x[k : k + 512] @ y.T >= at_least)
         i = i + k
         yield (i[i < j], j[i < j]) if own else (i, j)
 
 
+def _eps(at_least: float) -> float:
+    """The distance of two vectors of length one (or less) with that cosine."""
+    return float(np.sqrt(max(0.0, 2 - 2 * at_least)))
+
+
 def neighbours(rows: DataFrame, at_least: float, block: int = 2048) -> DataFrame:
     """(id, n): how many others have a cosine of ``at_least`` with each vector that has any. Sums leave a task, no pairs."""
 
-    def compare(first: pd.DataFrame, second: pd.DataFrame, own: bool) -> pd.DataFrame:
+    def compare(first: pa.Table, second: pa.Table, own: bool) -> pa.Table:
         a, b = np.zeros(len(first), np.int64), np.zeros(len(second), np.int64)
         for i, j in _near(first, second, own, at_least):
             a += np.bincount(i, minlength=len(a))
             b += np.bincount(j, minlength=len(b))
-        return pd.DataFrame({"id": np.concatenate([first["id"], second["id"]]), "n": np.concatenate([a, b])}).query("n > 0")
+        ids, n = np.concatenate([first["id"].to_numpy(), second["id"].to_numpy()]), np.concatenate([a, b])
+        return pa.table({"id": ids[n > 0], "n": n[n > 0]})
 
-    return _in_blocks(rows, block, compare, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return _compared(rows, [], block, _eps(at_least), compare, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def density_links(rows: DataFrame, at_least: float, block: int = 2048) -> DataFrame:
@@ -61,7 +134,7 @@ def density_links(rows: DataFrame, at_least: float, block: int = 2048) -> DataFr
     a forest for each task; and each near pair (a, b) of one that is not core with one that is. Of the latter a vector
     has few, or it would be core itself."""
 
-    def compare(first: pd.DataFrame, second: pd.DataFrame, own: bool) -> pd.DataFrame:
+    def compare(first: pa.Table, second: pa.Table, own: bool) -> pa.Table:
         links, border = [np.zeros((2, 0), np.int64)], [np.zeros((2, 0), np.int64)]
         ids, core = [x["id"].to_numpy() for x in (first, second)], [x["core"].to_numpy() for x in (first, second)]
         for i, j in _near(first, second, own, at_least):
@@ -70,17 +143,33 @@ def density_links(rows: DataFrame, at_least: float, block: int = 2048) -> DataFr
             border += [np.stack([a[~ca & cb], b[~ca & cb]]), np.stack([b[ca & ~cb], a[ca & ~cb]])]
         found = [np.concatenate(links, axis=1), np.concatenate(border, axis=1)]
         found[0] = np.stack(forest(*found[0]))
-        return pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found]), "border": np.repeat([False, True], [f.shape[1] for f in found])})
+        return pa.table({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found]), "border": np.repeat([False, True], [f.shape[1] for f in found])})
+
+    return _compared(rows, [], block, _eps(at_least), compare, "a long, b long, border boolean")
 
-    return _in_blocks(rows, block, compare, "a long, b long, border boolean")
+
+def near_links(rows: DataFrame, by: list[str], at_least: float, block: int = 2048) -> DataFrame:
+    """(a, b): links that connect the same vectors of each group as all pairs with a cosine of ``at_least`` do, as a
+    forest for each task."""
+
+    def compare(first: pa.Table, second: pa.Table, own: bool) -> pa.Table:
+        ids, links = [x["id"].to_numpy() for x in (first, second)], [np.zeros((2, 0), np.int64)]
+        for i, j in _near(first, second, own, at_least):
+            links.append(np.stack(forest(ids[0][i], ids[1][j])))
+        a, b = forest(*np.concatenate(links, axis=1))
+        return pa.table({"a": a, "b": b})
+
+    return _compared(rows, by, block, _eps(at_least), compare, "a long, b long")
 
 
 def dbscan(samples: DataFrame, sample: str, eps: float, min_samples: int, block: int = 2048) -> DataFrame:
     """(sample, cluster_id): core samples have ``min_samples`` neighbours within cosine distance eps, themselves
     included; border samples join their least core cluster; each noise sample gets an id of its own after the others.
+    Samples without a usable vector have none.
     """
-    ids = samples.select(F.col(sample).cast("long").alias("id"))
-    rows = cut(samples.select(F.col(sample).cast("long").alias("id"), unit(doubles(F.col("embedding"))).alias("u")))
+    known = samples.select(F.col(sample).cast("long").alias("id"), F.when(usable(samples), unit(doubles(F.col("embedding")))).alias("u"))
+    whole = cut(known)
+    rows, ids = whole.where("u IS NOT NULL"), whole.where("u IS NOT NULL").select("id")
     counts = neighbours(rows, 1 - eps, block)
     flagged = cut(rows.join(counts, "id", "left").withColumn("core", F.coalesce("n", F.lit(0)) + 1 >= min_samples).drop("n"))
     links = cut(density_links(flagged, 1 - eps, block))
@@ -94,7 +183,8 @@ def dbscan(samples: DataFrame, sample: str, eps: float, min_samples: int, block:
     noise = ids.join(named, "id", "left_anti")
     after = numbers.agg(F.coalesce(F.max("cluster_id"), F.lit(-1)).alias("top"))
     alone = numbered(noise, "id", "nth").join(F.broadcast(after), F.lit(True)).select("id", (F.col("nth") + 1 + F.col("top")).alias("cluster_id"))
-    return named.unionByName(alone).withColumnRenamed("id", sample)
+    out = whole.where("u IS NULL").select("id", F.lit(None).cast("long").alias("cluster_id"))
+    return named.unionByName(alone).unionByName(out).withColumnRenamed("id", sample)
 
 
 def average_linkage(vectors: np.ndarray, distance: float) -> np.ndarray:
@@ -137,45 +227,84 @@ def average_linkage(vectors: np.ndarray, distance: float) -> np.ndarray:
     return np.unique(first[owner], return_inverse=True)[1]
 
 
-def agglomerative(tracks: DataFrame, keys: list[str], track: str, distance: float) -> DataFrame:
-    """Average linkage of the track vectors of each group, such as an episode. A group is one task and its distances a
-    matrix there, so groups should be of some thousand tracks at most."""
-    kinds = {f.name: f.dataType.simpleString() for f in tracks.schema}
+def agglomerative(tracks: DataFrame, keys: list[str], track: str, distance: float, block: int = 2048) -> DataFrame:
+    """Average linkage of the track vectors of each group, such as an episode, numbered in order of their first tracks;
+    tracks without a usable vector have no cluster.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(track)
-        return pdf[[*keys, track]].assign(cluster_id=average_linkage(np.stack(pdf["embedding"].to_numpy()).astype(float), distance))
+    A mean distance of at most ``distance`` has a pair of at most it, so clusters lie within components of the graph of
+    such pairs. Only a component is one task, with its distances as a matrix there; a group of any size is cut into
+    blocks to find the components.
+    """
+    whole = cut(tracks.select(*keys, track, F.when(usable(tracks), unit(doubles(F.col("embedding")), 1e-12)).alias("u"), F.monotonically_increasing_id().alias("id")))
+    rows = whole.where("u IS NOT NULL")
+    roots = connected(near_links(rows.select(*keys, "id", "u"), keys, 1 - distance - 1e-9, block)).withColumnRenamed("node", "id")
+    held = rows.select("id", track, "u").join(roots, "id")
 
-    return tracks.select(*keys, track, "embedding").groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*keys, track]) + ", cluster_id int")
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(track, "ascending"), ("id", "ascending")])
+        label = average_linkage(matrix(t["u"]), distance)
+        ids = t["id"].to_numpy()
+        # a cluster is named by its first track's id
+        return pa.table({"id": ids, "head": ids[np.unique(label, return_index=True)[1][label]]})
 
+    linked = held.groupBy("root").applyInArrow(run, "id long, head long")
+    heads = cut(rows.select(*keys, track, "id").join(linked, "id", "left").withColumn("head", F.coalesce("head", "id")))
+    numbers = numbered_within(heads.where("id = head").select(*keys, track, "head"), keys, [track, "head"], "cluster_id").select("head", F.col("cluster_id").cast("int").alias("cluster_id"))
+    return whole.select(*keys, track, "id").join(heads.select("id", "head"), "id", "left").join(numbers, "head", "left").select(*keys, track, "cluster_id")
 
-def leaders(vectors: np.ndarray, similarity: float) -> np.ndarray:
+
+class Leaders:
     """Each vector joins the nearest leader at or above the similarity, whose mean moves, or starts one."""
-    sums: list[np.ndarray] = []
-    out = []
-    for v in vectors:
+
+    def __init__(self, similarity: float) -> None:
+        self._similarity = similarity
+        self._sums: list[np.ndarray] = []
+        self.sizes: list[int] = []
+
+    def add(self, v: np.ndarray) -> int:
         v = v / max(np.linalg.norm(v), 1e-12)
-        sims = [float(s @ v) / max(np.linalg.norm(s), 1e-12) for s in sums]
+        sims = [float(s @ v) / max(np.linalg.norm(s), 1e-12) for s in self._sums]
         k = int(np.argmax(sims)) if sims else -1
-        if k < 0 or sims[k] < similarity:
-            k = len(sums)
-            sums.append(np.zeros_like(v))
-        sums[k] = sums[k] + v
-        out.append(k)
-    return np.array(out, int)
+        if k < 0 or sims[k] < self._similarity:
+            k = len(self._sums)
+            self._sums.append(np.zeros_like(v))
+            self.sizes.append(0)
+        self._sums[k] = self._sums[k] + v
+        self.sizes[k] += 1
+        return k
+
+
+def leaders(vectors: np.ndarray, similarity: float) -> np.ndarray:
+    fold = Leaders(similarity)
+    return np.array([fold.add(v) for v in vectors], int)
 
 
 def leader_clusters(samples: DataFrame, keys: list[str], sample: str, similarity: float, min_size: int) -> DataFrame:
-    """Per track: leaders in order of samples, and how many have at least ``min_size`` samples (all, if none has)."""
-    kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
+    """Per track: leaders in order of samples, and how many have at least ``min_size`` samples (all, if none has); 0 of
+    either for a track without usable vectors. A fold: leaders are what is held of a track."""
+    rows = samples.select(*keys, sample, F.when(usable(samples), doubles(F.col("embedding"))).alias("v"))
+    schema = kinds(rows, *keys) + ", leaders int, identities int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, fold = None, Leaders(similarity)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(sample)
-        sizes = np.bincount(leaders(np.stack(pdf["embedding"].to_numpy()).astype(float), similarity))
-        big = int((sizes >= min_size).sum())
-        return pdf[keys].head(1).assign(leaders=len(sizes), identities=big or len(sizes))
+        def told() -> pa.RecordBatch:
+            big = sum(n >= min_size for n in fold.sizes)
+            counts = [pa.array([n], pa.int32()) for n in (len(fold.sizes), big or len(fold.sizes))]
+            return pa.RecordBatch.from_arrays([*last.columns, *counts], names=[*keys, "leaders", "identities"])
 
-    return samples.select(*keys, sample, "embedding").groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", leaders int, identities int")
+        for new, part in runs(batches, len(keys)):
+            if new and last is not None:
+                yield told()
+                fold = Leaders(similarity)
+            last = part.select(keys).slice(0, 1)
+            there = part.filter(part["v"].is_valid())
+            for v in matrix(there["v"]) if there.num_rows else ():
+                fold.add(v)
+        if last is not None:
+            yield told()
+
+    return in_order(rows, keys, sample).mapInArrow(run, schema)
 
 
 def stitch_edges(tracks: DataFrame, keys: list[str], gap_ms: float, least_iou: float, max_distance: float) -> DataFrame:
@@ -194,107 +323,161 @@ def stitch_edges(tracks: DataFrame, keys: list[str], gap_ms: float, least_iou: f
 
 
 def stitch_chains(tracks: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Greedy chains: in order of start, from each unused track on to the unused successor of highest similarity.
+    """Greedy chains: in order of start, from each unused track on to the unused successor of highest similarity; of
+    equal ones to the first. Chains are numbered from 1 by their first tracks.
 
-    Only ids and edges reach the grouped function, one group a video.
+    A chain never leaves a component of the edges, so a component is a group, of tracks and lists of successors; tracks
+    without edges are chains of their own. What is numbered is chains, by ranges.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in tracks.schema}
-    listed = edges.groupBy(*keys, F.col("a").alias("track_id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("neg"), F.col("b").alias("b")))).alias("next"))
-    rows = tracks.select(*keys, "track_id", "start_ms").join(listed, [*keys, "track_id"], "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_ms", "track_id"])
-        order = {t: k for k, t in enumerate(pdf["track_id"])}
-        following = {t: sorted(n, key=lambda x: (x["neg"], order[x["b"]])) if n is not None else [] for t, n in zip(pdf["track_id"], pdf["next"], strict=True)}
+    rows = cut(tracks.select(*keys, "track_id", "start_ms", F.monotonically_increasing_id().alias("node")))
+    of = rows.select(F.struct(*keys, F.col("track_id").cast("long").alias("t")).alias("__of"), F.col("node"), F.col("start_ms").alias("s"))
+    end = lambda c: F.struct(*keys, F.col(c).cast("long").alias("t"))
+    ends = edges.withColumn("__of", end("a")).join(of.select("__of", F.col("node").alias("na")), "__of").withColumn("__of", end("b"))
+    links = cut(ends.join(of.withColumnsRenamed({"node": "nb", "s": "sb"}), "__of").select("na", "nb", "sb", "b", "sim"))
+    roots = connected(links.select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    near = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("neg"), "sb", "b", "nb"))), lambda x: x.nb)
+    following = links.groupBy(F.col("na").alias("node")).agg(near.alias("next"))
+    held = rows.select("node", "track_id", "start_ms").join(roots, "node").join(following, "node", "left")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("start_ms", "ascending"), ("track_id", "ascending"), ("node", "ascending")])
+        nodes = t["node"].to_pylist()
+        after = dict(zip(nodes, t["next"].to_pylist(), strict=True))
         chain: dict[int, tuple[int, int]] = {}
-        number = 0
-        for t in pdf["track_id"]:
-            if t in chain:
-                continue
-            number += 1
-            place, at = 0, t
+        for head in nodes:
+            place, at = 0, head if head not in chain else None
             while at is not None:
-                chain[at] = (number, place)
+                chain[at] = (head, place)
                 place += 1
-                at = next((x["b"] for x in following[at] if x["b"] not in chain), None)
-        return pdf[[*keys, "track_id"]].assign(chain_id=[chain[t][0] for t in pdf["track_id"]], position=[chain[t][1] for t in pdf["track_id"]])
+                at = next((x for x in after[at] or () if x not in chain), None)
+        return pa.table({"node": nodes, "head": pa.array([chain[x][0] for x in nodes], pa.int64()), "position": pa.array([chain[x][1] for x in nodes], pa.int32())})
 
-    return rows.groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*keys, "track_id"]) + ", chain_id int, position int")
+    found = held.groupBy("root").applyInArrow(run, "node long, head long, position int")
+    placed = cut(rows.join(found, "node", "left").withColumns({"head": F.coalesce("head", "node"), "position": F.coalesce("position", F.lit(0))}))
+    heads = numbered_within(placed.where("node = head").select(*keys, "start_ms", "track_id", "head"), keys, ["start_ms", "track_id", "head"], "nth")
+    return placed.join(heads.select("head", (F.col("nth") + 1).cast("int").alias("chain_id")), "head").select(*keys, "track_id", "chain_id", "position")
 
 
-def guard(frames: np.ndarray, vectors: np.ndarray, min_picks: int = C.guard_min_picks, stride: int = C.guard_stride, consecutive: int = C.guard_consecutive, reject: float = C.guard_reject, margin: float = C.guard_margin, recover: int = C.guard_recover, split_below: float | None = C.split_below) -> np.ndarray:
-    """The identity number of each sample of one tracker id, in order: samples far from the running mean wait in
-    quarantine; enough of them in a row make a new identity, a recovery gives them back."""
-    out = np.full(len(frames), -1)
-    sums, counts, last = [np.zeros(vectors.shape[1])], [0], [-float(stride)]
-    now, pending, streak, recovery, top = 0, [], 0, 0, 0
+class Guard:
+    """Identities of the samples of one tracker id, one after another: samples far from the running mean wait in
+    quarantine; enough of them in a row make a new identity, a recovery gives them back.
 
-    def commit(i: int) -> None:
-        sums[now] = sums[now] + vectors[i]
-        counts[now] += 1
-        out[i] = now
+    ``add`` and ``end`` give (sample, identity) for each sample as soon as it is decided; what is held is a mean for each
+    identity and the samples that wait.
+    """
 
-    def similarity(i: int) -> float | None:
-        if counts[now] < min_picks:
+    def __init__(
+        self, min_picks: int = C.guard_min_picks, stride: int = C.guard_stride, consecutive: int = C.guard_consecutive, reject: float = C.guard_reject, margin: float = C.guard_margin, recover: int = C.guard_recover, split_below: float | None = C.split_below
+    ) -> None:
+        self._min_picks, self._stride, self._consecutive, self._reject, self._margin, self._recover, self._split_below = min_picks, stride, consecutive, reject, margin, recover, split_below
+        self._sums: list[np.ndarray | float] = [0.0]
+        self._counts, self._last = [0], [-float(stride)]
+        self._now, self._streak, self._back = 0, 0, 0
+        self._waiting: list[tuple[int, np.ndarray]] = []
+
+    def _commit(self, samples: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+        for i, v in samples:
+            self._sums[self._now] = self._sums[self._now] + v
+            self._counts[self._now] += 1
+            yield i, self._now
+
+    def _release(self) -> Iterator[tuple[int, int]]:
+        waiting, self._waiting = self._waiting, []
+        yield from self._commit(waiting)
+
+    def _similarity(self, v: np.ndarray) -> float | None:
+        if self._counts[self._now] < self._min_picks:
             return None
-        c = sums[now] / counts[now]
-        return float(c @ vectors[i]) / (float(np.linalg.norm(c) * np.linalg.norm(vectors[i])) + 1e-9)
-
-    def new() -> None:
-        nonlocal now, top
-        top += 1
-        now = top
-        sums.append(np.zeros(vectors.shape[1]))
-        counts.append(0)
-        last.append(-float(stride))
-
-    for i, f in enumerate(frames):
+        mean = self._sums[self._now] / self._counts[self._now]
+        return float(mean @ v) / (float(np.linalg.norm(mean) * np.linalg.norm(v)) + 1e-9)
+
+    def _new(self) -> None:
+        self._now = len(self._sums)
+        self._sums.append(0.0)
+        self._counts.append(0)
+        self._last.append(-float(self._stride))
+
+    def add(self, i: int, frame: float, v: np.ndarray) -> Iterator[tuple[int, int]]:
         sim = None
-        if counts[now] < min_picks or f - last[now] >= stride:
-            last[now] = float(f)
-            sim = similarity(i)
-            if sim is not None and sim < reject:
-                pending.append(i)
-                streak, recovery = streak + 1, 0
-                if streak >= consecutive:
-                    new()
-                    last[now] = float(f)
-                    for j in pending:
-                        commit(j)
-                    pending, streak = [], 0
-                continue
-            streak = 0
-            if pending:
-                recovery = recover if sim is None else recovery + 1 if sim >= reject + margin else 0
-                pending.append(i)
-                if recovery >= recover:
-                    for j in pending:
-                        commit(j)
-                    pending, recovery = [], 0
-                continue
+        if self._counts[self._now] < self._min_picks or frame - self._last[self._now] >= self._stride:
+            self._last[self._now] = float(frame)
+            sim = self._similarity(v)
+            if sim is not None and sim < self._reject:
+                self._waiting.append((i, v))
+                self._streak, self._back = self._streak + 1, 0
+                if self._streak >= self._consecutive:
+                    self._new()
+                    self._last[self._now] = float(frame)
+                    self._streak = 0
+                    yield from self._release()
+                return
+            self._streak = 0
+            if self._waiting:
+                self._back = self._recover if sim is None else self._back + 1 if sim >= self._reject + self._margin else 0
+                self._waiting.append((i, v))
+                if self._back >= self._recover:
+                    self._back = 0
+                    yield from self._release()
+                return
         else:
-            streak = 0
-            for j in pending:
-                commit(j)
-            pending, recovery = [], 0
-        if split_below is not None:
-            sim = similarity(i) if sim is None else sim
-            if sim is not None and sim < split_below:
-                new()
-                sums[now] = sums[now] + vectors[i]  # the seed counts twice
-                counts[now] += 1
-        commit(i)
-    for j in pending:
-        commit(j)
+            self._streak, self._back = 0, 0
+            yield from self._release()
+        if self._split_below is not None:
+            sim = self._similarity(v) if sim is None else sim
+            if sim is not None and sim < self._split_below:
+                self._new()
+                self._sums[self._now] = self._sums[self._now] + v  # the seed counts twice
+                self._counts[self._now] += 1
+        yield from self._commit([(i, v)])
+
+    def end(self) -> Iterator[tuple[int, int]]:
+        yield from self._release()
+
+
+def guard(frames: np.ndarray, vectors: np.ndarray, **rules) -> np.ndarray:
+    """The identity number of each sample of one tracker id, in order."""
+    fold, out = Guard(**rules), np.full(len(frames), -1)
+    for i, (f, v) in enumerate(zip(frames, vectors, strict=True)):
+        for j, n in fold.add(i, f, v):
+            out[j] = n
+    for j, n in fold.end():
+        out[j] = n
     return out
 
 
 def identity_guard(samples: DataFrame, keys: list[str], **rules) -> DataFrame:
-    """``guard`` for each tracker id; one id's vectors are one group."""
-    kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
-        return pdf[[*keys, "frame_idx"]].assign(identity=guard(pdf["frame_idx"].to_numpy(), np.stack(pdf["embedding"].to_numpy()).astype(float), **rules))
-
-    return samples.select(*keys, "frame_idx", "embedding").groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*keys, "frame_idx"]) + ", identity int")
+    """``guard`` for each tracker id, as a fold over its samples in order of frames; samples without a usable vector have
+    no identity."""
+    rows = samples.select(*keys, "frame_idx", F.when(usable(samples), doubles(F.col("embedding"))).alias("v"))
+    schema = kinds(rows, *keys, "frame_idx") + ", identity int"
+    names = [*keys, "frame_idx", "identity"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, key = Guard(**rules), None
+        frames: dict[int, object] = {}  # of samples that wait
+        count = 0
+
+        def told(decided: list[tuple[int, int]]) -> pa.RecordBatch:
+            out = pa.array([frames.pop(i) for i, _ in decided], key.schema.field("frame_idx").type)
+            own = key.select(keys).take(pa.array(np.zeros(len(decided), int)))
+            return pa.RecordBatch.from_arrays([*own.columns, out, pa.array([n for _, n in decided], pa.int32())], names=names)
+
+        for new, part in runs(batches, len(keys)):
+            if new and key is not None:
+                yield told(list(fold.end()))
+                fold, frames, count = Guard(**rules), {}, 0
+            key = part.slice(0, 1)
+            there = part["v"].is_valid()
+            out = part.filter(pc.invert(there))
+            yield pa.RecordBatch.from_arrays([*out.select([*keys, "frame_idx"]).columns, pa.nulls(out.num_rows, pa.int32())], names=names)
+            part = part.filter(there)
+            decided: list[tuple[int, int]] = []
+            for f, v in zip(part["frame_idx"].to_pylist(), matrix(part["v"]) if part.num_rows else (), strict=True):
+                frames[count] = f
+                decided += fold.add(count, f, v)
+                count += 1
+            yield told(decided)
+        if key is not None:
+            yield told(list(fold.end()))
+
+    return in_order(rows, keys, "frame_idx").mapInArrow(run, schema)

@@ -10,14 +10,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from dwell.functions import geometry as G
-from dwell.functions.vectors import doubles
+from dwell.functions.vectors import common_width, doubles, usable
 from dwell.operators.folds import in_order, kinds, runs
+from dwell.operators.graph import cut
 
 
 def detected(detections: DataFrame, min_score: float, class_id: int | None = None) -> DataFrame:
@@ -181,32 +183,43 @@ def knn(samples: DataFrame, bank: DataFrame, k: int) -> DataFrame:
     """The ``k`` bank labels of highest cosine for each sample (column embedding); ties, at 12 digits, go to the smaller
     label.
 
-    The bank has one row a label. Its size is counted, and it goes to every task in parts of a bounded number of
-    vectors; a part keeps its best ``k`` for a sample, and only those are compared between parts.
+    The bank has one row a label; a row without a label or a usable vector is none of it. A sample whose vector is null,
+    empty, not finite or not as wide as the bank's has one row, of rank 1 with a null match and score; an empty bank gives no rows. The bank's size is
+    counted, and it goes to every task in parts of a bounded number of vectors; a part keeps its best ``k`` for a sample,
+    and only those are compared between parts.
     """
     columns = [c for c in samples.columns if c != "embedding"]
-    rows = samples.withColumn("__v", doubles(F.col("embedding"))).drop("embedding").withColumn("__id", F.monotonically_increasing_id())
+    known = bank.select("label", "embedding").where("label IS NOT NULL")
+    width = common_width(known)
+    known = cut(known.where(usable(known, width=width)))
+    rows = samples.withColumn("__v", F.when(usable(samples, width=width), doubles(F.col("embedding")))).drop("embedding").withColumn("__id", F.monotonically_increasing_id())
     schema = T.StructType([*(f for f in rows.schema.fields if f.name != "__v"), T.StructField("rank", T.IntegerType()), T.StructField("match", bank.schema["label"].dataType), T.StructField("score", T.DoubleType())])
-    labels, width = bank.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    parts = max(1, -(-labels * max(width or 0, 1) // BANK_NUMBERS))
+    parts = max(1, -(-known.count() * max(width, 1) // BANK_NUMBERS))
     found = []
     for part in range(parts):
-        own = bank.where(F.pmod(F.xxhash64("label"), F.lit(parts)) == part).orderBy("label").toPandas()
-        centres = np.stack(own["embedding"].to_numpy()).astype(float) if len(own) else np.zeros((0, 1))
-        shared = samples.sparkSession.sparkContext.broadcast((own["label"].tolist(), centres))
+        own = known.where(F.pmod(F.xxhash64("label"), F.lit(parts)) == part).orderBy("label").toArrow()
+        centres = np.array(own["embedding"].to_pylist(), float).reshape(len(own), width)
+        shared = samples.sparkSession.sparkContext.broadcast((own["label"].combine_chunks(), centres))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, part=part) -> Iterator[pa.RecordBatch]:
             names, c = shared.value
             top = min(k, len(names))
             for batch in batches:
-                v = np.array([x if x is not None else [np.nan] * c.shape[1] for x in batch["__v"].to_pylist()], float).reshape(batch.num_rows, -1)
+                there = batch["__v"].is_valid()
+                if part == 0 and c.shape[1]:
+                    # without the bank's ways, and told once
+                    out = batch.drop_columns(["__v"]).filter(pc.invert(there))
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.ones(out.num_rows, np.int32)), pa.nulls(out.num_rows, names.type), pa.nulls(out.num_rows, pa.float64())], names=schema.names)
+                batch = batch.filter(there)
+                if not batch.num_rows:
+                    continue
+                v = batch["__v"].flatten().to_numpy().reshape(batch.num_rows, -1)
                 length = np.linalg.norm(v, axis=1, keepdims=True)
                 score = np.round(np.where(length < 1e-6, v, v / np.maximum(length, 1e-300)) @ c.T, 12) if top else np.zeros((len(v), 0))
                 best = np.argsort(-score, axis=1, kind="stable")[:, :top]
                 again = batch.drop_columns(["__v"]).take(pa.array(np.repeat(np.arange(len(v)), top)))
-                label = pa.array([names[j] for j in best.ravel().tolist()], again.schema.field(0).type if not len(names) else None)
                 rank = pa.array(np.tile(np.arange(1, top + 1, dtype=np.int32), len(v)))
-                yield pa.RecordBatch.from_arrays([*again.columns, rank, label, pa.array(np.take_along_axis(score, best, 1).ravel())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*again.columns, rank, names.take(pa.array(best.ravel())), pa.array(np.take_along_axis(score, best, 1).ravel())], names=schema.names)
 
         found.append(rows.mapInArrow(run, schema))
     scored = found[0]
@@ -219,12 +232,14 @@ def knn(samples: DataFrame, bank: DataFrame, k: int) -> DataFrame:
 
 
 def best_match(ranked: DataFrame, keys: list[str], threshold: float, min_margin: float, overrides: dict[str, float] | None = None) -> DataFrame:
-    """The first match where it reaches its label's threshold and leads the second by the margin, else null."""
+    """The first match where it reaches its label's threshold and leads the second by the margin, else null. A score that
+    is null or no number reaches no threshold, and leaves no lead."""
+    ranked = ranked.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
     th = F.lit(threshold)
     for label, own in (overrides or {}).items():
         th = F.when(F.col("top.match") == label, own).otherwise(th)
     two = ranked.where("rank <= 2").groupBy(*keys).agg(F.min_by(F.struct("match", "score"), "rank").alias("top"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"))
-    ok = (F.col("top.score") >= th) & (F.coalesce(F.col("top.score") - F.col("second"), F.lit(float("inf"))) >= min_margin)
+    ok = F.col("top.score").isNotNull() & (F.col("top.score") >= th) & (F.coalesce(F.col("top.score") - F.col("second"), F.lit(float("inf"))) >= min_margin)
     return two.select(*keys, F.when(ok, F.col("top.match")).alias("match"), F.col("top.score").alias("score"))
 
 
@@ -234,38 +249,70 @@ def watched(ranked: DataFrame, keys: list[str], labels: list, top: int = 3) -> D
     return near.groupBy(*keys).agg(F.min_by(F.struct("match", "score", "rank"), "rank").alias("m")).select(*keys, "m.match", "m.score", "m.rank")
 
 
+def _spells(detections: DataFrame, video: list[str], buffer: int) -> DataFrame:
+    """Detections with the number of their spell: the spells of a video are more than ``buffer`` frames apart.
+
+    Frames are taken in blocks of ``buffer`` + 1, so a gap between spells always ends in another block than it began: a
+    video's blocks, with their first and last frames, show all of them, and only blocks meet in a task.
+    """
+    width = buffer + 1
+    at = F.floor(F.col("frame_idx") / width)
+    blocks = detections.groupBy(*video, at.alias("__block")).agg(F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last"))
+    w = Window.partitionBy(*video).orderBy("__block")
+    begins = F.coalesce((F.col("first") - F.lag("last").over(w) > buffer).cast("long"), F.lit(0))
+    spells = blocks.withColumn("__new", begins).withColumn("spell", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    of = lambda *c: F.struct(*video, *c)
+    return detections.withColumn("__of", of(at.alias("__block"))).join(spells.select(of("__block").alias("__of"), "spell"), "__of").drop("__of")
+
+
 def iou_tracks(detections: DataFrame, video: list[str], least: float = 0.3, buffer: int = 30) -> DataFrame:
     """Detections (frame_idx, det_idx, x1, y1, x2, y2) to the first live track with IoU over ``least``, else a new
-    one; a track ages out after ``buffer`` frames unseen. State goes from frame to frame, so a video is one group:
-    its live tracks are what is held, its rows pass by in order.
+    one; a track ages out after ``buffer`` frames unseen. Tracks of a video are numbered from 1 as they begin.
+
+    Where a video has no detection for more than ``buffer`` frames, no track is live: it is cut there into spells, which
+    are folded apart, each in order of its rows with its live tracks as all that is held; then numbers are shifted by
+    those of the spells before. Detections without a frame or with an unknown corner have no track.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in detections.schema}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_idx", "det_idx"])
-        live: list[list] = []  # id, box, last frame
-        ids, following = [], 1
-        for frame, rows in pdf.groupby("frame_idx", sort=True):
-            live = [t for t in live if frame - t[2] <= buffer]
-            used: set[int] = set()
-            for b in rows[["x1", "y1", "x2", "y2"]].to_numpy():
+    corners = ["x1", "y1", "x2", "y2"]
+    known = F.col("frame_idx").isNotNull()
+    for c in corners:
+        known = known & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    rows = detections.select(*video, "frame_idx", "det_idx", *(F.col(c).cast("double").alias(c) for c in corners), known.alias("__known"))
+    whole = _spells(rows.where("__known").drop("__known"), video, buffer).select(*video, "spell", "frame_idx", "det_idx", *corners)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        live: list[list] = []  # number, box, last frame
+        following, frame = 1, None
+        used: set[int] = set()
+        for new, part in runs(batches, len(video) + 1):
+            if new:
+                live, following, frame = [], 1, None
+            numbers = []
+            for f, *box in zip(*(part[c].to_pylist() for c in ("frame_idx", *corners)), strict=True):
+                if f != frame:
+                    frame, used = f, set()
+                    live = [t for t in live if f - t[2] <= buffer]
                 for t in live:
-                    if t[0] not in used and _iou(t[1], b) > least:
+                    if t[0] not in used and _iou(t[1], box) > least:
                         break
                 else:
-                    t = [following, b, frame]
+                    t = [following, box, f]
                     following += 1
                     live.append(t)
-                t[1], t[2] = b, frame
+                t[1], t[2] = box, f
                 used.add(t[0])
-                ids.append(t[0])
-        return pdf[[*video, "frame_idx", "det_idx"]].assign(track_id=ids)
+                numbers.append(t[0])
+            yield pa.RecordBatch.from_arrays([*part.drop_columns(corners).columns, pa.array(numbers, pa.int64())], names=[*video, "spell", "frame_idx", "det_idx", "track_id"])
 
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*video, "frame_idx", "det_idx"]) + ", track_id long"
-    return detections.groupBy(*video).applyInPandas(run, schema)
+    folded = cut(in_order(whole, [*video, "spell"], "frame_idx", "det_idx", *corners).mapInArrow(run, kinds(whole, *video, "spell", "frame_idx", "det_idx") + ", track_id long"))
+    before = Window.partitionBy(*video).orderBy("spell").rowsBetween(Window.unboundedPreceding, -1)
+    of = F.struct(*video, "spell").alias("__of")
+    shifts = folded.groupBy(*video, "spell").agg(F.max("track_id").alias("n")).select(of, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    out = folded.select("*", of).join(shifts, "__of").select(*video, "frame_idx", "det_idx", (F.col("track_id") + F.col("shift")).alias("track_id"))
+    return out.unionByName(rows.where("NOT __known").select(*video, "frame_idx", "det_idx", F.lit(None).cast("long").alias("track_id")))
 
 
-def _iou(a: np.ndarray, b: np.ndarray) -> float:
+def _iou(a: list[float], b: list[float]) -> float:
     w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
     inter = max(0.0, w) * max(0.0, h)
     union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter

@@ -1,40 +1,61 @@
-"""Centroids, medoids, representatives and what is measured against them."""
+"""Centroids, medoids, representatives and what is measured against them.
+
+A vector that is null, empty, not finite or not as wide as most takes no part (``functions.vectors.usable``): it adds to no
+mean, is no medoid or representative and has a null similarity. A group without any other has none of these.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from dwell.functions.vectors import cosine, doubles, dot, mean_by, safe_cosine, unit
+from dwell.functions.vectors import cosine, doubles, dot, mean_by, safe_cosine, unit, usable
+from dwell.operators.folds import in_order, kinds, runs
 
 
 def facebank(samples: DataFrame, label: str = "label") -> DataFrame:
     """The normalised mean vector of each label, and its number of samples."""
-    plain = samples.select(label, doubles(F.col("embedding")).alias("v"))
+    plain = samples.where(usable(samples)).select(label, doubles(F.col("embedding")).alias("v"))
     return mean_by(plain, [label], "v", "mean").select(label, F.col("n").alias("count"), unit(F.col("mean")).alias("embedding"))
 
 
 def running_centroid(samples: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The mean of a track's vectors up to and including each sample."""
-    each = samples.select(*keys, order, F.posexplode(doubles(F.col("embedding"))).alias("pos", "x"))
-    w = Window.partitionBy(*keys, "pos").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    run = each.withColumn("x", F.avg("x").over(w))
-    return run.groupBy(*keys, order).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s.x).alias("centroid"))
+    """The mean of a track's vectors up to and including each sample, null before the first; a fold that holds a sum."""
+    rows = samples.select(*keys, order, F.when(usable(samples), doubles(F.col("embedding"))).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = 0.0, 0
+        for new, part in runs(batches, len(keys)):
+            if new:
+                total, n = 0.0, 0
+            there = part["v"].is_valid().to_numpy(zero_copy_only=False)
+            own = part["v"].flatten().to_numpy().reshape(int(there.sum()), -1) if there.any() else np.zeros((0, 0))
+            sums, counts = total + np.cumsum(own, axis=0) if len(own) else own, n + np.cumsum(there)
+            at = np.cumsum(there) - 1
+            means = [None if c == 0 else ((sums[k] if k >= 0 else total) / c).tolist() for k, c in zip(at.tolist(), counts.tolist(), strict=True)]
+            if len(sums):
+                total, n = sums[-1], int(counts[-1])
+            yield pa.RecordBatch.from_arrays([*part.drop_columns(["v"]).columns, pa.array(means, pa.list_(pa.float64()))], names=[*keys, order, "centroid"])
+
+    return in_order(rows, keys, order).mapInArrow(run, kinds(rows, *keys, order) + ", centroid array<double>")
 
 
 def centroid_similarity(samples: DataFrame, keys: list[str]) -> DataFrame:
     """Each sample's cosine with the mean of its track."""
-    plain = samples.withColumn("v", doubles(F.col("embedding")))
-    return plain.join(mean_by(plain, keys, "v", "mean").drop("n"), keys).withColumn("similarity", safe_cosine(F.col("v"), F.col("mean"))).drop("v", "mean", "embedding")
+    plain = samples.withColumn("v", F.when(usable(samples), doubles(F.col("embedding"))))
+    means = mean_by(plain, keys, "v", "mean").drop("n")
+    return plain.join(means, keys, "left").withColumn("similarity", safe_cosine(F.col("v"), F.col("mean"))).drop("v", "mean", "embedding")
 
 
 def medoids(samples: DataFrame, keys: list[str], sample: str) -> DataFrame:
     """The sample of the least summed cosine distance, the first on a tie. As the distances to a group sum to
     n minus the dot product with the sum of its unit vectors, no pairs are made."""
-    scaled = samples.withColumn("u", unit(doubles(F.col("embedding"))))
+    scaled = samples.where(usable(samples)).withColumn("u", unit(doubles(F.col("embedding"))))
     means = mean_by(scaled, keys, "u", "mean")
     cost = F.round(F.col("n") - dot(F.col("u"), F.col("mean")) * F.col("n"), 9)
     return scaled.join(means, keys).groupBy(*keys).agg(F.min_by(F.struct(F.col(sample), cost.alias("cost")), F.struct(cost, F.col(sample))).alias("m")).select(*keys, f"m.{sample}", "m.cost")
@@ -42,7 +63,7 @@ def medoids(samples: DataFrame, keys: list[str], sample: str) -> DataFrame:
 
 def representatives(samples: DataFrame, keys: list[str], sample: str) -> DataFrame:
     """The sample nearest to the mean direction of its track."""
-    scaled = samples.withColumn("u", unit(doubles(F.col("embedding"))))
+    scaled = samples.where(usable(samples)).withColumn("u", unit(doubles(F.col("embedding"))))
     sim = F.round(cosine(F.col("u"), F.col("mean")), 9)
     best = F.min_by(F.struct(F.col(sample), sim.alias("sim")), F.struct(-sim, F.col(sample)))
     return scaled.join(mean_by(scaled, keys, "u", "mean").drop("n"), keys).groupBy(*keys).agg(best.alias("m")).select(*keys, f"m.{sample}", "m.sim")
@@ -59,14 +80,15 @@ def purity(similarities: DataFrame, track: str, byte_id: str) -> DataFrame:
 
 def cluster_quality(samples: DataFrame, cluster: str, sample: str, block: int = 2048) -> DataFrame:
     """Pairwise similarity within clusters: number, mean, least, most, population variance; 1, 1, 1 and 0 for a
-    single sample.
+    single sample. ``size`` counts all samples, the rest is of those with a usable vector, null where there are none.
 
     A cluster is cut into blocks, and each pair of blocks is a group of its own: it multiplies its vectors and sends
     five numbers, so no pair is sent and no group grows with its cluster.
     """
-    sizes = samples.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))
-    counted = sizes.select(F.col(cluster).alias("__of"), F.ceil(F.col("size") / block).cast("long").alias("__blocks"))
-    rows = samples.select(F.col(cluster).alias("__cluster"), unit(doubles(F.col("embedding"))).alias("u"), F.xxhash64(sample).alias("h"))
+    whole = samples.withColumn("__usable", usable(samples))
+    sizes = whole.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"), F.count_if("__usable").alias("__usable"))
+    counted = sizes.select(F.col(cluster).alias("__of"), F.ceil(F.col("__usable") / block).cast("long").alias("__blocks"))
+    rows = whole.where("__usable").select(F.col(cluster).alias("__cluster"), unit(doubles(F.col("embedding"))).alias("u"), F.xxhash64(sample).alias("h"))
     rows = rows.join(counted, F.col("__cluster").eqNullSafe(F.col("__of"))).withColumn("b", F.pmod("h", F.col("__blocks"))).drop("__of", "h")
     dealt = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1))).withColumn("lo", F.least("b", "o")).withColumn("hi", F.greatest("b", "o"))
     kind = samples.schema[cluster].dataType.simpleString()
@@ -88,4 +110,5 @@ def cluster_quality(samples: DataFrame, cluster: str, sample: str, block: int =
         F.sum("n").alias("pairs"), mean.alias("mean_sim"), F.min("least").alias("min_sim"), F.max("most").alias("max_sim"), F.greatest(F.sum("squares") / F.sum("n") - mean * mean, F.lit(0.0)).alias("var_sim")
     )
     both = sizes.join(stats, F.col(cluster).eqNullSafe(F.col("__c")), "left").drop("__c")
-    return both.fillna({"pairs": 0, "mean_sim": 1.0, "min_sim": 1.0, "max_sim": 1.0, "var_sim": 0.0})
+    alone = {"pairs": 0, "mean_sim": 1.0, "min_sim": 1.0, "max_sim": 1.0, "var_sim": 0.0}
+    return both.withColumns({c: F.when(F.col("__usable") > 0, F.coalesce(c, F.lit(x))) for c, x in alone.items() if c != "pairs"} | {"pairs": F.coalesce("pairs", F.lit(0))}).drop("__usable")

@@ -155,3 +155,131 @@ def test_stitching(spark):
     assert {(r.a, r.b) for r in edges.collect()} == {(1, 2), (1, 3), (1, 5), (2, 5), (3, 5)}
     got = {r.track_id: (r.chain_id, r.position) for r in C.stitch_chains(t, edges, ["video"]).collect()}
     assert got == {1: (1, 0), 5: (1, 1), 2: (2, 0), 3: (3, 0), 4: (4, 0), 6: (5, 0)}
+
+
+ODD = [("L0", 0, 900, None), ("L0", 0, 901, [float("nan")] * 4), ("L1", 1, 902, [1.0]), ("L1", 1, 903, []), ("L2", 7, 904, None), ("L2", 2, 905, [1.0, float("inf"), 0.0, 0.0]), ("L2", 2, 906, [1.0, None, 0.0, 0.0])]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, samples):
+    """Whole vectors, and beside them null, empty, short and non-finite ones; track 7 has no other."""
+    return spark.createDataFrame([tuple(r) for r in samples.collect()] + ODD, SCHEMA).cache()
+
+
+def table_of(df, *key):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_unusable_vectors_match_nothing(spark, samples, odd):
+    bank = V.facebank(odd)
+    assert table_of(bank) == table_of(V.facebank(samples))
+    more = spark.createDataFrame([("none", 1, None), ("short", 1, [1.0]), (None, 1, [1.0, 0.0, 0.0, 0.0])], "label string, count long, embedding array<double>")
+    for b in (bank, bank.unionByName(more)):
+        ranked = M.knn(odd, b, 2)
+        own = {s: [(r.rank, r.match, r.score) for r in ranked.where(F.col("sample_id") == s).collect()] for s in (900, 901, 902, 903, 905, 906)}
+        assert all(v == [(1, None, None)] for v in own.values())
+        assert table_of(ranked.where("sample_id < 900")) == table_of(M.knn(samples, bank, 2))
+        got = {r.sample_id: (r.match, r.score) for r in M.best_match(ranked, ["sample_id"], 0.8, 0.05).collect()}
+        assert len(got) == 31 and all(got[s] == (None, None) for _, _, s, _ in ODD) and all(got[k][0] == f"L{k % 3}" for k in range(24))
+    scores = spark.createDataFrame([(1, 1, "A", float("nan")), (1, 2, "B", 0.1), (2, 1, "A", 0.9), (2, 2, "B", float("nan"))], "s long, rank int, match string, score double")
+    assert {r.s: r.match for r in M.best_match(scores, ["s"], 0.8, 0.05).collect()} == {1: None, 2: "A"}
+
+
+def test_unusable_vectors_are_no_centres(spark, samples, odd):
+    for f in (V.medoids, V.representatives):
+        assert table_of(f(odd, ["track_id"], "sample_id")) == table_of(f(samples, ["track_id"], "sample_id"))
+    sims = {r.sample_id: r.similarity for r in V.centroid_similarity(odd, ["track_id"]).collect()}
+    assert len(sims) == 31 and all(sims[s] is None for _, _, s, _ in ODD)
+    assert {k: v for k, v in sims.items() if k < 900} == {r.sample_id: r.similarity for r in V.centroid_similarity(samples, ["track_id"]).collect()}
+    run = {r.sample_id: r.centroid for r in V.running_centroid(odd, ["track_id"], "sample_id").collect()}
+    assert run[904] is None and run[900] == run[901] == run[21] and run[905] == run[23]
+    quality, whole = ({r.label: r for r in V.cluster_quality(x, "label", "sample_id").collect()} for x in (odd.withColumn("label", F.when(F.col("track_id") == 7, "Z").otherwise(F.col("label"))), samples))
+    assert quality["Z"][1:] == (1, 0, None, None, None, None) or (quality["Z"].size, quality["Z"].pairs, quality["Z"].mean_sim, quality["Z"].var_sim) == (1, 0, None, None)
+    for k in whole:
+        assert quality[k].size == 10 and [quality[k][c] for c in ("pairs", "mean_sim", "min_sim", "max_sim")] == pytest.approx([whole[k][c] for c in ("pairs", "mean_sim", "min_sim", "max_sim")])
+
+
+def test_unusable_vectors_are_in_no_cluster(spark, samples, odd):
+    bad = {s for _, _, s, _ in ODD}
+    for of in (lambda d: C.dbscan(d, "sample_id", 0.1, 4), lambda d: C.agglomerative(d.withColumn("video", F.lit(None).cast("string")), ["video"], "sample_id", 0.3)):
+        got = {r.sample_id: r.cluster_id for r in of(odd).collect()}
+        assert {s for s, c in got.items() if c is None} == bad
+        assert {s: c for s, c in got.items() if s not in bad} == {r.sample_id: r.cluster_id for r in of(samples).collect()}
+    lead = {r.track_id: (r.leaders, r.identities) for r in C.leader_clusters(odd, ["track_id"], "sample_id", 0.8, 2).collect()}
+    assert lead == {r.track_id: (r.leaders, r.identities) for r in C.leader_clusters(samples, ["track_id"], "sample_id", 0.8, 2).collect()} | {7: (0, 0)}
+    frames = lambda d: d.select("track_id", F.col("sample_id").alias("frame_idx"), "embedding")
+    ids = {r.frame_idx: r.identity for r in C.identity_guard(frames(odd), ["track_id"], min_picks=2, stride=1).collect()}
+    assert {s for s, c in ids.items() if c is None} == bad
+    assert {s: c for s, c in ids.items() if s not in bad} == {r.frame_idx: r.identity for r in C.identity_guard(frames(samples), ["track_id"], min_picks=2, stride=1).collect()}
+
+
+def test_ids_beside_nulls_stay_whole(spark):
+    """Numbers above 2^53 beside a null key."""
+    big = 9007199254740993
+    rows = [(None, big, [1.0, 0.0]), (None, big + 2, [1.0, 0.1]), (big, big + 4, [0.0, 1.0]), (big, None, [0.0, 1.0])]
+    d = spark.createDataFrame(rows, "video long, sample_id long, embedding array<double>")
+    got = table_of(C.agglomerative(d, ["video"], "sample_id", 0.3))
+    assert got == sorted([(None, big, 0), (None, big + 2, 0), (big, big + 4, 0), (big, None, 0)], key=repr)
+    boxes = spark.createDataFrame([(None, 1, big, 0.0, 0.0, 1.0, 1.0), (None, 2, None, 0.0, 0.0, 1.0, 1.0), (None, None, 5, 0.0, 0.0, 1.0, 1.0), (None, 3, 6, None, 0.0, 1.0, 1.0)], "video long, frame_idx long, det_idx long, x1 double, y1 double, x2 double, y2 double")
+    assert table_of(M.iou_tracks(boxes, ["video"])) == sorted([(None, 1, big, 1), (None, 2, None, 1), (None, None, 5, None), (None, 3, 6, None)], key=repr)
+
+
+@pytest.mark.parametrize("block", [5, 1000])
+def test_linkage_by_components_is_that_of_whole_groups(spark, block):
+    rng = np.random.default_rng(12)
+    rows = []
+    for video in range(3):
+        centres = rng.normal(size=(6, 5))
+        rows += [(video, 100 * video + k, (centres[k % 6] + 0.3 * rng.normal(size=5)).tolist()) for k in range(40)]
+    d = spark.createDataFrame(rows, "video long, sample_id long, embedding array<double>")
+    for distance in (0.05, 0.3):
+        got = {(r.video, r.sample_id): r.cluster_id for r in C.agglomerative(d, ["video"], "sample_id", distance, block).collect()}
+        for video in range(3):
+            own = [r for r in rows if r[0] == video]
+            assert [got[r[:2]] for r in own] == C.average_linkage(np.array([r[2] for r in own]), distance).tolist()
+
+
+def test_distant_blocks_are_not_compared(spark):
+    """Of tight groups far apart only the blocks of one group are compared."""
+    rng = np.random.default_rng(13)
+    v = np.repeat(np.eye(8), 50, axis=0) + 0.001 * rng.normal(size=(400, 8))
+    rows = spark.createDataFrame([(k, (x / np.linalg.norm(x)).tolist()) for k, x in enumerate(v)], "id long, u array<double>")
+    placed, blocks = C.in_blocks(rows, [], 50)
+    assert placed.count() == 400 and blocks.count() == 8
+    assert C.block_pairs(blocks, [], 0.1).count() < 8 * 9 // 2 // 2
+    pairs = lambda t: {(r.a, r.b) for r in C.near_links(t, [], 0.99, 50).collect()}
+    assert connected(spark.createDataFrame(list(pairs(rows)), "a long, b long")).select("root").distinct().count() == 8
+
+
+def plain_chains(tracks, edges):
+    order = sorted(tracks, key=lambda t: (t[1], t[0]))
+    at = {t: k for k, (t, _) in enumerate(order)}
+    after = {}
+    for a, b, sim in edges:
+        after.setdefault(a, []).append((-sim, at[b], b))
+    chain, number = {}, 0
+    for t, _ in order:
+        if t in chain:
+            continue
+        number, place, now = number + 1, 0, t
+        while now is not None:
+            chain[now] = (number, place)
+            place += 1
+            now = next((b for _, _, b in sorted(after.get(now, ())) if b not in chain), None)
+    return chain
+
+
+def test_chains_by_components_are_those_of_whole_videos(spark):
+    rng = np.random.default_rng(14)
+    tracks, edges, want = [], [], {}
+    for video in ("v", None):
+        own = [(int(t), float(rng.integers(0, 40))) for t in rng.permutation(60)]
+        start = dict(own)
+        links = {(int(a), int(b)): round(float(rng.random()), 1) for a, b in rng.integers(0, 60, (70, 2)) if start[int(a)] < start[int(b)]}
+        tracks += [(video, t, s) for t, s in own]
+        edges += [(video, a, b, s) for (a, b), s in links.items()]
+        want |= {(video, t): c for t, c in plain_chains(own, [(a, b, s) for (a, b), s in links.items()]).items()}
+    got = C.stitch_chains(spark.createDataFrame(tracks, "video string, track_id long, start_ms double"), spark.createDataFrame(edges, "video string, a long, b long, sim double"), ["video"])
+    assert {(r.video, r.track_id): (r.chain_id, r.position) for r in got.collect()} == want
+    alone = C.stitch_chains(spark.createDataFrame(tracks, "video string, track_id long, start_ms double"), spark.createDataFrame([], "video string, a long, b long, sim double"), ["video"])
+    assert alone.groupBy("video").agg(F.max("chain_id").alias("n")).select("n").distinct().collect()[0].n == 60

@@ -1,3 +1,4 @@
+import random
 from itertools import permutations
 
 import numpy as np
@@ -130,3 +131,36 @@ def test_embedder_is_injected(spark):
     df = spark.createDataFrame([(1, "ab"), (2, "c")], "id long, crop string")
     got = M.embed(df, lambda: lambda xs: [[float(len(x)), 1.0] for x in xs], "crop").orderBy("id").collect()
     assert [list(r.embedding) for r in got] == [[2.0, 1.0], [1.0, 1.0]]
+
+
+def plain_tracks(rows, least, buffer):
+    """(frame, det) to track: each detection, in order, to the first live track that overlaps, else to a new one."""
+    live, out, following = [], {}, 1
+    for frame in sorted({r[0] for r in rows}):
+        live, used = [t for t in live if frame - t[2] <= buffer], set()
+        for _, det, *box in sorted(r for r in rows if r[0] == frame):
+            found = next((t for t in live if t[0] not in used and M._iou(t[1], box) > least), None)
+            if found is None:
+                found = [following, box, frame]
+                following += 1
+                live.append(found)
+            found[1], found[2] = box, frame
+            used.add(found[0])
+            out[frame, det] = found[0]
+    return out
+
+
+@pytest.mark.parametrize("spell", [1, 7, 200])
+def test_videos_are_cut_where_no_track_is_live(spark, spell):
+    """Spells of 1, of 7 and of all frames give the numbers that a whole video gives."""
+    rng = random.Random(spell)
+    rows, frame = [], -5
+    for k in range(200):
+        frame += 1 if k % spell else rng.choice([4, 5, 11])
+        rows += [(frame, d, x := float(rng.randint(0, 6) * 5), 0.0, x + 10, 10.0) for d in range(rng.randint(1, 3))]
+    d = spark.createDataFrame([(v, *r) for v in ("a", None) for r in rows], "video_id string, frame_idx int, det_idx int, x1 double, y1 double, x2 double, y2 double")
+    got = {(r.video_id, r.frame_idx, r.det_idx): r.track_id for r in M.iou_tracks(d, ["video_id"], 0.3, 3).collect()}
+    want = plain_tracks(rows, 0.3, 3)
+    assert got == {(v, *k): t for v in ("a", None) for k, t in want.items()}
+    spells = M._spells(d, ["video_id"], 3).where("video_id = 'a'").select("spell").distinct().count()
+    assert spells == -(-200 // spell)
