@@ -12,7 +12,8 @@ third of all, is spread like others. Every group is packed by one task and holds
 document, whatever the documents' lengths. Of pieces of equal length that with the lesser id, start and checksum goes
 first, and of sequences of equal cost the first made is taken.
 
-Null texts count as empty: such a document is its end id alone. Rows with null ids are packed like others; each
+Null texts count as empty: such a document is its end id alone. Rows with null ids are packed like others, last of
+their group, and ids of any size beside them stay as they are; each
 row of a repeated id is packed as a document of its own; an empty table gives an empty result; extra columns are
 ignored, whatever their names.
 """
@@ -29,7 +30,6 @@ from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -239,31 +239,27 @@ def pack_documents(documents: DataFrame, path: str, length: int = LENGTH, end_id
     cut = rows.mapInArrow(chunks, f"doc_id {kind}, start long, length long, doc_tokens long, crc long, nth long, ids binary")
     dealt = cut.withColumn("bin", F.pmod(F.xxhash64("doc_id", "doc_tokens", "crc", "nth"), F.lit(groups))).drop("nth")
 
-    def packed(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values(["doc_id", "start", "crc"], kind="stable", ignore_index=True)
-        full = pieces[pieces["length"] == length]
-        rest = pieces[pieces["length"] < length].reset_index(drop=True)
-        first = int(key[0]) << 32  # a group's sequences are numbered from here
-        out = full[["doc_id", "start", "length"]].assign(ids_crc32=full["crc"], doc_tokens=full["doc_tokens"], sequence_id=first + np.arange(len(full)), offset=0)
-        first += len(full)
-        got = pack(rest["length"].tolist(), length)
-        if not got:
-            return out
-        ids, sizes = rest["ids"].tolist(), rest["length"].tolist()
+    def packed(key: tuple, pieces: pa.Table) -> pa.Table:
+        pieces = pieces.combine_chunks().sort_by([("doc_id", "ascending"), ("start", "ascending"), ("crc", "ascending")])  # null ids last
+        size, start, crc = (pieces[c].to_numpy() for c in ("length", "start", "crc"))
+        full, rest = np.flatnonzero(size == length), np.flatnonzero(size < length)
+        ids = pieces["ids"].take(pa.array(rest)).to_pylist()
+        sizes = size[rest].tolist()
 
         def check(i: int, lo: int, n: int) -> int:
             return crc32(np.frombuffer(ids[i], f"<u{len(ids[i]) // sizes[i]}")[lo : lo + n].astype("<u4").tobytes())
 
-        item = np.array([g[0] for g in got])
-        more = rest.loc[item, ["doc_id", "start", "doc_tokens"]].reset_index(drop=True)
-        more["start"] += [g[1] for g in got]
-        more["length"] = [g[2] for g in got]
-        more["ids_crc32"] = [check(*g[:3]) for g in got]
-        more["sequence_id"] = [first + g[3] for g in got]
-        more["offset"] = [g[4] for g in got]
-        return pd.concat([out, more[out.columns]], ignore_index=True) if len(out) else more[out.columns]
-
-    return dealt.groupBy("bin").applyInPandas(packed, f"doc_id {kind}, {_PIECE}")
+        got = np.array(pack(sizes, length), np.int64).reshape(-1, 5)
+        checks = [check(*g[:3]) for g in got.tolist()]
+        at = np.concatenate([full, rest[got[:, 0]]])
+        first = key[0].as_py() << 32  # a group's sequences are numbered from here
+        columns = {
+            "start": np.concatenate([start[full], start[rest[got[:, 0]]] + got[:, 1]]), "length": np.concatenate([size[full], got[:, 2]]), "ids_crc32": np.concatenate([crc[full], np.array(checks, np.int64)]),
+            "doc_tokens": pieces["doc_tokens"].to_numpy()[at], "sequence_id": first + np.concatenate([np.arange(len(full)), len(full) + got[:, 3]]), "offset": np.concatenate([np.zeros(len(full), np.int64), got[:, 4]]),
+        }
+        return pa.table({"doc_id": pieces["doc_id"].take(pa.array(at))} | {c: pa.array(x, pa.int64()) for c, x in columns.items()})
+
+    return dealt.groupBy("bin").applyInArrow(packed, f"doc_id {kind}, {_PIECE}")
 
 
 def op3_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,3 +194,13 @@ def test_repeated_rows_are_spread(spark):
     got = K.pack_documents(rows.repartition(4), P.path("word_bpe_49k.json"), group=100)
     by_group = got.selectExpr("shiftright(sequence_id, 32) AS g").groupBy("g").count().toPandas()["count"]
     assert got.count() == 6000 and len(by_group) > 50 and by_group.max() < 250
+
+
+def test_packing_keeps_ids_beside_null_ids(spark):
+    """Ids above 2^53 in the group of a null id."""
+    big = 9007199254740993
+    d = spark.createDataFrame([(big, "a b c"), (None, "d e"), (big + 2, "f"), (None, None), (-big, "g " * 3000)], "doc_id long, text string")
+    rows = K.pack_documents(d, P.path("word_bpe_49k.json"), 2048).collect()
+    assert {r.doc_id for r in rows} == {big, big + 2, None, -big}
+    assert {r.doc_id: r.doc_tokens for r in rows if r.doc_id is not None} == {big: 4, big + 2: 2, -big: 3001}
+    assert sorted(r.doc_tokens for r in rows if r.doc_id is None) == [1, 3]
