@@ -357,6 +357,14 @@ def _search(anchors: DataFrame, candidates: DataFrame, same: bool, k: int) -> Da
     return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _merged(parts: DataFrame, most: int, out: str) -> DataFrame:
+    """Adds the number of a group of neighbouring partitions (column part, in their order), which ends with the one that
+    brings it to ``most`` rows. A row a partition is compared and broadcast."""
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.join(F.broadcast(sizes.select("part", F.floor(before / most).alias(out))), "part").drop("part")
+
+
 def hard_negatives(
     vectors: DataFrame, anchor: Column, label: Column, scale: int = SCALE, positives: int = POSITIVES, negatives: int = NEGATIVES, least_share: int = LEAST_SHARE, group: int = GROUP, lane: int = LANE
 ) -> DataFrame:
@@ -394,12 +402,14 @@ def hard_negatives(
     few = settle(on_tree(few.select(rows.columns)), "few")
     n_anchors, n_candidates = rows.where("anchor").count(), few.count()
     lanes = min(MOST_LANES, max(1, math.ceil(n_candidates / lane)))
+    lane = max(lane, math.ceil(n_candidates / MOST_LANES))
     in_tree = few.repartitionByRange(lanes, "dim", "path", "q", "row").sortWithinPartitions("dim", "path", "q", "row")
-    candidates = settle(in_tree.withColumn("lane", F.spark_partition_id().cast("long")), "candidates")
+    candidates = _merged(settle(in_tree.withColumn("part", F.spark_partition_id()), "candidates"), lane, "lane")
     size = max(group, math.ceil(n_anchors / MOST_GROUPS))
     own = ["dim", "label", "path", "q", "row"]
     grouped = on_tree(rows.where("anchor")).repartitionByRange(max(1, math.ceil(n_anchors / size)), *own).sortWithinPartitions(*own)
-    anchors = settle(grouped.select("dim", "label", "path", "q", "row", "id", F.spark_partition_id().cast("long").alias("group")), "anchors").withColumn("place", F.col("path"))
+    anchors = settle(grouped.select("dim", "label", F.col("path").alias("place"), "q", "row", "id", F.spark_partition_id().alias("part")), "anchors")
+    anchors = _merged(anchors, size, "group")
 
     any_ = anchors.withColumn("lo", F.array(F.lit(-_FAR))).withColumn("hi", F.array(F.lit(_FAR)))
     best = settle(_search(any_, candidates, True, positives).select("row", "rank", F.col("id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
