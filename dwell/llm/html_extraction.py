@@ -5,6 +5,13 @@ density and its density of stop words: good, bad, or, when it is short or in bet
 that are no article by their element or class (navigation, footers, adverts, forms, comments ...) are bad at once.
 In the second pass undecided blocks take the label of the nearest decided blocks of the same part; when these
 disagree or there are none, the part decides: an ``article`` or ``main`` keeps its blocks, the rest of a page doesn't.
+Within an ``article`` or ``main`` a list or title of links is undecided, so that it is kept and decides for no other. A
+heading goes with the block that follows it in its part, and one that stands just before kept text joins it. A short
+line of copyright outside articles is bad.
+
+Where nothing is kept, link density decides over the whole page: blocks that are in no surroundings and not mostly
+links are kept; where there are none either, and no article, those under weak names (``_FAINT``) are judged by the two
+passes as if they had none. A page with text in other surroundings alone has an empty text.
 
 A class or id of surroundings is a weaker sign than an ``article`` or ``main`` that holds most of the text: such a
 one, or several together on a page that has no other, are read although a class around them says no (``_released``).
@@ -22,7 +29,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -60,18 +67,23 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _OUT = frozenset("nav footer aside form head menu dialog search".split())
 #: Words of a class or id that name surroundings wherever they stand between hyphens.
 _CLASSES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|cookies?\w*|consent|gdpr|nav\w*|menu\w*|breadcrumbs?|side-?bar|"
-    r"footer|comments?|comment-?list|disqus|respond|repl(?:y|ies)|newsletter|subscribe|"
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|cookies?\w*|consent|gdpr|breadcrumbs?|side-?bar|"
+    r"footer|comments|comment-?list|disqus|respond|repl(?:y|ies)|newsletter|subscribe|"
     r"sign-?up|login|pop-?up|modal|overlay|widget|pagination|pager|copyright|toolbar)(?:$|[\s_-])",
     re.I,
 )
 #: Words that do so alone or beside words of place and of lists only: a site-header is none of the text, and a
-#: post-header or related-work may be, so density decides there.
-_FAINT = re.compile(r"(?:header|masthead|notice|alert|promo\w*|share|sharing|social|related|recommend\w*)", re.I)
+#: post-header, related-work or menu-description may be, so density decides there.
+_FAINT = re.compile(r"(?:nav|navs|navbars?|navigation|menus?|menubar|comment|header|masthead|notice|alert|promo\w*|share|sharing|social|related|recommend\w*)", re.I)
 _BESIDE = frozenset(
     """site page top main global bottom left right box bar block list lists link links posts articles stories items item topics news reading content
-    buttons button icons icon media section container wrapper wrap inner outer area row col panel""".split()
+    buttons button icons icon media section container wrapper wrap inner outer area row col panel primary secondary mobile desktop toggle dropdown text
+    body author meta form thread avatar date count user users reader readers""".split()
 )
+#: A line of copyright.
+_RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)\s*(?:©|\(c\))?\s*(?:\d{4}|by\b)|.*\ball rights reserved\W*$", re.I)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 #: A class or id of the text itself.
 _TEXT_OF = re.compile(r"(?<!\S)(?:article|main|(?:main|article|post|entry|story|page)[-_]?(?:content|body|text))(?!\S)", re.I)
 #: Names that tell of a page's layout, not of the element: has-sidebar, no-footer ...
@@ -101,6 +113,8 @@ class Block:
     out: bool = False  # within a part that is no article by its element, role or style
     named: int = 0  # the innermost element around it whose class or id is of surroundings
     held: int = 0  # the outermost article or main within that element
+    weak: bool = False  # only weak names around it
+    heading: bool = False
 
 
 @dataclass(frozen=True)
@@ -111,10 +125,12 @@ class _Place:
     out: bool = False
     named: int = 0
     held: int = 0
+    weak: bool = False
 
 
 def _sign(value: str) -> str:
-    """"named" for a class or id of surroundings, "faint" for one that may be, "text" for one of the text."""
+    """"named" for a class or id of surroundings, "weak" for one by weak words alone, "faint" for one that may be of
+    surroundings, "text" for one of the text."""
     value = _LAYOUT.sub(" ", value)
     if _CLASSES.search(value):
         return "named"
@@ -123,7 +139,7 @@ def _sign(value: str) -> str:
         words = re.split(r"[-_]+", token)
         if any(map(_FAINT.fullmatch, words)):
             if all(_FAINT.fullmatch(w) or w.lower() in _BESIDE or w.isdigit() or not w for w in words):
-                return "named"
+                return "weak"
             faint = "faint"
     return faint or ("text" if _TEXT_OF.search(value) else "")
 
@@ -143,7 +159,7 @@ def _outside(name: str, attrs: str, in_content: bool) -> str:
             return "out"
         if key in ("class", "id"):
             signs.add(_sign(value))
-    return next((s for s in ("named", "faint", "text") if s in signs), "")
+    return next((s for s in ("named", "weak", "faint", "text") if s in signs), "")
 
 
 def _unescape(text: str) -> str:
@@ -206,8 +222,8 @@ def blocks(page: str) -> list[Block]:
         if now is None:
             if text.isspace():
                 return
-            _, place, part = stack[-1] if stack else top
-            now = Block(part, content=place.content, out=place.out, named=place.named, held=place.held)
+            name, place, part = stack[-1] if stack else top
+            now = Block(part, content=place.content, out=place.out, named=place.named, held=place.held, weak=place.weak, heading=name in _HEADINGS)
         now.text.append(text)
         if links:
             now.linked += len(text.strip())
@@ -242,12 +258,12 @@ def blocks(page: str) -> list[Block]:
         sign = _outside(name, attrs, place.content)
         main = name in ("article", "main") or sign == "text"
         out_ = place.out or sign == "out"
-        named, held = (elements, 0) if sign == "named" else (place.named, place.held)
+        named, held, weak = (elements, 0, sign == "weak" and (place.weak or not place.named)) if sign in ("named", "weak") else (place.named, place.held, place.weak)
         if main and named and not held and sign != "text":
             held = elements
         # what is in an element of surroundings is no content, but for what its articles hold
         content = not out_ and (held > 0 if named else place.content or main)
-        here = _Place(content, out_, named, held)
+        here = _Place(content, out_, named, held, weak)
         if name == "article" and not out_ or here != place or sign == "faint":
             parts += 1
             part = parts
@@ -314,9 +330,9 @@ def judge(text: str, block: Block, free: set[int] | frozenset[int] = frozenset()
     if block.out or block.named and not (block.held and block.named in free):
         return False
     if block.linked > LINKS_BAD * len(text):
-        return False
+        return None if block.content else False
     if len(text) < SHORT:
-        return None
+        return None if block.content or not _RIGHTS.match(text) else False
     stops = _stops(text)
     if stops >= STOPS_GOOD:
         return True
@@ -334,8 +350,8 @@ def _stops(text: str) -> float:
     return sum(w.strip(".,;:!?\"'()[]*#$%&|") in STOP_WORDS for w in words) / len(words)
 
 
-def extract(page: str | None) -> str:
-    found = [(b, t) for b in blocks(page or "") if (t := " ".join("".join(b.text).split()))]
+def _passes(found: list[tuple[Block, str]]) -> list[bool]:
+    """Whether each block is kept."""
     free = _released(found)
     first = [judge(t, b, free) for b, t in found]
     # long text without stop words outside articles: where it is more than the good text, density decides
@@ -358,11 +374,27 @@ def extract(page: str | None) -> str:
             left = decided[before] if before >= 0 else None
             right = decided[before + 1] if before + 1 < len(decided) else None
             near = [first[j] for j in (left, right) if j is not None]
-            if len(near) == 2 and near[0] != near[1] and k - left != right - k:
+            if len(near) == 2 and found[k][0].heading:
+                near = near[1:]
+            elif len(near) == 2 and near[0] != near[1] and k - left != right - k:
                 near = near[:1] if k - left < right - k else near[1:]
             label[k] = near[0] if near and near.count(near[0]) == len(near) else found[k][0].content
         lo = hi
-    return "\n".join(t for (_, t), keep in zip(found, label, strict=True) if keep)
+    for k in range(len(found) - 2, -1, -1):
+        # a heading that nothing of its own part speaks for or against, just before kept text
+        if found[k][0].heading and first[k] is None and not label[k] and label[k + 1]:
+            label[k] = True
+    return label
+
+
+def extract(page: str | None) -> str:
+    found = [(b, t) for b in blocks(page or "") if (t := " ".join("".join(b.text).split()))]
+    keep = _passes(found)
+    if not any(keep):
+        keep = [not (b.out or b.named) and b.linked <= LINKS_BAD * len(t) and not (len(t) < SHORT and _RIGHTS.match(t)) for b, t in found]
+    if not any(keep) and not any(b.content for b, _ in found):
+        keep = _passes([(replace(b, named=0) if b.weak else b, t) for b, t in found])
+    return "\n".join(t for (_, t), kept in zip(found, keep, strict=True) if kept)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
