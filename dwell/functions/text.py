@@ -72,7 +72,7 @@ def canonical_path(path: Column) -> Column:
 
 def relative_to_track(path: Column) -> Column:
     """From the directory ``track_...`` on; the path itself without one."""
-    found = F.regexp_extract(path, r"(track_.*)$", 1)
+    found = F.regexp_extract(path, r"(?:^|/)(track_.*)$", 1)
     return F.when(found == "", path).otherwise(found)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dwell.functions.text import assignment_status, canonical_path
+from dwell.operators.graph import cut
 from dwell.operators.numbering import numbered
 
 
@@ -36,19 +37,22 @@ def track_stats(observations: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def assignment_index(log: DataFrame, keys: list[str]) -> DataFrame:
-    """Per track of an assignment log (person, when, files array of source, dest): persons and sources in order of
-    first appearance, destinations, and the first person of each source."""
-    each = log.select(*keys, "person", "when", F.posexplode_outer("files").alias("pos", "file"))
-    key = F.struct("when", "pos")
-    first = lambda c: each.where(F.col(c).isNotNull()).groupBy(*keys, F.col(c).alias("v")).agg(F.min(key).alias("k"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s.v)
-    lists = [first(c).groupBy(*keys).agg(ordered.alias(out)) for c, out in (("person", "persons"), ("file.source", "sources"), ("file.dest", "destinations"))]
-    owner = each.where(F.col("file.source").isNotNull()).groupBy(*keys, F.col("file.source").alias("source")).agg(F.min_by("person", key).alias("p"))
-    owners = owner.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "p")))).alias("source_person"))
-    out = lists[0]
-    for more in (*lists[1:], owners):
-        out = out.join(more, keys, "full_outer")
-    return out
+    """Per track of an assignment log (person, when, files array of source, dest): persons, sources and destinations in
+    order of first appearance, and the first person of each source and of each destination. Empty names are none.
+
+    An entry is a row for each person, source and destination it names: values are first reduced by track, kind and
+    value, then gathered by track.
+    """
+    each = log.select(*keys, F.nullif("person", F.lit("")).alias("person"), "when", F.posexplode_outer("files").alias("pos", "file"))
+    said = F.array(*(F.struct(F.lit(k).alias("kind"), F.nullif(c, F.lit("")).alias("v")) for k, c in (("person", F.col("person")), ("source", F.col("file.source")), ("dest", F.col("file.dest")))))
+    rows = each.select(*keys, "person", F.struct("when", "pos").alias("k"), F.explode(said).alias("x")).select(*keys, "x.kind", "x.v", "k", "person")
+    first = rows.groupBy(*keys, "kind", "v").agg(F.min("k").alias("k"), F.min_by("person", F.when(F.col("person").isNotNull(), F.col("k"))).alias("p"))
+    one = lambda kind: (F.col("kind") == kind) & F.col("v").isNotNull()
+    ordered = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(one(kind), F.struct("k", "v")))), lambda x: x.v)
+    owned = lambda kind: F.map_from_entries(F.array_sort(F.collect_list(F.when(one(kind) & F.col("p").isNotNull(), F.struct("v", "p")))))
+    lists = first.groupBy(*keys).agg(ordered("person").alias("persons"), ordered("source").alias("sources"), ordered("dest").alias("destinations"), owned("source").alias("source_person"), owned("dest").alias("destination_person"))
+    some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
+    return lists.select(*keys, *map(some, ("persons", "sources", "destinations", "source_person", "destination_person")))
 
 
 def track_summary(manifest: DataFrame, summary: DataFrame, assigned: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,35 +97,47 @@ def new_assignments(requests: DataFrame, done: DataFrame) -> DataFrame:
     return marked.withColumn("skipped", F.when(F.col("was"), "already_assigned").when(F.col("nth") > 1, "duplicate_destination")).drop("was", "nth")
 
 
-def edit_samples(samples: DataFrame, edits: DataFrame) -> DataFrame:
-    """Samples after edits (edit_id, track_id, frame_idx or null, original_path, action delete | unassign | path_update,
-    new_path).
+def met_samples(samples: DataFrame, edits: DataFrame) -> DataFrame:
+    """Samples with ``edits``, those that meet them, in order of edit_id.
 
-    An edit is of the samples of its track and frame (of its track where it has no frame); where there are none, of
-    those of its path, written in one way; where there are none either, of those of its file name. Of several edits
-    of a sample the first counts.
+    An edit meets the samples of its track and frame (of its track where it has no frame); where there are none, those
+    of its path, written in one way; where there are none either, those whose path ends in its file name. Samples and
+    edits are rows for each key they go by, joined once; of an edit the matches of its first way count.
     """
-    own = {"track_id": F.col("track_id").cast("long"), "frame": F.col("frame_idx").cast("long"), "canon": canonical_path(F.col("path")), "name": F.substring_index("path", "/", -1)}
-    keyed = samples.withColumns({f"__{k}": c for k, c in own.items()})
-    asked = edits.select(
-        F.col("track_id").cast("long").alias("__track_id"), F.col("frame_idx").cast("long").alias("__frame"), canonical_path(F.col("original_path")).alias("__canon"), F.substring_index("original_path", "/", -1).alias("__name"),
-        F.struct("edit_id", "action", "new_path").alias("__edit"),
-    )
-    found = []
-    for on, use in ((["__track_id", "__frame"], F.col("__frame").isNotNull()), (["__track_id"], F.col("__frame").isNull()), (["__canon"], None), (["__name"], None)):
-        ours = asked if use is None else asked.where(use)
-        here = ours.join(keyed.select(*on).distinct(), on, "left_semi")
-        asked = asked.join(here.select("__edit"), "__edit", "left_anti")
-        found.append((on, here.groupBy(*on).agg(F.min("__edit").alias(f"__e{len(found)}"))))
-    for on, first in found:
-        keyed = keyed.join(first, on, "left")
-    edit = F.array_min(F.array_compact(F.array(*(f"__e{k}" for k in range(len(found))))))
-    done = keyed.withColumn("__edit", edit).where(~F.coalesce(F.col("__edit.action") == "delete", F.lit(False)))
-    off = F.coalesce(F.col("__edit.action") == "unassign", F.lit(False))
-    changed = {"path": F.coalesce("__edit.new_path", "path"), "picked": F.when(off, False).otherwise(F.col("picked"))}
-    if "reason" in samples.columns:
-        changed["reason"] = F.when(off, "manual_unassigned").otherwise(F.col("reason"))
-    return done.withColumns(changed).select(*samples.columns)
+    rows = cut(samples.withColumn("__id", F.monotonically_increasing_id()))
+    long, text = lambda c: F.col(c).cast("long"), lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    key = lambda way, value: F.struct(F.lit(way).alias("way"), value.cast("string").alias("key"))
+    name = F.substring_index("original_path", "/", -1)
+    asked = edits.withColumn("__edit", F.struct("edit_id", "action", "new_path"))
+    at = F.when(F.col("frame_idx").isNull(), key(1, long("track_id"))).otherwise(key(0, F.concat_ws("/", long("track_id"), long("frame_idx"))))
+    wanted = cut(asked.select("__edit", F.explode(F.array(at, key(2, canonical_path(F.col("original_path"))), key(3, name))).alias("k")).where("k.key IS NOT NULL").select("__edit", "k.*"))
+    # a length of a file name: some hundred at most
+    lengths = sorted(r.n for r in wanted.where("way = 3 AND key <> ''").select(F.length("key").alias("n")).distinct().collect())
+    ends = [F.when(F.length("path") >= n, key(3, F.right(F.col("path"), F.lit(n)))) for n in lengths]
+    own = [F.when(long("track_id").isNotNull() & long("frame_idx").isNotNull(), key(0, F.concat_ws("/", long("track_id"), long("frame_idx")))), key(1, long("track_id")), key(2, canonical_path(F.col("path"))), *ends]
+    have = rows.select("__id", F.explode(F.array(*own)).alias("k")).where("k.key IS NOT NULL").select("__id", "k.*")
+    matches = cut(have.join(wanted, ["way", "key"]).select("__id", "__edit", "way"))
+    first = matches.groupBy("__edit").agg(F.min("way").alias("way"))
+    met = matches.join(first, ["__edit", "way"]).groupBy("__id").agg(F.array_sort(F.collect_set("__edit")).alias("edits"))
+    none = F.array().cast(met.schema["edits"].dataType)
+    return rows.join(met, "__id", "left").withColumn("edits", F.coalesce("edits", none)).drop("__id")
+
+
+def apply_edits(met: DataFrame, columns: list[str]) -> DataFrame:
+    """``met_samples`` after their edits: deleted ones go, unassigned ones are not picked and say so, and the last new path
+    counts."""
+    some = lambda action: F.exists("edits", lambda e: e.action == action)
+    paths = F.filter("edits", lambda e: e.action.isin("unassign", "path_update") & e.new_path.isNotNull())
+    changed = {"path": F.coalesce(F.get(paths, F.size(paths) - 1)["new_path"], F.col("path")), "picked": F.when(some("unassign"), False).otherwise(F.col("picked") if "picked" in columns else F.lit(True))}
+    if "reason" in columns:
+        changed["reason"] = F.when(some("unassign"), "manual_unassigned").otherwise(F.col("reason"))
+    return met.where(~F.coalesce(some("delete"), F.lit(False))).withColumns(changed).select(*columns)
+
+
+def edit_samples(samples: DataFrame, edits: DataFrame) -> DataFrame:
+    """Samples after edits (edit_id, track_id, frame_idx or null, original_path, action delete | unassign | path_update,
+    new_path): all that meet a sample act on it, in order of edit_id. What an edit meets is found in the table as given."""
+    return apply_edits(met_samples(samples, edits), samples.columns)
 
 
 def move_track(clusters: DataFrame, track_id: int, cluster_id: int) -> DataFrame:
@@ -179,7 +195,8 @@ def validation_totals(manifest: DataFrame, images: DataFrame) -> DataFrame:
     """(metric, value) of a whole manifest: counts, means and medians over all samples, files, and directories that
     only one side has."""
     images = images.select("track_id", "path").distinct()
-    each = _checked(manifest, images).where(F.col("path").isNotNull())
+    images = cut(images)
+    each = cut(_checked(manifest, images).where(F.col("path").isNotNull()))
 
     def metrics(df: DataFrame, **aggregates) -> DataFrame:
         one = df.agg(*(c.cast("double").alias(n) for n, c in aggregates.items()))

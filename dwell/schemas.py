@@ -14,12 +14,12 @@ SAMPLE = (
     "orientation string, score double, similarity_to_centroid double, provider string, association_iou double, match_mode string"
 )
 MANIFEST = f"track_id long, byte_track_id long, total_frames int, avg_conf double, avg_area double, first_ts_ms double, last_ts_ms double, samples array<struct<{', '.join(x.replace(' ', ':', 1) for x in SAMPLE.split(', '))}>>"
-SELECTED_SAMPLES = "track_id string, byte_track_id string, path string, frame_idx string, picked string, reason string, quality string, sharpness string, frontalness string, area_frac string, orientation string"
 FACEBANK = "label string, count bigint, embedding array<float>"
 FACEBANK_META = "labels array<string>, counts map<string,bigint>, num_labels int"
-ASSIGNMENTS = "stem string, harvest_id int, byte_track_id int, person string, files array<struct<source:string,dest:string>>, `when` string, app_version string"
+#: Numbers may be text, and files objects or plain destinations.
+ASSIGNMENTS = "stem string, harvest_id string, byte_track_id string, person string, files array<string>, `when` string, app_version string, entry_id string"
 CLUSTERS = "clusters array<struct<id:int,tracks:array<int>>>"
-PROGRESS = "frame int, total_frames int, percent double, tracks int, samples int, message string"
+PROGRESS = "frames_total string, frames_done string, percent string, tracks string"
 LOWCONF = "frame_idx int, track_id long, label string, score double"
 ANNOTATIONS = "frame_annotations map<string,array<struct<track_id:bigint,bbox:array<double>,label:string,score:double>>>"
 EVENT = "struct<track_id:bigint,bbox:array<double>,label:string,reason:string,score:double>"
@@ -28,8 +28,12 @@ EVENTS = f"frame_events map<string,array<{EVENT}>>, frame_idx int, events array<
 #: The annotations of a tracker run: a row a frame, or one document with a list of frames.
 FRAMES = "frame_idx int, tracks array<struct<track_id:bigint,bbox:array<double>,label:string,score:double>>"
 RUN = f"frame_annotations array<struct<{', '.join(x.replace(' ', ':', 1) for x in FRAMES.split(', '))}>>, {FRAMES}"
+#: Fixed: the columns of the samples file, in its order.
 SELECTED_COLUMNS = (
     "track_id byte_track_id frame quality sharpness frontalness area_frac picked reason path association_iou match_mode frame_offset identity_cosine similarity_to_centroid provider recall_only"
 ).split()
 TOTALS = "label string, duration_ms double"
+#: Fixed: the columns of the scene, candidate and cluster preview files.
 SCENES = "scene_idx int, start_frame int, end_frame int"
+CANDIDATES = "scene_idx int, frame_idx int, x1 int, y1 int, x2 int, y2 int, conf double, rel_path string"
+PREVIEW = "cluster_id int, track_id long, scene_idx int, frame_idx int, rel_path string, cluster_rel_path string, cluster_path string, label string"

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dwell import schemas
-from dwell.functions.text import frame_of, track_of, truthy
+from dwell.functions.text import frame_of, relative_to_track, track_of, truthy
+from dwell.operators.graph import cut
 
 
 def box_of(xyxy: Column) -> Column:
@@ -16,6 +17,17 @@ def box_of(xyxy: Column) -> Column:
     return F.when(F.size(xyxy) == 4, F.struct(part(0, "x1"), part(1, "y1"), part(2, "x2"), part(3, "y2")))
 
 
+def whole(x: Column) -> Column:
+    """A number given in any way as a long, what follows its point dropped; exact at any size, null for no number."""
+    return F.trim(x.cast("string")).try_cast("decimal(38,6)").try_cast("long")
+
+
+def real(x: Column) -> Column:
+    """A number as a double; null for none, and for NaN."""
+    out = F.trim(x.cast("string")).try_cast("double")
+    return F.when(~F.isnan(out), out)
+
+
 def _json(spark: SparkSession, schema: T.StructType | str, path: str) -> DataFrame:
     """A file is one document; a folder, as Spark writes it, has a JSON row a line."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -40,6 +52,10 @@ def facebank(spark: SparkSession, path: str) -> DataFrame:
     return normalize_embeddings(spark.read.schema(schemas.FACEBANK).parquet(path))
 
 
+def facebank_meta(spark: SparkSession, path: str) -> DataFrame:
+    return _json(spark, schemas.FACEBANK_META, path)
+
+
 def normalize_embeddings(df: DataFrame, column: str = "embedding") -> DataFrame:
     """Nested arrays flattened; elements as float."""
     kind = df.schema[column].dataType
@@ -56,7 +72,8 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType.fromDDL(schemas.MANIFEST)
     lenient = T.StructType([T.StructField(f.name, T.StringType() if f.name in _LENIENT else f.dataType) for f in schema])
     rows = _json(spark, lenient, path)
-    return rows.select(*(F.col(f.name).try_cast("double").cast(f.dataType).alias(f.name) if f.name in _LENIENT else f.name for f in schema))
+    number = lambda f: real(F.col(f.name)) if isinstance(f.dataType, T.DoubleType) else whole(F.col(f.name)).try_cast(f.dataType)
+    return rows.select(*(number(f).alias(f.name) if f.name in _LENIENT else f.name for f in schema))
 
 
 def manifest_or_fallback(spark: SparkSession, path: str, fallback: bool) -> DataFrame:
@@ -73,17 +90,32 @@ def samples_of_manifest(rows: DataFrame) -> DataFrame:
     return rows.select("track_id", "byte_track_id", F.explode_outer("samples").alias("s")).select("track_id", "byte_track_id", "s.*")
 
 
+#: Columns of a samples file by how they are read; others are text.
+_LONGS, _DOUBLES = ("track_id", "byte_track_id"), ("quality", "sharpness", "frontalness", "area_frac", "association_iou", "identity_cosine", "similarity_to_centroid")
+
+
 def selected_samples(spark: SparkSession, path: str) -> DataFrame:
-    """CSV of samples: numbers by try_cast, ``picked`` true where its column is missing or empty."""
+    """CSV of samples, with all columns of the file: those of ``schemas.SELECTED_COLUMNS``, ``frame`` as ``frame_idx``, and
+    ``orientation`` and ``is_debug``.
+
+    Numbers are read leniently. A missing tracker id is that of the track, which is -1 where it is none; without a column
+    for the frame it is taken from the file's name. ``picked`` is true and ``reason`` is "picked" where their columns are
+    missing, and ``picked`` also where it is empty. Other missing columns are null.
+    """
     rows = spark.read.option("header", True).csv(path)
     have = {c.lower() for c in rows.columns}
-    num = lambda c, t: (F.col(c).try_cast("double").cast(t) if c in have else F.lit(None).cast(t)).alias(c)
-    text = lambda c: (F.col(c) if c in have else F.lit(None).cast("string")).alias(c)
-    picked = F.coalesce(truthy(F.col("picked")), F.lit(True)) if "picked" in have else F.lit(True)
-    return rows.select(
-        num("track_id", "long"), num("byte_track_id", "long"), text("path"), num("frame_idx", "int"), picked.alias("picked"), text("reason"),
-        *(num(c, "double") for c in ("quality", "sharpness", "frontalness", "area_frac")), text("orientation"),
-    )
+    text = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
+    track = F.coalesce(whole(text("track_id")), F.lit(-1))
+    frame = next((whole(text(c)) for c in ("frame", "frame_idx") if c in have), None)
+    named = frame_of(F.substring_index("path", "/", -1))
+    out = {
+        "track_id": track, "byte_track_id": F.coalesce(whole(text("byte_track_id")), track), "frame_idx": (F.when(named >= 0, named) if frame is None else frame).try_cast("int"),
+        **{c: real(text(c)) for c in _DOUBLES}, "picked": F.coalesce(truthy(text("picked")), F.lit(True)), "reason": text("reason") if "reason" in have else F.lit("picked"),
+        "path": text("path"), "match_mode": text("match_mode"), "frame_offset": whole(text("frame_offset")).try_cast("int"), "provider": text("provider"),
+        "recall_only": truthy(text("recall_only")), "orientation": text("orientation"), "is_debug": F.lit(False),
+    }
+    order = ["frame_idx" if c == "frame" else c for c in schemas.SELECTED_COLUMNS]
+    return rows.select(*(out[c].alias(c) for c in [*order, "orientation", "is_debug"]))
 
 
 def scanned_tracks(spark: SparkSession, path: str) -> DataFrame:
@@ -100,19 +132,51 @@ def all_samples(selected: DataFrame, debug: DataFrame) -> DataFrame:
 
 
 def resolve_paths(samples: DataFrame, files: DataFrame, root: str) -> DataFrame:
-    """The first that exists of: the path itself, the path below ``root``, its part from ``track_`` on below root."""
+    """Adds ``resolved``, the first that exists of: the path itself where it is absolute, the path below ``root``, its part
+    from ``track_`` on below root; and, for samples with a track and a frame, the candidate crop of that frame with the
+    path's suffix, the same as .jpg, and the track's debug crop of the path's name. Null where none does.
+
+    A sample's tries are rows of one join with the listing, of which the first that is there counts.
+    """
     base = root.rstrip("/") + "/"
     listed = files.select(F.regexp_replace("path", r"^file:/+", "/").alias("file")).distinct()
-    tries = [F.col("path"), F.concat(F.lit(base), "path"), F.concat(F.lit(base), F.regexp_extract("path", r"(track_.*)$", 1))]
-    out = samples
-    for k, t in enumerate(tries):
-        out = out.join(listed.withColumnRenamed("file", f"f{k}"), t == F.col(f"f{k}"), "left")
-    return out.withColumn("resolved", F.coalesce("f0", "f1", "f2")).drop("f0", "f1", "f2")
+    path, name = F.col("path"), F.substring_index("path", "/", -1)
+    suffix = F.regexp_extract(name, r".(\.[^.]*)$", 1)
+    tries = [F.when(path.startswith("/"), path), F.when(~path.startswith("/"), F.concat(F.lit(base), path)), F.concat(F.lit(base), F.nullif(F.regexp_extract("path", r"(?:^|/)(track_.*)$", 1), F.lit("")))]
+    if {"track_id", "frame_idx"} <= set(samples.columns):
+        crop = F.concat(F.lit(base), F.format_string("candidates/track_%04d/F%06d", "track_id", "frame_idx"))
+        there = F.col("track_id").isNotNull() & F.col("frame_idx").isNotNull()
+        debug = F.concat(F.lit(base), F.format_string("track_%04d/debug/", "track_id"), name)
+        tries += [F.when(there, F.concat(crop, F.when(suffix == "", ".jpg").otherwise(suffix))), F.when(there, F.concat(crop, F.lit(".jpg"))), F.when(there, debug)]
+    rows = cut(samples.withColumn("__id", F.monotonically_increasing_id()))
+    each = rows.select("__id", F.posexplode(F.array(*tries)).alias("nth", "file")).where("file IS NOT NULL")
+    found = each.join(listed, "file").groupBy("__id").agg(F.min_by("file", "nth").alias("resolved"))
+    return rows.join(found, "__id", "left").drop("__id")
+
+
+def relative_paths(manifest: DataFrame) -> DataFrame:
+    """A manifest whose samples' paths begin at their track's directory, or are their file names without one; empty paths
+    stay as they are."""
+    short = lambda p: F.when(relative_to_track(p) == p, F.when(p.startswith("track_"), p).otherwise(F.substring_index(p, "/", -1))).otherwise(relative_to_track(p))
+    return manifest.withColumn("samples", F.transform("samples", lambda x: x.withField("path", F.when(F.coalesce(x.path, F.lit("")) == "", x.path).otherwise(short(x.path)))))
+
+
+def _file(entry: Column) -> Column:
+    """(source, dest) of a file of the log: an object by any of its names, or a plain destination."""
+    of = lambda *names: F.coalesce(*(F.nullif(F.get_json_object(entry, f"$.{n}"), F.lit("")) for n in names))
+    plain = F.struct(F.lit(None).cast("string").alias("source"), F.nullif(entry, F.lit("")).alias("dest"))
+    return F.when(entry.startswith("{"), F.struct(of("source", "src", "path").alias("source"), of("dest", "destination", "target").alias("dest"))).otherwise(plain)
 
 
 def assignments(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of the log that are whole; blank and malformed ones are skipped."""
-    return spark.read.schema(schemas.ASSIGNMENTS).option("mode", "DROPMALFORMED").json(path).withColumn("when", F.try_to_timestamp("when"))
+    """Lines of the log that are whole; blank and malformed ones are skipped. Ids may be text, and are -1 where they are no
+    numbers; a missing stem is empty, missing files are none."""
+    rows = spark.read.schema(schemas.ASSIGNMENTS).option("mode", "DROPMALFORMED").json(path)
+    number = lambda c: F.coalesce(whole(F.col(c)).try_cast("int"), F.lit(-1))
+    return rows.select(
+        F.coalesce("stem", F.lit("")).alias("stem"), number("harvest_id").alias("harvest_id"), number("byte_track_id").alias("byte_track_id"), "person",
+        F.coalesce(F.transform("files", _file), F.array().cast("array<struct<source:string,dest:string>>")).alias("files"), F.try_to_timestamp("when").alias("when"), "app_version", "entry_id",
+    )
 
 
 def cluster_lists(spark: SparkSession, path: str) -> DataFrame:
@@ -129,8 +193,18 @@ def clusters(spark: SparkSession, path: str) -> DataFrame:
 
 
 def progress(spark: SparkSession, path: str) -> DataFrame:
-    rows = _json(spark, schemas.PROGRESS, path)
-    return rows.fillna({"frame": 0, "total_frames": 0, "percent": 0.0, "tracks": 0, "samples": 0, "message": ""})
+    """frames_total, frames_done and tracks, 0 where they are missing, percent, null where it is missing or no number, and
+    the document itself as ``raw``. Documents that are no JSON object are left out, and so is a missing file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        texts = spark.createDataFrame([], "value string")
+    else:
+        texts = spark.read.text(path, wholetext=not fs.getFileStatus(at).isDirectory())
+    parsed = texts.select(F.col("value").alias("raw"), F.from_json("value", schemas.PROGRESS + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("p"))
+    number = lambda c: F.coalesce(whole(F.col(f"p.{c}")).try_cast("int"), F.lit(0)).alias(c)
+    good = F.col("p").isNotNull() & F.col("p._corrupt_record").isNull() & F.trim("raw").startswith("{")
+    return parsed.where(good).select(number("frames_total"), number("frames_done"), real(F.col("p.percent")).alias("percent"), number("tracks"), "raw")
 
 
 def low_confidence(spark: SparkSession, path: str, wanted: list[str], min_score: float) -> DataFrame:
@@ -170,5 +244,17 @@ def events_or_annotations(spark: SparkSession, path: str, annotations: str, use_
     return annotated_events(spark, annotations)
 
 
+def scenes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.SCENES).option("header", True).csv(path)
+
+
+def candidates(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.CANDIDATES).option("header", True).csv(path)
+
+
+def preview(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.PREVIEW).parquet(path)
+
+
 def totals(spark: SparkSession, path: str) -> DataFrame:
     return _json(spark, schemas.TOTALS, path)

@@ -1,4 +1,6 @@
 import json
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,7 +49,7 @@ def test_assignments_and_edits(spark):
     edits = [(1, 1, 0, "x", "delete", None), (2, 1, 1, "x", "unassign", None), (3, 1, 2, "x", "path_update", "q"), (4, 9, 9, "file:///a/./b/../p3.jpg", "unassign", "r"), (5, 9, None, "elsewhere/p4.jpg", "delete", None), (6, 1, 2, "x", "delete", None), (7, 9, 9, "none", "delete", None)]
     edits = spark.createDataFrame(edits, "edit_id long, track_id long, frame_idx long, original_path string, action string, new_path string")
     got = {(x.track_id, x.frame_idx, x.path, x.picked, x.reason) for x in R.edit_samples(samples, edits).collect()}
-    assert got == {(1, 1, "/a/p1.jpg", False, "manual_unassigned"), (1, 2, "q", True, "picked"), (1, 3, "r", False, "manual_unassigned"), (1, 5, "/a/p5.jpg", True, "picked"), (2, 0, "/a/p0.jpg", True, None)}
+    assert got == {(1, 1, "/a/p1.jpg", False, "manual_unassigned"), (1, 3, "r", False, "manual_unassigned"), (1, 5, "/a/p5.jpg", True, "picked"), (2, 0, "/a/p0.jpg", True, None)}
     assert R.edit_samples(samples, edits.limit(0)).count() == 7 and R.edit_samples(samples.limit(0), edits).count() == 0
 
 
@@ -159,8 +161,8 @@ def test_files_round_trip(spark, tmp_path):
     (tmp_path / "run.json").write_text(json.dumps({"video": "v", "frame_annotations": [{"frame_idx": 5, "tracks": [{"track_id": 2, "bbox": [0, 0, 1, 1], "label": "A", "score": 0.5}, {"track_id": 3, "bbox": None}]}, {"tracks": [{"track_id": 9, "bbox": [0, 0, 1, 1]}]}]}))
     events = lambda log, **how: [(r.frame_idx, r.track_id, r.reason) for r in readers.events_or_annotations(spark, at(log), at("run.json"), **how).collect()]
     assert events("debug.json") == [(3, 1, "picked")] and events("none.json") == [(5, 2, "track")] == events("debug.json", use_annotations=True)
-    (tmp_path / "progress.json").write_text('{"frame": 5}')
-    assert readers.progress(spark, at("progress.json")).first().percent == 0.0
+    (tmp_path / "progress.json").write_text('{"frames_done": 40, "frames_total": "100", "percent": "40.0", "tracks": null}')
+    assert [tuple(r)[:4] for r in readers.progress(spark, at("progress.json")).collect()] == [(100, 40, 40.0, 0)]
     r = readers.annotation_index(spark, at("a.json")).first()
     assert (r.frame_idx, r.label, r.bbox.x2) == (7, "B", 2.0)
 
@@ -187,3 +189,135 @@ def test_facebank_and_tracker_files(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out/timeline.csv")).count() == 3
     nested = spark.createDataFrame([([[1.0, 2.0]],)], "embedding array<array<double>>")
     assert readers.normalize_embeddings(nested).first().embedding == [1.0, 2.0]
+
+
+def test_samples_file_as_it_is_written(spark, tmp_path):
+    """The fixed header, the frame by its name, text numbers, and what missing columns become."""
+    header = "track_id,byte_track_id,frame,quality,sharpness,frontalness,area_frac,picked,reason,path,association_iou,match_mode,frame_offset,identity_cosine,similarity_to_centroid,provider,recall_only"
+    (tmp_path / "s.csv").write_text(header + "\n1,9007199254740993,40,0.5,80,0.9,0.02,True,picked,t/a.jpg,0.7,iou,-2,0.8,0.91,arc,False\n2,,7.0,nan,x,,,0,rejected_area,t/b.jpg,,,,,,,yes\nnone,,,,,,,,,t/c.jpg,,,,,,,\n")
+    rows = readers.selected_samples(spark, str(tmp_path / "s.csv")).orderBy("path").collect()
+    assert rows[0][:17] == (1, 9007199254740993, 40, 0.5, 80.0, 0.9, 0.02, True, "picked", "t/a.jpg", 0.7, "iou", -2, 0.8, 0.91, "arc", False) and rows[0].is_debug is False
+    assert rows[1][:11] == (2, 2, 7, None, None, None, None, False, "rejected_area", "t/b.jpg", None) and rows[1].recall_only is True
+    assert rows[2][:3] == (-1, -1, None) and rows[2].picked is True
+    (tmp_path / "bare.csv").write_text("track_id,path\n3,t/x_f00012.jpg\n4,t/y.jpg\n")
+    bare = {r.track_id: (r.byte_track_id, r.frame_idx, r.picked, r.reason) for r in readers.selected_samples(spark, str(tmp_path / "bare.csv")).collect()}
+    assert bare == {3: (3, 12, True, "picked"), 4: (4, None, True, "picked")}
+    s = spark.createDataFrame([(1, 7, 40, 0.5, True, "picked", "p", 0.25, "iou", 3, 0.5, 0.75, "arc", True), (1, 7, 41, 0.4, False, "x", "q", None, None, None, None, None, None, None)], "track_id long, byte_track_id long, frame_idx int, quality double, picked boolean, reason string, path string, association_iou double, match_mode string, frame_offset int, identity_cosine double, similarity_to_centroid double, provider string, recall_only boolean")
+    sinks.selected_samples(s, K, str(tmp_path / "out.csv"))
+    back = readers.selected_samples(spark, str(tmp_path / "out.csv"))
+    assert sorted(map(tuple, back.select(s.columns).collect())) == sorted(map(tuple, s.collect()))
+
+
+def test_progress_and_manifest_numbers(spark, tmp_path):
+    at = lambda n: str(tmp_path / n)
+    for name, text, want in (("a", '{"frames_total": 7.9, "percent": "x"}', (7, 0, None, 0)), ("b", "{}", (0, 0, None, 0)), ("c", '{"frames_total": "many", "tracks": "3"}', (0, 0, None, 3))):
+        (tmp_path / name).write_text(text)
+        got = readers.progress(spark, at(name)).collect()
+        assert [tuple(r)[:4] for r in got] == [want] and got[0].raw == text
+    for name, text in (("d", "not json"), ("e", ""), ("f", "[1]")):
+        (tmp_path / name).write_text(text)
+        assert readers.progress(spark, at(name)).count() == 0
+    assert readers.progress(spark, at("missing")).count() == 0
+    (tmp_path / "m.json").write_text('[{"track_id": "9007199254740993", "byte_track_id": 9007199254740995, "avg_conf": "nan", "samples": []}]')
+    assert [(r.track_id, r.byte_track_id, r.avg_conf) for r in readers.manifest(spark, at("m.json")).collect()] == [(9007199254740993, 9007199254740995, None)]
+
+
+def test_assignments_as_they_are_written(spark, tmp_path):
+    lines = [
+        '{"stem":"e","harvest_id":"1","byte_track_id":" 2 ","person":"A","files":[{"src":"s1","destination":"d1"},{"path":"s2","target":"d2"},"plain/d3",{"source":"","dest":null}],"when":"2024-05-01T10:00:00Z"}',
+        "", "[1, 2]", '{"harvest_id":1.0,"byte_track_id":"x","person":"B"}', "{broken",
+    ]
+    (tmp_path / "log.jsonl").write_text("\n".join(lines))
+    got = {(r.stem, r.harvest_id, r.byte_track_id): [tuple(f) for f in r.files] for r in readers.assignments(spark, str(tmp_path / "log.jsonl")).where("person IS NOT NULL").collect()}
+    assert got == {("e", 1, 2): [("s1", "d1"), ("s2", "d2"), (None, "plain/d3"), (None, None)], ("", 1, -1): []}
+    index = {r.stem: r for r in R.assignment_index(readers.assignments(spark, str(tmp_path / "log.jsonl")), ["stem"]).collect()}
+    assert index["e"].sources == ["s1", "s2"] and index["e"].destinations == ["d1", "d2", "plain/d3"] and index["e"].destination_person["plain/d3"] == "A" and index[""].persons == ["B"] and index[""].sources is None
+
+
+def test_appends_are_written_once(spark, tmp_path):
+    log = spark.createDataFrame([("e", 1, 2, "A", "x"), ("e", 1, 2, "A", "x"), ("e", 1, 3, "B", "y")], "stem string, harvest_id int, byte_track_id int, person string, entry_id string").selectExpr("*", "timestamp'2024-05-01 10:00:00' AS when")
+    at = str(tmp_path / "log")
+    assert sinks.append_assignments(log, at).count() == 2 and sinks.append_assignments(log, at).count() == 0
+    more = log.limit(1).withColumn("entry_id", F.lit("z"))
+    assert sinks.append_assignments(more.unionByName(log), at).count() == 1 and readers.assignments(spark, at).count() == 3
+
+
+def plain_edits(samples, edits):
+    """All edits in order, each of what it meets in the table as given."""
+    clean = lambda p: os.path.normpath(p.removeprefix("file://"))
+    out = {k: dict(s) for k, s in enumerate(samples)}
+    for e in sorted(edits, key=lambda e: e["edit_id"]):
+        ways = [lambda s: s["track_id"] == e["track_id"] and e["frame_idx"] in (None, s["frame_idx"]), lambda s: clean(s["path"]) == clean(e["original_path"]), lambda s: s["path"].endswith(e["original_path"].rpartition("/")[2])]
+        met = next((m for w in ways if (m := [k for k, s in enumerate(samples) if w(s)])), [])
+        for k in met:
+            if e["action"] == "delete":
+                out.pop(k, None)
+            elif k in out:
+                if e["action"] == "unassign":
+                    out[k]["picked"], out[k]["reason"] = False, "manual_unassigned"
+                out[k]["path"] = e["new_path"] or out[k]["path"]
+    return sorted((tuple(s.values()) for s in out.values()), key=repr)
+
+
+def test_edits_act_one_after_another(spark):
+    rng = random.Random(3)
+    for _ in range(4):
+        samples = [dict(track_id=t, frame_idx=f, path=f"/h/track_{t}/{rng.choice(['', 'b'])}f{f}.jpg", picked=True, reason="picked") for t in range(4) for f in range(5)]
+        edits = []
+        for k in range(14):
+            s = rng.choice(samples)
+            edits.append(dict(edit_id=k, track_id=rng.choice((s["track_id"], 99, 98)), frame_idx=rng.choice((s["frame_idx"], s["frame_idx"], None)), original_path=rng.choice((s["path"], "file:///h/./x/.." + s["path"][2:], f"/gone/{s['path'].rpartition('/')[2]}")), action=rng.choice(("delete", "unassign", "path_update", "path_update")), new_path=rng.choice((None, f"new{k}"))))
+        d = spark.createDataFrame(samples, "track_id long, frame_idx long, path string, picked boolean, reason string")
+        e = spark.createDataFrame(edits, "edit_id long, track_id long, frame_idx long, original_path string, action string, new_path string")
+        assert sorted(map(tuple, R.edit_samples(d, e).collect()), key=repr) == plain_edits(samples, edits)
+
+
+def test_edits_in_place_rewrite_their_buckets_alone(spark, tmp_path):
+    at = str(tmp_path / "samples")
+    d = spark.createDataFrame([(t, f, f"/h/track_{t}/f{f}.jpg", True, "picked") for t in range(40) for f in range(3)], "track_id long, frame_idx long, path string, picked boolean, reason string")
+    sinks.samples_table(d, at, 16)
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "samples").rglob("*.parquet")}
+    of = {r.track_id: r.bucket for r in spark.read.parquet(at).collect()}
+    alone = next(t for t in of if list(of.values()).count(of[t]) == 1) if any(list(of.values()).count(b) == 1 for b in of.values()) else None
+    edits = [(1, 7, 1, "x", "delete", None), (2, 7, 2, "x", "path_update", "q"), (3, 7, 2, "x", "unassign", None)] + ([(4, alone, None, "x", "delete", None)] if alone is not None and alone != 7 else [])
+    e = spark.createDataFrame(edits, "edit_id long, track_id long, frame_idx long, original_path string, action string, new_path string")
+    before = files()
+    changed = sinks.edit_table(spark, at, e)
+    after = files()
+    assert set(changed) == {of[x[1]] for x in edits}
+    assert {p: t for p, t in before.items() if not any(f"bucket={b}/" in p for b in changed)} == {p: t for p, t in after.items() if not any(f"bucket={b}/" in p for b in changed)}
+    want = sorted(map(tuple, R.edit_samples(d, e).collect()))
+    read = lambda: sorted(map(tuple, spark.read.parquet(at).select(d.columns).collect()))
+    assert read() == want
+    again = sinks.edit_table(spark, at, e.where("edit_id > 1 AND edit_id < 4"))
+    assert again == [of[7]] and read() == want
+    assert sinks.edit_table(spark, at, e.limit(0)) == []
+
+
+def test_path_cascade(spark, tmp_path):
+    root = tmp_path / "h"
+    for p in ("track_0004/x_f00012.jpg", "candidates/track_0005/F000007.png", "candidates/track_0006/F000008.jpg", "track_0007/debug/d.jpg", "odd%s/track_0001/z.jpg"):
+        (root / p).parent.mkdir(parents=True, exist_ok=True)
+        (root / p).write_bytes(b"x")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(root)).select("path")
+    rows = [(4, 1, str(root / "track_0004/x_f00012.jpg"), 0), (4, 1, "track_0004/x_f00012.jpg", 0), (4, 1, "/old/track_0004/x_f00012.jpg", 0), (5, 7, "gone.png", "candidates/track_0005/F000007.png"), (6, 8, "gone.png", "candidates/track_0006/F000008.jpg"), (7, 3, "y/d.jpg", "track_0007/debug/d.jpg"), (7, None, "y/d.jpg", None), (None, 3, None, None)]
+    s = spark.createDataFrame([(k, t, f, p) for k, (t, f, p, _) in enumerate(rows)], "k int, track_id long, frame_idx long, path string")
+    got = {r.k: r.resolved for r in readers.resolve_paths(s, files, str(root)).collect()}
+    assert got == {k: None if w is None else str(root / (w or "track_0004/x_f00012.jpg")) for k, (_, _, _, w) in enumerate(rows)}
+
+
+def test_nested_paths_scene_and_preview_files(spark, tmp_path):
+    at = lambda n: str(tmp_path / n)
+    (tmp_path / "m.json").write_text(json.dumps([{"track_id": 1, "samples": [{"path": "/data/h/ep/track_0001/a.jpg"}, {"path": "track_0001/b.jpg"}, {"path": "/x/c.jpg"}, {"path": ""}, {"path": None}]}, {"track_id": 2}]))
+    got = readers.samples_of_manifest(readers.relative_paths(readers.manifest(spark, at("m.json")))).orderBy("track_id").collect()
+    assert [r.path for r in got] == ["track_0001/a.jpg", "track_0001/b.jpg", "c.jpg", "", None, None]
+    sinks.scenes(spark.createDataFrame([(0, 0, 9), (1, 10, 30)], "scene_idx int, start_frame int, end_frame int"), at("scenes"))
+    assert sorted(map(tuple, readers.scenes(spark, at("scenes")).collect())) == [(0, 0, 9), (1, 10, 30)]
+    box = "struct<x1:double,y1:double,x2:double,y2:double>"
+    faces = [(0, 5, 0, (0.5, 1.5, 20.4, 30.0), 0.9), (-1, 6, 1, (-5.0, 0.0, 20.0, 20.0), None), (1, 7, 0, (3.0, 3.0, 3.2, 9.0), 0.5), (1, -1, 0, (0.0, 0.0, 9.0, 9.0), 0.5), (1, 8, 0, (0.0, 0.0, 2.0, 2.0), 0.5), (1, 9, 0, (200.0, 0.0, 240.0, 40.0), 0.5)]
+    sinks.candidates(spark.createDataFrame(faces, f"scene_idx int, frame_idx int, det_idx int, bbox {box}, score double"), at("cand"), 100.0, 100.0, 0.003)
+    assert sorted(map(tuple, readers.candidates(spark, at("cand")).collect())) == [(-1, 6, -5, 0, 20, 20, 1.0, "candidates/noscenes/F000006_C01.jpg"), (0, 5, 0, 2, 20, 30, 0.9, "candidates/scene_0000/F000005_C00.jpg")]
+    members = spark.createDataFrame([(0, 1, 5, "c/a.jpg"), (2, 1, 6, "c/b.jpg"), (-1, 2, 7, "c/d.jpg"), (-1, 1, 9, "c/e.jpg")], "cluster_id int, scene_idx int, frame_idx int, rel_path string")
+    sinks.preview(members, "/out", at("preview"))
+    got = sorted(map(tuple, readers.preview(spark, at("preview")).collect()))
+    assert got == [(-1, 3, 1, 9, "c/e.jpg", "clusters/noise/e.jpg", "/out/clusters/noise/e.jpg", ""), (-1, 4, 2, 7, "c/d.jpg", "clusters/noise/d.jpg", "/out/clusters/noise/d.jpg", ""), (0, 0, 1, 5, "c/a.jpg", "clusters/cluster_0000/a.jpg", "/out/clusters/cluster_0000/a.jpg", ""), (2, 2, 1, 6, "c/b.jpg", "clusters/cluster_0002/b.jpg", "/out/clusters/cluster_0002/b.jpg", "")]
