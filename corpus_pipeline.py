@@ -1,7 +1,8 @@
 """A training corpus from documents: toxic and poor documents go, one of each near-duplicate group stays, the rest is
 packed into sequences. Each stage works on all its predecessor kept; what it returns is written and read again.
 
-Null texts are empty documents in every stage. Rows are dropped, not ids: another text of an id that goes stays where
+Texts are taken whole, of any length. Extra columns are kept as they are, whatever their names, by all stages but the
+last. Null texts are empty documents in every stage. Rows are dropped, not ids: another text of an id that goes stays where
 nothing is near to it, and of equal rows one stays. Rows with a null id are scored like others, and give way to rows
 with an id that they are near to; an empty table passes all stages.
 """
@@ -12,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from dwell.llm import packing, quality_classifier, simhash, toxicity
-from dwell.llm.shared import settle, table
+from dwell.llm.shared import fresh_path, remove, scratch, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages in turn. When a stage's result is written, what it and the stage before it left in the shared folder is
+    removed; the last written result goes with the application."""
+    docs, written = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        target = fresh_path(spark, name)
+        with scratch(spark):
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(target)
+        if written is not None:
+            remove(spark, written)
+        docs, written = spark.read.schema(result.schema).parquet(target), target
     return STAGES[-1][1](spark, docs, sf_dir)
