@@ -4,7 +4,7 @@ Vectors are scaled to length one, so that cosine >= t means a distance of at mos
 their principal axes. They are sorted by the grid cells of width eps on the leading axes, dimension first, and the
 order is cut into intervals: Spark's range partitions, each written once to the shared folder. A task takes one
 interval and joins it with itself and with the half of the others that follow it in a circle, which it reads one at a
-time; so rows are sent to no task twice, whatever the number of intervals. Intervals whose bounding boxes lie further
+time by the folder's qualified URI (``folders.opened``); so rows are sent to no task twice, whatever the number of intervals. Intervals whose bounding boxes lie further
 apart than eps aren't read. The others are joined recursively: both are halved again and again, and what is provably
 distant is skipped. Boxes lie on the leading axes and one more coordinate, the length of what the leading axes leave
 of a vector; by Cauchy and Schwarz the product on these coordinates is no less than the cosine. In leaves that product
@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dwell.llm.components import components
-from dwell.llm.shared import fresh_path, join_counted, settle, table
+from dwell.llm.folders import opened
+from dwell.llm.shared import fresh_path, join_counted, qualified, settle, table
 from dwell.operators.graph import forest
 
 COSINE = 0.95
@@ -205,7 +206,7 @@ class _Intervals:
     """Reads what was written of the intervals, for tasks; a unit is a list of neighbouring intervals."""
 
     def __init__(self, folder: str, kind: str, grid: Grid) -> None:
-        self._fs, self._root = pafs.FileSystem.from_uri(folder)
+        self._fs, self._root = opened(folder)
         self._kind, self._grid = kind, grid
 
     def sides(self, unit_: list[int]) -> dict[int, _Side]:
@@ -266,7 +267,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, interval: int = INT
 
     distinct = rows.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
     placed = distinct.mapInArrow(keyed, "vec binary, least long, n long, key binary").repartitionByRange(max(1, math.ceil(total / interval)), "key", "vec").sortWithinPartitions("key", "vec")
-    folder = fresh_path(spark, "intervals")
+    folder = qualified(spark, fresh_path(spark, "intervals"))
     placed.select("vec", "least", "n", F.monotonically_increasing_id().alias("node"), F.spark_partition_id().alias("interval")).write.partitionBy("interval").parquet(folder)
     nodes = spark.read.schema("vec binary, least long, n long, node long, interval int").parquet(folder)
     # one row an interval comes to the driver

@@ -6,8 +6,9 @@ bits. For each host (column ``source``) the distinct documents of a line are cou
 ``min_words`` words, or less than ``min_share`` of its words, are left.
 
 A null host is a host of its own; null and empty texts have no lines and are depleted; rows with null ids count for
-their host each as one document, repeated rows of an id as one with the lines of all of them. Words are runs of bytes other than ASCII white
-space. Extra columns are ignored, whatever their names.
+their host each as one document, repeated rows of an id as one with the lines of all of them. Words are runs of bytes
+other than ASCII white space. Texts and lines of any length are read to their end, in time and memory in proportion to
+the text. An empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -1,10 +1,18 @@
-"""Reading tables, the folder all executors share, and cutting lineage there."""
+"""Reading tables, the folder all executors share, and cutting lineage there.
+
+What operators write on their way lies below ``dwell-<application>`` in that folder. A result that isn't read yet hangs
+on it, so it stays until the driver's JVM ends, which removes the folder of its application; ``scratch`` removes what
+was made within it as soon as it ends, for callers that have written their result by then.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +38,52 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    """The file system of a path, and the path with its scheme and host."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(at)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark resolves it: one without a scheme is of the cluster's default file system."""
+    return _hadoop(spark, path)[1].toString()
+
+
+_marked: set[str] = set()
+_scopes: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, kind: str) -> str:
-    """A new path below the shared folder; it goes with the application's checkpoints."""
-    return f"{shared_dir(spark)}/dwell-{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
+    """A new path below the shared folder. Its application's folder goes with the driver's JVM, it itself with the
+    ``scratch`` it was made in."""
+    root = f"{shared_dir(spark)}/dwell-{spark.sparkContext.applicationId}"
+    if root not in _marked:
+        fs, at = _hadoop(spark, root)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _marked.add(root)
+    path = f"{root}/{kind}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _hadoop(spark, path)
+    fs.delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what operators wrote to the shared folder within it. A result that is lazily read must be
+    written before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
 
 
 def settle(df: DataFrame, kind: str = "table") -> DataFrame:

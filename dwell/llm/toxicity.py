@@ -2,11 +2,12 @@
 
 A word is the bag of itself and its character 3- and 4-grams, word ends marked, each hashed to one of 2^17 vectors;
 a document is the average over the subwords of all its distinct words and PADDING zero vectors, which keep a few
-words from deciding alone; README has the held-out figures of this choice beside those without. So a misspelling that
+words from deciding alone. Both choices are made by three folds within the training rows, whose figures README has. So a misspelling that
 was never seen shares most vectors with the word it comes from. The vectors and the softmax are trained together by
 stochastic gradients (Adagrad).
 
-Labels are learned from at most ``per_class`` documents of either label (``labelled.sample``). Once trained, the
+Labels are learned from at most ``per_class`` documents of either label (``labelled.sample``), and of these from those
+whose bags take no more than ``labelled.MOST_BYTES`` on the driver. Once trained, the
 model is linear in the bag: each word has one sum, so whole texts are scored with one lookup a word. Null and empty
 texts have an empty bag and get the score of the bias. Rows with a null id are scored like any other and are never
 held out; repeated rows get equal scores; extra columns are ignored, whatever their names. Texts and words of any

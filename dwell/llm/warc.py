@@ -9,7 +9,8 @@ Pages with equal payloads of at least ``least_bytes`` bytes share one response r
 the others are revisit records that refer to it. Rows that repeat that page_id are responses too. Null html is an
 empty payload; a null page_id never is the largest, and its record has no page id; a null url gives a record without
 target. Extra columns are ignored, whatever their names; an empty table gives an empty result. An archive is read as
-a stream, a record at a time, so time grows with its length and memory with its longest record.
+a stream, a record at a time, so time grows with its length and memory with its longest record. Workers open the shared
+folder by its qualified URI (``folders.opened``).
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ from typing import BinaryIO
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwell.llm.shared import fresh_path, settle, table
+from dwell.llm.folders import opened
+from dwell.llm.shared import fresh_path, qualified, settle, table
 
 SKIPPABLE = 0x184D2A5D
 _MAGIC = (0xFD2FB528).to_bytes(4, "little")
@@ -215,6 +216,7 @@ def described(found: dict[str, str], block: bytes, place: str = "record") -> tup
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes archives of about ``archive_bytes`` below ``folder``, a URI all executors reach, and gives the list of
     those whose tasks were committed: (path, records). A task that is run again writes under new names."""
+    folder = qualified(pages.sparkSession, folder)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("long", F.octet_length("html") >= least_bytes)
     # equal payloads, counted before the exchange: one row for each digest and task
@@ -232,7 +234,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
     dealt = met.join(others, "key", "left").select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(target), target).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = opened(folder)
         fs.create_dir(root, recursive=True)
         writer = None
 
@@ -260,9 +262,10 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
     """Every record of the listed archives; a list's number of records is held against what was read."""
+    folder = qualified(archives.sparkSession, folder)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, _ = pafs.FileSystem.from_uri(folder)
+        fs, _ = opened(folder)
         for listed in frames:
             for path, n in zip(listed["path"], listed["records"], strict=True):
                 read = 0
