@@ -49,43 +49,49 @@ def in_blocks(rows: DataFrame, by: list[str], block: int) -> tuple[DataFrame, Da
     Rows are in order of the nearest pivot and the distance to it, so blocks are shells around pivots. Pivots, found
     from a bounded sample, decide what blocks are made of, not what is compared.
     """
-    sample = rows.select("u").orderBy(F.xxhash64("u"), "u").limit(PIVOT_SAMPLE).toArrow()["u"]
-    shared = rows.sparkSession.sparkContext.broadcast(pivots_of(matrix(sample)))
+    sample = matrix(rows.select("u").orderBy(F.xxhash64("u"), "u").limit(PIVOT_SAMPLE).toArrow()["u"])
+    chosen = pivots_of(sample)
+    # one more, which orders nothing: the distance to zero is the length
+    shared = rows.sparkSession.sparkContext.broadcast(np.vstack([chosen, np.zeros((1, sample.shape[1]))]))
     k = len(shared.value)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u = matrix(batch["u"])
-            d = np.sqrt(np.maximum(0, ((u[:, None, :] - shared.value[None]) ** 2).sum(axis=2))) if len(u) else np.zeros((0, k))
-            near = d.argmin(axis=1) if k else np.zeros(len(u), int)
-            far = d[np.arange(len(u)), near] if k else np.zeros(len(u))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d.tolist(), pa.list_(pa.float64())), pa.array(near, pa.int64()), pa.array(far)], names=[*batch.schema.names, "d", "__near", "__far"])
+            d = np.stack([np.sqrt(((u - p) ** 2).sum(axis=1)) for p in shared.value], axis=1) if len(u) else np.zeros((0, k))
+            near = d[:, :-1].argmin(axis=1) if len(u) else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d.tolist(), pa.list_(pa.float64())), pa.array(near, pa.int64()), pa.array(d[np.arange(len(u)), near])], names=[*batch.schema.names, "d", "__near", "__far"])
 
     measured_rows = rows.mapInArrow(measured, kinds(rows, *rows.columns) + ", d array<double>, __near long, __far double")
     order = numbered_within(measured_rows, by, ["__near", "__far", "id"], "__nth").drop("__near", "__far")
     placed = cut(order.withColumn("b", F.floor(F.col("__nth") / block)).drop("__nth"))
     side = lambda f, n: F.array(*(f(F.col("d")[i]) for i in range(k))).alias(n)
-    return placed.drop("d"), placed.groupBy(*by, "b").agg(F.count(F.lit(1)).alias("n"), side(F.min, "least"), side(F.max, "most"))
+    return placed.drop("d"), cut(placed.groupBy(*by, "b").agg(F.count(F.lit(1)).alias("n"), side(F.min, "least"), side(F.max, "most")))
 
 
-def block_pairs(blocks: DataFrame, by: list[str], eps: float) -> DataFrame:
-    """(by, lo, hi) of the pairs of blocks of a group that may hold vectors within ``eps`` of each other: by the triangle
-    inequality they differ by no less than their distances to any pivot do."""
+def block_pairs(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """(by, lo, hi, near, far, low, high) of the pairs of blocks of a group, each with itself too: bounds of the distances
+    and of the dot products between them. By the triangle inequality, vectors are no nearer than their distances to any
+    pivot differ, and no farther than these sum to."""
     a = blocks.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("b").alias("lo"), F.col("least").alias("a0"), F.col("most").alias("a1"))
     b = blocks.select(*by, F.col("b").alias("hi"), F.col("least").alias("b0"), F.col("most").alias("b1"))
-    same = F.lit(True)
+    same = F.col("lo") <= F.col("hi")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    apart = F.exists(F.arrays_zip("a0", "a1", "b0", "b1"), lambda x: (x.a0 - x.b1 > eps + 1e-9) | (x.b0 - x.a1 > eps + 1e-9))
-    return b.join(a, same & (F.col("lo") <= F.col("hi")) & ~apart).select(*by, "lo", "hi")
-
-
-def _compared(rows: DataFrame, by: list[str], block: int, eps: float, compare, schema: str) -> DataFrame:
-    """``compare(first, second, own)`` of the vectors (id, u, core) of each pair of blocks that may be near; ``own`` where
-    they are one. A vector goes to the tasks of its block's pairs that the pivots leave."""
-    placed, blocks = in_blocks(rows, by, block)
-    # blocks are a small part of the rows; their pairs are joined with rows by the block's number
-    pairs = cut(block_pairs(blocks, by, eps))
+    sides = F.arrays_zip("a0", "a1", "b0", "b1")
+    near = F.array_max(F.transform(sides, lambda x: F.greatest(x.a0 - x.b1, x.b0 - x.a1, F.lit(0.0))))
+    far = F.array_min(F.transform(sides, lambda x: x.a1 + x.b1))
+    # of the lengths and the distance: 2 x.y = |x|² + |y|² - |x - y|²
+    square = lambda side: F.element_at(side, -1) * F.element_at(side, -1)
+    bounds = b.join(a, same).withColumn("near", near - 1e-9).withColumn("far", far + 1e-9)
+    low, high = (square("a0") + square("b0") - F.col("far") * F.col("far")) / 2 - 1e-9, (square("a1") + square("b1") - F.greatest(F.col("near"), F.lit(0.0)) * F.greatest(F.col("near"), F.lit(0.0))) / 2 + 1e-9
+    return bounds.select(*by, "lo", "hi", "near", "far", low.alias("low"), high.alias("high"))
+
+
+def in_pairs(placed: DataFrame, pairs: DataFrame, by: list[str], compare, schema: str) -> DataFrame:
+    """``compare(first, second, own)`` of the rows of each of some pairs of blocks (by, lo, hi); ``own`` where they are one.
+    A block's rows go to the tasks of its pairs alone."""
+    pairs = pairs.select(*by, "lo", "hi")
     sides = pairs.select(*by, "lo", "hi", F.col("lo").alias("b")).unionByName(pairs.where("lo < hi").select(*by, "lo", "hi", F.col("hi").alias("b")))
     key = lambda df: df.withColumn("__of", F.struct(*by, "b"))
     dealt = key(placed).drop(*by, "b").join(key(sides), "__of").drop("__of")
@@ -96,7 +102,13 @@ def _compared(rows: DataFrame, by: list[str], block: int, eps: float, compare, s
         first = t.filter(pa.array(at == lo))
         return compare(first, first if lo == hi else t.filter(pa.array(at == hi)), lo == hi)
 
-    return dealt.select(*by, "lo", "hi", "b", *(c for c in rows.columns if c not in by)).groupBy(*by, "lo", "hi").applyInArrow(run, schema)
+    return dealt.groupBy(*by, "lo", "hi").applyInArrow(run, schema)
+
+
+def _compared(rows: DataFrame, by: list[str], block: int, eps: float, compare, schema: str) -> DataFrame:
+    """``compare`` of the vectors (id, u, core) of each pair of blocks that may hold vectors within ``eps``."""
+    placed, blocks = in_blocks(rows, by, block)
+    return in_pairs(placed, cut(block_pairs(blocks, by).where(F.col("near") <= eps)), by, compare, schema)
 
 
 def _near(first: pa.Table, second: pa.Table, own: bool, at_least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from dwell.functions.text import assignment_status, canonical_path
 from dwell.operators.graph import cut
 from dwell.operators.numbering import numbered
+from dwell.operators.quantiles import quantiles
 
 
 def mode(df: DataFrame, keys: list[str], column: str) -> DataFrame:
@@ -17,15 +18,25 @@ def mode(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.min_by(column, F.struct(-F.col("n"), F.col(column))).alias(column))
 
 
+def with_median(summary: DataFrame, rows: DataFrame, keys: list[str], column: str, out: str) -> DataFrame:
+    """Adds the median of a column of each group's rows (``quantiles``)."""
+    medians = quantiles(rows, keys, column, {out: 0.5})
+    if not keys:
+        return summary.join(F.broadcast(medians), F.lit(True), "left")  # a row each
+    of = lambda df: df.withColumn("__of", F.struct(*keys))
+    return of(summary).join(of(medians).drop(*keys), "__of", "left").drop("__of")
+
+
 def sample_summary(samples: DataFrame, keys: list[str]) -> DataFrame:
-    return samples.groupBy(*keys).agg(
+    own = samples.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_samples"),
         F.count_if("picked").alias("picked"),
         F.count_if(~F.col("picked")).alias("rejected"),
         F.avg("quality").alias("avg_quality"),
-        F.median("quality").alias("median_quality"),
         F.max("quality").alias("max_quality"),
     )
+    both = with_median(own, samples, keys, "quality", "median_quality")
+    return both.select(*keys, "n_samples", "picked", "rejected", "avg_quality", "median_quality", "max_quality")
 
 
 def track_stats(observations: DataFrame, keys: list[str]) -> DataFrame:
@@ -172,12 +183,13 @@ def validation_report(manifest: DataFrame, images: DataFrame) -> DataFrame:
     """Per track of a manifest (samples nested): samples, those without an image or a path, images of its directory,
     duration, and means of the samples that have a path."""
     images = images.select("track_id", "path").distinct()
-    each = _checked(manifest, images)
+    each = cut(_checked(manifest, images))
     mean = lambda c: F.avg(F.when(F.col("path").isNotNull(), F.col(c)))
     per = each.groupBy("track_id").agg(
-        F.count(F.lit(1)).alias("sample_count"), F.count_if(~F.col("there")).alias("missing_samples"), mean("quality").alias("avg_quality"), F.median(F.when(F.col("path").isNotNull(), F.col("quality"))).alias("median_quality"),
+        F.count(F.lit(1)).alias("sample_count"), F.count_if(~F.col("there")).alias("missing_samples"), mean("quality").alias("avg_quality"),
         *(mean(c).alias(f"avg_{c}") for c in ("sharpness", "frontalness", "score")),
     )
+    per = with_median(per, each.where(F.col("path").isNotNull()), ["track_id"], "quality", "median_quality")
     listed = images.groupBy("track_id").agg(F.count(F.lit(1)).alias("directory_images"))
     seconds = ((F.col("last_ts_ms") - F.col("first_ts_ms")) / 1000).alias("duration_seconds")
     label = F.col("label") if "label" in manifest.columns else F.lit(None).cast("string")
@@ -199,16 +211,20 @@ def validation_totals(manifest: DataFrame, images: DataFrame) -> DataFrame:
     each = cut(_checked(manifest, images).where(F.col("path").isNotNull()))
 
     def metrics(df: DataFrame, **aggregates) -> DataFrame:
-        one = df.agg(*(c.cast("double").alias(n) for n, c in aggregates.items()))
-        return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in aggregates))).alias("m")).select("m.*")
+        return told(df.agg(*(c.cast("double").alias(n) for n, c in aggregates.items())))
+
+    def told(one: DataFrame) -> DataFrame:
+        return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in one.columns))).alias("m")).select("m.*")
 
     sizes = manifest.select("track_id", F.coalesce(F.size("samples"), F.lit(0)).alias("n")).withColumn("n", F.greatest("n", F.lit(0)))
     dirs, tracks = images.select("track_id").distinct(), manifest.select("track_id").distinct()
     count = F.count(F.lit(1))
     parts = [
-        metrics(sizes, total_tracks=count, total_samples=F.coalesce(F.sum("n"), F.lit(0)), samples_per_track_mean=F.avg("n"), samples_per_track_median=F.median("n")),
+        metrics(sizes, total_tracks=count, total_samples=F.coalesce(F.sum("n"), F.lit(0)), samples_per_track_mean=F.avg("n")),
+        told(quantiles(sizes, [], "n", {"samples_per_track_median": 0.5})),
+        told(quantiles(each, [], "quality", {"quality_median": 0.5})),
         metrics(
-            each, quality_mean=F.avg("quality"), quality_median=F.median("quality"), sharpness_mean=F.avg("sharpness"), frontalness_mean=F.avg("frontalness"), score_mean=F.avg("score"), referenced_files=count,
+            each, quality_mean=F.avg("quality"), sharpness_mean=F.avg("sharpness"), frontalness_mean=F.avg("frontalness"), score_mean=F.avg("score"), referenced_files=count,
             existing_files=F.count_if("there"),
         ),
         metrics(images.join(each.select("path"), "path", "left_anti"), extra_images=count),

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from dwell.config import DEFAULT
 from dwell.operators.folds import in_order, kinds, runs
+from dwell.operators.quantiles import quantiles
 
 #: Rows of a label that are made Python values at a time.
 _STEP = 64
@@ -59,7 +60,7 @@ def montage_rows(samples: DataFrame, keys: list[str], tiles: int, ties: list[str
 
 def percentile_gate(candidates: DataFrame, keys: list[str], column: str, percent: float, floor: float | None = None) -> DataFrame:
     """Rows at or above the linearly interpolated percentile of their track, and the floor."""
-    gates = candidates.groupBy(*keys).agg(F.percentile(column, F.lit(percent / 100)).alias("gate"))
+    gates = quantiles(candidates, keys, column, {"gate": percent / 100})
     gates = gates.withColumn("gate", F.greatest("gate", F.lit(floor))) if floor is not None else gates
     return candidates.join(gates, keys).where(F.col(column) >= F.col("gate"))
 

@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwell.functions.vectors import cosine, doubles, dot, mean_by, safe_cosine, unit, usable
+from dwell.operators.clustering import block_pairs, in_blocks, in_pairs, matrix
 from dwell.operators.folds import in_order, kinds, runs
+from dwell.operators.graph import cut
 
 
 def facebank(samples: DataFrame, label: str = "label") -> DataFrame:
@@ -78,37 +79,78 @@ def purity(similarities: DataFrame, track: str, byte_id: str) -> DataFrame:
     return per.join(splits, F.col(byte_id).eqNullSafe(F.col("b"))).drop("b")
 
 
+#: Blocks whose sums one task adds up, of 8 (d² + d) bytes each.
+_MERGED = 128
+
+
+def _moments(placed: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(__cluster, total, squares, least, most) over the pairs of a cluster, the last two of those within its blocks.
+
+    The sums need no pairs across blocks: with the sum S of a cluster's vectors and that G of their outer products, the
+    products of all pairs sum to (|S|² - Σ|x|²) / 2 and their squares to (|G|² - Σ|x|⁴) / 2. Each block gives its sums,
+    which are added up ``_MERGED`` at a time.
+    """
+    many = blocks.groupBy(F.col("__cluster").alias("__of")).agg(F.max("b").alias("top"))
+    rows = placed.join(many, F.col("__cluster").eqNullSafe(F.col("__of"))).drop("__of")
+    kind = placed.schema["__cluster"].dataType.simpleString()
+    schema = f"__cluster {kind}, b long, ones double, fours double, total double, squares double, least double, most double, s binary, g binary"
+
+    def own(t: pa.Table) -> pa.Table:
+        x = matrix(t["u"])
+        length = (x**2).sum(axis=1)
+        least, most = np.inf, -np.inf
+        for k in range(0, len(x), 512):
+            dots = x[k : k + 512] @ x.T
+            dots = dots[np.triu_indices(len(dots), k + 1, len(x))]
+            if len(dots):
+                least, most = min(least, dots.min()), max(most, dots.max())
+        s, g = x.sum(axis=0), x.T @ x
+        total, squares = ((s @ s) - length.sum()) / 2, ((g**2).sum() - (length**2).sum()) / 2
+        alone = t["top"][0].as_py() == 0
+        row = {"b": [t["b"][0].as_py()], "ones": [length.sum()], "fours": [(length**2).sum()], "total": [total], "squares": [squares], "least": [least], "most": [most], "s": [None if alone else s.tobytes()], "g": [None if alone else g.tobytes()]}
+        return pa.table({"__cluster": t["__cluster"].slice(0, 1)} | {c: pa.array(v, pa.binary() if c in "sg" else pa.int64() if c == "b" else pa.float64()) for c, v in row.items()})
+
+    def merged(t: pa.Table) -> pa.Table:
+        s, g = (sum(np.frombuffer(x) for x in t[c].to_pylist()) for c in ("s", "g"))
+        ones, fours = (t[c].to_numpy().sum() for c in ("ones", "fours"))
+        row = {"b": [t["b"][0].as_py() // _MERGED], "ones": [ones], "fours": [fours], "total": [((s @ s) - ones) / 2], "squares": [((g**2).sum() - fours) / 2], "least": [t["least"].to_numpy().min()], "most": [t["most"].to_numpy().max()], "s": [s.tobytes()], "g": [g.tobytes()]}
+        return pa.table({"__cluster": t["__cluster"].slice(0, 1)} | {c: pa.array(v, pa.binary() if c in "sg" else pa.int64() if c == "b" else pa.float64()) for c, v in row.items()})
+
+    sums = cut(rows.select("__cluster", "b", "top", "u").groupBy("__cluster", "b").applyInArrow(own, schema))
+    single, large = sums.where("s IS NULL"), sums.where("s IS NOT NULL")
+    top = many.agg(F.max("top")).first()[0] or 0
+    while top > 0:
+        large = large.withColumn("to", F.floor(F.col("b") / _MERGED)).groupBy("__cluster", "to").applyInArrow(lambda t: merged(t.drop_columns(["to"])), schema)
+        top //= _MERGED
+    return single.unionByName(large).drop("b", "ones", "fours", "s", "g")
+
+
 def cluster_quality(samples: DataFrame, cluster: str, sample: str, block: int = 2048) -> DataFrame:
     """Pairwise similarity within clusters: number, mean, least, most, population variance; 1, 1, 1 and 0 for a
     single sample. ``size`` counts all samples, the rest is of those with a usable vector, null where there are none.
 
-    A cluster is cut into blocks, and each pair of blocks is a group of its own: it multiplies its vectors and sends
-    five numbers, so no pair is sent and no group grows with its cluster.
+    A cluster is cut into blocks of neighbours. Mean and variance come from sums over its vectors; for the least and the
+    most, pairs of blocks are compared only where the bounds of their similarities pass what is known from within blocks.
     """
-    whole = samples.withColumn("__usable", usable(samples))
-    sizes = whole.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"), F.count_if("__usable").alias("__usable"))
-    counted = sizes.select(F.col(cluster).alias("__of"), F.ceil(F.col("__usable") / block).cast("long").alias("__blocks"))
-    rows = whole.where("__usable").select(F.col(cluster).alias("__cluster"), unit(doubles(F.col("embedding"))).alias("u"), F.xxhash64(sample).alias("h"))
-    rows = rows.join(counted, F.col("__cluster").eqNullSafe(F.col("__of"))).withColumn("b", F.pmod("h", F.col("__blocks"))).drop("__of", "h")
-    dealt = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1))).withColumn("lo", F.least("b", "o")).withColumn("hi", F.greatest("b", "o"))
-    kind = samples.schema[cluster].dataType.simpleString()
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        x, y = (np.stack(side.to_numpy()) if len(side) else np.zeros((0, 1)) for side in (pdf["u"][pdf["b"] == lo], pdf["u"][pdf["b"] == hi]))
-        out = []
-        for k in range(0, len(x) if len(y) else 0, 512):
-            s = x[k : k + 512] @ y.T
-            s = s[np.triu_indices(len(s), k + 1, len(y))] if lo == hi else s.ravel()
-            if len(s):
-                out.append((pdf["__cluster"].iloc[0], len(s), s.sum(), (s**2).sum(), s.min(), s.max()))
-        return pd.DataFrame(out, columns=["c", "n", "total", "squares", "least", "most"])
-
-    parts = dealt.select("__cluster", "lo", "hi", "b", "u").groupBy("__cluster", "lo", "hi").applyInPandas(compare, f"c {kind}, n long, total double, squares double, least double, most double")
-    mean = F.sum("total") / F.sum("n")
-    stats = parts.groupBy(F.col("c").alias("__c")).agg(
-        F.sum("n").alias("pairs"), mean.alias("mean_sim"), F.min("least").alias("min_sim"), F.max("most").alias("max_sim"), F.greatest(F.sum("squares") / F.sum("n") - mean * mean, F.lit(0.0)).alias("var_sim")
-    )
-    both = sizes.join(stats, F.col(cluster).eqNullSafe(F.col("__c")), "left").drop("__c")
-    alone = {"pairs": 0, "mean_sim": 1.0, "min_sim": 1.0, "max_sim": 1.0, "var_sim": 0.0}
-    return both.withColumns({c: F.when(F.col("__usable") > 0, F.coalesce(c, F.lit(x))) for c, x in alone.items() if c != "pairs"} | {"pairs": F.coalesce("pairs", F.lit(0))}).drop("__usable")
+    whole = cut(samples.select(F.col(cluster).alias("__cluster"), F.when(usable(samples), unit(doubles(F.col("embedding")))).alias("u"), F.monotonically_increasing_id().alias("id")))
+    placed, blocks = in_blocks(whole.where("u IS NOT NULL"), ["__cluster"], block)
+    sums = cut(_moments(placed, blocks))
+
+    def extremes(first: pa.Table, second: pa.Table, own: bool) -> pa.Table:
+        x, y = matrix(first["u"]), matrix(second["u"])
+        dots = [(s.min(), s.max()) for k in range(0, len(x), 512) if len(s := x[k : k + 512] @ y.T)]
+        return pa.table({"__cluster": first["__cluster"].slice(0, 1), "l": [min(d[0] for d in dots)], "m": [max(d[1] for d in dots)]})
+
+    known = sums.select(F.col("__cluster").alias("__of"), "least", "most")
+    apart = block_pairs(blocks, ["__cluster"]).where("lo < hi").join(known, F.col("__cluster").eqNullSafe(F.col("__of")))
+    open_ = cut(apart.where((F.col("low") < F.col("least")) | (F.col("high") > F.col("most"))).select("__cluster", "lo", "hi"))
+    kind = whole.schema["__cluster"].dataType.simpleString()
+    across = in_pairs(placed, open_, ["__cluster"], extremes, f"__cluster {kind}, l double, m double").groupBy(F.col("__cluster").alias("__of")).agg(F.min("l").alias("l"), F.max("m").alias("m"))
+    both = sums.join(across, F.col("__cluster").eqNullSafe(F.col("__of")), "left").drop("__of").withColumns({"min_sim": F.least("least", "l"), "max_sim": F.greatest("most", "m")})
+    sizes = whole.groupBy(F.col("__cluster").alias(cluster)).agg(F.count(F.lit(1)).alias("size"), F.count("u").alias("n"))
+    pairs = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
+    mean = F.col("total") / pairs
+    stats = {"mean_sim": (mean, 1.0), "min_sim": (F.col("min_sim"), 1.0), "max_sim": (F.col("max_sim"), 1.0), "var_sim": (F.greatest(F.col("squares") / pairs - mean * mean, F.lit(0.0)), 0.0)}
+    out = sizes.join(both, F.col(cluster).eqNullSafe(F.col("__cluster")), "left")
+    of = [F.when(F.col("n") > 1, x).when(F.col("n") == 1, F.lit(alone)).alias(c) for c, (x, alone) in stats.items()]
+    return out.select(cluster, "size", pairs.alias("pairs"), *of)

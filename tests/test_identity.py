@@ -44,6 +44,7 @@ def test_banks_in_parts_and_clusters_in_blocks(spark, monkeypatch):
     assert M.knn(s, bank.limit(0), 3).count() == 0 and M.knn(s.limit(0), bank, 3).count() == 0
     u = np.array([r[3] for r in rows])
     u /= np.linalg.norm(u, axis=1, keepdims=True)
+    monkeypatch.setattr(V, "_MERGED", 2)
     for r in V.cluster_quality(s, "label", "sample_id", block=4).collect():
         own = u[[k for k, x in enumerate(rows) if x[0] == r.label]]
         sims = (own @ own.T)[np.triu_indices(len(own), 1)]
@@ -246,7 +247,13 @@ def test_distant_blocks_are_not_compared(spark):
     rows = spark.createDataFrame([(k, (x / np.linalg.norm(x)).tolist()) for k, x in enumerate(v)], "id long, u array<double>")
     placed, blocks = C.in_blocks(rows, [], 50)
     assert placed.count() == 400 and blocks.count() == 8
-    assert C.block_pairs(blocks, [], 0.1).count() < 8 * 9 // 2 // 2
+    pairs_ = C.block_pairs(blocks, [])
+    assert pairs_.count() == 8 * 9 // 2 and pairs_.where("near <= 0.1").count() < 8 * 9 // 2 // 2
+    # no bound is passed by the vectors themselves
+    of = {b: np.array([r.u for r in placed.where(F.col("b") == b).collect()]) for b in range(8)}
+    for r in pairs_.collect():
+        dots, d = of[r.lo] @ of[r.hi].T, np.linalg.norm(of[r.lo][:, None] - of[r.hi][None], axis=2)
+        assert r.low <= dots.min() and dots.max() <= r.high and r.near <= d.min() and d.max() <= r.far
     pairs = lambda t: {(r.a, r.b) for r in C.near_links(t, [], 0.99, 50).collect()}
     assert connected(spark.createDataFrame(list(pairs(rows)), "a long, b long")).select("root").distinct().count() == 8
 
