@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dwell.plans import boxes, files, identity, presence, review, sampling  # noqa: F401  (registers their queries)
+from dwell.plans import boxes, files, identity, presence, review, sampling, streams  # noqa: F401  (registers their queries)
 from dwell.plans.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -1,19 +1,32 @@
-"""Streaming counterparts of the batch operators: sessions, presence by second and expiring track state."""
+"""Streaming counterparts of the batch operators: sessions, presence by second, runs, live tracks and quarantine.
+
+Runs, tracks and quarantine are machines in event-time order: rows wait in state until the watermark has passed them,
+and are then taken in order, so that results don't depend on the order of arrival. What is held for a key ends by timers:
+after its last row, nothing of it is left (``hold``, ``gap`` or ``buffer`` later). Later rows than the watermark are
+dropped. State is kept in RocksDB, which the functions choose for the session.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.listener import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _keep_state(spark: SparkSession) -> None:
+    """List, map and timer state need this store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
 
 
 def label_sessions(labels: DataFrame, keys: list[str], gap: str, lateness: str) -> DataFrame:
-    """Runs of each (track, label) without a gap of more than ``gap``; ``ts`` is the event time. A change of label
-    alone doesn't end a session of either label: the batch form does that."""
+    """Runs of each (track, label) without a gap of ``gap`` or more; ``ts`` is the event time. A change of label
+    alone doesn't end a session of either label: ``label_runs`` does that."""
     return (
         labels.withWatermark("ts", lateness)
         .groupBy(*keys, "label", F.session_window("ts", gap))
@@ -26,64 +39,175 @@ def presence_by_second(labels: DataFrame, lateness: str) -> DataFrame:
     return labels.withWatermark("ts", lateness).groupBy(F.window("ts", "1 second"), "label").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("second"), "label", "n")
 
 
-def live_tracks(observations: DataFrame, buffer_ms: int, lateness: str) -> DataFrame:
-    """(track_id, first_ms, last_ms, n) of tracks unseen for ``buffer_ms`` of event time: state that expires."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            first, last, n = state.get
-            state.remove()
-            yield pd.DataFrame({"track_id": [key[0]], "first_ms": [first], "last_ms": [last], "n": [n]})
-            return
-        first, last, n = state.get if state.exists else (None, None, 0)
-        for pdf in frames:
-            ms = pdf["ts"].astype("int64") // 10**6 if pdf["ts"].dtype.str.endswith("[ns]") else pdf["ts"].astype("datetime64[ms]").astype("int64")
-            lo, hi = int(ms.min()), int(ms.max())
-            first, last, n = lo if first is None else min(first, lo), hi if last is None else max(last, hi), n + len(pdf)
-        state.update((first, last, n))
-        state.setTimeoutTimestamp(max(last + buffer_ms, state.getCurrentWatermarkMs() + 1))
+class _InOrder(StatefulProcessor):
+    """Rows (ts, tie, label, score) of a key, taken in order of event time once the watermark has passed them."""
 
-    return (
-        observations.withWatermark("ts", lateness)
-        .groupBy("track_id")
-        .applyInPandasWithState(run, "track_id long, first_ms long, last_ms long, n long", "first_ms long, last_ms long, n long", "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    STATE = ""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._held = handle.getMapState("held", "ms long, tie long", "label string, score double")
+        self._state = handle.getValueState("state", self.STATE)
 
-def quarantine(samples: DataFrame, hold_ms: int, consecutive: int, lateness: str) -> DataFrame:
-    """(track_id, ts_ms, identity, flushed) of samples whose flag ``doubtful`` tells that they are far from their track.
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for pdf in rows:
+            ms = pdf["ts"].astype("datetime64[ms]").astype("int64")
+            for t, tie, label, score in zip(ms, pdf["tie"], pdf["label"], pdf["score"], strict=True):
+                self._held.updateValue((int(t), int(tie)), (label, None if pd.isna(score) else float(score)))
+        yield from self._go(key, timerValues.getCurrentWatermarkInMs())
 
-    Doubtful samples wait: the next sure one takes them along, ``consecutive`` of them in a row are a new identity, and
-    those that nothing decides are given back to the identity they came to after ``hold_ms`` of event time, as at the
-    end of the input.
-    """
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self._go(key, timerValues.getCurrentWatermarkInMs())
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        identity, waiting = state.get if state.exists else (0, [])
-        out: list[tuple[int, int, bool]] = []
-        if state.hasTimedOut:
-            out = [(t, identity, True) for t in waiting]
-            waiting = []
-        else:
-            rows = pd.concat(list(frames)).sort_values("ts")
-            for ms, doubtful in zip(rows["ts"].astype("datetime64[ms]").astype("int64"), rows["doubtful"], strict=True):
-                waiting = [*waiting, int(ms)]
-                if doubtful and len(waiting) < consecutive:
-                    continue
-                identity += int(doubtful)
-                out += [(t, identity, False) for t in waiting]
-                waiting = []
-        state.update((identity, waiting))
-        if waiting:
-            state.setTimeoutTimestamp(max(waiting[-1] + hold_ms, state.getCurrentWatermarkMs() + 1))
+    def close(self) -> None:
+        pass
+
+    def _go(self, key: tuple, now: int) -> Iterator[pd.DataFrame]:
+        held = sorted(tuple(k) for k in self._held.keys())
+        due = [k for k in held if k[0] <= now]
+        state = tuple(self._state.get()) if self._state.exists() else None
+        before, out = state, []
+        for k in due:
+            state = self.step(state, k[0], *self._held.getValue(k), out)
+            self._held.removeKey(k)
+        state = self.passed(state, now, out)
+        if state is None and before is not None:
+            self._state.clear()
+        elif state is not None and state != before:
+            self._state.update(state)
+        for timer in list(self._handle.listTimers()):
+            self._handle.deleteTimer(timer)
+        following = [k[0] for k in held[len(due) :][:1]] + ([self.deadline(state)] if state is not None else [])
+        if following:
+            self._handle.registerTimer(max(min(following), now + 1))
         if out:
-            yield pd.DataFrame([(key[0], *x) for x in out], columns=["track_id", "ts_ms", "identity", "flushed"])
+            yield pd.DataFrame([(*key, *x) for x in out], columns=self.columns)
 
-    return (
-        samples.withWatermark("ts", lateness)
-        .groupBy("track_id")
-        .applyInPandasWithState(run, "track_id long, ts_ms long, identity int, flushed boolean", "identity int, waiting array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    def step(self, state: tuple | None, ms: int, label: str | None, score: float | None, out: list[tuple]) -> tuple | None:
+        """The state after a row; what is decided by it is added to ``out``."""
+        raise NotImplementedError
+
+    def passed(self, state: tuple | None, now: int, out: list[tuple]) -> tuple | None:
+        """The state when no row up to ``now`` comes any more."""
+        raise NotImplementedError
+
+    def deadline(self, state: tuple) -> int:
+        """When the state changes without a row."""
+        raise NotImplementedError
+
+
+class _Runs(_InOrder):
+    """Runs without a gap of more than ``gap_ms``, of one label each where labels count."""
+
+    STATE = "label string, first long, last long, total double, scored long, n long"
+
+    def __init__(self, keys: list[str], gap_ms: int, by_label: bool) -> None:
+        self._gap, self._by_label = gap_ms, by_label
+        self.columns = [*keys, "label", "first_ms", "last_ms", "avg_similarity", "n"]
+
+    def _ended(self, state: tuple) -> tuple:
+        label, first, last, total, scored, n = state
+        return label, first, last, total / scored if scored else None, n
+
+    def step(self, state, ms, label, score, out):
+        if state is not None and (ms - state[2] > self._gap or self._by_label and label != state[0]):
+            out.append(self._ended(state))
+            state = None
+        name, first, _, total, scored, n = state or (label, ms, ms, 0.0, 0, 0)
+        return name, first, ms, total + (score or 0.0), scored + (score is not None), n + 1
+
+    def passed(self, state, now, out):
+        if state is not None and now - state[2] >= self._gap:
+            out.append(self._ended(state))
+            return None
+        return state
+
+    def deadline(self, state):
+        return state[2] + self._gap
+
+
+class _Quarantine(_InOrder):
+    """Identities of samples whose label tells whether they are doubtful ("1"); those that wait are a list of their times."""
+
+    STATE = "identity int, waiting int, last long, doubt long"
+
+    def __init__(self, hold_ms: int, consecutive: int, forget_ms: int) -> None:
+        self._hold, self._consecutive, self._forget = hold_ms, consecutive, forget_ms
+        self.columns = ["track_id", "ts_ms", "identity", "flushed"]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self._waiting = handle.getListState("waiting", "ms long")
+
+    def _release(self, identity: int, flushed: bool, out: list[tuple]) -> None:
+        out += [(int(w[0]), identity, flushed) for w in self._waiting.get()]
+        self._waiting.clear()
+
+    def step(self, state, ms, label, score, out):
+        identity, waiting, last, doubt = self.passed(state, ms - 1, out) or (0, 0, ms, ms)
+        if label == "1":
+            self._waiting.appendValue((ms,))
+            waiting, doubt = waiting + 1, ms
+            if waiting >= self._consecutive:
+                identity, waiting = identity + 1, 0
+                self._release(identity, False, out)
+        else:
+            if waiting:
+                self._release(identity, False, out)
+                waiting = 0
+            out.append((ms, identity, False))
+        return identity, waiting, ms, doubt
+
+    def passed(self, state, now, out):
+        if state is None:
+            return None
+        identity, waiting, last, doubt = state
+        if waiting and now - doubt >= self._hold:
+            self._release(identity, True, out)
+            waiting = 0
+        return None if now - last >= self._forget else (identity, waiting, last, doubt)
+
+    def deadline(self, state):
+        identity, waiting, last, doubt = state
+        return min(doubt + self._hold, last + self._forget) if waiting else last + self._forget
+
+
+def _machine(rows: DataFrame, keys: list[str], label, score, processor: _InOrder, schema: str, lateness: str) -> DataFrame:
+    _keep_state(rows.sparkSession)
+    tie = F.col("tie").cast("long") if "tie" in rows.columns else F.lit(0).cast("long")
+    own = rows.select(*keys, "ts", tie.alias("tie"), label.alias("label"), score.alias("score")).withWatermark("ts", lateness)
+    return own.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "eventtime")
+
+
+def _kinds(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+
+def label_runs(labels: DataFrame, keys: list[str], gap_ms: int, lateness: str) -> DataFrame:
+    """(keys, label, first_ms, last_ms, avg_similarity, n): runs of equal labels of each track without a gap of more than
+    ``gap_ms``; they end where the label changes, as those of the batch form do. Rows (ts, label, score) of one time of a
+    track are taken in order of their ``tie``, where there is such a column."""
+    return _machine(labels, keys, F.col("label"), F.col("score").cast("double"), _Runs(keys, gap_ms, True), f"{_kinds(labels, keys)}, label string, first_ms long, last_ms long, avg_similarity double, n long", lateness)
+
+
+def live_tracks(observations: DataFrame, buffer_ms: int, lateness: str) -> DataFrame:
+    """(track_id, first_ms, last_ms, n) of tracks unseen for more than ``buffer_ms`` of event time; one that is seen again
+    is another."""
+    none = F.lit(None)
+    runs = _machine(observations, ["track_id"], none.cast("string"), none.cast("double"), _Runs(["track_id"], buffer_ms, False), f"{_kinds(observations, ['track_id'])}, label string, first_ms long, last_ms long, avg_similarity double, n long", lateness)
+    return runs.select("track_id", "first_ms", "last_ms", "n")
+
+
+def quarantine(samples: DataFrame, hold_ms: int, consecutive: int, lateness: str, forget_ms: int | None = None) -> DataFrame:
+    """(track_id, ts_ms, identity, flushed) of samples whose flag ``doubtful`` tells that they are far from their track.
+
+    Doubtful samples wait: the next sure one takes them along, ``consecutive`` of them in a row are a new identity, and
+    those that nothing decides within ``hold_ms`` of event time are given back to the identity they came to. A track
+    unseen for ``forget_ms`` (ten times ``hold_ms``, if none is given) is forgotten: its identities begin at 0 again.
+    """
+    forget = max(hold_ms, 10 * hold_ms if forget_ms is None else forget_ms)
+    flag = F.coalesce(F.col("doubtful"), F.lit(False)).cast("int").cast("string")
+    return _machine(samples, ["track_id"], flag, F.lit(None).cast("double"), _Quarantine(hold_ms, consecutive, forget), f"{_kinds(samples, ['track_id'])}, ts_ms long, identity int, flushed boolean", lateness)
 
 
 class Heartbeat(StreamingQueryListener):

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from dwell.operators import segments as S
@@ -78,3 +79,100 @@ def test_heartbeat_tells(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert any(h.get("rows") == 1 for h in heard)
+
+
+def put(df, path, orders):
+    """Rows as files, one for each list of keys of ``part``."""
+    for k, part in enumerate(orders):
+        df.where(F.col("part").isin(part)).drop("part").coalesce(1).write.mode("append").parquet(f"{path}/{k}")
+
+
+def finish(df, at):
+    """Runs a stream to the end of its input; gives what the sink has."""
+    q = df.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{at}/out")
+
+
+def left(spark, at):
+    """Keys that anything is kept of."""
+    read = lambda **o: spark.read.format("statestore").options(path=f"{at}/checkpoint", **o).load()
+    found = {r.key[0] for r in read(stateVarName="state").collect()}
+    found |= {r.key[0] for r in read(stateVarName="held").collect()}
+    return found
+
+
+def events(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = []
+    for track in range(4):
+        at, label = 0, "A"
+        for _ in range(60):
+            at += rng.choice((1, 1, 2, 5, 11, 12, 40))
+            label = rng.choice((label, label, "A", "B"))
+            rows.append((track, at, label, rng.choice((0.25, 0.5, None)), rng.randint(0, 4)))
+    rows.append((99, 100_000, "Z", 0.0, 9))
+    rows.append((99, 100_001, "Z", 0.0, 10))
+    return spark.createDataFrame(rows, "track_id long, sec long, label string, score double, part int").withColumn("ts", F.timestamp_seconds("sec"))
+
+
+@pytest.mark.parametrize("orders", [[[0, 1, 2, 3, 4], [9], [10]], [[4], [2, 0], [3], [1], [9], [10]], [[1], [0], [2], [4], [3], [9], [10]]])
+def test_runs_of_a_stream_are_those_of_the_batch(spark, tmp_path, orders):
+    d = events(spark)
+    put(d, f"{tmp_path}/in", orders)
+    got = finish(twins.label_runs(stream(spark, f"{tmp_path}/in", d.drop("part").schema), ["track_id"], 11_000, "10000 seconds"), str(tmp_path))
+    found = sorted((r.track_id, r.label, r.first_ms // 1000, r.last_ms // 1000, r.n, r.avg_similarity) for r in got.collect() if r.track_id != 99)
+    batch = S.islands(d.select("track_id", F.col("sec").alias("frame_idx"), "label", "score"), ["track_id"], 11).collect()
+    assert found == sorted((r.track_id, r.label, r.first_frame, r.last_frame, r.n, r.avg_similarity) for r in batch if r.track_id != 99)
+    assert left(spark, str(tmp_path)) == {99}
+
+
+def test_live_tracks_split_where_they_were_away(spark, tmp_path):
+    d = events(spark)
+    put(d, f"{tmp_path}/in", [[2, 4], [0], [1, 3], [9], [10]])
+    got = finish(twins.live_tracks(stream(spark, f"{tmp_path}/in", d.drop("part").schema), 11_000, "10000 seconds"), str(tmp_path))
+    batch = S.islands(d.select("track_id", F.col("sec").alias("frame_idx"), "label", "score"), ["track_id"], 11, by_label=False).collect()
+    assert sorted((r.track_id, r.first_ms // 1000, r.last_ms // 1000, r.n) for r in got.collect() if r.track_id != 99) == sorted((r.track_id, r.first_frame, r.last_frame, r.n) for r in batch if r.track_id != 99)
+    assert left(spark, str(tmp_path)) == {99}
+
+
+def plain_quarantine(rows, hold, consecutive, forget):
+    out, by = {}, {}
+    for track, sec, doubtful in sorted(rows, key=lambda r: (r[0], r[1])):
+        identity, waiting, last = by.get(track, (0, [], sec))
+        if waiting and sec - waiting[-1] > hold:
+            out |= {(track, w): (identity, True) for w in waiting}
+            waiting = []
+        if sec - last > forget:
+            identity = 0
+        waiting = [*waiting, sec]
+        if not doubtful or len(waiting) == consecutive and doubtful:
+            identity += int(doubtful)
+            out |= {(track, w): (identity, False) for w in waiting}
+            waiting = []
+        by[track] = identity, waiting, sec
+    for track, (identity, waiting, _) in by.items():
+        out |= {(track, w): (identity, True) for w in waiting}
+    return out
+
+
+def test_quarantine_in_any_order_of_files(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for track in range(4):
+        at = 0
+        for _ in range(50):
+            at += rng.choice((1, 1, 2, 4, 8, 30))
+            rows.append((track, at, rng.random() < 0.6))
+    want = plain_quarantine(rows, 5, 3, 20)
+    d = spark.createDataFrame([(*r, rng.randint(0, 3)) for r in rows] + [(99, 100_000, False, 9), (99, 100_001, False, 10)], "track_id long, sec long, doubtful boolean, part int").withColumn("ts", F.timestamp_seconds("sec"))
+    put(d, f"{tmp_path}/in", [[3], [1, 0], [2], [9], [10]])
+    got = finish(twins.quarantine(stream(spark, f"{tmp_path}/in", d.drop("part").schema), 5000, 3, "10000 seconds", 20_000), str(tmp_path))
+    assert {(r.track_id, r.ts_ms // 1000): (r.identity, r.flushed) for r in got.collect() if r.track_id != 99} == want
+    assert left(spark, str(tmp_path)) == {99}
+    waiting = spark.read.format("statestore").options(path=f"{tmp_path}/checkpoint", stateVarName="waiting").load()
+    assert waiting.count() == 0
