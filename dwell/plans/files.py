@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
+from dwell import schemas
 from dwell.functions import text as T
 from dwell.operators.graph import shared_folder
 from dwell.plans import fixtures as X
@@ -288,3 +290,17 @@ def nested_paths(spark, sf_dir):
     at = _fresh(spark, "manifest.json")
     sinks.manifest(samples.select("track_id").distinct(), samples, ["track_id"], at)
     return readers.samples_of_manifest(readers.relative_paths(readers.manifest(spark, at))).select("track_id", "path")
+
+
+@query(f"WITH {X.DET} SELECT frame_idx, det_idx, kind, round(score, 6) AS score, {_BOXES} FROM det WHERE frame_idx % 3 = 0 AND frame_idx >= 900 AND track_id % 3 <> 1")
+def detection_source(spark, sf_dir):
+    """The same through the data source by frames, from a frame on and of two classes."""
+    from dwell.sources import folders, frames
+
+    at = _fresh(spark, "detections")
+    d = X.detections(spark, sf_dir).withColumn("video_id", F.lit("v")).withColumn("frame_idx", F.col("frame_idx").cast("int")).withColumn("class_id", (F.col("track_id") % 3).cast("int"))
+    own = T_.StructType.fromDDL(schemas.DETECTIONS)
+    d.select(*((F.col(f.name) if f.name in d.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in own)).write.parquet(at)
+    frames.register(spark)
+    read = spark.read.format(frames.NAME).options(**{"path": folders.qualified(spark, at), "stride": 3, "from": 900, "classes": "0,2"}).load()
+    return rounded(read.select(F.col("frame_idx").cast("long").alias("frame_idx"), "det_idx", "kind", "score", "bbox.*"), 6, "score", "x1", "y1", "x2", "y2")
