@@ -39,9 +39,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dwell.llm.components import components
-from dwell.llm.folders import opened
-from dwell.llm.shared import fresh_path, join_counted, qualified, settle, table
+from dwell.llm.shared import fresh_path, join_counted, settle, table
 from dwell.operators.graph import forest
+from dwell.sources.folders import opened, qualified
 
 COSINE = 0.95
 AXES = 16

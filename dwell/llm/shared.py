@@ -45,11 +45,6 @@ def _hadoop(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
     return fs, fs.makeQualified(at)
 
 
-def qualified(spark: SparkSession, path: str) -> str:
-    """A path as Spark resolves it: one without a scheme is of the cluster's default file system."""
-    return _hadoop(spark, path)[1].toString()
-
-
 _marked: set[str] = set()
 _scopes: list[list[str]] = []
 

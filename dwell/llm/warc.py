@@ -31,8 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwell.llm.folders import opened
-from dwell.llm.shared import fresh_path, qualified, settle, table
+from dwell.llm.shared import fresh_path, settle, table
+from dwell.sources.folders import opened, qualified
 
 SKIPPABLE = 0x184D2A5D
 _MAGIC = (0xFD2FB528).to_bytes(4, "little")

@@ -4,30 +4,9 @@ from urllib.parse import urlsplit
 import pytest
 
 from dwell.llm import shared
-from dwell.llm.folders import opened, worker_uri
 from dwell.llm.grid_join import near_vectors
 
 
-@pytest.mark.parametrize(
-    ("uri", "want"),
-    [
-        ("file:///a/b", "file:///a/b"), ("file:/a/b", "file:///a/b"), ("hdfs://name:8020/a", "hdfs://name:8020/a"), ("viewfs://store/a", "viewfs://store/a"), ("s3://bucket/a", "s3://bucket/a"), ("s3a://bucket/a b/c", "s3://bucket/a b/c"), ("s3n://bucket/a", "s3://bucket/a"),
-        ("gs://bucket/a", "gs://bucket/a"), ("abfss://c@acc.dfs.core.windows.net/a", "abfss://c@acc.dfs.core.windows.net/a"), ("abfs://c@acc.dfs.core.windows.net/a", "abfss://c@acc.dfs.core.windows.net/a"),
-        ("wasbs://c@acc.blob.core.windows.net/a", "abfss://c@acc.dfs.core.windows.net/a"), ("wasb://c@acc.blob.core.windows.net/a", "abfss://c@acc.dfs.core.windows.net/a"), ("dbfs:/tmp/a", "file:///dbfs/tmp/a"),
-    ],
-)
-def test_schemes(uri, want):
-    assert worker_uri(uri) == want
-
-
-def test_paths_without_a_scheme_are_qualified_or_refused(spark, tmp_path):
-    with pytest.raises(ValueError, match="no scheme"):
-        worker_uri("/a/b")
-    assert shared.qualified(spark, "/a/b") == "file:/a/b" and shared.qualified(spark, "s/t").startswith("file:/")
-    fs, path = opened(shared.qualified(spark, str(tmp_path)))
-    assert path == str(tmp_path) and fs.get_file_info(path).is_file is False
-
-
 def here(spark):
     root = urlsplit(shared.shared_dir(spark)).path + f"/dwell-{spark.sparkContext.applicationId}"
     return set(os.listdir(root)) if os.path.isdir(root) else set()
