@@ -8,9 +8,6 @@ from dataclasses import dataclass
 @dataclass(frozen=True)
 class Config:
     stride: int = 1
-    face_in_track_iou: float = 0.10
-    dilate_track: float = 0.10
-    temporal_tolerance: int = 3
     min_area_frac: float = 0.003
     min_area_px: float = 0.0
     min_side_px: float = 0.0
@@ -39,7 +36,6 @@ class Config:
     split_margin: float = 0.05
     embed_every: int = 2
     samples_min: int = 4
-    samples_max: int = 12
     samples_per_track: int = 8
     min_gap_frames: int = 8
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from dwell.config import DEFAULT as C
+
 Number = Column | float
 
 
@@ -60,13 +62,13 @@ def area_closeness(fraction: Column, target: float) -> Column:
     return clamp(1 - F.abs(fraction - t) / t)
 
 
-def quality(sharpness: Column, frontalness: Column, area_fraction: Column, floor: float, target: float, weights: tuple[float, float, float]) -> Column:
+def quality(sharpness: Column, frontalness: Column, area_fraction: Column, floor: float = C.min_sharpness, target: float = C.target_area_frac, weights: tuple[float, float, float] = C.quality_weights) -> Column:
     ws, wf, wa = weights
     sharp = clamp((sharpness - floor) / max(3 * floor, 1.0))
     return clamp(ws * sharp + wf * clamp(frontalness) + wa * area_closeness(area_fraction, target))
 
 
-def passes_area(b: Column, frame_area: Number, min_px: float, min_side: float, min_fraction: float) -> Column:
+def passes_area(b: Column, frame_area: Number, min_px: float = C.min_area_px, min_side: float = C.min_side_px, min_fraction: float = C.min_area_frac) -> Column:
     side = F.least(b.x2 - b.x1, b.y2 - b.y1)
     return (lit(frame_area) > 0) & (area(b) >= min_px) & (side >= min_side) & (area(b) / lit(frame_area) >= min_fraction)
 

@@ -319,7 +319,7 @@ def leader_clusters(samples: DataFrame, keys: list[str], sample: str, similarity
     return in_order(rows, keys, sample).mapInArrow(run, schema)
 
 
-def stitch_edges(tracks: DataFrame, keys: list[str], gap_ms: float, least_iou: float, max_distance: float) -> DataFrame:
+def stitch_edges(tracks: DataFrame, keys: list[str], gap_ms: float = C.stitch_gap_ms, least_iou: float = C.stitch_iou, max_distance: float = C.stitch_distance) -> DataFrame:
     """Pairs (a, b): b starts within ``gap_ms`` of a's end, their end and start boxes overlap, and their
     representatives are near. Starts and ends meet in buckets of the gap's width, so the range join is an equi-join.
     """

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from dwell.config import DEFAULT as C
 from dwell.functions import geometry as G
 from dwell.functions.vectors import common_width, doubles, usable
 from dwell.operators.folds import in_order, kinds, runs
@@ -106,11 +107,26 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Overlaps nearer than this are a tie, which the solver settles.
+_TIE = 1e-9
+
+
 def optimal_faces(matches: DataFrame, frame: list[str]) -> DataFrame:
     """The one-to-one matching of each frame with the most pairs, and of those the largest total overlap, over the given
-    pairs; of equal ones that of the least sum of a face's place by its track's place squared. A frame's
-    pairs are few: each frame is solved when its rows have passed."""
-    rows = matches.select(*frame, "face_idx", "track_idx", "track_id", "iou")
+    pairs; of equal ones that of the least sum of a face's place by its track's place squared.
+
+    Where the best tracks of a frame's faces differ, and each is better than the face's second by more than a tie, they
+    are that matching. Only contested frames are solved, each when its rows have passed: its pairs are few.
+    """
+    rows = matches.select(*frame, "face_idx", "track_idx", "track_id", "iou").repartition(*frame)
+    of_face, of_frame = Window.partitionBy(*frame, "face_idx"), Window.partitionBy(*frame)
+    ranked = rows.withColumn("__nth", F.row_number().over(of_face.orderBy(F.desc("iou"), "track_idx")))
+    best = F.max(F.when(F.col("__nth") == 1, F.col("track_idx"))).over(of_face)
+    first = ranked.withColumn("__best", best).withColumn("__second", F.max(F.when(F.col("track_idx") != F.col("__best"), F.col("iou"))).over(of_face))
+    sure = F.coalesce(F.col("iou") - F.col("__second") > _TIE, F.lit(True)) | (F.col("__nth") > 1)
+    alike = F.count(F.when(F.col("__nth") == 1, 1)).over(of_frame) == F.size(F.collect_set(F.when(F.col("__nth") == 1, F.col("track_idx"))).over(of_frame))
+    marked = first.withColumn("__open", ~(F.min(sure).over(of_frame) & alike))
+    known = marked.where("__open OR __nth = 1").select(*frame, "face_idx", "track_idx", "track_id", "iou", "__open")
 
     def solve(faces: np.ndarray, tracks: np.ndarray, iou: np.ndarray) -> np.ndarray:
         """Places of the matched pairs."""
@@ -128,17 +144,26 @@ def optimal_faces(matches: DataFrame, frame: list[str]) -> DataFrame:
 
         def matched() -> pa.RecordBatch:
             one = pa.concat_batches(held)
-            return one.take(pa.array(solve(*(one[c].to_numpy() for c in ("face_idx", "track_idx", "iou"))))).drop_columns(["track_idx"])
+            return one.take(pa.array(solve(*(one[c].to_numpy() for c in ("face_idx", "track_idx", "iou"))))).drop_columns(["track_idx", "__open"])
+
+        def contested() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                settled.append(batch.filter(pc.invert(batch["__open"])).drop_columns(["track_idx", "__open"]))
+                yield batch.filter(batch["__open"])
 
-        for new, part in runs(batches, len(frame)):
+        settled: list[pa.RecordBatch] = []
+        for new, part in runs(contested(), len(frame)):
+            yield from settled
+            settled.clear()
             if new and held:
                 yield matched()
                 held.clear()
             held.append(part)
+        yield from settled
         if held:
             yield matched()
 
-    return in_order(rows, frame, "face_idx", "track_idx").mapInArrow(run, kinds(rows, *frame, "face_idx", "track_id", "iou"))
+    return known.sortWithinPartitions(*frame, "face_idx", "track_idx").mapInArrow(run, kinds(rows, *frame, "face_idx", "track_id", "iou"))
 
 
 def center_fallback(faces: DataFrame, tracks: DataFrame, frame: list[str], unique_only: bool = True) -> DataFrame:
@@ -231,7 +256,7 @@ def knn(samples: DataFrame, bank: DataFrame, k: int) -> DataFrame:
     return scored.select(*columns, "rank", "match", "score")
 
 
-def best_match(ranked: DataFrame, keys: list[str], threshold: float, min_margin: float, overrides: dict[str, float] | None = None) -> DataFrame:
+def best_match(ranked: DataFrame, keys: list[str], threshold: float = C.similarity, min_margin: float = C.min_margin, overrides: dict[str, float] | None = None) -> DataFrame:
     """The first match where it reaches its label's threshold and leads the second by the margin, else null. A score that
     is null or no number reaches no threshold, and leaves no lead."""
     ranked = ranked.withColumn("score", F.when(~F.isnan("score"), F.col("score")))

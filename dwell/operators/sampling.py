@@ -23,7 +23,7 @@ def _order(ties: list[str]) -> list:
     return [F.desc("quality"), F.asc("frame_idx"), *(F.asc(t) for t in ties)]
 
 
-def gate_reasons(candidates: DataFrame, min_area_frac: float, min_sharpness: float, min_frontalness: float) -> DataFrame:
+def gate_reasons(candidates: DataFrame, min_area_frac: float = DEFAULT.min_area_frac, min_sharpness: float = DEFAULT.min_sharpness, min_frontalness: float = DEFAULT.min_frontalness) -> DataFrame:
     """The first gate a candidate fails, or null."""
     return candidates.withColumn(
         "reason",

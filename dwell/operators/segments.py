@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dwell.config import DEFAULT as C
 from dwell.functions.text import known_label
 from dwell.operators.graph import cut
 
@@ -81,7 +82,7 @@ def _timed(runs: DataFrame, fps: float) -> DataFrame:
 _SEGMENT = ["subtrack_id", "label", "start_ms", "end_ms", "duration_ms", "frames", "avg_similarity"]
 
 
-def label_runs(labels: DataFrame, keys: list[str], fps: float, max_gap_ms: float, min_run_ms: float) -> DataFrame:
+def label_runs(labels: DataFrame, keys: list[str], fps: float, max_gap_ms: float = C.max_gap_ms, min_run_ms: float = C.min_run_ms) -> DataFrame:
     """Segments of label runs; a subtrack id counts the runs kept in its track."""
     gap, least = (half_even(x / 1000 * fps) if fps > 0 else 0 for x in (max_gap_ms, min_run_ms))
     runs = _timed(islands(labels.where(known_label(F.col("label"))), keys, gap), fps)
@@ -104,14 +105,14 @@ def subtracks_from_runs(labels: DataFrame, keys: list[str]) -> DataFrame:
     return runs.select(*keys, (F.row_number().over(w) - 1).alias("subtrack_id"), "label", F.col("first_frame").alias("start_frame"), F.col("last_frame").alias("end_frame"), "avg_similarity", F.col("n").alias("n_scores"))
 
 
-def subtrack_segments(subtracks: DataFrame, keys: list[str], fps: float, min_run_ms: float) -> DataFrame:
+def subtrack_segments(subtracks: DataFrame, keys: list[str], fps: float, min_run_ms: float = C.min_run_ms) -> DataFrame:
     """Subtracks with a label, in order and long enough; ids are positions that count dropped ones."""
     named = subtracks.where(known_label(F.col("label")) & (F.col("end_frame") >= F.col("start_frame")))
     timed = _timed(named.withColumnsRenamed({"start_frame": "first_frame", "end_frame": "last_frame"}), fps)
     return timed.where(F.col("duration_ms") >= min_run_ms).withColumn("avg_similarity", F.coalesce("avg_similarity", F.lit(0.0))).select(*keys, *_SEGMENT)
 
 
-def track_segments(subtracks: DataFrame, labels: DataFrame, keys: list[str], fps: float, max_gap_ms: float, min_run_ms: float, use_subtracks: bool = True) -> DataFrame:
+def track_segments(subtracks: DataFrame, labels: DataFrame, keys: list[str], fps: float, max_gap_ms: float = C.max_gap_ms, min_run_ms: float = C.min_run_ms, use_subtracks: bool = True) -> DataFrame:
     """A track's subtracks where it has any, else its label runs; equal rounded segments once."""
     runs = label_runs(labels, keys, fps, max_gap_ms, min_run_ms)
     if not use_subtracks:

@@ -119,19 +119,13 @@ def identity_splits(
     return subtracks_of(vote_steps(matches, keys, decay, dominance, flip, split_frames, margin), keys, last_frames, with_scores)
 
 
-def average_score(frame_scores: Column) -> Column:
-    """Null where there are none."""
-    total = F.aggregate(F.map_values(frame_scores), F.lit(0.0), lambda s, x: s + x)
-    return F.when(F.size(frame_scores) > 0, total / F.size(frame_scores))
-
-
 def strongest_label(votes: DataFrame, keys: list[str]) -> DataFrame:
     """Of (keys, label, weight): the label of the largest total weight, the smaller label on a tie."""
     sums = votes.groupBy(*keys, "label").agg(F.sum("weight").alias("weight"))
     return sums.groupBy(*keys).agg(F.min_by(F.struct("label", "weight"), F.struct(-F.col("weight"), F.col("label"))).alias("m")).select(*keys, "m.label", "m.weight")
 
 
-def every_n_frames(observations: DataFrame, keys: list[str], n: int) -> DataFrame:
+def every_n_frames(observations: DataFrame, keys: list[str], n: int = C.embed_every) -> DataFrame:
     """Greedy in time: a frame is kept when it is at least ``n`` after the last kept one."""
     rows = observations.select(*keys, F.col("frame_idx").cast("long").alias("frame_idx"))
 

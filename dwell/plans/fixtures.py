@@ -152,10 +152,11 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir, SLOW, 1).withColumn("piece", F.col("track_id") * 10000 + F.col("subtrack_id"))
     vec = vectors(spark, sf_dir).select(F.col("sample_id").alias("k"), "embedding")
     s, e = (F.col("subtrack_id") % 4) * 10.0, ((F.col("subtrack_id") + 1) % 4) * 10.0
-    seg = seg.withColumn("k", (F.col("track_id") * 7 + F.col("subtrack_id")) % 500)
+    # all vectors are used, however many there are
+    seg = seg.join(F.broadcast(vec.agg(F.count(F.lit(1)).alias("vectors"))), F.lit(True)).withColumn("k", (F.col("track_id") * 7 + F.col("subtrack_id")) % F.col("vectors"))
     return seg.join(vec, "k").select(F.col("track_id").alias("video_id"), F.col("piece").alias("track_id"), "start_ms", "end_ms", G.box(s, s, s + 50, s + 50).alias("start_box"), G.box(e, e, e + 50, e + 50).alias("end_box"), "embedding")
 
 
 PIECES = f"""{OBS}, {segments_sql('1.0::DOUBLE / 60', 1)}, {VEC},
 pieces AS (SELECT track_id AS video_id, track_id * 10000 + subtrack_id AS piece, start_ms, end_ms, (subtrack_id % 4) * 10.0 AS s, ((subtrack_id + 1) % 4) * 10.0 AS e, uv.u
-  FROM (SELECT *, (track_id * 7 + subtrack_id) % 500 AS k FROM seg) p JOIN (SELECT sample_id, u FROM uv) uv ON uv.sample_id = p.k)"""
+  FROM (SELECT *, (track_id * 7 + subtrack_id) % (SELECT count(*) FROM embeddings) AS k FROM seg) p JOIN (SELECT sample_id, u FROM uv) uv ON uv.sample_id = p.k)"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dwell import schemas
+from dwell.config import DEFAULT as C
 from dwell.functions.text import frame_of, relative_to_track, track_of, truthy
 from dwell.operators.graph import cut
 
@@ -35,7 +36,7 @@ def _json(spark: SparkSession, schema: T.StructType | str, path: str) -> DataFra
     return spark.read.schema(schema).option("multiLine", not folder).json(path)
 
 
-def detections(spark: SparkSession, path: str, stride: int = 1) -> DataFrame:
+def detections(spark: SparkSession, path: str, stride: int = C.stride) -> DataFrame:
     """Parquet detections of every ``stride``-th frame, a filter on the rows that the scan gives."""
     rows = spark.read.schema(schemas.DETECTIONS).parquet(path)
     return rows.where(F.col("frame_idx") % stride == 0) if stride > 1 else rows

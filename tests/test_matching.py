@@ -164,3 +164,25 @@ def test_videos_are_cut_where_no_track_is_live(spark, spell):
     assert got == {(v, *k): t for v in ("a", None) for k, t in want.items()}
     spells = M._spells(d, ["video_id"], 3).where("video_id = 'a'").select("spell").distinct().count()
     assert spells == -(-200 // spell)
+
+
+def test_contested_and_plain_frames_get_the_same_matching(spark):
+    """Every matching of small frames, tried one by one."""
+    rng = random.Random(7)
+    rows = [(f, face, track, 100 + track, rng.choice((0.2, 0.5, rng.random()))) for f in range(60) for face in range(rng.randint(1, 3)) for track in range(rng.randint(1, 3)) if rng.random() < 0.8]
+    rows += [(99, 0, 0, 100, 0.5), (99, 0, 0, 100, 0.7), (99, 1, 0, 100, 0.6)]  # an overlap given twice
+    got = {}
+    for r in M.optimal_faces(spark.createDataFrame(rows, "frame_idx long, face_idx long, track_idx long, track_id long, iou double").repartition(3), FR).collect():
+        got.setdefault(r.frame_idx, {})[r.face_idx] = r.track_id - 100
+    for f in {r[0] for r in rows}:
+        own = {}
+        for _, face, track, _, iou in (r for r in rows if r[0] == f):
+            own[face, track] = max(iou, own.get((face, track), 0))
+        faces_, tracks_ = sorted({k[0] for k in own}), sorted({k[1] for k in own})
+        best = None
+        for chosen in permutations([*tracks_, *[None] * len(faces_)], len(faces_)):
+            pairs = [(a, b) for a, b in zip(faces_, chosen, strict=True) if b is not None]
+            if all(p in own for p in pairs):
+                key = (-len(pairs), round(-sum(own[p] for p in pairs), 9), sum((faces_.index(a) + 1) * (tracks_.index(b) + 1) ** 2 for a, b in pairs))
+                best = min(best or (key, pairs), (key, pairs))
+        assert got[f] == dict(best[1]), f
