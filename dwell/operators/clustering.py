@@ -21,7 +21,7 @@ from dwell.operators.graph import connected, cut, forest
 from dwell.operators.numbering import numbered, numbered_within
 
 #: Vectors that distances are indexed by, of a bounded sample.
-PIVOTS, PIVOT_SAMPLE = 8, 1024
+PIVOTS, PIVOT_SAMPLE = 32, 2048
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -43,10 +43,10 @@ def pivots_of(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
 
 
 def in_blocks(rows: DataFrame, by: list[str], block: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, u and others) with the number ``b`` of a block of about ``block`` neighbours within each group, and the
+    """Rows (id, u and others) with the number ``b`` of a block of at most ``block`` neighbours within each group, and the
     blocks (``by``, b, n, least and most distance to each pivot).
 
-    Rows are in order of the nearest pivot and the distance to it, so blocks are shells around pivots. Pivots, found
+    Blocks are shells around pivots: rows of the same nearest pivot in order of the distance to it. Pivots, found
     from a bounded sample, decide what blocks are made of, not what is compared.
     """
     sample = matrix(rows.select("u").orderBy(F.xxhash64("u"), "u").limit(PIVOT_SAMPLE).toArrow()["u"])
@@ -63,8 +63,16 @@ def in_blocks(rows: DataFrame, by: list[str], block: int) -> tuple[DataFrame, Da
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d.tolist(), pa.list_(pa.float64())), pa.array(near, pa.int64()), pa.array(d[np.arange(len(u)), near])], names=[*batch.schema.names, "d", "__near", "__far"])
 
     measured_rows = rows.mapInArrow(measured, kinds(rows, *rows.columns) + ", d array<double>, __near long, __far double")
-    order = numbered_within(measured_rows, by, ["__near", "__far", "id"], "__nth").drop("__near", "__far")
-    placed = cut(order.withColumn("b", F.floor(F.col("__nth") / block)).drop("__nth"))
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__size"))
+    if by:
+        of = lambda df: df.withColumn("__of", F.struct(*by))
+        sized = of(measured_rows).join(of(sizes).drop(*by), "__of").drop("__of")
+    else:
+        sized = measured_rows.join(F.broadcast(sizes), F.lit(True))  # a row
+    # a block is of one pivot's rows, but for a group that is no larger than a block
+    celled = sized.withColumn("__cell", F.when(F.col("__size") <= block, 0).otherwise(F.col("__near")))
+    order = numbered_within(celled.drop("__near", "__size"), [*by, "__cell"], ["__far", "id"], "__nth")
+    placed = cut(order.withColumn("b", F.shiftleft("__cell", 32) + F.floor(F.col("__nth") / block)).drop("__nth", "__cell", "__far"))
     side = lambda f, n: F.array(*(f(F.col("d")[i]) for i in range(k))).alias(n)
     return placed.drop("d"), cut(placed.groupBy(*by, "b").agg(F.count(F.lit(1)).alias("n"), side(F.min, "least"), side(F.max, "most")))
 

@@ -90,7 +90,7 @@ def _moments(placed: DataFrame, blocks: DataFrame) -> DataFrame:
     products of all pairs sum to (|S|² - Σ|x|²) / 2 and their squares to (|G|² - Σ|x|⁴) / 2. Each block gives its sums,
     which are added up ``_MERGED`` at a time.
     """
-    many = blocks.groupBy(F.col("__cluster").alias("__of")).agg(F.max("b").alias("top"))
+    many = blocks.groupBy(F.col("__cluster").alias("__of")).agg(F.count(F.lit(1)).alias("blocks"))
     rows = placed.join(many, F.col("__cluster").eqNullSafe(F.col("__of"))).drop("__of")
     kind = placed.schema["__cluster"].dataType.simpleString()
     schema = f"__cluster {kind}, b long, ones double, fours double, total double, squares double, least double, most double, s binary, g binary"
@@ -106,22 +106,22 @@ def _moments(placed: DataFrame, blocks: DataFrame) -> DataFrame:
                 least, most = min(least, dots.min()), max(most, dots.max())
         s, g = x.sum(axis=0), x.T @ x
         total, squares = ((s @ s) - length.sum()) / 2, ((g**2).sum() - (length**2).sum()) / 2
-        alone = t["top"][0].as_py() == 0
+        alone = t["blocks"][0].as_py() == 1
         row = {"b": [t["b"][0].as_py()], "ones": [length.sum()], "fours": [(length**2).sum()], "total": [total], "squares": [squares], "least": [least], "most": [most], "s": [None if alone else s.tobytes()], "g": [None if alone else g.tobytes()]}
         return pa.table({"__cluster": t["__cluster"].slice(0, 1)} | {c: pa.array(v, pa.binary() if c in "sg" else pa.int64() if c == "b" else pa.float64()) for c, v in row.items()})
 
     def merged(t: pa.Table) -> pa.Table:
         s, g = (sum(np.frombuffer(x) for x in t[c].to_pylist()) for c in ("s", "g"))
         ones, fours = (t[c].to_numpy().sum() for c in ("ones", "fours"))
-        row = {"b": [t["b"][0].as_py() // _MERGED], "ones": [ones], "fours": [fours], "total": [((s @ s) - ones) / 2], "squares": [((g**2).sum() - fours) / 2], "least": [t["least"].to_numpy().min()], "most": [t["most"].to_numpy().max()], "s": [s.tobytes()], "g": [g.tobytes()]}
+        row = {"b": [t["to"][0].as_py()], "ones": [ones], "fours": [fours], "total": [((s @ s) - ones) / 2], "squares": [((g**2).sum() - fours) / 2], "least": [t["least"].to_numpy().min()], "most": [t["most"].to_numpy().max()], "s": [s.tobytes()], "g": [g.tobytes()]}
         return pa.table({"__cluster": t["__cluster"].slice(0, 1)} | {c: pa.array(v, pa.binary() if c in "sg" else pa.int64() if c == "b" else pa.float64()) for c, v in row.items()})
 
-    sums = cut(rows.select("__cluster", "b", "top", "u").groupBy("__cluster", "b").applyInArrow(own, schema))
+    sums = cut(rows.select("__cluster", "b", "blocks", "u").groupBy("__cluster", "b").applyInArrow(own, schema))
     single, large = sums.where("s IS NULL"), sums.where("s IS NOT NULL")
-    top = many.agg(F.max("top")).first()[0] or 0
-    while top > 0:
-        large = large.withColumn("to", F.floor(F.col("b") / _MERGED)).groupBy("__cluster", "to").applyInArrow(lambda t: merged(t.drop_columns(["to"])), schema)
-        top //= _MERGED
+    most = many.agg(F.max("blocks")).first()[0] or 0
+    while most > 1:
+        most = -(-most // _MERGED)
+        large = large.withColumn("to", F.pmod(F.xxhash64("b"), F.lit(most))).groupBy("__cluster", "to").applyInArrow(merged, schema)
     return single.unionByName(large).drop("b", "ones", "fours", "s", "g")
 
 

@@ -246,11 +246,12 @@ def test_distant_blocks_are_not_compared(spark):
     v = np.repeat(np.eye(8), 50, axis=0) + 0.001 * rng.normal(size=(400, 8))
     rows = spark.createDataFrame([(k, (x / np.linalg.norm(x)).tolist()) for k, x in enumerate(v)], "id long, u array<double>")
     placed, blocks = C.in_blocks(rows, [], 50)
-    assert placed.count() == 400 and blocks.count() == 8
+    n = blocks.count()
+    assert placed.count() == 400 and n >= 8 and blocks.agg(F.max("n")).first()[0] <= 50
     pairs_ = C.block_pairs(blocks, [])
-    assert pairs_.count() == 8 * 9 // 2 and pairs_.where("near <= 0.1").count() < 8 * 9 // 2 // 2
+    assert pairs_.count() == n * (n + 1) // 2 and pairs_.where("near <= 0.1").count() < n * (n + 1) // 4
     # no bound is passed by the vectors themselves
-    of = {b: np.array([r.u for r in placed.where(F.col("b") == b).collect()]) for b in range(8)}
+    of = {b: np.array([r.u for r in placed.where(F.col("b") == b).collect()]) for b in [r.b for r in blocks.collect()]}
     for r in pairs_.collect():
         dots, d = of[r.lo] @ of[r.hi].T, np.linalg.norm(of[r.lo][:, None] - of[r.hi][None], axis=2)
         assert r.low <= dots.min() and dots.max() <= r.high and r.near <= d.min() and d.max() <= r.far
