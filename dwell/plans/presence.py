@@ -62,12 +62,13 @@ def subtrack_segments(spark, sf_dir):
 
 
 @query(f"""WITH {X.RUNS}, {X.segments_sql('1.0::DOUBLE / 60')},
-own AS (SELECT track_id, subtrack_id, label, start_frame * 60000.0 AS start_ms, (end_frame + 1) * 60000.0 AS end_ms, (end_frame - start_frame + 1) * 60000.0 AS duration_ms, end_frame - start_frame + 1 AS frames, avg_similarity
-  FROM runs WHERE track_id % 3 = 0 AND end_frame - start_frame + 1 >= 2),
-joined AS (SELECT * FROM own UNION ALL SELECT * FROM seg WHERE track_id % 3 <> 0)
+own AS (SELECT track_id * 2 AS track_id, subtrack_id, label, start_frame * 60000.0 AS start_ms, (end_frame + 1) * 60000.0 AS end_ms, (end_frame - start_frame + 1) * 60000.0 AS duration_ms, end_frame - start_frame + 1 AS frames, avg_similarity
+  FROM runs WHERE end_frame - start_frame + 1 >= 2),
+joined AS (SELECT * FROM own UNION ALL SELECT * FROM seg WHERE track_id NOT IN (SELECT track_id * 2 FROM runs))
 SELECT {_SEG} FROM (SELECT *, row_number() OVER (PARTITION BY track_id, subtrack_id, label, round_even(start_ms, 0), round_even(end_ms, 0) ORDER BY start_ms, end_ms, avg_similarity) AS nth FROM joined) WHERE nth = 1""")
 def segment_dedup(spark, sf_dir):
-    subs = X.runs(spark, sf_dir).where("track_id % 3 = 0")
+    """All subtracks, under twice their track's number: tracks of odd numbers have none, and the largest have nothing else."""
+    subs = X.runs(spark, sf_dir).withColumn("track_id", F.col("track_id") * 2)
     return _out(S.track_segments(subs, X.obs(spark, sf_dir), _K, X.SLOW, X.GAP / X.SLOW * 1000, 120000.0))
 
 
