@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def fresh_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder below the shared one, which goes when the driver's JVM ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/dwell-{kind}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Ends the lineage with a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

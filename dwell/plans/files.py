@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from dwell import schemas
 from dwell.functions import text as T
-from dwell.operators.graph import shared_folder
+from dwell.operators.graph import fresh_folder
 from dwell.plans import fixtures as X
 from dwell.plans.base import query, rounded, table
 from dwell.sources import readers, sinks
 
 
 def _fresh(spark, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/dwell-files-{uuid.uuid4().hex}/{name}"
+    return f"{fresh_folder(spark, 'files')}/{name}"
 
 
 @query("""SELECT c_custkey, c_custkey AS track, CASE WHEN c_nationkey < 20 THEN c_custkey ELSE -1 END AS frame, c_nationkey % 4 < 3 AS picked, 'track_' || c_custkey || '/' || 'a' || CASE WHEN c_nationkey < 20 THEN '_f' || c_custkey ELSE '' END || '.jpg' AS relative,

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import threading
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwell.operators.graph import shared_folder
+from dwell.operators.graph import fresh_folder
 from dwell.plans.base import query, rounded, table
 from dwell.streaming import twins
 
@@ -27,7 +26,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ended(spark: SparkSession, rows: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Writes the rows in three parts by a hash, and after them one of a time that all others are late for; runs the
     stream over the files until there are no more, and reads its sink. Checkpoint and sink lie in the shared folder."""
-    at = f"{shared_folder(spark).rstrip('/')}/dwell-stream-{uuid.uuid4().hex}"
+    at = fresh_folder(spark, "stream")
     for part in range(3):
         rows.where(F.pmod(F.xxhash64("tie"), F.lit(3)) == part).write.mode("append").parquet(f"{at}/in")
     last = rows.agg(F.max("ts").alias("ts"))
