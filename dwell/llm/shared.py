@@ -24,6 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch of rows that goes to a Python worker at once, where texts are long.
+TEXT_BATCH = 8 << 20
+
+
+def text_batches(spark: SparkSession, most: int = TEXT_BATCH) -> None:
+    """Has the session send at most so many bytes at once to its Python workers (Spark's own bound is 64 MB): what a
+    worker and its executor hold of texts goes with it. A lower bound that is set already stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.rstrip("b").isdigit() or int(now.rstrip("b")) > most:
+        spark.conf.set(name, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``, or else the context's; one of our own only where driver and
     executors are one process, as in tests."""
