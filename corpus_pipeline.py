@@ -13,26 +13,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from dwell.llm import packing, quality_classifier, simhash, toxicity
-from dwell.llm.shared import fresh_path, remove, scratch, table
+from dwell.llm.shared import fresh_path, remove, scratch, table, text_batches
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the toxicity threshold; the model is learned from labelled ones among ``docs``."""
+    text_batches(spark)
     return toxicity.keep(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that reach the quality threshold; the model is learned from labelled ones among ``docs``."""
+    text_batches(spark)
     return quality_classifier.keep(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, that with the smallest id, of each component of near fingerprints."""
+    text_batches(spark)
     return simhash.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens."""
+    text_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
