@@ -2,7 +2,7 @@
 
 A word is the bag of itself and its character 3- and 4-grams, word ends marked, each hashed to one of 2^17 vectors;
 a document is the average over the subwords of all its distinct words and PADDING zero vectors, which keep a few
-words from deciding alone. Both choices are made by three folds within the training rows, whose figures README has. So a misspelling that
+words from deciding alone. README says how both came to be chosen, with fold figures of the training rows. So a misspelling that
 was never seen shares most vectors with the word it comes from. The vectors and the softmax are trained together by
 stochastic gradients (Adagrad).
 
