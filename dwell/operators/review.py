@@ -127,11 +127,12 @@ def met_samples(samples: DataFrame, edits: DataFrame) -> DataFrame:
     ends = [F.when(F.length("path") >= n, key(3, F.right(F.col("path"), F.lit(n)))) for n in lengths]
     own = [F.when(long("track_id").isNotNull() & long("frame_idx").isNotNull(), key(0, F.concat_ws("/", long("track_id"), long("frame_idx")))), key(1, long("track_id")), key(2, canonical_path(F.col("path"))), *ends]
     have = rows.select("__id", F.explode(F.array(*own)).alias("k")).where("k.key IS NOT NULL").select("__id", "k.*")
-    matches = cut(have.join(wanted, ["way", "key"]).select("__id", "__edit", "way"))
+    # by exchanges: what Spark takes for the size of these rows is that of the file behind them, so it would collect and send them
+    matches = cut(have.join(wanted.hint("merge"), ["way", "key"]).select("__id", "__edit", "way"))
     first = matches.groupBy("__edit").agg(F.min("way").alias("way"))
-    met = matches.join(first, ["__edit", "way"]).groupBy("__id").agg(F.array_sort(F.collect_set("__edit")).alias("edits"))
+    met = matches.join(first.hint("merge"), ["__edit", "way"]).groupBy("__id").agg(F.array_sort(F.collect_set("__edit")).alias("edits"))
     none = F.array().cast(met.schema["edits"].dataType)
-    return rows.join(met, "__id", "left").withColumn("edits", F.coalesce("edits", none)).drop("__id")
+    return rows.join(met.hint("merge"), "__id", "left").withColumn("edits", F.coalesce("edits", none)).drop("__id")
 
 
 def apply_edits(met: DataFrame, columns: list[str]) -> DataFrame:

@@ -272,6 +272,19 @@ def test_edits_act_one_after_another(spark):
         assert sorted(map(tuple, R.edit_samples(d, e).collect()), key=repr) == plain_edits(samples, edits)
 
 
+def test_edits_meet_samples_by_exchanges(spark, tmp_path, monkeypatch):
+    """The file is small enough to be broadcast; its rows by key are not, so no side may go through the driver."""
+    spark.range(20000).selectExpr("id AS track_id", "id AS frame_idx", "concat('/s/t', id, '.jpg') AS path", "true AS picked", "'p' AS reason").write.parquet(str(tmp_path / "s"))
+    samples = spark.read.parquet(str(tmp_path / "s"))
+    edits = samples.selectExpr("frame_idx AS edit_id", "track_id", "frame_idx", "path AS original_path", "'unassign' AS action", "CAST(NULL AS STRING) AS new_path").where("edit_id % 3 = 0")
+    plans, plain = [], R.cut
+    monkeypatch.setattr(R, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    out = R.edit_samples(samples, edits)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert "SortMergeJoin" in "".join(plans) and "BroadcastHashJoin" not in "".join(plans)
+    assert out.where("reason = 'manual_unassigned'").count() == 6667
+
+
 def test_edits_in_place_rewrite_their_buckets_alone(spark, tmp_path):
     at = str(tmp_path / "samples")
     d = spark.createDataFrame([(t, f, f"/h/track_{t}/f{f}.jpg", True, "picked") for t in range(40) for f in range(3)], "track_id long, frame_idx long, path string, picked boolean, reason string")
