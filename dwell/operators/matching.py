@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from dwell.config import DEFAULT as C
 from dwell.functions import geometry as G
+from dwell.functions.numbers import nearest
 from dwell.functions.vectors import common_width, doubles, usable
 from dwell.operators.folds import in_order, kinds, runs
 from dwell.operators.graph import cut
@@ -59,7 +60,7 @@ def temporal_faces(
     each = faces.join(recent, [*(video or []), frame]).withColumn("seen", F.explode("boxes")).drop("boxes")
     near = each.where(G.meet(F.col("face_box"), F.col("seen.box"))).withColumn("iou", G.iou(F.col("face_box"), F.col("seen.box")))
     if digits is not None:
-        near = near.withColumn("iou", F.round("iou", digits))
+        near = near.withColumn("iou", nearest(F.col("iou"), digits))
     key = F.struct(-F.col("iou"), F.col("track_idx"), -F.col("seen.seen_frame"))
     best = F.min_by(F.struct("track_id", "iou", F.col("seen.seen_frame").alias("seen_frame")), key)
     found = near.where((F.col("iou") >= least) & (F.col("iou") > 0)).groupBy(*(video or []), frame, "face_idx").agg(best.alias("m"))
