@@ -5,7 +5,10 @@ Boxes meet by an equi-join on their frame (and video), never by a cross join; ``
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -108,13 +111,116 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Overlaps nearer than this are a tie, which the solver settles.
-_TIE = 1e-9
+#: Totals of a matching are compared at so many digits; overlaps nearer than a unit of the last (and what sums lose) may
+#: decide nothing.
+_DIGITS, _TIE = 8, 1.5e-8
+#: Choices of a frame's faces that are tried one by one.
+_CHOICES = 2000
+
+
+def _unit(total: float) -> int:
+    """A total in units of the last digit, halves up."""
+    x = total * 10.0**_DIGITS
+    low = math.floor(x)
+    return low + (x - low >= 0.5)
+
+
+def _tried(options: list[list[tuple[int, int, float]]]) -> list[int]:
+    """Places of the best matching over (place, track, overlap) of each face in order: all are tried."""
+    best, chosen = None, []
+
+    def go(k: int, used: frozenset[int], picked: tuple[int, ...], total: float, weight: int) -> None:
+        nonlocal best, chosen
+        if k == len(options):
+            key = (len(picked), _unit(total), -weight)
+            if best is None or key > best:
+                best, chosen = key, list(picked)
+            return
+        if best is not None and len(picked) + len(options) - k < best[0]:
+            return
+        for place, track, iou in options[k]:
+            if track not in used:
+                go(k + 1, used | {track}, (*picked, place), total + iou, weight + (k + 1) * (track + 1) ** 2)
+        go(k + 1, used, picked, total, weight)
+
+    go(0, frozenset(), (), 0.0, 0)
+    return chosen
+
+
+def _searched(options: list[list[tuple[int, int, float]]]) -> list[int]:
+    """The same for frames of many pairs: the matching of the largest total is solved, then matchings come in order of
+    their weight, over pairs that such a total may hold, until one has that total at the digits that count."""
+    n, m = len(options), max((t for o in options for _, t, _ in o), default=-1) + 1
+    at = {(i, t): (place, iou) for i, o in enumerate(options) for place, t, iou in o}
+    wide = m + n  # a face may stay without a track, at a column of its own
+
+    def solved(cost_of, barred: frozenset, forced: frozenset) -> tuple[list[tuple[int, int]], float] | None:
+        """Pairs of the least cost with the most pairs, with the forced ones and without the barred ones."""
+        rows, columns = [i for i in range(n) if all(i != a for a, _ in forced)], [t for t in range(wide) if all(t != b for _, b in forced)]
+        big = 4.0 * n * max((abs(cost_of(*k)) for k in at), default=1.0) + 1.0
+        cost = np.full((len(rows), len(columns)), 1e3 * big)
+        for x, i in enumerate(rows):
+            for y, t in enumerate(columns):
+                if (i, t) in at and (i, t) not in barred:
+                    cost[x, y] = cost_of(i, t)
+                elif t == m + i and (i, t) not in barred:
+                    cost[x, y] = big
+        took = assignment(cost) if rows else []
+        pairs = [*forced, *((rows[x], columns[y]) for x, y in enumerate(took))]
+        if any(cost[x, y] >= 1e3 * big for x, y in enumerate(took)):
+            return None
+        return sorted(pairs), sum(cost_of(i, t) if t < m else big for i, t in pairs)
+
+    def score(pairs: list[tuple[int, int]]) -> tuple[int, int]:
+        total = 0.0
+        for p in pairs:
+            total += at[p][1] if p in at else 0.0
+        return sum(p in at for p in pairs), _unit(total)
+
+    most, _ = solved(lambda i, t: -at[i, t][1], frozenset(), frozenset())
+    goal = score(most)
+    weight = lambda i, t: float((i + 1) * (t + 1) ** 2)
+    # a pair that takes the best total down by more than a tie is in no matching sought
+    best = sum(at[p][1] for p in most if p in at)
+
+    def possible(p: tuple[int, int]) -> bool:
+        one = solved(lambda i, t: -at[i, t][1], frozenset(), frozenset([p]))
+        return one is not None and sum(q in at for q in one[0]) == goal[0] and sum(at[q][1] for q in one[0] if q in at) >= best - _TIE
+
+    never = frozenset(p for p in at if not possible(p))
+    first = solved(weight, never, frozenset())
+    queue, order = [(first[1], 0, first[0], never, frozenset())], 0
+    while queue:
+        _, _, pairs, barred, forced = heapq.heappop(queue)
+        if score(pairs) == goal:
+            return [at[p][0] for p in pairs if p in at]
+        for p in pairs:
+            if p not in forced:
+                order += 1
+                one = solved(weight, barred | {p}, forced)
+                if one is not None and sum(q in at for q in one[0]) == goal[0]:
+                    heapq.heappush(queue, (one[1], order, one[0], barred | {p}, forced))
+                forced = forced | {p}
+    return [at[p][0] for p in most if p in at]
+
+
+def best_matching(faces: list, tracks: list, iou: list[float]) -> list[int]:
+    """Places of the pairs of the matching that ``optimal_faces`` describes."""
+    kept: dict[tuple, int] = {}  # of several overlaps of a pair the largest
+    for k, pair in enumerate(zip(faces, tracks, strict=True)):
+        if pair not in kept or iou[k] > iou[kept[pair]]:
+            kept[pair] = k
+    column = {t: j for j, t in enumerate(sorted(set(tracks)))}
+    options: dict[object, list[tuple[int, int, float]]] = {f: [] for f in sorted(set(faces))}
+    for (f, t), k in sorted(kept.items()):
+        options[f].append((k, column[t], iou[k]))
+    choices = math.prod(len(o) + 1 for o in options.values())
+    return (_tried if choices <= _CHOICES else _searched)(list(options.values()))
 
 
 def optimal_faces(matches: DataFrame, frame: list[str]) -> DataFrame:
-    """The one-to-one matching of each frame with the most pairs, and of those the largest total overlap, over the given
-    pairs; of equal ones that of the least sum of a face's place by its track's place squared.
+    """The one-to-one matching of each frame with the most pairs, and of those the largest total overlap at 8 digits, over
+    the given pairs; of equal ones that of the least sum of a face's place by its track's place squared.
 
     Where the best tracks of a frame's faces differ, and each is better than the face's second by more than a tie, they
     are that matching. Only contested frames are solved, each when its rows have passed: its pairs are few.
@@ -129,40 +235,41 @@ def optimal_faces(matches: DataFrame, frame: list[str]) -> DataFrame:
     marked = first.withColumn("__open", ~(F.min(sure).over(of_frame) & alike))
     known = marked.where("__open OR __nth = 1").select(*frame, "face_idx", "track_idx", "track_id", "iou", "__open")
 
-    def solve(faces: np.ndarray, tracks: np.ndarray, iou: np.ndarray) -> np.ndarray:
-        """Places of the matched pairs."""
-        places, i = np.unique(faces, return_inverse=True)
-        columns, j = np.unique(tracks, return_inverse=True)
-        n = max(len(columns), len(places))
-        cost = np.full((len(places), n), n + 1.0)
-        best = np.lexsort((-iou, j, i))  # of several overlaps of a pair the largest
-        first = best[np.flatnonzero(np.diff(i[best] * n + j[best], prepend=-1))]
-        cost[i[first], j[first]] = 1e-10 / n**4 * (i[first] + 1) * (j[first] + 1) ** 2 - iou[first]
-        return first[assignment(cost)[i[first]] == j[first]]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def matched() -> pa.RecordBatch:
-            one = pa.concat_batches(held)
-            return one.take(pa.array(solve(*(one[c].to_numpy() for c in ("face_idx", "track_idx", "iou"))))).drop_columns(["track_idx", "__open"])
-
-        def contested() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                settled.append(batch.filter(pc.invert(batch["__open"])).drop_columns(["track_idx", "__open"]))
-                yield batch.filter(batch["__open"])
-
-        settled: list[pa.RecordBatch] = []
-        for new, part in runs(contested(), len(frame)):
-            yield from settled
-            settled.clear()
-            if new and held:
-                yield matched()
-                held.clear()
-            held.append(part)
-        yield from settled
+        held: list[pa.RecordBatch] = []  # rows of the last frame of what came before
+
+        def matched(many: pa.RecordBatch) -> pa.RecordBatch:
+            """The matchings of whole frames, one after another."""
+            new = np.ones(many.num_rows, bool)
+            new[1:] = False
+            for c in frame:
+                code = pc.dictionary_encode(many[c], null_encoding="encode").indices.to_numpy()
+                new[1:] |= code[1:] != code[:-1]
+            faces, tracks, iou = (many[c].to_pylist() for c in ("face_idx", "track_idx", "iou"))
+            taken: list[int] = []
+            for lo, hi in pairwise([*np.flatnonzero(new).tolist(), many.num_rows]):
+                taken += [lo + k for k in best_matching(faces[lo:hi], tracks[lo:hi], iou[lo:hi])]
+            return many.take(pa.array(taken, pa.int64())).drop_columns(["track_idx", "__open"])
+
+        for batch in batches:
+            yield batch.filter(pc.invert(batch["__open"])).drop_columns(["track_idx", "__open"])
+            part = batch.filter(batch["__open"])
+            if not part.num_rows:
+                continue
+            last = [part[c][part.num_rows - 1].as_py() for c in frame]
+            start = part.num_rows - 1  # where the last frame begins
+            while start and [part[c][start - 1].as_py() for c in frame] == last:
+                start -= 1
+            if start:
+                yield matched(pa.concat_batches([*held, part.slice(0, start)]))
+                held = [part.slice(start)]
+            elif held and [held[0][c][0].as_py() for c in frame] != last:
+                yield matched(pa.concat_batches(held))
+                held = [part]
+            else:
+                held.append(part)
         if held:
-            yield matched()
+            yield matched(pa.concat_batches(held))
 
     return known.sortWithinPartitions(*frame, "face_idx", "track_idx").mapInArrow(run, kinds(rows, *frame, "face_idx", "track_id", "iou"))
 

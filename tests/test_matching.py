@@ -186,3 +186,24 @@ def test_contested_and_plain_frames_get_the_same_matching(spark):
                 key = (-len(pairs), round(-sum(own[p] for p in pairs), 9), sum((faces_.index(a) + 1) * (tracks_.index(b) + 1) ** 2 for a, b in pairs))
                 best = min(best or (key, pairs), (key, pairs))
         assert got[f] == dict(best[1]), f
+
+
+def test_totals_equal_at_eight_digits_go_by_weight(spark):
+    rows = [(0, 1, 1, 1, 0.5), (0, 1, 2, 2, 0.5), (0, 2, 1, 1, 0.499999998), (0, 2, 2, 2, 0.5)]
+    rows += [(1, 1, 1, 1, 0.5), (1, 1, 2, 2, 0.5), (1, 2, 1, 1, 0.49999998), (1, 2, 2, 2, 0.5)]
+    m = spark.createDataFrame(rows, "frame_idx long, face_idx long, track_idx long, track_id long, iou double")
+    got = {(r.frame_idx, r.face_idx): r.track_id for r in M.optimal_faces(m, FR).collect()}
+    assert got == {(0, 1): 2, (0, 2): 1, (1, 1): 1, (1, 2): 2}
+
+
+def test_searched_matchings_are_those_tried():
+    rng = random.Random(5)
+    for k in range(300):
+        n, m = rng.randint(1, 5), rng.randint(1, 5)
+        values = [[0.5, 0.500000001, 0.499999998], [0.1 + i / 7 for i in range(6)], [0.3]][k % 3]
+        pairs = sorted({(rng.randrange(n), rng.randrange(m)): rng.choice(values) for _ in range(rng.randint(1, n * m))}.items())
+        faces = sorted({f for (f, _), _ in pairs})
+        options = [[(p, t, v) for p, ((g, t), v) in enumerate(pairs) if g == f] for f in faces]
+        score = lambda chosen: (len(chosen), M._unit(sum((pairs[p][1] for p in sorted(chosen)), 0.0)), -sum((faces.index(pairs[p][0][0]) + 1) * (pairs[p][0][1] + 1) ** 2 for p in chosen))  # noqa: B023, E731
+        a, b = M._tried(options), M._searched(options)
+        assert len({pairs[p][0][1] for p in b}) == len(b) and score(a) == score(b)
