@@ -291,3 +291,29 @@ def test_chains_by_components_are_those_of_whole_videos(spark):
     assert {(r.video, r.track_id): (r.chain_id, r.position) for r in got.collect()} == want
     alone = C.stitch_chains(spark.createDataFrame(tracks, "video string, track_id long, start_ms double"), spark.createDataFrame([], "video string, a long, b long, sim double"), ["video"])
     assert alone.groupBy("video").agg(F.max("chain_id").alias("n")).select("n").distinct().collect()[0].n == 60
+
+
+def test_edges_of_a_large_video_are_those_of_a_small_one(spark):
+    """Whatever the blocks, and without the vectors being sent for each pair; a null, a short and a NaN vector meet nothing."""
+    rng = np.random.default_rng(3)
+    box = "struct<x1:double,y1:double,x2:double,y2:double>"
+    rows = []
+    for k in range(120):
+        a, e, b = float(rng.integers(0, 400)), float(rng.integers(0, 40)), [float(x) for x in rng.integers(0, 40, 4)]
+        v = [None, [1.0], [float("nan")] * 4][k] if k < 3 else rng.normal(size=4).tolist()
+        rows.append(("x" if k % 3 else "y", k, a, a + e, (b[0], b[1], b[0] + 50, b[1] + 50), (b[2], b[3], b[2] + 50, b[3] + 50), v))
+    t = spark.createDataFrame(rows, f"video string, track_id long, start_ms double, end_ms double, start_box {box}, end_box {box}, embedding array<double>")
+    want = set()
+    for p in rows:
+        for q in rows:
+            if p[0] == q[0] and p[1] != q[1] and 0 <= q[2] - p[3] <= 100 and len(p[6] or ()) == len(q[6] or ()) == 4:
+                (a, b, c, d), (w, x, y, z) = p[5], q[4]
+                inter = max(0.0, min(c, y) - max(a, w)) * max(0.0, min(d, z) - max(b, x))
+                near = np.dot(p[6], q[6]) / np.linalg.norm(p[6]) / np.linalg.norm(q[6])
+                if inter / (5000 - inter) >= 0.3 and 1 - near <= 0.7:
+                    want.add((p[1], q[1]))
+    for block in (2048, 10):
+        edges = C.stitch_edges(t, ["video"], 100.0, 0.3, 0.7, block)
+        assert "FlatMapGroupsInArrow" in edges._jdf.queryExecution().executedPlan().toString()
+        got = [(r.a, r.b) for r in edges.collect()]
+        assert len(want) > 50 and len(got) == len(set(got)) and set(got) == want
