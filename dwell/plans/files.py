@@ -298,6 +298,8 @@ def detection_source(spark, sf_dir):
     at = _fresh(spark, "detections")
     d = X.detections(spark, sf_dir).withColumn("video_id", F.lit("v")).withColumn("frame_idx", F.col("frame_idx").cast("int")).withColumn("class_id", (F.col("track_id") % 3).cast("int"))
     own = T_.StructType.fromDDL(schemas.DETECTIONS)
+    # files of neighbouring frames, so that a range of frames is in few of them
+    d = d.repartitionByRange("frame_idx").sortWithinPartitions("frame_idx")
     d.select(*((F.col(f.name) if f.name in d.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in own)).write.parquet(at)
     frames.register(spark)
     read = spark.read.format(frames.NAME).options(**{"path": folders.qualified(spark, at), "stride": 3, "from": 900, "classes": "0,2"}).load()

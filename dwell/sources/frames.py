@@ -41,10 +41,11 @@ FRAMES_PER_TRIGGER = 100_000
 
 @dataclass
 class FrameRange(InputPartition):
-    """Frames from lo up to hi, without it."""
+    """Frames from lo up to hi, without it, and the files that may hold some of them (all, where none are named)."""
 
     lo: int
     hi: int
+    files: tuple[str, ...] | None = None
 
 
 @dataclass
@@ -62,8 +63,9 @@ class _Wanted:
         found = fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
         return fs, sorted(f.path for f in found if f.is_file and f.path.endswith(".parquet") and not f.base_name.startswith(("_", ".")))
 
-    def held(self) -> list[tuple[int, int]]:
-        """First and last frame of each row group of the files that has any; of groups without statistics, all frames."""
+    def held(self) -> list[tuple[int, int, str]]:
+        """First and last frame and file of each row group of the files that has any; of groups without statistics, all
+        frames."""
         fs, files = self._files()
         out = []
         for path in files:
@@ -73,27 +75,29 @@ class _Wanted:
             for g in range(footer.num_row_groups if at else 0):
                 stats = footer.row_group(g).column(at[0]).statistics
                 if stats is not None and stats.has_min_max:
-                    out.append((stats.min, stats.max))
+                    out.append((stats.min, stats.max, path))
                 elif footer.row_group(g).num_rows and (stats is None or stats.null_count != footer.row_group(g).num_rows):
                     with fs.open_input_file(path) as f:
                         frames = pq.ParquetFile(f).read_row_group(g, columns=["frame_idx"])["frame_idx"].drop_null()
                     if len(frames):
-                        out.append((min(frames.to_pylist()), max(frames.to_pylist())))
+                        out.append((min(frames.to_pylist()), max(frames.to_pylist()), path))
         return out
 
     def ranges(self, size: int) -> list[FrameRange]:
-        """Ranges of ``size`` frames that some file has frames in, cut to those asked for."""
-        found = set()
-        for lo, hi in self.held():
+        """Ranges of ``size`` frames that some file has frames in, cut to those asked for. A range knows its files, so its
+        task opens no others: where files hold their frames together, what is opened grows with the files alone."""
+        found: dict[int, set[str]] = {}
+        for lo, hi, path in self.held():
             lo, hi = max(lo, lo if self.lo is None else self.lo), min(hi + 1, hi + 1 if self.hi is None else self.hi)
-            found.update(range(lo // size, -(-hi // size)) if lo < hi else ())
-        return [FrameRange(max(k * size, k * size if self.lo is None else self.lo), min((k + 1) * size, (k + 1) * size if self.hi is None else self.hi)) for k in sorted(found)]
+            for k in range(lo // size, -(-hi // size)) if lo < hi else ():
+                found.setdefault(k, set()).add(path)
+        return [FrameRange(max(k * size, k * size if self.lo is None else self.lo), min((k + 1) * size, (k + 1) * size if self.hi is None else self.hi), tuple(sorted(found[k]))) for k in sorted(found)]
 
     def rows(self, part: FrameRange, schema: T.StructType) -> Iterator[pa.RecordBatch]:
         """The wanted rows of a range, as batches; footers tell which row groups are read."""
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        fs, files = self._files()
+        fs, files = self._files() if part.files is None else (folders.opened(self.uri)[0], part.files)
         kind = to_arrow_schema(schema)
         own = (ds.field("frame_idx") >= part.lo) & (ds.field("frame_idx") < part.hi)
         if self.classes is not None:
@@ -148,13 +152,13 @@ class _Stream(DataSourceStreamReader):
         self._at: int | None = None
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"frame": min((lo for lo, _ in self._wanted.held()), default=0)}
+        return {"frame": min((lo for lo, _, _ in self._wanted.held()), default=0)}
 
     def latestOffset(self) -> dict:  # noqa: N802
         """The frame after the last of the files, or as many frames on as a trigger may take."""
         if self._at is None:
             self._at = self.initialOffset()["frame"]
-        end = max((hi + 1 for _, hi in self._wanted.held()), default=self._at)
+        end = max((hi + 1 for _, hi, _ in self._wanted.held()), default=self._at)
         self._at = min(max(end, self._at), self._at + self._per_trigger)
         return {"frame": self._at}
 

@@ -87,3 +87,10 @@ def test_schemes(spark, uri, want):
     assert folders.qualified(spark, "/a/b") == "file:/a/b" and os.path.isabs(folders.opened(folders.qualified(spark, "/a/b"))[1])
     with pytest.raises(ValueError, match="no scheme"):
         folders.worker_uri("/a/b")
+
+
+def test_a_range_opens_its_own_files_alone(spark, folder):
+    ranges = frames._Wanted(folders.qualified(spark, folder), 1).ranges(100)
+    held = {p: (lo, hi) for lo, hi, p in frames._Wanted(folders.qualified(spark, folder), 1).held()}
+    assert len(held) > 1 and all(r.files and len(r.files) < len(held) for r in ranges)
+    assert all(lo < r.hi and hi >= r.lo for r in ranges for lo, hi in (held[p] for p in r.files))
