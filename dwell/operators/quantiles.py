@@ -4,7 +4,8 @@ Groups of up to ``few`` values go through Spark's own percentile. In a larger on
 of each quantile are found by refining histograms over the values' bits, in their order: the values that a rank may be
 are counted by their next ``BITS`` bits, in tasks first, and only the bin that holds the rank is counted again, until its
 values are all equal or few. So there are at most seven rounds, however the values lie, and what a task holds of a group
-is its bins, and at last at most ``few`` values.
+is its bins, and at last at most ``few`` values. Large groups are one in ``few`` of the rows at most: they and their ranks
+are broadcast, so that the rows of one group stay in as many tasks as they come in.
 """
 
 from __future__ import annotations
@@ -48,10 +49,10 @@ def quantiles(df: DataFrame, keys: list[str], column: str, shares: dict[str, flo
         return plain(rows)
     large = cut(large)
     of = F.struct(*keys, F.lit(0).alias("__0")).alias("__of")
-    small = rows.join(large.select(of), F.struct(*keys, F.lit(0).alias("__0")) == F.col("__of"), "left_anti")
+    small = rows.join(F.broadcast(large.select(of)), F.struct(*keys, F.lit(0).alias("__0")) == F.col("__of"), "left_anti")
     at = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), (F.lit(q) * (F.col("__n") - 1)).alias("place")) for n, q in shares.items())))
     places = large.select(of, at.alias("t")).select("__of", "t.name", "t.place").withColumn("rank", F.explode(F.array(F.floor("place"), F.ceil("place"))))
-    held = known.select(of, "__x").join(F.broadcast(large.select(of)) if not keys else large.select(of), "__of")
+    held = known.select(of, "__x").join(F.broadcast(large.select(of)), "__of")
     found = _values(cut(_in_bits(held)), places.select("__of", "rank").distinct(), few)
     both = places.join(found, ["__of", "rank"]).groupBy("__of", "name", "place").agg(F.min_by("value", "rank").alias("a"), F.max_by("value", "rank").alias("b"))
     share = F.col("place") - F.floor("place")
@@ -67,7 +68,7 @@ def _values(rows: DataFrame, ranks: DataFrame, few: int) -> DataFrame:
     open_ = cut(ranks.join(ends, "__of").withColumn("before", F.lit(0).cast("long")))
     done = []
     for shift in [*range(64 - BITS, 0, -BITS), 0]:
-        within = lambda some: rows.join(some.drop("value", "n"), "__of").where(F.col("__k").between(F.col("lo"), F.col("hi")))
+        within = lambda some: rows.join(F.broadcast(some.drop("value", "n")), "__of").where(F.col("__k").between(F.col("lo"), F.col("hi")))
         counts = within(open_).withColumn("bin", F.shiftright("__k", shift)).groupBy("__of", "rank", "before", "bin").agg(F.min("__k").alias("lo"), F.max("__k").alias("hi"), F.min("__x").alias("value"), F.count(F.lit(1)).alias("n"))
         w = Window.partitionBy("__of", "rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
         counts = counts.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(w), F.lit(0)))

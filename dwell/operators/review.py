@@ -201,12 +201,13 @@ def validation_report(manifest: DataFrame, images: DataFrame) -> DataFrame:
 def _checked(manifest: DataFrame, images: DataFrame) -> DataFrame:
     """A manifest's samples, each with whether its image is there."""
     each = manifest.select("track_id", F.explode("samples").alias("s")).select("track_id", "s.path", "s.quality", "s.sharpness", "s.frontalness", "s.score")
-    return each.join(images.select("path").distinct().withColumn("there", F.lit(True)), "path", "left").fillna(False, ["there"])
+    return each.join(images.select("path").distinct().withColumn("there", F.lit(True)).hint("merge"), "path", "left").fillna(False, ["there"])
 
 
 def validation_totals(manifest: DataFrame, images: DataFrame) -> DataFrame:
     """(metric, value) of a whole manifest: counts, means and medians over all samples, files, and directories that
-    only one side has."""
+    only one side has. Paths meet by exchanges: what Spark takes for the size of checkpointed rows is that of the files
+    they came from, so it would send all paths to each executor."""
     images = images.select("track_id", "path").distinct()
     images = cut(images)
     each = cut(_checked(manifest, images).where(F.col("path").isNotNull()))
@@ -228,9 +229,9 @@ def validation_totals(manifest: DataFrame, images: DataFrame) -> DataFrame:
             each, quality_mean=F.avg("quality"), sharpness_mean=F.avg("sharpness"), frontalness_mean=F.avg("frontalness"), score_mean=F.avg("score"), referenced_files=count,
             existing_files=F.count_if("there"),
         ),
-        metrics(images.join(each.select("path"), "path", "left_anti"), extra_images=count),
-        metrics(dirs.join(tracks, "track_id", "left_anti"), extra_track_dirs=count),
-        metrics(tracks.join(dirs, "track_id", "left_anti"), missing_track_dirs=count),
+        metrics(images.join(each.select("path").hint("merge"), "path", "left_anti"), extra_images=count),
+        metrics(dirs.join(tracks.hint("merge"), "track_id", "left_anti"), extra_track_dirs=count),
+        metrics(tracks.join(dirs.hint("merge"), "track_id", "left_anti"), missing_track_dirs=count),
     ]
     out = parts[0]
     for more in parts[1:]:

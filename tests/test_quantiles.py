@@ -49,3 +49,23 @@ def test_operators_by_histograms(spark, monkeypatch):
     monkeypatch.setattr(Q, "FEW", 10)
     for f in (lambda x: R.sample_summary(x, ["track_id"]), lambda x: P.percentile_gate(x, ["track_id"], "quality", 75.0, 0.2)):
         assert [pytest.approx(r) for r in want.pop(0)] == sorted(map(tuple, f(d).collect()))
+
+
+def test_rows_of_a_large_group_stay_where_they_are(spark, monkeypatch):
+    """Ranks go to the rows: an exchange by group would put all rows of a table, or of a hot track, in one task."""
+    from dwell.operators import quantiles as Q
+
+    plans = []
+    own = Q.cut
+    monkeypatch.setattr(Q, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), own(df))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = spark.range(1000).select((F.col("id") % 3).alias("k"), F.sqrt("id").alias("x"))
+        for keys in ([], ["k"]):
+            plans.clear()
+            quantiles(d, keys, "x", {"median": 0.5}, 10).collect()
+            refined = [p for p in plans if "shiftright" in p]
+            assert len(refined) > 1 and all("BroadcastHashJoin" in p for p in refined)
+            assert all("SortMergeJoin" not in p for p in plans if "MapInArrow" in p)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
