@@ -8,6 +8,7 @@ dropped. State is kept in RocksDB, which the functions choose for the session.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,49 +41,75 @@ def presence_by_second(labels: DataFrame, lateness: str) -> DataFrame:
 
 
 class _InOrder(StatefulProcessor):
-    """Rows (ts, tie, label, score) of a key, taken in order of event time once the watermark has passed them."""
+    """Rows (ts, tie, label, score) of a key, taken in order of event time once the watermark has passed them.
+
+    Each call to the state is a round trip to the JVM, so rows are held in chunks as they come, and the chunks are read
+    only when the first row held is due: calls grow with a key's triggers, not with its rows.
+    """
 
     STATE = ""
+    HELD = "ms array<long>, tie array<long>, label array<string>, score array<double>"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._held = handle.getMapState("held", "ms long, tie long", "label string, score double")
-        self._state = handle.getValueState("state", self.STATE)
+        self._held = handle.getListState("held", self.HELD)
+        self._state = handle.getValueState("state", f"earliest long, timer long, {self.STATE}")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        earliest = []
         for pdf in rows:
-            ms = pdf["ts"].astype("datetime64[ms]").astype("int64")
-            for t, tie, label, score in zip(ms, pdf["tie"], pdf["label"], pdf["score"], strict=True):
-                self._held.updateValue((int(t), int(tie)), (label, None if pd.isna(score) else float(score)))
-        yield from self._go(key, timerValues.getCurrentWatermarkInMs())
+            if len(pdf):
+                ms = pdf["ts"].astype("datetime64[ms]").astype("int64").tolist()
+                self._held.appendValue((ms, pdf["tie"].tolist(), pdf["label"].tolist(), [None if x != x else x for x in pdf["score"].astype("float64").tolist()]))
+                earliest.append(min(ms))
+        yield from self._go(key, timerValues.getCurrentWatermarkInMs(), earliest)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield from self._go(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._go(key, timerValues.getCurrentWatermarkInMs(), [], expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
 
-    def _go(self, key: tuple, now: int) -> Iterator[pd.DataFrame]:
-        held = sorted(tuple(k) for k in self._held.keys())
-        due = [k for k in held if k[0] <= now]
-        state = tuple(self._state.get()) if self._state.exists() else None
-        before, out = state, []
-        for k in due:
-            state = self.step(state, k[0], *self._held.getValue(k), out)
-            self._held.removeKey(k)
+    def _go(self, key: tuple, now: int, earliest: list[int], expired: int | None = None) -> Iterator[pd.DataFrame]:
+        """``earliest`` are the first times of chunks just held; an ``expired`` timer is ended by Spark."""
+        saved = self._state.get()
+        first, timer, *state = saved or (None, None, None)
+        first = min([*earliest, *([] if first is None else [first])], default=None)
+        state, out = None if state[-1] is None else tuple(state), []
+        if first is not None and first <= now:
+            first, due = self._due(now)
+            for ms, _, label, score in due:
+                state = self.step(state, ms, label, score, out)
         state = self.passed(state, now, out)
-        if state is None and before is not None:
+        following = [t for t in (first, None if state is None else self.deadline(state)) if t is not None]
+        wanted = max(min(following), now + 1) if following else None
+        held = None if timer == expired else timer
+        if held is not None and (wanted is None or held <= now or held > wanted):
+            self._handle.deleteTimer(held)
+            held = None
+        if wanted is not None and held is None:
+            self._handle.registerTimer(wanted)
+            held = wanted
+        new = None if not following else (first, held, *(state or (None,) * (self.STATE.count(",") + 1)))
+        if new is None and saved is not None:
             self._state.clear()
-        elif state is not None and state != before:
-            self._state.update(state)
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
-        following = [k[0] for k in held[len(due) :][:1]] + ([self.deadline(state)] if state is not None else [])
-        if following:
-            self._handle.registerTimer(max(min(following), now + 1))
+        elif new is not None and (saved is None or new != tuple(saved)):
+            self._state.update(new)
         if out:
             yield pd.DataFrame([(*key, *x) for x in out], columns=self.columns)
 
+    def _due(self, now: int) -> tuple[int | None, list[tuple]]:
+        """The first time of what stays held, and the rows up to ``now`` in order."""
+        rows = [row for chunk in self._held.get() for row in zip(*chunk, strict=True)]
+        rows.sort(key=lambda r: (r[0], r[1], r[2] is not None, r[2] or "", r[3] is not None, r[3] or 0.0))
+        n = bisect.bisect_right(rows, now, key=lambda r: r[0])
+        later = rows[n:]
+        if later:
+            self._held.put([tuple(map(list, zip(*later, strict=True)))])
+        else:
+            self._held.clear()
+        return later[0][0] if later else None, rows[:n]
+
     def step(self, state: tuple | None, ms: int, label: str | None, score: float | None, out: list[tuple]) -> tuple | None:
         """The state after a row; what is decided by it is added to ``out``."""
         raise NotImplementedError
@@ -139,21 +166,39 @@ class _Quarantine(_InOrder):
         super().init(handle)
         self._waiting = handle.getListState("waiting", "ms long")
 
-    def _release(self, identity: int, flushed: bool, out: list[tuple]) -> None:
-        out += [(int(w[0]), identity, flushed) for w in self._waiting.get()]
-        self._waiting.clear()
+    def _go(self, key, now, earliest, expired=None):
+        # times that wait are read when a step asks for them first, and written once when all rows due are taken
+        self._times, self._kept = None, []
+        yield from super()._go(key, now, earliest, expired)
+        if self._times and self._times != self._kept:
+            self._waiting.put([(t,) for t in self._times])
+        elif self._kept and not self._times:  # read, and all released
+            self._waiting.clear()
+
+    def _now_waiting(self, waiting: int) -> list[int]:
+        """The times that wait, ``waiting`` of them as the state tells."""
+        if self._times is None:
+            self._kept = [int(w[0]) for w in self._waiting.get()] if waiting else []
+            self._times = list(self._kept)
+        return self._times
+
+    def _release(self, waiting: int, identity: int, flushed: bool, out: list[tuple]) -> None:
+        times = self._now_waiting(waiting)
+        out += [(t, identity, flushed) for t in times]
+        times.clear()
 
     def step(self, state, ms, label, score, out):
         identity, waiting, last, doubt = self.passed(state, ms - 1, out) or (0, 0, ms, ms)
         if label == "1":
-            self._waiting.appendValue((ms,))
+            self._now_waiting(waiting).append(ms)
             waiting, doubt = waiting + 1, ms
             if waiting >= self._consecutive:
-                identity, waiting = identity + 1, 0
-                self._release(identity, False, out)
+                identity += 1
+                self._release(waiting, identity, False, out)
+                waiting = 0
         else:
             if waiting:
-                self._release(identity, False, out)
+                self._release(waiting, identity, False, out)
                 waiting = 0
             out.append((ms, identity, False))
         return identity, waiting, ms, doubt
@@ -163,7 +208,7 @@ class _Quarantine(_InOrder):
             return None
         identity, waiting, last, doubt = state
         if waiting and now - doubt >= self._hold:
-            self._release(identity, True, out)
+            self._release(waiting, identity, True, out)
             waiting = 0
         return None if now - last >= self._forget else (identity, waiting, last, doubt)
 

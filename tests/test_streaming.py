@@ -176,3 +176,69 @@ def test_quarantine_in_any_order_of_files(spark, tmp_path):
     assert left(spark, str(tmp_path)) == {99}
     waiting = spark.read.format("statestore").options(path=f"{tmp_path}/checkpoint", stateVarName="waiting").load()
     assert waiting.count() == 0
+
+
+class Calls:
+    """A handle whose state is kept here; counts what would be round trips."""
+
+    def __init__(self):
+        self.n, self.kept, self.timers = 0, {}, set()
+
+    def getListState(self, name, schema):  # noqa: N802
+        return State(self, name, [])
+
+    getValueState = getMapState = getListState  # noqa: N815
+
+    def registerTimer(self, t):  # noqa: N802
+        self.n += 1
+        self.timers.add(t)
+
+    def deleteTimer(self, t):  # noqa: N802
+        self.n += 1
+        self.timers.discard(t)
+
+    def listTimers(self):  # noqa: N802
+        self.n += 1
+        return iter(self.timers)
+
+
+class State:
+    def __init__(self, calls, name, _):
+        self.calls, self.name = calls, name
+
+    def __getattr__(self, call):
+        def run(*value):
+            kept = self.calls.kept
+            self.calls.n += 1
+            if call == "get":
+                return kept.get(self.name, [] if self.name != "state" else None)
+            if call == "exists":
+                return self.name in kept
+            if call in ("appendValue", "updateValue"):
+                kept.setdefault(self.name, []).append(value[0])
+            elif call in ("put", "update"):
+                kept[self.name] = value[0]
+            elif call == "clear":
+                kept.pop(self.name, None)
+
+        return run
+
+
+@pytest.mark.parametrize("machine", [twins._Runs(["track_id"], 5000, True), twins._Quarantine(5000, 3, 50_000)])
+def test_calls_to_the_state_dont_grow_with_rows(machine):
+    import types
+
+    import pandas as pd
+
+    counts = []
+    for n in (10, 1000):
+        calls = Calls()
+        machine.init(calls)
+        rows = pd.DataFrame({"ts": pd.to_datetime(range(n), unit="s"), "tie": range(n), "label": ["01"[k % 5 < 2] for k in range(n)], "score": [0.5] * n})
+        at = lambda ms: types.SimpleNamespace(getCurrentWatermarkInMs=lambda: ms, getExpiryTimeInMs=lambda: min(calls.timers))
+        assert not list(machine.handleInputRows((1,), iter([rows]), at(-1)))
+        out = list(machine.handleExpiredTimer((1,), at(10**9), at(0)))
+        assert sum(map(len, out)) == n if isinstance(machine, twins._Quarantine) else sum(o["n"].sum() for o in out) == n
+        assert not calls.kept
+        counts.append(calls.n)
+    assert counts[1] <= counts[0] <= 15
