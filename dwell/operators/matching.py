@@ -35,10 +35,12 @@ def detected(detections: DataFrame, min_score: float, class_id: int | None = Non
 
 def pairs(faces: DataFrame, tracks: DataFrame, frame: list[str], dilate: float, width: float, height: float, least: float) -> DataFrame:
     """Faces (face_idx, face_box) with tracks (track_idx, track_id, track_box) of their frame, at ``least`` IoU with
-    the dilated box or more. Boxes are dilated once a track, and only boxes that meet are divided."""
+    the dilated box or more. Boxes are dilated once a track, and only boxes that meet are divided, once each: an overlap
+    that is exploded is a column, where Spark would otherwise put its formula into each filter, up to the join's condition,
+    which then is too long for the JVM to compile."""
     grown = tracks.withColumn("grown", G.dilate(F.col("track_box"), dilate, width, height))
     near = faces.join(grown, frame).where(G.meet(F.col("face_box"), F.col("grown")))
-    return near.withColumn("iou", G.iou(F.col("face_box"), F.col("grown"))).drop("grown").where((F.col("iou") >= least) & (F.col("iou") > 0))
+    return near.withColumn("iou", F.explode(F.array(G.iou(F.col("face_box"), F.col("grown"))))).drop("grown").where((F.col("iou") >= least) & (F.col("iou") > 0))
 
 
 def greedy_faces(matches: DataFrame, frame: list[str]) -> DataFrame:

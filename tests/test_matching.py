@@ -207,3 +207,14 @@ def test_searched_matchings_are_those_tried():
         score = lambda chosen: (len(chosen), M._unit(sum((pairs[p][1] for p in sorted(chosen)), 0.0)), -sum((faces.index(pairs[p][0][0]) + 1) * (pairs[p][0][1] + 1) ** 2 for p in chosen))  # noqa: B023, E731
         a, b = M._tried(options), M._searched(options)
         assert len({pairs[p][0][1] for p in b}) == len(b) and score(a) == score(b)
+
+
+def test_overlaps_are_divided_once(spark):
+    """A formula that is put into each filter on it makes the join's code too long for the JVM to compile."""
+    from dwell.functions.numbers import nearest
+
+    f = spark.range(3).select(F.lit(1).alias("frame_idx"), F.col("id").alias("face_idx"), G.box(0, 0, 10, 10).alias("face_box")).repartition(2)
+    t = spark.range(2).select(F.lit(1).alias("frame_idx"), F.col("id").alias("track_idx"), F.col("id").alias("track_id"), G.box(0, 0, 10, 20).alias("track_box")).repartition(2)
+    p = M.pairs(f, t, ["frame_idx"], 0.1, 100.0, 100.0, 0.1).withColumn("iou", nearest(F.col("iou"), 9)).where("iou >= 0.2")
+    assert "Generate explode" in p._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.iou for r in p.collect()] == [pytest.approx(100 / 242)] * 6
