@@ -16,6 +16,8 @@ _GAP_MS, _HOUR_MS = 43_200_000, 3_600_000
 #: Longer than all events take, so that files may come in any order.
 _LATENESS = "400 days"
 _FORGET_MS = 30 * 86_400_000
+#: States that tracks share by a hash.
+_BUCKETS = 4096
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +67,7 @@ def stream_label_sessions(spark, sf_dir):
 
 @query(f"""WITH {_runs_sql('track_id', f'lag(ms) OVER w IS NULL OR ms - lag(ms) OVER w > {2 * _GAP_MS}')} SELECT track_id, min(ms) AS first_ms, max(ms) AS last_ms, count(*) AS n FROM r GROUP BY track_id, run""")
 def stream_live_tracks(spark, sf_dir):
-    return _ended(spark, _labels(spark, sf_dir), lambda s: twins.live_tracks(s, 2 * _GAP_MS, _LATENESS)).where("track_id >= 0")
+    return _ended(spark, _labels(spark, sf_dir), lambda s: twins.live_tracks(s, 2 * _GAP_MS, _LATENESS, _BUCKETS)).where("track_id >= 0")
 
 
 @query(f"WITH {_SEEN} SELECT ms // 1000 AS second, label, count(*) AS n FROM e GROUP BY ALL")
@@ -88,7 +90,7 @@ SELECT p.track_id, p.ms AS ts_ms, CAST(base + CASE WHEN NOT p.doubtful THEN 0 EL
   p.doubtful AND (pos + 2) // 3 > p.len // 3 AND NOT coalesce(next_doubtful = false AND next_ms - run_end <= {2 * _GAP_MS}, false) AS flushed FROM p JOIN b USING (track_id, life, run)""")
 def stream_quarantine(spark, sf_dir):
     rows = _labels(spark, sf_dir).withColumn("doubtful", F.col("score") > 0.4)
-    return _ended(spark, rows, lambda s: twins.quarantine(s, 2 * _GAP_MS, 3, _LATENESS, _FORGET_MS)).where("track_id >= 0")
+    return _ended(spark, rows, lambda s: twins.quarantine(s, 2 * _GAP_MS, 3, _LATENESS, _FORGET_MS, _BUCKETS)).where("track_id >= 0")
 
 
 @query("SELECT count(*) + 2 AS n FROM events")

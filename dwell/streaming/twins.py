@@ -4,6 +4,9 @@ Runs, tracks and quarantine are machines in event-time order: rows wait in state
 and are then taken in order, so that results don't depend on the order of arrival. What is held for a key ends by timers:
 after its last row, nothing of it is left (``hold``, ``gap`` or ``buffer`` later). Later rows than the watermark are
 dropped. State is kept in RocksDB, which the functions choose for the session.
+
+A key costs some milliseconds each time a trigger or a timer meets it. With ``buckets``, keys of one hash share a state, so that
+this goes with buckets, not with keys; a bucket's rows are then held together. The results are the same.
 """
 
 from __future__ import annotations
@@ -40,6 +43,29 @@ def presence_by_second(labels: DataFrame, lateness: str) -> DataFrame:
     return labels.withWatermark("ts", lateness).groupBy(F.window("ts", "1 second"), "label").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("second"), "label", "n")
 
 
+def _chunk(pdf: pd.DataFrame) -> tuple[list, ...]:
+    """The columns ms, tie, label and score of some rows."""
+    ms = pdf["ts"].astype("datetime64[ms]").astype("int64").tolist()
+    return ms, pdf["tie"].tolist(), pdf["label"].tolist(), [None if x != x else x for x in pdf["score"].astype("float64").tolist()]
+
+
+def _in_time(row: tuple) -> tuple:
+    return row[0], row[1], row[2] is not None, row[2] or "", row[3] is not None, row[3] or 0.0
+
+
+def _timed(handle: StatefulProcessorHandle, timer: int | None, expired: int | None, following: list[int], now: int) -> int | None:
+    """The one timer of a key after ``now``, at the first of the times that follow; ``timer`` is that registered so far."""
+    wanted = max(min(following), now + 1) if following else None
+    held = None if timer == expired else timer
+    if held is not None and (wanted is None or held <= now or held > wanted):
+        handle.deleteTimer(held)
+        held = None
+    if wanted is not None and held is None:
+        handle.registerTimer(wanted)
+        held = wanted
+    return held
+
+
 class _InOrder(StatefulProcessor):
     """Rows (ts, tie, label, score) of a key, taken in order of event time once the watermark has passed them.
 
@@ -49,6 +75,8 @@ class _InOrder(StatefulProcessor):
 
     STATE = ""
     HELD = "ms array<long>, tie array<long>, label array<string>, score array<double>"
+    #: Times that are kept beside a state, where a machine has any.
+    _times: list[int] | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
@@ -59,9 +87,9 @@ class _InOrder(StatefulProcessor):
         earliest = []
         for pdf in rows:
             if len(pdf):
-                ms = pdf["ts"].astype("datetime64[ms]").astype("int64").tolist()
-                self._held.appendValue((ms, pdf["tie"].tolist(), pdf["label"].tolist(), [None if x != x else x for x in pdf["score"].astype("float64").tolist()]))
-                earliest.append(min(ms))
+                chunk = _chunk(pdf)
+                self._held.appendValue(chunk)
+                earliest.append(min(chunk[0]))
         yield from self._go(key, timerValues.getCurrentWatermarkInMs(), earliest)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -82,14 +110,7 @@ class _InOrder(StatefulProcessor):
                 state = self.step(state, ms, label, score, out)
         state = self.passed(state, now, out)
         following = [t for t in (first, None if state is None else self.deadline(state)) if t is not None]
-        wanted = max(min(following), now + 1) if following else None
-        held = None if timer == expired else timer
-        if held is not None and (wanted is None or held <= now or held > wanted):
-            self._handle.deleteTimer(held)
-            held = None
-        if wanted is not None and held is None:
-            self._handle.registerTimer(wanted)
-            held = wanted
+        held = _timed(self._handle, timer, expired, following, now)
         new = None if not following else (first, held, *(state or (None,) * (self.STATE.count(",") + 1)))
         if new is None and saved is not None:
             self._state.clear()
@@ -101,7 +122,7 @@ class _InOrder(StatefulProcessor):
     def _due(self, now: int) -> tuple[int | None, list[tuple]]:
         """The first time of what stays held, and the rows up to ``now`` in order."""
         rows = [row for chunk in self._held.get() for row in zip(*chunk, strict=True)]
-        rows.sort(key=lambda r: (r[0], r[1], r[2] is not None, r[2] or "", r[3] is not None, r[3] or 0.0))
+        rows.sort(key=_in_time)
         n = bisect.bisect_right(rows, now, key=lambda r: r[0])
         later = rows[n:]
         if later:
@@ -217,33 +238,131 @@ class _Quarantine(_InOrder):
         return min(doubt + self._hold, last + self._forget) if waiting else last + self._forget
 
 
-def _machine(rows: DataFrame, keys: list[str], label, score, processor: _InOrder, schema: str, lateness: str) -> DataFrame:
+class _Shared(StatefulProcessor):
+    """The tracks of a bucket, each with a state of the machine; rows are held as those of one track are. What is kept of
+    tracks is read and written only when a row or a state of one of them is due."""
+
+    def __init__(self, machine: _InOrder) -> None:
+        self._machine = machine
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._held = handle.getListState("held", f"track array<string>, of array<int>, {self._machine.HELD}")
+        self._state = handle.getValueState("state", "earliest long, following long, timer long")
+        lists = ", ".join(f"{name} array<{kind}>" for name, kind in (c.split() for c in self._machine.STATE.split(",")))
+        self._tracks = handle.getValueState("tracks", f"track array<string>, times array<array<long>>, {lists}")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        earliest = []
+        for pdf in rows:
+            if len(pdf):
+                of, tracks = pd.factorize(pdf["track"])
+                chunk = _chunk(pdf)
+                self._held.appendValue((tracks.tolist(), of.tolist(), *chunk))
+                earliest.append(min(chunk[0]))
+        yield from self._go(timerValues.getCurrentWatermarkInMs(), earliest)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self._go(timerValues.getCurrentWatermarkInMs(), [], expiredTimerInfo.getExpiryTimeInMs())
+
+    def close(self) -> None:
+        pass
+
+    def _go(self, now: int, earliest: list[int], expired: int | None = None) -> Iterator[pd.DataFrame]:
+        saved = self._state.get()
+        first, following, timer = saved or (None, None, None)
+        first, out = min([*earliest, *([] if first is None else [first])], default=None), []
+        if any(t is not None and t <= now for t in (first, following)):
+            due: dict[str, list[tuple]] = {}
+            if first is not None and first <= now:
+                first, due = self._due(now)
+            following = self._taken(due, now, out)
+        times = [t for t in (first, following) if t is not None]
+        new = (first, following, _timed(self._handle, timer, expired, times, now))
+        if times and (saved is None or new != tuple(saved)):
+            self._state.update(new)
+        elif not times and saved is not None:
+            self._state.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["track", *self._machine.columns[-len(out[0]) + 1 :]])
+
+    def _due(self, now: int) -> tuple[int | None, dict[str, list[tuple]]]:
+        """The first time of what stays held, and the rows up to ``now`` of each track in order."""
+        due, later = {}, []
+        for tracks, of, *chunk in self._held.get():
+            for k, *row in zip(of, *chunk, strict=True):
+                if row[0] <= now:
+                    due.setdefault(tracks[k], []).append(row)
+                else:
+                    later.append((tracks[k], *row))
+        for rows in due.values():
+            rows.sort(key=_in_time)
+        if later:
+            track, *chunk = zip(*later, strict=True)
+            of, tracks = pd.factorize(pd.Series(track, dtype=object))
+            self._held.put([(tracks.tolist(), of.tolist(), *map(list, chunk))])
+        else:
+            self._held.clear()
+        return min((row[1] for row in later), default=None), due
+
+    def _taken(self, due: dict[str, list[tuple]], now: int, out: list[tuple]) -> int | None:
+        """Takes the rows that are due and lets time pass to ``now``; gives when the next state changes without a row."""
+        m, saved = self._machine, self._tracks.get()
+        kept = {track: (state, list(times)) for track, times, *state in zip(*saved, strict=True)} if saved else {}
+        for track in [*due, *(t for t in kept if t not in due)]:
+            state, m._times = kept.get(track, (None, []))
+            told: list[tuple] = []
+            for ms, _, label, score in due.get(track, ()):
+                state = m.step(state, ms, label, score, told)
+            if state is not None and m.deadline(state) <= now:
+                state = m.passed(state, now, told)
+            kept[track] = state, m._times
+            out += [(track, *x) for x in told]
+        left = [(track, times, *state) for track, (state, times) in kept.items() if state is not None]
+        if left:
+            self._tracks.update(tuple(map(list, zip(*left, strict=True))))
+        elif saved:
+            self._tracks.clear()
+        return min((m.deadline(tuple(x[2:])) for x in left), default=None)
+
+
+def _machine(rows: DataFrame, keys: list[str], label, score, processor: _InOrder, schema: str, lateness: str, buckets: int | None) -> DataFrame:
+    """``schema`` is that of the results beside the keys."""
     _keep_state(rows.sparkSession)
     tie = F.col("tie").cast("long") if "tie" in rows.columns else F.lit(0).cast("long")
     own = rows.select(*keys, "ts", tie.alias("tie"), label.alias("label"), score.alias("score")).withWatermark("ts", lateness)
-    return own.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "eventtime")
+    kinds = _kinds(rows, keys)
+    if buckets is None:
+        return own.groupBy(*keys).transformWithStateInPandas(processor, f"{kinds}, {schema}", "append", "eventtime")
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    named = own.withColumn("track", F.to_json(F.struct(*keys), exact)).drop(*keys).withColumn("bucket", F.pmod(F.xxhash64("track"), F.lit(buckets)))
+    got = named.groupBy("bucket").transformWithStateInPandas(_Shared(processor), f"track string, {schema}", "append", "eventtime")
+    return got.withColumn("track", F.from_json("track", kinds, exact)).select("track.*", *got.columns[1:])
 
 
 def _kinds(df: DataFrame, keys: list[str]) -> str:
-    return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+
+_RUN = "label string, first_ms long, last_ms long, avg_similarity double, n long"
 
 
-def label_runs(labels: DataFrame, keys: list[str], gap_ms: int, lateness: str) -> DataFrame:
+def label_runs(labels: DataFrame, keys: list[str], gap_ms: int, lateness: str, buckets: int | None = None) -> DataFrame:
     """(keys, label, first_ms, last_ms, avg_similarity, n): runs of equal labels of each track without a gap of more than
     ``gap_ms``; they end where the label changes, as those of the batch form do. Rows (ts, label, score) of one time of a
     track are taken in order of their ``tie``, where there is such a column."""
-    return _machine(labels, keys, F.col("label"), F.col("score").cast("double"), _Runs(keys, gap_ms, True), f"{_kinds(labels, keys)}, label string, first_ms long, last_ms long, avg_similarity double, n long", lateness)
+    return _machine(labels, keys, F.col("label"), F.col("score").cast("double"), _Runs(keys, gap_ms, True), _RUN, lateness, buckets)
 
 
-def live_tracks(observations: DataFrame, buffer_ms: int, lateness: str) -> DataFrame:
+def live_tracks(observations: DataFrame, buffer_ms: int, lateness: str, buckets: int | None = None) -> DataFrame:
     """(track_id, first_ms, last_ms, n) of tracks unseen for more than ``buffer_ms`` of event time; one that is seen again
     is another."""
     none = F.lit(None)
-    runs = _machine(observations, ["track_id"], none.cast("string"), none.cast("double"), _Runs(["track_id"], buffer_ms, False), f"{_kinds(observations, ['track_id'])}, label string, first_ms long, last_ms long, avg_similarity double, n long", lateness)
+    runs = _machine(observations, ["track_id"], none.cast("string"), none.cast("double"), _Runs(["track_id"], buffer_ms, False), _RUN, lateness, buckets)
     return runs.select("track_id", "first_ms", "last_ms", "n")
 
 
-def quarantine(samples: DataFrame, hold_ms: int, consecutive: int, lateness: str, forget_ms: int | None = None) -> DataFrame:
+def quarantine(samples: DataFrame, hold_ms: int, consecutive: int, lateness: str, forget_ms: int | None = None, buckets: int | None = None) -> DataFrame:
     """(track_id, ts_ms, identity, flushed) of samples whose flag ``doubtful`` tells that they are far from their track.
 
     Doubtful samples wait: the next sure one takes them along, ``consecutive`` of them in a row are a new identity, and
@@ -252,7 +371,7 @@ def quarantine(samples: DataFrame, hold_ms: int, consecutive: int, lateness: str
     """
     forget = max(hold_ms, 10 * hold_ms if forget_ms is None else forget_ms)
     flag = F.coalesce(F.col("doubtful"), F.lit(False)).cast("int").cast("string")
-    return _machine(samples, ["track_id"], flag, F.lit(None).cast("double"), _Quarantine(hold_ms, consecutive, forget), f"{_kinds(samples, ['track_id'])}, ts_ms long, identity int, flushed boolean", lateness)
+    return _machine(samples, ["track_id"], flag, F.lit(None).cast("double"), _Quarantine(hold_ms, consecutive, forget), "ts_ms long, identity int, flushed boolean", lateness, buckets)
 
 
 class Heartbeat(StreamingQueryListener):

@@ -242,3 +242,63 @@ def test_calls_to_the_state_dont_grow_with_rows(machine):
         assert not calls.kept
         counts.append(calls.n)
     assert counts[1] <= counts[0] <= 15
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_tracks_that_share_a_state_are_told_apart(spark, tmp_path, buckets):
+    d = events(spark).withColumn("track_id", F.when(F.col("track_id") > 0, F.col("track_id") + 2**53)).withColumn("video", F.lit("v"))
+    put(d, f"{tmp_path}/in", [[2, 4], [0], [1, 3], [9], [10]])
+    schema = d.drop("part").schema
+    runs = finish(twins.label_runs(stream(spark, f"{tmp_path}/in", schema), ["video", "track_id"], 11_000, "10000 seconds", buckets), f"{tmp_path}/r")
+    batch = S.islands(d.select("video", "track_id", F.col("sec").alias("frame_idx"), "label", "score"), ["video", "track_id"], 11).where("first_frame < 99999")
+    key = lambda r: (r[0] or 0, *map(str, r[1:]))
+    assert sorted(((r.track_id, r.video, r.label, r.first_ms // 1000, r.last_ms // 1000, r.n, r.avg_similarity) for r in runs.where("label <> 'Z'").collect()), key=key) == sorted(((r.track_id, r.video, r.label, r.first_frame, r.last_frame, r.n, r.avg_similarity) for r in batch.collect()), key=key)
+    live = finish(twins.live_tracks(stream(spark, f"{tmp_path}/in", schema), 11_000, "10000 seconds", buckets), f"{tmp_path}/l")
+    assert live.where("first_ms < 99999000").agg(F.sum("n")).first()[0] == 240
+    kept = spark.read.format("statestore").options(path=f"{tmp_path}/r/checkpoint", stateVarName="state").load().collect()
+    assert len(kept) == 1  # of the last row's bucket
+
+
+def test_quarantine_of_tracks_that_share_a_state(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    rows, at = [], 0
+    for track in range(6):
+        at = 0
+        for _ in range(40):
+            at += rng.choice((1, 1, 2, 4, 8, 30))
+            rows.append((track, at, rng.random() < 0.6))
+    want = plain_quarantine(rows, 5, 3, 20)
+    d = spark.createDataFrame([(*r, r[1] // 60) for r in rows] + [(99, 100_000, False, 90), (99, 100_001, False, 91)], "track_id long, sec long, doubtful boolean, part int").withColumn("ts", F.timestamp_seconds("sec"))
+    # in order of time and with little lateness, so that some of a bucket's tracks are due and others are not
+    put(d, f"{tmp_path}/in", [[k] for k in sorted({r[1] // 60 for r in rows} | {90, 91})])
+    got = finish(twins.quarantine(stream(spark, f"{tmp_path}/in", d.drop("part").schema), 5000, 3, "100 seconds", 20_000, 2), str(tmp_path))
+    assert {(r.track_id, r.ts_ms // 1000): (r.identity, r.flushed) for r in got.collect() if r.track_id != 99} == want
+
+
+def test_calls_to_the_state_dont_grow_with_tracks():
+    import types
+
+    import pandas as pd
+
+    counts = []
+    for n in (10, 1000):
+        calls, machine = Calls(), twins._Shared(twins._Quarantine(5000, 3, 50_000))
+        calls.getValueState = lambda name, schema, calls=calls: Value(calls, name)
+        machine.init(calls)
+        rows = pd.DataFrame({"track": [str(k) for k in range(n)], "ts": pd.to_datetime(range(n), unit="s"), "tie": range(n), "label": ["01"[k % 5 < 2] for k in range(n)], "score": [0.5] * n})
+        at = lambda ms: types.SimpleNamespace(getCurrentWatermarkInMs=lambda: ms, getExpiryTimeInMs=lambda: min(calls.timers))
+        assert not list(machine.handleInputRows((1,), iter([rows]), at(-1)))
+        assert sum(map(len, machine.handleExpiredTimer((1,), at(10**9), at(0)))) == n and not calls.kept
+        counts.append(calls.n)
+    assert counts[0] == counts[1] <= 15
+
+
+class Value(State):
+    def __init__(self, calls, name):
+        super().__init__(calls, name, None)
+
+    def get(self):
+        self.calls.n += 1
+        return self.calls.kept.get(self.name)
