@@ -54,7 +54,7 @@ r AS (SELECT *, sum(new) OVER (PARTITION BY {by} ORDER BY ms, tie ROWS UNBOUNDED
 @query(f"""WITH {_runs_sql('track_id', f'lag(label) OVER w IS DISTINCT FROM label OR ms - lag(ms) OVER w > {_GAP_MS}')}
 SELECT track_id, min(label) AS label, min(ms) AS first_ms, max(ms) AS last_ms, round(avg(score), 6) AS avg_similarity, count(*) AS n FROM r GROUP BY track_id, run""")
 def stream_label_runs(spark, sf_dir):
-    got = _ended(spark, _labels(spark, sf_dir), lambda s: twins.label_runs(s, ["track_id"], _GAP_MS, _LATENESS))
+    got = _ended(spark, _labels(spark, sf_dir), lambda s: twins.label_runs(s, ["track_id"], _GAP_MS, _LATENESS, _BUCKETS))
     return rounded(got.where("track_id >= 0"), 6, "avg_similarity")
 
 
