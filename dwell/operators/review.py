@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from dwell.functions.text import assignment_status, canonical_path
@@ -47,17 +48,31 @@ def track_stats(observations: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _moment(each: DataFrame) -> Column:
+    """The order of rows by ``when`` and ``pos``, nulls first: a number where ``when`` is one or a time, as hash aggregates
+    take the least of those; a struct of both where it is of another kind."""
+    when, kind = F.col("when"), each.schema["when"].dataType
+    if not isinstance(kind, T.TimestampType | T.IntegralType):
+        return F.struct("when", "pos")
+    units = F.unix_micros(when) if isinstance(kind, T.TimestampType) else when
+    # times lie 2^32 apart and places between them; a missing time is before all others
+    placed = F.coalesce(units.cast("decimal(20,0)") * F.lit(2**32).cast("decimal(11,0)"), F.lit("-1e30").cast("decimal(32,0)"))
+    return placed + F.coalesce("pos", F.lit(-1)).cast("decimal(11,0)")
+
+
 def assignment_index(log: DataFrame, keys: list[str]) -> DataFrame:
     """Per track of an assignment log (person, when, files array of source, dest): persons, sources and destinations in
     order of first appearance, and the first person of each source and of each destination. Empty names are none.
 
-    An entry is a row for each person, source and destination it names: values are first reduced by track, kind and
-    value, then gathered by track.
+    An entry is a row for each person, source and destination it names: values are first reduced by track, kind, value and
+    person, then by track, kind and value, then gathered by track. Times and places are one number (``_moment``), so that
+    the first step, the only one over all rows, is a hash map of distinct values, not a sort of the rows.
     """
     each = log.select(*keys, F.nullif("person", F.lit("")).alias("person"), "when", F.posexplode_outer("files").alias("pos", "file"))
     said = F.array(*(F.struct(F.lit(k).alias("kind"), F.nullif(c, F.lit("")).alias("v")) for k, c in (("person", F.col("person")), ("source", F.col("file.source")), ("dest", F.col("file.dest")))))
-    rows = each.select(*keys, "person", F.struct("when", "pos").alias("k"), F.explode(said).alias("x")).select(*keys, "x.kind", "x.v", "k", "person")
-    first = rows.groupBy(*keys, "kind", "v").agg(F.min("k").alias("k"), F.min_by("person", F.when(F.col("person").isNotNull(), F.col("k"))).alias("p"))
+    rows = each.select(*keys, "person", _moment(each).alias("k"), F.explode(said).alias("x")).select(*keys, "x.kind", "x.v", "k", "person")
+    own = rows.groupBy(*keys, "kind", "v", "person").agg(F.min("k").alias("k"))
+    first = own.groupBy(*keys, "kind", "v").agg(F.min("k").alias("k"), F.min_by("person", F.when(F.col("person").isNotNull(), F.col("k"))).alias("p"))
     one = lambda kind: (F.col("kind") == kind) & F.col("v").isNotNull()
     ordered = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(one(kind), F.struct("k", "v")))), lambda x: x.v)
     owned = lambda kind: F.map_from_entries(F.array_sort(F.collect_list(F.when(one(kind) & F.col("p").isNotNull(), F.struct("v", "p")))))

@@ -334,3 +334,18 @@ def test_nested_paths_scene_and_preview_files(spark, tmp_path):
     sinks.preview(members, "/out", at("preview"))
     got = sorted(map(tuple, readers.preview(spark, at("preview")).collect()))
     assert got == [(-1, 3, 1, 9, "c/e.jpg", "clusters/noise/e.jpg", "/out/clusters/noise/e.jpg", ""), (-1, 4, 2, 7, "c/d.jpg", "clusters/noise/d.jpg", "/out/clusters/noise/d.jpg", ""), (0, 0, 1, 5, "c/a.jpg", "clusters/cluster_0000/a.jpg", "/out/clusters/cluster_0000/a.jpg", ""), (2, 2, 1, 6, "c/b.jpg", "clusters/cluster_0002/b.jpg", "/out/clusters/cluster_0002/b.jpg", "")]
+
+
+def test_first_appearances_are_found_without_sorting_entries(spark):
+    entries = [(1, "A", 5, [("s", "d"), ("s", None)]), (1, "B", None, [("t", "e")]), (1, None, -3, [("u", "f"), ("s", "")]), (1, "", 7, None), (2, "C", 2**62, [("s", "d")]), (2, "D", -(2**62), [("s", "e"), ("s", "d")])]
+    log = spark.createDataFrame(entries, "track_id long, person string, when long, files array<struct<source:string,dest:string>>")
+    for kind, when in (("number", F.col("when")), ("time", F.timestamp_micros(F.col("when") % 10**15)), ("text", F.format_string("%020d", F.col("when") + 10))):
+        index = R.assignment_index(log.withColumn("when", F.when(F.col("when").isNotNull(), when)), K)
+        one = index.where("track_id = 1").first()
+        assert one.persons == ["B", "A"] and one.sources == ["t", "u", "s"] and one.destinations == ["e", "f", "d"]
+        assert one.source_person == {"s": "A", "t": "B"} and one.destination_person == {"d": "A", "e": "B"}
+        lines = index._jdf.queryExecution().executedPlan().toString().splitlines()
+        above = lines[next(k for k, x in enumerate(lines) if "Generate explode(" in x) - 2]
+        assert ("HashAggregate" in above) == (kind != "text")
+    two = R.assignment_index(log, K).where("track_id = 2").first()
+    assert two.persons == ["D", "C"] and two.destinations == ["e", "d"] and two.destination_person == {"e": "D", "d": "D"}
