@@ -317,3 +317,23 @@ def test_edges_of_a_large_video_are_those_of_a_small_one(spark):
         assert "FlatMapGroupsInArrow" in edges._jdf.queryExecution().executedPlan().toString()
         got = [(r.a, r.b) for r in edges.collect()]
         assert len(want) > 50 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_vectors_go_to_pairs_of_tiles_not_of_blocks(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, u array<double>")
+    placed, blocks = C.in_blocks(rows, [], 4)
+    assert blocks.count() >= 100
+    pairs_ = C.block_pairs(blocks, []).select("lo", "hi").localCheckpoint()
+    one = lambda first, second, own: pa.table({"rows": [len(first) * (len(first) - 1) // 2 if own else len(first) * len(second)]})
+    tasks = C.in_pairs(placed, pairs_, [], one, "rows long", lambda t: pa.table({"rows": [sum(t["rows"].to_pylist())]})).collect()
+    most = C.TILES + 1
+    assert len(tasks) <= most * (most + 1) // 2 and sum(r.rows for r in tasks) == 400 * 399 // 2
+    near = {r.id: r.n for r in C.neighbours(rows, 0.9, 4).collect()}
+    want = (x @ x.T >= 0.9).sum(axis=1) - 1
+    assert near == {i: n for i, n in enumerate(want.tolist()) if n}
