@@ -139,18 +139,22 @@ def tracker_outputs(segments: DataFrame, keys: list[str], total_seconds: int, la
         own.unpersist()
 
 
+#: Logs of all boxes name each field again for each box: packed they take a fraction, and readers unpack them by their suffix.
+_LOG = {"compression": "gzip"}
+
+
 def annotations(frames: DataFrame, path: str, segments: DataFrame | None = None, fps: float = 0.0) -> None:
-    """One JSON row a frame with its boxes, (frame_idx, track_id, bbox as four numbers, label, score); and beside them
-    one a segment, with its frames, where segments are given."""
-    frames.groupBy("frame_idx").agg(F.array_sort(F.collect_list(F.struct("track_id", "bbox", "label", "score"))).alias("tracks")).write.mode("overwrite").json(f"{path}/frames")
+    """One JSON row a frame with its boxes, (frame_idx, track_id, bbox as four numbers, label, score), packed; and beside
+    them one a segment, with its frames, where segments are given."""
+    frames.groupBy("frame_idx").agg(F.array_sort(F.collect_list(F.struct("track_id", "bbox", "label", "score"))).alias("tracks")).write.mode("overwrite").options(**_LOG).json(f"{path}/frames")
     if segments is not None:
         S.frame_window(segments, fps).write.mode("overwrite").json(f"{path}/segments")
 
 
 def frame_events(events: DataFrame, path: str) -> None:
-    """One JSON row a frame with its events: (frame_idx, track_id, bbox as four numbers, label, reason, score)."""
+    """One JSON row a frame with its events: (frame_idx, track_id, bbox as four numbers, label, reason, score), packed."""
     of = F.struct("track_id", "bbox", "label", "reason", "score")
-    events.groupBy("frame_idx").agg(F.array_sort(F.collect_list(of)).alias("events")).write.mode("overwrite").json(path)
+    events.groupBy("frame_idx").agg(F.array_sort(F.collect_list(of)).alias("events")).write.mode("overwrite").options(**_LOG).json(path)
 
 
 def selected_samples(samples: DataFrame, keys: list[str], path: str, most: int = 20, ties: tuple[str, ...] | list[str] = ()) -> None:

@@ -349,3 +349,20 @@ def test_first_appearances_are_found_without_sorting_entries(spark):
         assert ("HashAggregate" in above) == (kind != "text")
     two = R.assignment_index(log, K).where("track_id = 2").first()
     assert two.persons == ["D", "C"] and two.destinations == ["e", "d"] and two.destination_person == {"e": "D", "d": "D"}
+
+
+def test_logs_of_boxes_are_packed(spark, tmp_path):
+    import random
+
+    rng = random.Random(6)
+    rows = [(k // 4, k % 4, [rng.random() * 600 for _ in range(4)], "face", "picked", rng.random()) for k in range(4000)]
+    d = spark.createDataFrame(rows, "frame_idx long, track_id int, bbox array<double>, label string, reason string, score double")
+    log, notes = str(tmp_path / "log"), str(tmp_path / "notes")
+    sinks.frame_events(d, log)
+    sinks.annotations(d.drop("reason"), notes)
+    d.write.json(str(tmp_path / "plain"))
+    size = lambda p: sum(f.stat().st_size for f in (tmp_path / p).glob("part-*"))
+    assert 0 < size("log") < size("plain") * 0.6 and 0 < size("notes/frames") < size("plain") * 0.6
+    want = sorted((f, t, *b, s) for f, t, b, _, _, s in rows)
+    for got in (readers.frame_events(spark, log), readers.annotated_events(spark, f"{notes}/frames")):
+        assert sorted((r.frame_idx, r.track_id, *r.bbox, r.score) for r in got.collect()) == want
