@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -39,7 +39,22 @@ def pairs(faces: DataFrame, tracks: DataFrame, frame: list[str], dilate: float,
     that is exploded is a column, where Spark would otherwise put its formula into each filter, up to the join's condition,
     which then is too long for the JVM to compile."""
     grown = tracks.withColumn("grown", G.dilate(F.col("track_box"), dilate, width, height))
-    near = faces.join(grown, frame).where(G.meet(F.col("face_box"), F.col("grown")))
+    return _overlapping(faces.join(grown, frame), least)
+
+
+def pairs_within(detections: DataFrame, frame: list[str], face: Column, dilate: float, width: float, height: float, least: float) -> DataFrame:
+    """The same for detections (det_idx, track_id, bbox, score) of one table, faces where ``face`` holds, else tracks: frame,
+    face_idx, face_box, score, track_idx, track_id, track_box and iou. Each face gets its frame's tracks by a window, so that
+    detections are made and sorted once, where both sides of a join would make them."""
+    track = F.struct(F.col("det_idx").alias("track_idx"), "track_id", F.col("bbox").alias("track_box"), G.dilate(F.col("bbox"), dilate, width, height).alias("grown"))
+    known = detections.where(" AND ".join(f"`{c}` IS NOT NULL" for c in frame)).withColumn("__face", F.coalesce(face, F.lit(False)))
+    beside = known.withColumn("__tracks", F.collect_list(F.when(~F.col("__face"), track)).over(Window.partitionBy(*frame)))
+    each = beside.where("__face").select(*frame, F.col("det_idx").alias("face_idx"), F.col("bbox").alias("face_box"), "score", F.inline("__tracks"))
+    return _overlapping(each, least)
+
+
+def _overlapping(pairs: DataFrame, least: float) -> DataFrame:
+    near = pairs.where(G.meet(F.col("face_box"), F.col("grown")))
     return near.withColumn("iou", F.explode(F.array(G.iou(F.col("face_box"), F.col("grown"))))).drop("grown").where((F.col("iou") >= least) & (F.col("iou") > 0))
 
 

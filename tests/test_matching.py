@@ -218,3 +218,20 @@ def test_overlaps_are_divided_once(spark):
     p = M.pairs(f, t, ["frame_idx"], 0.1, 100.0, 100.0, 0.1).withColumn("iou", nearest(F.col("iou"), 9)).where("iou >= 0.2")
     assert "Generate explode" in p._jdf.queryExecution().optimizedPlan().toString()
     assert [r.iou for r in p.collect()] == [pytest.approx(100 / 242)] * 6
+
+
+def test_pairs_of_one_table_are_those_of_a_join(spark, sf):
+    from dwell.plans import boxes
+
+    rng = random.Random(7)
+    side = lambda: float(rng.randint(0, 60))
+    rows = [(rng.choice([None, 1, 2, 3]), k, rng.choice(["face", "person"]), k % 4, (x := side(), y := side(), x + side(), y + side()), 0.1 * k) for k in range(60)]
+    rows += [(4, 60, "face", 0, (0.0, 0.0, 9.0, 9.0), 0.5), (5, 61, "person", 0, (0.0, 0.0, 9.0, 9.0), 0.5), (6, 62, "face", 0, (0.0, 0.0, 9.0, 9.0), 0.5), (6, 63, "person", 0, None, 0.5), (6, 64, "face", 0, None, 0.5)]
+    d = spark.createDataFrame(rows, f"frame_idx long, det_idx int, kind string, track_id long, bbox {BOX}, score double")
+    f = d.where("kind = 'face'").select("frame_idx", F.col("det_idx").alias("face_idx"), F.col("bbox").alias("face_box"), "score")
+    t = d.where("kind = 'person'").select("frame_idx", F.col("det_idx").alias("track_idx"), "track_id", F.col("bbox").alias("track_box"))
+    joined, within = M.pairs(f, t, FR, 0.1, 100.0, 100.0, 0.05), M.pairs_within(d, FR, F.col("kind") == "face", 0.1, 100.0, 100.0, 0.05)
+    assert joined.columns == within.columns and sorted(joined.collect()) == sorted(within.collect()) and within.count() > 20
+    # detections are read, sorted and numbered once, where a join would do it for faces and again for tracks
+    plan = boxes.face_tiebreak(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("row_number()") == 1 and "Join" not in plan
