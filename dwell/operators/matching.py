@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -131,6 +132,8 @@ def assignment(cost: np.ndarray) -> np.ndarray:
 #: Totals of a matching are compared at so many digits; overlaps nearer than a unit of the last (and what sums lose) may
 #: decide nothing.
 _DIGITS, _TIE = 8, 1.5e-8
+#: Totals this near to a half of the last digit may round either way, as their overlaps are summed.
+_NEAR = 1e-11
 #: Choices of a frame's faces that are tried one by one.
 _CHOICES = 2000
 
@@ -142,28 +145,62 @@ def _unit(total: float) -> int:
     return low + (x - low >= 0.5)
 
 
+def _precedence(tracks: Iterable[float]) -> tuple:
+    """Of matchings equal in all that counts the one with the largest goes first: that which ends with an earlier face, then
+    that whose last face has no track or the later one (``inf`` is none), then the face before it, and so on. The SQL leaves
+    this open; it is the order in which it mostly comes upon them."""
+    back = list(tracks)
+    while back and back[-1] == math.inf:
+        back.pop()
+    return -len(back), back[::-1]
+
+
 def _tried(options: list[list[tuple[int, int, float]]]) -> list[int]:
     """Places of the best matching over (place, track, overlap) of each face in order: all are tried."""
-    best, chosen = None, []
+    best, chosen, of = None, [], ()
 
-    def go(k: int, used: frozenset[int], picked: tuple[int, ...], total: float, weight: int) -> None:
-        nonlocal best, chosen
+    def go(k: int, used: tuple[float, ...], picked: tuple[int, ...], total: float, weight: int) -> None:
+        nonlocal best, chosen, of
         if k == len(options):
             key = (len(picked), _unit(total), -weight)
-            if best is None or key > best:
-                best, chosen = key, list(picked)
+            if best is None or key > best or key == best and _precedence(used) > _precedence(of):
+                best, chosen, of = key, list(picked), used
             return
         if best is not None and len(picked) + len(options) - k < best[0]:
             return
         for place, track, iou in options[k]:
             if track not in used:
-                go(k + 1, used | {track}, (*picked, place), total + iou, weight + (k + 1) * (track + 1) ** 2)
-        go(k + 1, used, picked, total, weight)
+                go(k + 1, (*used, track), (*picked, place), total + iou, weight + (k + 1) * (track + 1) ** 2)
+        go(k + 1, (*used, math.inf), picked, total, weight)
 
-    go(0, frozenset(), (), 0.0, 0)
+    go(0, (), (), 0.0, 0)
     return chosen
 
 
+def _largest(options: list[list[tuple[int, float]]], count: int) -> float:
+    """The largest total of ``count`` pairs over (track, overlap) of each face, as it is summed in order of faces: a larger
+    sum stays no smaller whatever is added, so one is kept for the tracks taken. Tracks with the same overlaps count as one
+    kind, and those that no later face may take are forgotten."""
+    of: dict[int, tuple] = {}
+    for i, o in enumerate(options):
+        for t, iou in o:
+            of[t] = (*of.get(t, ()), (i, iou))
+    kind = {c: x for x, c in enumerate(dict.fromkeys(of.values()))}
+    room, last = Counter(kind[c] for c in of.values()), [c[-1][0] for c in kind]
+    reach = {((0,) * len(kind), 0): 0.0}  # tracks taken of each kind, and pairs
+    for i, o in enumerate(options):
+        after: dict[tuple, float] = {}
+        moves = [(None, 0.0), *{kind[of[t]]: iou for t, iou in o}.items()]
+        for (taken, k), total in reach.items():
+            for c, iou in moves:
+                n = k + (c is not None)
+                if n + len(options) - i - 1 >= count and (c is None or taken[c] < room[c]):
+                    key = (tuple(0 if last[x] <= i else a + (x == c) for x, a in enumerate(taken)), n)
+                    after[key] = max(after.get(key, 0.0), total + iou)
+        reach = after
+    return max(total for (_, k), total in reach.items() if k == count)
+
+
 def _searched(options: list[list[tuple[int, int, float]]]) -> list[int]:
     """The same for frames of many pairs: the matching of the largest total is solved, then matchings come in order of
     their weight, over pairs that such a total may hold, until one has that total at the digits that count."""
@@ -205,12 +242,15 @@ def _searched(options: list[list[tuple[int, int, float]]]) -> list[int]:
         return one is not None and sum(q in at for q in one[0]) == goal[0] and sum(at[q][1] for q in one[0] if q in at) >= best - _TIE
 
     never = frozenset(p for p in at if not possible(p))
+    if _unit(best - _NEAR) != _unit(best + _NEAR):  # the same overlaps in another order may round up
+        goal = goal[0], _unit(_largest([[(t, iou) for _, t, iou in o if (i, t) not in never] for i, o in enumerate(options)], goal[0]))
     first = solved(weight, never, frozenset())
     queue, order = [(first[1], 0, first[0], never, frozenset())], 0
-    while queue:
-        _, _, pairs, barred, forced = heapq.heappop(queue)
+    found: list[tuple[float, list[tuple[int, int]]]] = []
+    while queue and not (found and queue[0][0] > found[0][0]):
+        cost, _, pairs, barred, forced = heapq.heappop(queue)
         if score(pairs) == goal:
-            return [at[p][0] for p in pairs if p in at]
+            found.append((cost, pairs))
         for p in pairs:
             if p not in forced:
                 order += 1
@@ -218,7 +258,8 @@ def _searched(options: list[list[tuple[int, int, float]]]) -> list[int]:
                 if one is not None and sum(q in at for q in one[0]) == goal[0]:
                     heapq.heappush(queue, (one[1], order, one[0], barred | {p}, forced))
                 forced = forced | {p}
-    return [at[p][0] for p in most if p in at]
+    taken = max((pairs for _, pairs in found), key=lambda pairs: _precedence(t if t < m else math.inf for _, t in pairs), default=most)
+    return [at[p][0] for p in taken if p in at]
 
 
 def best_matching(faces: list, tracks: list, iou: list[float]) -> list[int]:
@@ -237,7 +278,7 @@ def best_matching(faces: list, tracks: list, iou: list[float]) -> list[int]:
 
 def optimal_faces(matches: DataFrame, frame: list[str]) -> DataFrame:
     """The one-to-one matching of each frame with the most pairs, and of those the largest total overlap at 8 digits, over
-    the given pairs; of equal ones that of the least sum of a face's place by its track's place squared.
+    the given pairs; of equal ones that of the least sum of a face's place by its track's place squared, then ``_precedence``.
 
     Where the best tracks of a frame's faces differ, and each is better than the face's second by more than a tie, they
     are that matching. Only contested frames are solved, each when its rows have passed: its pairs are few.

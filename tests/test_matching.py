@@ -209,6 +209,39 @@ def test_searched_matchings_are_those_tried():
         assert len({pairs[p][0][1] for p in b}) == len(b) and score(a) == score(b)
 
 
+def test_totals_at_a_half_are_rounded_as_they_are_summed():
+    """Faces 5 and 11 are alike; their overlaps in one order sum up to just over a half of the eighth digit, in the other to
+    just below it."""
+    rows = [(1, 2, 0.057001772), (1, 10, 0.050468346), (1, 12, 0.055454154), (3, 4, 0.095445923), (3, 6, 0.093035438), (3, 8, 0.111989883), (3, 12, 0.126110193), (5, 2, 0.103824656), (5, 4, 0.069871896)]
+    rows += [(5, 6, 0.089436027), (5, 8, 0.081983025), (5, 10, 0.058498415), (5, 12, 0.10100578), (9, 4, 0.109602974), (9, 6, 0.077126955), (9, 8, 0.128600823), (9, 12, 0.101387973), (11, 2, 0.103824656)]
+    rows += [(11, 6, 0.089436027), (11, 10, 0.081167441), (11, 12, 0.0646815)]
+    faces, tracks, iou = (list(x) for x in zip(*rows, strict=True))
+    assert [rows[k][:2] for k in M.best_matching(faces, tracks, iou)] == [(1, 10), (3, 12), (5, 6), (9, 8), (11, 2)]
+    total = 0.0
+    for _ in range(41):
+        total += 0.123456785
+    assert M._largest([[(t, 0.123456785) for t in range(41)]] * 41, 41) == total  # all alike
+    rng = random.Random(3)
+    for _ in range(200):
+        n, m = rng.randint(2, 4), rng.randint(2, 4)
+        pairs = [(f, t, v) for f in range(n) for t, v in enumerate(rng.choice([(0.103824656, 0.089436027, 0.058498415, 0.05), (0.1, 0.2, 0.123456785, 0.05)])[:m])]
+        options = [[(p, t, v) for p, (g, t, v) in enumerate(pairs) if g == f] for f in range(n)]
+        assert M._searched(options) == M._tried(options)
+
+
+def test_matchings_equal_in_all_go_by_their_last_faces():
+    """What the SQL leaves open: the earlier end, then the later track of the last face, whichever way it is searched."""
+    ends = [(1, 2, 0.2), (3, 2, 0.1), (1, 4, 0.1), (3, 4, 0.1), (5, 2, 0.3), (5, 4, 0.3), (5, 10, 0.2), (9, 4, 0.1), (11, 2, 0.2), (11, 4, 0.1)]
+    last = [(f, t, v) for f, x, y in ((1, 0.125570052, 0.151186343), (3, 0.050468346, 0.060763889), (7, 0.125570052, 0.151186343)) for t, v in ((2, x), (6, y), (10, x))]
+    last += [(5, 4, 0.089436027), (9, 4, 0.122170782), (9, 8, 0.100522834)]
+    for rows, want in ((ends, [(1, 2), (3, 4), (5, 10)]), (last, [(1, 10), (3, 2), (5, 4), (7, 6), (9, 8)])):
+        rows = sorted(rows)
+        faces, tracks = sorted({f for f, _, _ in rows}), sorted({t for _, t, _ in rows})
+        options = [[(k, tracks.index(t), v) for k, (f, t, v) in enumerate(rows) if f == face] for face in faces]
+        for way in (M._tried, M._searched):
+            assert sorted(rows[k][:2] for k in way(options)) == want
+
+
 def test_overlaps_are_divided_once(spark):
     """A formula that is put into each filter on it makes the join's code too long for the JVM to compile."""
     from dwell.functions.numbers import nearest
