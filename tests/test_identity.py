@@ -319,6 +319,26 @@ def test_edges_of_a_large_video_are_those_of_a_small_one(spark):
         assert len(want) > 50 and len(got) == len(set(got)) and set(got) == want
 
 
+def test_videos_are_stitched_in_one_task_as_by_their_edges(spark, monkeypatch):
+    """Null videos, vectors, starts and boxes, narrow vectors, equal starts and a name given twice; edges are made of large videos only."""
+    rng = np.random.default_rng(4)
+    box = "struct<x1:double,y1:double,x2:double,y2:double>"
+    rows = []
+    for k in range(240):
+        a, e, b = float(rng.integers(0, 60)) * 5, float(rng.integers(0, 40)), [float(x) for x in rng.integers(0, 30, 4)]
+        v = rng.choice([-0.5, 0.5, 1.0], 3).tolist() if k % 11 else [None, [1.0], [], [float("nan")] * 3, [0.5, None, 1.0]][k % 5]
+        ends = (b[0], b[1], b[0] + 50, b[1] + 50), (b[2], b[3], b[2] + 50, b[3] + 50) if k % 31 else None
+        rows.append(("xyz"[k % 3] if k % 8 else None, k - (k % 40 == 39) * 3, a if k % 37 else None, a + e if k % 41 else None, *ends, v))
+    t = spark.createDataFrame(rows, f"video string, track_id long, start_ms double, end_ms double, start_box {box}, end_box {box}, embedding array<float>").coalesce(1)
+    edges = C.stitch_edges(t, ["video"], 100.0, 0.3, 0.7)
+    told = lambda d: sorted((r.video or "", r.track_id, r.chain_id, r.position) for r in d.collect())
+    want = told(C.stitch_chains(t, edges, ["video"]))
+    assert max(p for *_, p in want) > 3 and told(C.stitched(t, ["video"], 100.0, 0.3, 0.7, 50)) == want  # the null video is small
+    assert told(C.stitched(t, ["video"], 100.0, 0.3, 0.7, 29)) == want  # all are large, the null one too
+    monkeypatch.delattr(C, "stitch_edges")
+    assert told(C.stitched(t, ["video"], 100.0, 0.3, 0.7)) == want
+
+
 def test_vectors_go_to_pairs_of_tiles_not_of_blocks(spark):
     import numpy as np
     import pyarrow as pa
